@@ -18,6 +18,20 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
@@ -39,6 +53,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+SQL["op4_warc"] = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest,
+    max(page_id) over (partition by coalesce(html, '')) as holder
+  from pages)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when n >= 1000 and page_id <> holder then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id <> holder then holder end as refers_to
+from p
+"""
+
+
 SQL["op6_mixing"] = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
