@@ -60,3 +60,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def width(df: DataFrame) -> int:
     """Number of partitions for an explicit repartition: the session's own."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_text(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under numbered names, and the whole ``text``: no name can clash in Python."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], whole_text().alias("text"))
+
+
+def rows_of(docs: DataFrame) -> Column:
+    """The numbered columns as a struct ``row`` with their own names."""
+    return F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("row")

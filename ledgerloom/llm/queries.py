@@ -18,6 +18,14 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    scored = classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return scored.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", "predicted")
+
+
 @query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
@@ -60,6 +68,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import tag
+
+    scored = tag(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return scored.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", "predicted", "spans")
+
+
 SQL["op4_warc"] = """
 with p as (
   select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest,
