@@ -23,14 +23,14 @@ from .common import held_out, rows_of, whole_text, with_text
 
 #: The fit takes at most so many documents of each label, those with the smallest hash of their id.
 TRAIN_ROWS, EPOCHS, FEATURES = 2_000, 30, 1 << 17
-PREFIXES, LEAST_DOCS, PURE = (4, 5, 6), 3, 0.9
+PREFIXES, LEAST_DOCS, PURE = (4, 5, 6, 7, 8), 3, 0.8
 CUT = 0.5
 TOKEN = re.compile(r"\w+")
 
 
 def parts(word: str) -> list[str]:
-    """A word's features: itself and its prefixes."""
-    return ["=" + word, *[word[:n] for n in PREFIXES if len(word) >= n]]
+    """A word's features: itself, and the beginnings that it continues."""
+    return ["=" + word, *[word[:n] for n in PREFIXES if len(word) > n]]
 
 
 def places(word: str) -> list[int]:
