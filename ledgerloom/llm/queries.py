@@ -33,6 +33,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", "predicted")
 
 
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
