@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, rows_of, whole_text, with_text
 
-#: The fit takes at most so many documents of each label, those with the smallest hash of their id.
-TRAIN_ROWS, EPOCHS, FEATURES = 2_000, 30, 1 << 17
+#: The fit takes at most so many toxic and clean documents, those with the smallest hash of their id.
+TOXIC_ROWS, CLEAN_ROWS, EPOCHS, FEATURES = 1_000, 3_000, 30, 1 << 17
 PREFIXES, LEAST_DOCS, PURE = (4, 5, 6, 7, 8), 3, 0.8
 CUT = 0.5
 TOKEN = re.compile(r"\w+")
@@ -66,54 +66,55 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def token_labels(texts: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
-    """1 for each token of a toxic document whose word or prefix is found almost only in such."""
+def telling_words(docs: list[np.ndarray], toxic: np.ndarray, words: list[str]) -> np.ndarray:
+    """True for each word that has a part (itself or a beginning) found almost only in toxic documents."""
     bad, all_ = Counter(), Counter()
-    for words, y in zip(texts, toxic):
-        own = {x for w in set(words) for x in parts(w)}
-        all_.update(own)
+    for own, y in zip(docs, toxic):
+        found = {x for w in np.unique(own) for x in parts(words[w])}
+        all_.update(found)
         if y:
-            bad.update(own)
+            bad.update(found)
     share = toxic.mean()
     telling = {x for x, n in bad.items() if n >= LEAST_DOCS and (n + share) / (all_[x] + 1) >= PURE}
-    return [np.array([bool(y) and any(x in telling for x in parts(w)) for w in words], dtype=float) for words, y in zip(texts, toxic)]
+    return np.array([any(x in telling for x in parts(w)) for w in words], bool)
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> dict:
     """Weights, transitions and the score's curve. Without rows of both labels all scores are their share, or 0."""
     if len(set(toxic.tolist())) < 2:
         return {"constant": float(toxic.mean()) if len(toxic) else 0.0}
-    words = [TOKEN.findall(t.lower()) for t in texts]
-    y = np.concatenate(token_labels(words, toxic)) if words else np.zeros(0)
-    lengths = np.array([len(w) for w in words])
-    flat = [places(w) for ws in words for w in ws]
-    row = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
-    col = np.array([i for x in flat for i in x], dtype=np.int64)
+    ids: dict[str, int] = {}
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in TOKEN.findall(t.lower())], np.int32) for t in texts]
+    words, token = list(ids), np.concatenate(docs)
+    lengths = np.array([len(d) for d in docs])
+    y = np.repeat(toxic, lengths) * telling_words(docs, toxic, words)[token]
+    own = [places(w) for w in words]  # features of the distinct words alone
+    row, col = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([i for x in own for i in x], dtype=np.int64)
+    emissions = lambda p: (p["bias"] + np.bincount(row, p["w"][col], len(words)))[token]
     chains, inner = Chains(lengths), np.ones(len(y), bool)
     inner[np.cumsum(lengths)[lengths > 0] - 1] = False  # tokens with a next one
     now = np.flatnonzero(inner)
     tags = y.astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (tags[now], tags[now + 1]), 1)
+    seen = np.bincount(2 * tags[now] + tags[now + 1], minlength=4).reshape(2, 2)
     p = {"w": np.zeros(FEATURES), "bias": np.full(1, -3.0), "t": np.zeros((2, 2))}
     m, v = {k: 0 * x for k, x in p.items()}, {k: 0 * x for k, x in p.items()}
     for step in range(1, EPOCHS + 1):
-        e = p["bias"] + np.bincount(row, p["w"][col], len(y))
+        e = emissions(p)
         ahead, back = chains.messages(e, p["t"])
         wrong = y - _sigmoid(ahead + back)
         a, b, t = ahead[now], e[now + 1] + back[now + 1], p["t"]
-        pair = np.stack([np.full(len(now), t[0, 0]), t[0, 1] + b, a + t[1, 0], a + t[1, 1] + b])
-        pair = np.exp(pair - pair.max(0))
+        pair = [np.full(len(now), t[0, 0]), t[0, 1] + b, a + t[1, 0], a + t[1, 1] + b]
+        norm = np.logaddexp(np.logaddexp(pair[0], pair[1]), np.logaddexp(pair[2], pair[3]))
         grad = {
-            "w": np.bincount(col, wrong[row], FEATURES) - 0.1 * p["w"],
+            "w": np.bincount(col, np.bincount(token, wrong, len(words))[row], FEATURES) - 0.1 * p["w"],
             "bias": wrong.sum(keepdims=True),
-            "t": seen - (pair / pair.sum(0)).sum(1).reshape(2, 2) - 0.1 * t,
+            "t": seen - np.array([np.exp(x - norm).sum() for x in pair]).reshape(2, 2) - 0.1 * t,
         }
         for k in p:
             m[k], v[k] = 0.9 * m[k] + 0.1 * grad[k], 0.99 * v[k] + 0.01 * grad[k] ** 2
             p[k] = p[k] + 0.3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
     model = {"w": p["w"], "bias": float(p["bias"][0]), "t": p["t"], "curve": np.array([-2.0, 0.5, 0.0])}
-    top, total = document_measures(chains, *marginal_logits(chains, p["bias"] + np.bincount(row, p["w"][col], len(y)), p["t"]))
+    top, total = document_measures(chains, marginal_logits(chains, emissions(p), p["t"]))
     x = np.stack([np.ones(len(toxic)), top, total], 1)
     curve = model["curve"]
     for _ in range(200):  # Newton steps with a little ridge
@@ -123,9 +124,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict:
     return model | {"curve": curve}
 
 
-def marginal_logits(chains: Chains, e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray]:
+def marginal_logits(chains: Chains, e: np.ndarray, t: np.ndarray) -> np.ndarray:
     ahead, back = chains.messages(e, t)
-    return (ahead + back,)
+    return ahead + back
 
 
 def document_measures(chains: Chains, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +164,7 @@ def tag_texts(texts: list[str], model: dict, scores: _Scores | None = None) -> t
         words = TOKEN.findall(text.lower())
         rows.append(np.fromiter(map(scores.__getitem__, words), float, len(words)))
     chains = Chains(np.array([len(r) for r in rows], dtype=int))
-    (logits,) = marginal_logits(chains, np.concatenate(rows) if rows else np.zeros(0), model["t"])
+    logits = marginal_logits(chains, np.concatenate(rows) if rows else np.zeros(0), model["t"])
     top, total = document_measures(chains, logits)
     score = _sigmoid(np.stack([np.ones(len(top)), top, total], 1) @ model["curve"])
     spans, start = [], 0
@@ -177,10 +178,10 @@ def tag_texts(texts: list[str], model: dict, scores: _Scores | None = None) -> t
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
-    """Fit on at most TRAIN_ROWS documents of each label, none of them held out."""
+    """Fit on at most TOXIC_ROWS and CLEAN_ROWS documents, none of them held out."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("y = 1").orderBy(*order).limit(TRAIN_ROWS).unionByName(known.where("y = 0").orderBy(*order).limit(TRAIN_ROWS))
+    sample = known.where("y = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(known.where("y = 0").orderBy(*order).limit(CLEAN_ROWS))
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").collect()
     rows = sorted(map(tuple, rows))
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], dtype=float))
