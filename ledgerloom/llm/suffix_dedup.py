@@ -13,6 +13,9 @@ can still split matter, so the refinement is run on those:
    (32, +32) and 100 from (64, +36). The first string of each final bucket stays.
 3. The runs of later strings are joined to their documents and cut out.
 
+A document whose whole text came before goes whole, so only the first copy of each text is
+looked at; all joins with texts read one shuffle of them.
+
 Buckets that a bounded sample of documents shows to be very frequent (one passage in a
 third of all documents) are spread by document while they are counted, and their strings
 are refined as single rows with map-side aggregation; where a bucket goes changes
@@ -29,13 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, whole_text, width
+from .common import whole_text, width
 from .minhash import mixed
 
 LENGTH, Q = 100, 32
 SPAN = LENGTH - Q + 1  # places of a q-gram in a string
 #: A bucket is frequent when HOT_DOCS of about SAMPLE_DOCS documents have it; so at most a bounded number are.
-SAMPLE_DOCS, HOT_DOCS, SALTS = 20_000, 20, 64
+SAMPLE_DOCS, HOT_DOCS = 20_000, 200
 CHUNK = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -107,11 +110,19 @@ def _held(texts, most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents to their anchors: bucket, document, and a packed place (see :func:`_runs`)."""
     for batch in batches:
         d, v = batch["d"].to_numpy(), batch["v"].to_numpy()
         for first, held in _held(batch["text"]):
             piece, bucket, at, lo, hi = anchors(held)
-            yield pd.DataFrame({"bucket": bucket, "d": d[first + piece], "v": v[first + piece], "at": at.astype("int32"), "lo": lo.astype("int32"), "hi": hi.astype("int32")})
+            yield pd.DataFrame({"bucket": bucket, "d": d[first + piece], "v": v[first + piece], "place": lo << 16 | (at - lo) << 8 | (hi - lo)})
+
+
+def _runs(runs) -> Iterator[tuple[int, int, int, int]]:
+    """``bucket, first string, anchor in it, last string`` of packed runs."""
+    for r in runs:
+        lo = r["place"] >> 16
+        yield r["bucket"], lo, r["place"] >> 8 & 255, lo + (r["place"] & 255)
 
 
 def _refined(rows: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,15 +141,15 @@ def _refined(rows: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents with their anchors to one row per anchor with the bytes of its run of strings."""
     for batch in batches:
-        out, size = [], 0
+        out = []
         for d, v, text, runs in zip(batch["d"], batch["v"], batch["text"], batch["runs"]):
             data = text.encode("utf-8", "surrogatepass")
-            for r in runs:
-                out.append((r["bucket"], d, v, r["lo"], r["at"] - r["lo"], data[r["lo"] : r["hi"] + LENGTH]))
-                size += 1
-            if size > 20_000:
+            for bucket, lo, at, hi in _runs(runs):
+                if hi + LENGTH <= len(data):
+                    out.append((bucket, d, v, lo, at, data[lo : hi + LENGTH]))
+            if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["bucket", "d", "v", "lo", "at", "bytes"])
-                out, size = [], 0
+                out = []
         yield pd.DataFrame(out, columns=["bucket", "d", "v", "lo", "at", "bytes"])
 
 
@@ -184,10 +195,10 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents with their runs of later strings to what is left of them."""
     for batch in batches:
         out = []
-        for doc_id, text, runs in zip(batch["doc_id"], batch["text"], batch["runs"]):
+        for doc_id, text, copy, runs in zip(batch["doc_id"], batch["text"], batch["copy"], batch["runs"]):
             data = text.encode("utf-8", "surrogatepass")
-            spans: list[list[int]] = []
-            for lo, hi in sorted((r["first"], r["last"] + LENGTH) for r in (runs if runs is not None else [])):
+            spans: list[list[int]] = [[0, len(data)]] if copy and len(data) >= LENGTH else []
+            for lo, hi in sorted((r["first"], r["last"] + LENGTH) for r in (runs if runs is not None and not copy else [])):
                 if spans and lo <= spans[-1][1]:
                     spans[-1][1] = max(hi, spans[-1][1])
                 else:
@@ -200,17 +211,17 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
 
 
+_ANCHOR = "bucket long, d long, v long, place long"
+
+
 def frequent_buckets(texts: DataFrame) -> list[int]:
     """Buckets that HOT_DOCS or more of about SAMPLE_DOCS documents have; the sample only decides on routes."""
     every = max(1, texts.count() // SAMPLE_DOCS)
-    sample = texts.where(F.pmod(F.xxhash64("d", "v"), F.lit(every)) == 0).mapInPandas(_anchored, _ANCHOR)
-    common = sample.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_DOCS)
+    sample = texts.where(F.pmod(F.xxhash64("d", "v"), F.lit(every)) == 0)
+    common = sample.mapInPandas(_anchored, _ANCHOR).groupBy("bucket").agg(F.count_distinct("d", "v").alias("n")).where(F.col("n") >= HOT_DOCS)
     return [r["bucket"] for r in common.select("bucket").collect()]
 
 
-_ANCHOR = "bucket long, d long, v long, at int, lo int, hi int"
-
-
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of each row.
 
@@ -220,22 +231,28 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Null is empty; texts below LENGTH bytes stay whole; an empty table gives an empty
     result; other columns are not looked at. ``spans`` are the removed byte ranges.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    texts = rows.select("doc_id", F.coalesce("doc_id", F.lit(NONE)).alias("d"), F.xxhash64("text").alias("v"), "text")
-    frequent = texts.sparkSession.createDataFrame([(b,) for b in frequent_buckets(texts)], "bucket long")
-
-    anchored = texts.mapInPandas(_anchored, _ANCHOR).join(F.broadcast(frequent.withColumn("hot", F.lit(True))), "bucket", "left")
-    anchored = anchored.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("d"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    counted = anchored.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket", "salt")))
-    repeated = counted.where("n > 1 or hot").groupBy("d", "v").agg(F.collect_list(F.struct("bucket", "at", "lo", "hi", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))  # a document's own runs
-    repeated = checkpointed(repeated)
-
-    own = texts.select("d", "v", "text")
-    having = lambda wanted: repeated.select("d", "v", F.filter("runs", lambda r: r["hot"] if wanted else ~r["hot"]).alias("runs")).where(F.size("runs") > 0).join(own, ["d", "v"])
-    contexts = having(False).mapInPandas(_contexts, "bucket long, d long, v long, lo int, at int, bytes binary")
-    later = contexts.repartition(width(texts), "bucket").sortWithinPartitions("bucket", "d", "v", "lo").mapInPandas(_later, "d long, v long, first int, last int")
-    single = having(True).mapInPandas(_single, "key long, d long, v long, start int")
-    first = single.groupBy("key").agg(F.min(F.struct("d", "v", "start")).alias("head"))
-    after = single.join(first, "key").where(F.struct("d", "v", "start") > F.col("head")).select("d", "v", F.col("start").alias("first"), F.col("start").alias("last"))
-    runs = later.unionByName(after).groupBy("d", "v").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    return texts.join(runs, ["d", "v"], "left").select("doc_id", "text", "runs").mapInPandas(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
+    texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NONE)).alias("d"), whole_text(text_column).alias("text"))
+    texts = texts.select("d", F.xxhash64("text").alias("v"), "text")
+    firsts = texts.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min(F.struct("d", "v")).alias("x")).select("x.d", "x.v", F.lit(False).alias("copy"))
+    hot = frequent_buckets(texts)
+    frequent = texts.sparkSession.createDataFrame([(b, True) for b in hot], "bucket long, hot boolean")
+
+    anchored = texts.join(firsts, ["d", "v"]).select("d", "v", "text").mapInPandas(_anchored, _ANCHOR).join(F.broadcast(frequent), "bucket", "left")
+    own = F.when(F.col("hot"), F.xxhash64("bucket", "d", "v")).otherwise(F.col("bucket"))  # frequent ones need no count
+    counted = anchored.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(own)))
+    repeated = counted.where("n > 1 or hot").groupBy("d", "v").agg(F.collect_list(F.struct("bucket", (F.col("place") * 2 + F.coalesce("hot", F.lit(False)).cast("long")).alias("place"))).alias("runs"))  # a document's own runs
+
+    def having(wanted: int) -> DataFrame:
+        runs = repeated.select("d", "v", F.expr(f"transform(filter(runs, r -> r.place % 2 = {wanted}), r -> struct(r.bucket AS bucket, shiftright(r.place, 1) AS place))").alias("runs"))
+        return texts.select("d", "v", "text").join(runs.where(F.size("runs") > 0), ["d", "v"])
+
+    contexts = having(0).mapInPandas(_contexts, "bucket long, d long, v long, lo int, at int, bytes binary")
+    runs = contexts.repartition(width(texts), "bucket").sortWithinPartitions("bucket", "d", "v", "lo").mapInPandas(_later, "d long, v long, first int, last int")
+    if hot:
+        single = having(1).mapInPandas(_single, "key long, d long, v long, start int")
+        first = single.groupBy("key").agg(F.min(F.struct("d", "v", "start")).alias("head"))
+        runs = runs.unionByName(single.join(first, "key").where(F.struct("d", "v", "start") > F.col("head")).select("d", "v", F.col("start").alias("first"), F.col("start").alias("last")))
+    runs = runs.groupBy("d", "v").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # a document's own runs
+    whole = texts.join(firsts, ["d", "v"], "left").join(runs, ["d", "v"], "left")
+    whole = whole.select(F.when(F.col("d") != NONE, F.col("d")).alias("doc_id"), "text", F.coalesce("copy", F.lit(True)).alias("copy"), "runs")
+    return whole.mapInPandas(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
