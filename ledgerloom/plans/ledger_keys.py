@@ -97,9 +97,9 @@ def _(v):
     return v.definitions.where(holds_text("name", "H-1")).select("id", "name")
 
 
-@key("errors_by_path", "select 'Steps['||cast(l_linenumber as string)||']' as path, count(distinct l_shipmode) as n, min(l_shipmode) as first_message from lineitem where l_linenumber <> 7 group by l_linenumber")
+@key("errors_by_path", "select 'Steps['||cast(l_linenumber as string)||']' as path, count(distinct l_returnflag) as n, min(l_returnflag) as first_message from lineitem where l_linenumber <> 7 group by l_linenumber")
 def _(v):
-    errors = v.table("lineitem").select(F.when(F.col("l_linenumber") == 7, "Schedule").otherwise(F.concat(F.lit("Steps["), F.col("l_linenumber").cast("string"), F.lit("]"))).alias("path"), F.col("l_shipmode").alias("message"))
+    errors = v.table("lineitem").select(F.when(F.col("l_linenumber") == 7, "Schedule").otherwise(F.concat(F.lit("Steps["), F.col("l_linenumber").cast("string"), F.lit("]"))).alias("path"), F.col("l_returnflag").alias("message"))
     listed = errors.where(F.col("path").startswith("Steps[")).groupBy("path").agg(F.array_sort(F.collect_set("message")).alias("messages"))
     return listed.select("path", F.size("messages").cast("long").alias("n"), F.element_at("messages", 1).alias("first_message"))
 

@@ -1 +1,123 @@
-"""Time."""
+"""Schedules, feeds, windows and liveness."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import backoff_seconds
+from ..operators.ledger_query import page
+from .registry import key
+
+MINUTES = "(5 + c_custkey % 20)"  # the schedule of a definition fires at the minutes that this divides
+AT = "timestamp_ntz'2024-01-15 10:07:00'"
+
+
+def _fires(v):
+    return v.table("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.expr(f"cast({MINUTES} as int)").alias("step"))
+
+
+@key("cron_occurrences", f"select c_custkey as id, m as minute from customer, (select unnest(range(0, 60)) as m) t where c_custkey % 3 = 0 and m % {MINUTES} = 0")
+def _(v):
+    return _fires(v).select("id", F.explode(F.sequence(F.lit(0), F.lit(59), F.col("step")).cast("array<long>")).alias("minute"))
+
+
+def _next(v):
+    minute = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(59), F.col("step")), lambda m: m > 7))
+    at = F.expr("timestamp_ntz'2024-01-15 10:00:00'") + F.make_dt_interval(mins=minute)
+    return _fires(v).select("id", at.alias("fires_at"))
+
+
+_NEXT = f"select c_custkey as id, timestamp '2024-01-15 10:00:00' + to_minutes(cast((7 // {MINUTES} + 1) * {MINUTES} as bigint)) as fires_at from customer where c_custkey % 3 = 0"
+key("next_fire", _NEXT)(_next)
+
+
+@key("next_due", f"select id, fires_at from ({_NEXT}) t order by fires_at, id limit 1")
+def _(v):
+    return page(_next(v), [F.col("fires_at"), F.col("id")], 0, 1)
+
+
+_MISSED = "timestamp '2024-01-15 10:00:00' + to_minutes(cast((7 // (5 + c_custkey % 20)) * (5 + c_custkey % 20) as bigint))"
+
+
+@key("catchup_decision", f"select id, missed, missed > last_fired and date_diff('minute', missed, timestamp '2024-01-15 10:07:00') <= 3 as replay from (select c_custkey as id, {_MISSED} as missed, timestamp '2024-01-15 09:30:00' + to_minutes(cast(c_custkey % 60 as bigint)) as last_fired from customer where c_custkey % 3 = 0) t")
+def _(v):
+    minute = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(59), F.col("step")), lambda m: m <= 7))
+    missed = F.expr("timestamp_ntz'2024-01-15 10:00:00'") + F.make_dt_interval(mins=minute)
+    last = F.expr("timestamp_ntz'2024-01-15 09:30:00'") + F.make_dt_interval(mins=(F.col("id") % 60).cast("int"))
+    fresh = F.timestamp_diff("MINUTE", missed, F.expr(AT)) <= 3
+    return _fires(v).select("id", missed.alias("missed"), ((missed > last) & fresh).alias("replay"))
+
+
+@key("schedule_watermark", "select user_id, max(ts) as last_fired from events where event_type <> 'view' group by user_id")
+def _(v):
+    return v.events.where("event_type <> 'view'").groupBy("user_id").agg(F.max("ts").alias("last_fired"))
+
+
+@key("retry_schedule", "select event_id, least(power(2.0, cast(event_id % 10 as int)), 60.0) as delay_s from v_param")
+def _(v):
+    return v.params.select("event_id", backoff_seconds((F.col("event_id") % 10 + 1).cast("int")).alias("delay_s"))
+
+
+@key("worker_liveness", "select worker_name, max(enqueued_at) as last_seen, max(enqueued_at) >= timestamp '2001-10-01 00:00:00' as online from v_exec group by worker_name")
+def _(v):
+    last = F.max("enqueued_at")
+    return v.executions.groupBy("worker_name").agg(last.alias("last_seen")).withColumn("online", F.col("last_seen") >= F.expr("timestamp_ntz'2001-10-01 00:00:00'"))
+
+
+@key("workers_list", "select worker_name, min(job_name) as first_job from v_exec group by worker_name order by worker_name limit 20")
+def _(v):
+    jobs = v.executions.groupBy("worker_name").agg(F.collect_set("job_name").alias("jobs"))
+    return page(jobs.select("worker_name", F.array_min("jobs").alias("first_job")), [F.col("worker_name")], 0, 20)
+
+
+@key("workers_cap", "select worker_name, last_seen from (select worker_name, max(enqueued_at) as last_seen from v_exec group by worker_name) t order by last_seen desc, worker_name limit 30")
+def _(v):
+    return page(v.executions.groupBy("worker_name").agg(F.max("enqueued_at").alias("last_seen")), [F.col("last_seen").desc(), F.col("worker_name")], 0, 30)
+
+
+@key("progress_debounce", "select user_id, date_trunc('hour', ts) as slot, max(value) as value from events group by user_id, date_trunc('hour', ts)")
+def _(v):
+    return v.events.groupBy("user_id", F.window("ts", "1 hour")["start"].alias("slot")).agg(F.max("value").alias("value"))
+
+
+@key("session_debounce", "select user_id, session_start, count(*) as n, max(ts) as last_event from (select user_id, ts, max(case when gap is null or gap >= 7200000000 then ts end) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as session_start from (select user_id, event_id, ts, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events) a) b group by user_id, session_start")
+def _(v):
+    sessions = v.events.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_event"))
+    return sessions.select("user_id", F.col("w.start").alias("session_start"), "n", "last_event")
+
+
+@key("dedupe_completion", "select user_id, min(ts) as first_ts from events where event_type = 'purchase' group by user_id")
+def _(v):
+    return v.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("first_ts"))
+
+
+@key("dedupe_message_id", "select message_id, min(event_id) as processed_as, count(*) - 1 as replays from (select event_id, event_id // 3 as message_id from events) t group by message_id")
+def _(v):
+    messages = v.events.select("event_id", F.expr("event_id div 3").alias("message_id"))
+    return messages.groupBy("message_id").agg(F.min("event_id").alias("processed_as"), (F.count(F.lit(1)) - 1).alias("replays"))
+
+
+@key("first_terminal_event", "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id order by ts, event_id) n from events where event_type in ('purchase', 'signup')) t where n = 1")
+def _(v):
+    first = v.events.where("event_type in ('purchase', 'signup')").groupBy("user_id").agg(F.min(F.struct("ts", "event_id", "event_type")).alias("x"))
+    return first.select("user_id", "x.event_type", "x.event_id")
+
+
+@key("breaker_windows", "select date_trunc('hour', ts) as slot, count(*) as failures, count(*) >= 5 as is_open from events where event_type = 'click' group by date_trunc('hour', ts)")
+def _(v):
+    failures = v.events.where("event_type = 'click'").groupBy(F.window("ts", "1 hour")["start"].alias("slot")).agg(F.count(F.lit(1)).alias("failures"))
+    return failures.withColumn("is_open", F.col("failures") >= 5)
+
+
+@key("backpressure_ratio", "select worker_name, cast(sum(total_items - processed) as bigint) as waiting, case when sum(total_items - processed) * 2 >= sum(total_items) then 'Degraded' else 'Healthy' end as health from v_exec group by worker_name")
+def _(v):
+    rows = v.executions.groupBy("worker_name").agg(F.sum(F.col("total_items") - F.col("processed")).alias("waiting"), F.sum("total_items").alias("capacity"))
+    return rows.select("worker_name", "waiting", F.when(F.col("waiting") * 2 >= F.col("capacity"), "Degraded").otherwise("Healthy").alias("health"))
+
+
+@key("version_conflicts", "select user_id, event_id, coalesce(seen, 0) + 1 <> n as conflict from (select user_id, event_id, row_number() over (partition by user_id order by event_id) n, case when event_id % 11 = 0 then 0 else row_number() over (partition by user_id order by event_id) - 1 end as seen from events) t")
+def _(v):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    seen = F.when(F.col("event_id") % 11 == 0, 0).otherwise(n - 1)
+    return v.events.select("user_id", "event_id", (seen + 1 != n).alias("conflict"))
