@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality") -
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "x": [row.tobytes() for row in x]})
 
     rows = sorted(map(tuple, texts.mapInPandas(pool, "doc_id long, y int, x binary").collect()))
-    x = np.array([np.frombuffer(r[2], "float32") for r in rows], dtype=float).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r[2], "float32") for r in rows], dtype=float).reshape(len(rows), 2 * DIMENSIONS + 2)
     return fit(x, np.array([r[1] for r in rows], dtype=int))
 
 
