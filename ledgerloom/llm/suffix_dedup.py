@@ -17,9 +17,9 @@ A document whose whole text came before goes whole, so only the first copy of ea
 looked at; all joins with texts read one shuffle of them.
 
 Buckets that a bounded sample of documents shows to be very frequent (one passage in a
-third of all documents) are spread by document while they are counted, and their strings
-are refined as single rows with map-side aggregation; where a bucket goes changes
-nothing in the result.
+third of all documents) are spread by document while they are counted, and equal
+surroundings of their anchors are folded with map-side aggregation, so that a bucket holds
+different surroundings only; where a bucket goes changes nothing in the result.
 """
 
 from __future__ import annotations
@@ -153,17 +153,6 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["bucket", "d", "v", "lo", "at", "bytes"])
 
 
-def _single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents with anchors of frequent buckets to one row per string."""
-    for batch in _contexts(batches):
-        for part in range(0, len(batch), 4_000):
-            own = batch.iloc[part : part + 4_000]
-            keys, counts = _refined(list(zip(own["bytes"], own["bucket"], own["at"])))
-            row = np.repeat(np.arange(len(own)), counts)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pd.DataFrame({"key": keys.view(np.int64), "d": own["d"].to_numpy()[row], "v": own["v"].to_numpy()[row], "start": own["lo"].to_numpy()[row] + at})
-
-
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Contexts in order of bucket and place to runs (first, last) of strings that came before."""
     last, seen = None, np.zeros(0, np.uint64)
@@ -212,6 +201,7 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 _ANCHOR = "bucket long, d long, v long, place long"
+_CONTEXT = "bucket long, d long, v long, lo int, at int, bytes binary"
 
 
 def frequent_buckets(texts: DataFrame) -> list[int]:
@@ -246,12 +236,15 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         runs = repeated.select("d", "v", F.expr(f"transform(filter(runs, r -> r.place % 2 = {wanted}), r -> struct(r.bucket AS bucket, shiftright(r.place, 1) AS place))").alias("runs"))
         return texts.select("d", "v", "text").join(runs.where(F.size("runs") > 0), ["d", "v"])
 
-    contexts = having(0).mapInPandas(_contexts, "bucket long, d long, v long, lo int, at int, bytes binary")
+    contexts = having(0).mapInPandas(_contexts, _CONTEXT)
+    if hot:
+        often = having(1).mapInPandas(_contexts, _CONTEXT)
+        heads = often.groupBy("bucket", "at", "bytes").agg(F.min(F.struct("d", "v", "lo")).alias("head"))
+        after = often.join(heads, ["bucket", "at", "bytes"]).where(F.struct("d", "v", "lo") > F.col("head"))
+        contexts = contexts.unionByName(heads.select("bucket", "head.d", "head.v", "head.lo", "at", "bytes"))
     runs = contexts.repartition(width(texts), "bucket").sortWithinPartitions("bucket", "d", "v", "lo").mapInPandas(_later, "d long, v long, first int, last int")
     if hot:
-        single = having(1).mapInPandas(_single, "key long, d long, v long, start int")
-        first = single.groupBy("key").agg(F.min(F.struct("d", "v", "start")).alias("head"))
-        runs = runs.unionByName(single.join(first, "key").where(F.struct("d", "v", "start") > F.col("head")).select("d", "v", F.col("start").alias("first"), F.col("start").alias("last")))
+        runs = runs.unionByName(after.select("d", "v", F.col("lo").alias("first"), (F.col("lo") + F.length("bytes") - LENGTH).alias("last")))
     runs = runs.groupBy("d", "v").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # a document's own runs
     whole = texts.join(firsts, ["d", "v"], "left").join(runs, ["d", "v"], "left")
     whole = whole.select(F.when(F.col("d") != NONE, F.col("d")).alias("doc_id"), "text", F.coalesce("copy", F.lit(True)).alias("copy"), "runs")
