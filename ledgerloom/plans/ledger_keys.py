@@ -211,9 +211,9 @@ def _(v):
     return page(v.executions.select("execution_id", "enqueued_at"), newest_executions(v.executions), -5, 10).select("execution_id")
 
 
-@key("run_detail_top50", "select execution_id, batch_id, enqueued_at from v_exec where batch_id < 200 order by enqueued_at desc, execution_id desc limit 50")
+@key("run_detail_top50", "select execution_id, batch_id, enqueued_at from v_exec order by enqueued_at desc, execution_id desc limit 50")
 def _(v):
-    return page(v.executions.where("batch_id < 200").select("execution_id", "batch_id", "enqueued_at"), [F.col("enqueued_at").desc(), F.col("execution_id").desc()], 0, 50)
+    return page(v.executions.select("execution_id", "batch_id", "enqueued_at"), [F.col("enqueued_at").desc(), F.col("execution_id").desc()], 0, 50)
 
 
 @key("tail_200", "select user_id, event_id from (select user_id, event_id, ts, row_number() over (partition by user_id order by ts desc, event_id desc) n from events) t where n = 1 order by ts desc, event_id desc limit 200")

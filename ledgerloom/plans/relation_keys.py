@@ -182,9 +182,9 @@ def _(v):
     return v.definitions.groupBy("name").agg(F.min(F.struct(tier, "id")).alias("x")).select("name", "x.id")
 
 
-@key("status_overlay", "select coalesce(g.batch_id, r.batch_id) as batch_id, coalesce(g.st, r.status) as status from (select batch_id, status from v_run where status is not null or batch_id % 2 = 0) r full outer join (select batch_id, 'AwaitingApproval' as st from v_gate) g on g.batch_id = r.batch_id")
+@key("status_overlay", "select coalesce(g.batch_id, r.batch_id) as batch_id, coalesce(g.st, r.status) as status from (select batch_id, status from v_run where status is not null) r full outer join (select batch_id, 'AwaitingApproval' as st from v_gate) g on g.batch_id = r.batch_id")
 def _(v):
-    rows = v.runs.where("status is not null or batch_id % 2 = 0").select("batch_id", "status")
+    rows = v.runs.where("status is not null").select("batch_id", "status")
     over = v.gates.select("batch_id", F.lit("AwaitingApproval").alias("st"))
     return rows.join(over, "batch_id", "full").select("batch_id", F.coalesce("st", "status").alias("status"))
 
@@ -208,8 +208,6 @@ def _(v):
     replies = v.events.where("event_type <> 'view'").select(F.col("user_id").alias("u"), F.col("ts").alias("t"))
     # The next reply of the same correlation decides; a running minimum over one sort replaces the pairs of a range join.
     both = requests.select("event_id", "user_id", "ts", F.lit(None).cast("timestamp_ntz").alias("reply")).unionByName(replies.select(F.lit(None).cast("long").alias("event_id"), F.col("u").alias("user_id"), F.col("t").alias("ts"), F.col("t").alias("reply")))
-    after = Window.partitionBy("user_id").orderBy(F.col("ts").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    later = F.min(F.when(F.col("reply").isNotNull(), F.struct("reply"))).over(after.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ordered = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("reply").isNotNull().asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("next_reply", F.min("reply").over(ordered)).where("event_id is not null")
     return found.select("event_id", F.when(F.col("next_reply") <= F.col("ts") + F.expr("interval '5' hour"), "replied").otherwise("timeout").alias("outcome"))
@@ -228,10 +226,10 @@ def _(v):
     return v.runs.where("retry_of_batch_id is not null").select("batch_id", "retry_of_batch_id").join(original, "retry_of_batch_id").select("batch_id", "retry_of_batch_id", "original_status")
 
 
-@key("missing_required_params", "select o.o_orderkey as batch_id, p.name from orders o join (select 'orderId' as name, 0 as m union all select 'retries', 2 union all select 'dryRun', 3) p on true where p.m <> 3 and not (o.o_orderkey % 4 >= p.m and p.m > 0) and o.o_orderkey % 2 = 0")
+@key("missing_required_params", "select o.o_orderkey as batch_id, p.name from orders o join (select 'orderId' as name, 0 as m union all select 'retries', 2 union all select 'dryRun', 3) p on true where p.m <> 3 and not (o.o_orderkey % 4 >= p.m and p.m > 0)")
 def _(v):
     declared = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("m")) for n, m in (("orderId", 0), ("retries", 2), ("dryRun", 3))])
-    runs = v.table("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("batch_id"), F.explode(declared).alias("p"))
+    runs = v.table("orders").select(F.col("o_orderkey").alias("batch_id"), F.explode(declared).alias("p"))
     supplied, default = (F.col("p.m") > 0) & (F.col("batch_id") % 4 >= F.col("p.m")), F.col("p.m") == 3
     return runs.where(~supplied & ~default).select("batch_id", "p.name")
 
@@ -243,9 +241,9 @@ def _(v):
     return pairs.join(known, (F.col("job_name") == F.col("j")) & F.col("worker_name").eqNullSafe(F.col("w")), "left_anti")
 
 
-@key("services_merge", "select distinct s_name as service, 'configured' as origin from supplier where s_suppkey <= 5 union all select distinct worker_name, 'seen' from v_exec where worker_name not in (select s_name from supplier where s_suppkey <= 5)")
+@key("services_merge", "select distinct s_name as service, 'configured' as origin from supplier union all select distinct worker_name, 'seen' from v_exec where worker_name not in (select s_name from supplier)")
 def _(v):
-    configured = v.table("supplier").where("s_suppkey <= 5").select(F.col("s_name").alias("service")).distinct()
+    configured = v.table("supplier").select(F.col("s_name").alias("service")).distinct()
     seen = v.executions.select(F.col("worker_name").alias("service")).distinct()
     return configured.withColumn("origin", F.lit("configured")).unionByName(seen.join(configured, "service", "left_anti").withColumn("origin", F.lit("seen")))
 

@@ -9,15 +9,16 @@ from ..functions.scalars import backoff_seconds
 from ..operators.ledger_query import page
 from .registry import key
 
-MINUTES = "(5 + c_custkey % 20)"  # the schedule of a definition fires at the minutes that this divides
+STEP = "cast(regexp_extract(schedule, '/([0-9]+)', 1) as int)"  # a schedule fires at the minutes that its step divides
+SCHEDULED = f"(select cast(id as bigint) as id, {STEP} as step from v_def where schedule is not null and schedule <> '')"
 AT = "timestamp_ntz'2024-01-15 10:07:00'"
 
 
 def _fires(v):
-    return v.table("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.expr(f"cast({MINUTES} as int)").alias("step"))
+    return v.definitions.where("schedule <> ''").select(F.col("id").cast("long").alias("id"), F.expr(STEP).alias("step"))
 
 
-@key("cron_occurrences", f"select c_custkey as id, m as minute from customer, (select unnest(range(0, 60)) as m) t where c_custkey % 3 = 0 and m % {MINUTES} = 0")
+@key("cron_occurrences", f"select id, m as minute from {SCHEDULED} d, (select unnest(range(0, 60)) as m) t where m % step = 0")
 def _(v):
     return _fires(v).select("id", F.explode(F.sequence(F.lit(0), F.lit(59), F.col("step")).cast("array<long>")).alias("minute"))
 
@@ -28,7 +29,7 @@ def _next(v):
     return _fires(v).select("id", at.alias("fires_at"))
 
 
-_NEXT = f"select c_custkey as id, timestamp '2024-01-15 10:00:00' + to_minutes(cast((7 // {MINUTES} + 1) * {MINUTES} as bigint)) as fires_at from customer where c_custkey % 3 = 0"
+_NEXT = f"select id, timestamp '2024-01-15 10:00:00' + to_minutes(cast((7 // step + 1) * step as bigint)) as fires_at from {SCHEDULED} d"
 key("next_fire", _NEXT)(_next)
 
 
@@ -37,10 +38,10 @@ def _(v):
     return page(_next(v), [F.col("fires_at"), F.col("id")], 0, 1)
 
 
-_MISSED = "timestamp '2024-01-15 10:00:00' + to_minutes(cast((7 // (5 + c_custkey % 20)) * (5 + c_custkey % 20) as bigint))"
+_MISSED = "timestamp '2024-01-15 10:00:00' + to_minutes(cast((7 // step) * step as bigint))"
 
 
-@key("catchup_decision", f"select id, missed, missed > last_fired and date_diff('minute', missed, timestamp '2024-01-15 10:07:00') <= 3 as replay from (select c_custkey as id, {_MISSED} as missed, timestamp '2024-01-15 09:30:00' + to_minutes(cast(c_custkey % 60 as bigint)) as last_fired from customer where c_custkey % 3 = 0) t")
+@key("catchup_decision", f"select id, missed, missed > last_fired and date_diff('minute', missed, timestamp '2024-01-15 10:07:00') <= 3 as replay from (select id, {_MISSED} as missed, timestamp '2024-01-15 09:30:00' + to_minutes(id % 60) as last_fired from {SCHEDULED} d) t")
 def _(v):
     minute = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(59), F.col("step")), lambda m: m <= 7))
     missed = F.expr("timestamp_ntz'2024-01-15 10:00:00'") + F.make_dt_interval(mins=minute)

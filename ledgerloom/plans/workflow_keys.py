@@ -34,9 +34,9 @@ def _(v):
     return v.runs.where("status is null").select("batch_id", action.alias("action"), F.when(drifted | unwinding, 0).otherwise(cursor).alias("from_step"))
 
 
-@key("unwind_plan", "select batch_id, batch_step_id||':comp' as compensator, row_number() over (partition by batch_id order by batch_step_id desc) as position from (select distinct batch_id, cast(batch_step_id as string) as batch_step_id from v_exec where status = 'Completed' and batch_step_id is not null and batch_step_id % 2 = 1) t")
+@key("unwind_plan", "select batch_id, batch_step_id||':comp' as compensator, row_number() over (partition by batch_id order by batch_step_id desc) as position from (select distinct batch_id, cast(batch_step_id as string) as batch_step_id from v_exec where status = 'Completed' and batch_step_id is not null) t")
 def _(v):
-    done = v.executions.where("status = 'Completed' and batch_step_id % 2 = 1").groupBy("batch_id").agg(F.sort_array(F.collect_set(F.col("batch_step_id").cast("string")), asc=False).alias("steps"))
+    done = v.executions.where("status = 'Completed' and batch_step_id is not null").groupBy("batch_id").agg(F.sort_array(F.collect_set(F.col("batch_step_id").cast("string")), asc=False).alias("steps"))
     steps = done.select("batch_id", F.posexplode("steps").alias("i", "step"))
     return steps.select("batch_id", F.concat("step", F.lit(":comp")).alias("compensator"), (F.col("i") + 1).cast("long").alias("position"))
 
@@ -98,9 +98,9 @@ def _(v):
     return v.executions.where("worker_name <> 'worker-1'").select("execution_id", F.when(F.col("status") == "Cancelled", "Failed").otherwise(F.col("status")).alias("status"))
 
 
-@key("unregistered_jobs", "select distinct job_name from v_exec where job_name not in (select 'Job.'||cast(p_partkey as string) from part where p_partkey < 15)")
+@key("unregistered_jobs", "select distinct job_name from v_exec where job_name not in (select 'Job.'||cast(p_partkey % 15 as string) from part)")
 def _(v):
-    known = v.table("part").where("p_partkey < 15").select(F.concat(F.lit("Job."), F.col("p_partkey").cast("string")).alias("job_name"))
+    known = v.table("part").select(F.concat(F.lit("Job."), (F.col("p_partkey") % 15).cast("string")).alias("job_name")).distinct()
     return v.executions.select("job_name").distinct().join(known, "job_name", "left_anti")
 
 
@@ -159,9 +159,9 @@ def _flaky(row):
     return int(row["event_id"]) * 2
 
 
-@key("item_policy_retry", "select event_id, case when event_id % 5 = 0 then 'Failed' else 'Completed' end as outcome, case when event_id % 5 = 0 then 2 else 1 end as attempts, case when event_id % 5 <> 0 then event_id * 2 end as result from events where event_id < 2000")
+@key("item_policy_retry", "select event_id, case when event_id % 5 = 0 then 'Failed' else 'Completed' end as outcome, case when event_id % 5 = 0 then 2 else 1 end as attempts, case when event_id % 5 <> 0 then event_id * 2 end as result from events")
 def _(v):
-    items = v.events.where("event_id < 2000").select("event_id")
+    items = v.events.select("event_id")
     return process_items(items, _flaky, "long", "retry_then_continue", retries=1, delay=0.0).select("event_id", "outcome", "attempts", "result")
 
 
