@@ -18,6 +18,8 @@ from .common import SPACE, checkpointed, squeezed, whole_text
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 ROUNDS, CLOSE, THRESHOLD = 25, 1e-4, 0.5
 SYMBOLS = "[#*$%&|<>]"
+#: Ends of words with two or more marks, and words of marks alone.
+ODD = r"(?:(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+|[^\p{L}\p{N}\x20\x09-\x0D]{2,})(?![^\x20\x09-\x0D])"
 
 #: (name, measure, good if the measure is within, bad if it is outside of); between the two a rule abstains.
 RULES = (
@@ -29,6 +31,7 @@ RULES = (
     ("capitals", "n_capitals / word_chars", (0, 0.15), (0, 0.4)),
     ("exclamations", "n_exclamations / n_words", (0, 0.05), (0, 0.25)),
     ("ended_lines", "n_ended_lines / n_lines", (0.5, 1), (0.1, 1)),
+    ("plain_words", "n_odd_words / n_words", (0, 0.05), (0, 0.2)),
 )
 
 #: Words in 3-word windows that the text has at least twice: hashes of the windows are
@@ -72,6 +75,7 @@ def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         F.size("lines").cast("long").alias("n_lines"),
         _count(text, r"\p{Lu}").alias("n_capitals"),
         _count(text, "!").alias("n_exclamations"),
+        F.regexp_count(text, F.lit(ODD)).cast("long").alias("n_odd_words"),
         F.size(F.filter("lines", lambda x: x.rlike(r"[.!?:;\x22)]\s*$"))).cast("long").alias("n_ended_lines"),
     )
 
