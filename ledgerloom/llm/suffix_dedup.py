@@ -118,11 +118,10 @@ def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"bucket": bucket, "d": d[first + piece], "v": v[first + piece], "place": lo << 16 | (at - lo) << 8 | (hi - lo)})
 
 
-def _runs(runs) -> Iterator[tuple[int, int, int, int]]:
-    """``bucket, first string, anchor in it, last string`` of packed runs."""
-    for r in runs:
-        lo = r["place"] >> 16
-        yield r["bucket"], lo, r["place"] >> 8 & 255, lo + (r["place"] & 255)
+def _runs(runs) -> list[tuple[int, int, int, int, bool]]:
+    """``first string, bucket, anchor in it, last string, frequent`` of packed runs, in order."""
+    places = sorted((r["place"] >> 1, r["bucket"], r["place"] & 1) for r in runs)
+    return [(p >> 16, bucket, p >> 8 & 255, (p >> 16) + (p & 255), bool(hot)) for p, bucket, hot in places]
 
 
 def _refined(rows: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,25 +137,47 @@ def _refined(rows: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray
         return _joined(found[starts[row] + at], mixed(np.array([b for _, b, _ in rows], np.int64).view(np.uint64)[row] + place * _ODD)), counts
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents with their anchors to one row per anchor with the bytes of its run of strings."""
-    for batch in batches:
-        out = []
-        for d, v, text, runs in zip(batch["d"], batch["v"], batch["text"], batch["runs"]):
-            data = text.encode("utf-8", "surrogatepass")
-            for bucket, lo, at, hi in _runs(runs):
-                if hi + LENGTH <= len(data):
-                    out.append((bucket, d, v, lo, at, data[lo : hi + LENGTH]))
-            if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=["bucket", "d", "v", "lo", "at", "bytes"])
-                out = []
-        yield pd.DataFrame(out, columns=["bucket", "d", "v", "lo", "at", "bytes"])
+def _contexts(hot: bool):
+    """Documents with their anchors to one row per anchor with the bytes of its run of strings.
+
+    Surroundings that a document had before came earlier in that document; their runs
+    are known at once and come (with the other anchors) as rows without bytes, whose
+    last string stands in place of the anchor.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
+            for d, v, text, runs in zip(batch["d"], batch["v"], batch["text"], batch["runs"]):
+                data, had, again = text.encode("utf-8", "surrogatepass"), set(), []
+                for lo, bucket, at, hi, frequent in _runs(runs):
+                    own = (bucket, at, data[lo : hi + LENGTH])
+                    if own not in had:
+                        had.add(own)
+                        if frequent == hot and len(own[2]) >= LENGTH:
+                            out.append((bucket, d, v, lo, at, own[2]))
+                    elif again and again[-1][1] + 1 == lo:
+                        again[-1][1] = hi
+                    else:
+                        again.append([lo, hi])
+                if not hot:
+                    out += [(v, d, v, lo, hi, None) for lo, hi in again]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=["bucket", "d", "v", "lo", "at", "bytes"])
+                    out = []
+            yield pd.DataFrame(out, columns=["bucket", "d", "v", "lo", "at", "bytes"])
+
+    return cut
 
 
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Contexts in order of bucket and place to runs (first, last) of strings that came before."""
     last, seen = None, np.zeros(0, np.uint64)
     for batch in batches:
+        known = batch["bytes"].isna()
+        if known.any():
+            yield batch.loc[known, ["d", "v", "lo", "at"]].set_axis(["d", "v", "first", "last"], axis=1)
+            batch = batch[~known].reset_index(drop=True)
         if not len(batch):
             continue
         keys, counts = _refined(list(zip(batch["bytes"], batch["bucket"], batch["at"])))
@@ -232,13 +253,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     counted = anchored.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(own)))
     repeated = counted.where("n > 1 or hot").groupBy("d", "v").agg(F.collect_list(F.struct("bucket", (F.col("place") * 2 + F.coalesce("hot", F.lit(False)).cast("long")).alias("place"))).alias("runs"))  # a document's own runs
 
-    def having(wanted: int) -> DataFrame:
-        runs = repeated.select("d", "v", F.expr(f"transform(filter(runs, r -> r.place % 2 = {wanted}), r -> struct(r.bucket AS bucket, shiftright(r.place, 1) AS place))").alias("runs"))
-        return texts.select("d", "v", "text").join(runs.where(F.size("runs") > 0), ["d", "v"])
+    def having(runs: DataFrame) -> DataFrame:
+        return texts.select("d", "v", "text").join(runs, ["d", "v"])
 
-    contexts = having(0).mapInPandas(_contexts, _CONTEXT)
+    contexts = having(repeated).mapInPandas(_contexts(False), _CONTEXT)
     if hot:
-        often = having(1).mapInPandas(_contexts, _CONTEXT)
+        often = having(repeated.where(F.exists("runs", lambda r: r["place"] % 2 == 1))).mapInPandas(_contexts(True), _CONTEXT)
         heads = often.groupBy("bucket", "at", "bytes").agg(F.min(F.struct("d", "v", "lo")).alias("head"))
         after = often.join(heads, ["bucket", "at", "bytes"]).where(F.struct("d", "v", "lo") > F.col("head"))
         contexts = contexts.unionByName(heads.select("bucket", "head.d", "head.v", "head.lo", "at", "bytes"))
