@@ -85,8 +85,12 @@ def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """The context vectors of all buckets at length 1, from every document of ``texts``."""
-    parts = texts.mapInPandas(_contexts, "block int, part binary")
-    blocks = parts.repartition(min(width(texts), BUCKETS // BLOCK), "block").mapInPandas(_added, "block int, part binary").collect()  # BUCKETS // BLOCK rows
+    schema, n = "block int, part binary", BUCKETS // BLOCK
+    parts = texts.mapInPandas(_contexts, schema)
+    if (lanes := width(texts) // n) > 1:  # on a large cluster each block is added up in several lanes first
+        lane = F.pmod(F.spark_partition_id(), F.lit(lanes))
+        parts = parts.repartition(lanes * n, "block", lane).mapInPandas(_added, schema)
+    blocks = parts.repartition(min(width(texts), n), "block").mapInPandas(_added, schema).collect()  # n rows
     table = np.zeros((BUCKETS // BLOCK, BLOCK * DIMENSIONS))
     for row in blocks:
         table[row["block"]] = np.frombuffer(row["part"], "<i8")
