@@ -102,13 +102,16 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict:
         e = emissions(p)
         ahead, back = chains.messages(e, p["t"])
         wrong = y - _sigmoid(ahead + back)
-        a, b, t = ahead[now], e[now + 1] + back[now + 1], p["t"]
-        pair = [np.full(len(now), t[0, 0]), t[0, 1] + b, a + t[1, 0], a + t[1, 1] + b]
-        norm = np.logaddexp(np.logaddexp(pair[0], pair[1]), np.logaddexp(pair[2], pair[3]))
+        t, pairs = p["t"], np.zeros(4)
+        for at in np.array_split(now, len(now) // 200_000 + 1):
+            a, b = ahead[at], e[at + 1] + back[at + 1]
+            pair = [np.full(len(at), t[0, 0]), t[0, 1] + b, a + t[1, 0], a + t[1, 1] + b]
+            norm = np.logaddexp(np.logaddexp(pair[0], pair[1]), np.logaddexp(pair[2], pair[3]))
+            pairs += [np.exp(x - norm).sum() for x in pair]
         grad = {
             "w": np.bincount(col, np.bincount(token, wrong, len(words))[row], FEATURES) - 0.1 * p["w"],
             "bias": wrong.sum(keepdims=True),
-            "t": seen - np.array([np.exp(x - norm).sum() for x in pair]).reshape(2, 2) - 0.1 * t,
+            "t": seen - pairs.reshape(2, 2) - 0.1 * t,
         }
         for k in p:
             m[k], v[k] = 0.9 * m[k] + 0.1 * grad[k], 0.99 * v[k] + 0.01 * grad[k] ** 2
