@@ -119,8 +119,8 @@ def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _runs(runs) -> list[tuple[int, int, int, int, bool]]:
-    """``first string, bucket, anchor in it, last string, frequent`` of packed runs, in order."""
-    places = sorted((r["place"] >> 1, r["bucket"], r["place"] & 1) for r in runs)
+    """``first string, bucket, anchor in it, last string, frequent`` of packed runs, in order and once each."""
+    places = sorted({(r["place"] >> 1, r["bucket"], r["place"] & 1) for r in runs})
     return [(p >> 16, bucket, p >> 8 & 255, (p >> 16) + (p & 255), bool(hot)) for p, bucket, hot in places]
 
 
@@ -171,8 +171,11 @@ def _contexts(hot: bool):
 
 
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts in order of bucket and place to runs (first, last) of strings that came before."""
-    last, seen = None, np.zeros(0, np.uint64)
+    """Contexts in order of bucket and place to runs (first, last) of strings that came before.
+
+    Contexts of one place, from rows that repeat id and text, count once.
+    """
+    last, seen, end = None, np.zeros(0, np.uint64), np.full((1, 4), -1)
     for batch in batches:
         known = batch["bytes"].isna()
         if known.any():
@@ -180,6 +183,13 @@ def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             batch = batch[~known].reset_index(drop=True)
         if not len(batch):
             continue
+        place = batch[["bucket", "d", "v", "lo"]].to_numpy(np.int64)
+        again = (place == np.r_[end, place[:-1]]).all(1)
+        end = place[-1:]
+        if again.any():
+            batch = batch[~again].reset_index(drop=True)
+            if not len(batch):
+                continue
         keys, counts = _refined(list(zip(batch["bytes"], batch["bucket"], batch["at"])))
         row = np.repeat(np.arange(len(batch)), counts)
         bucket = batch["bucket"].to_numpy()
@@ -196,9 +206,9 @@ def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hits = np.flatnonzero(old)
         if len(hits):
             new = np.flatnonzero(np.r_[True, (row[hits][1:] != row[hits][:-1]) | (hits[1:] != hits[:-1] + 1)])
-            end = np.r_[new[1:], len(hits)] - 1
+            stop = np.r_[new[1:], len(hits)] - 1
             own, lo = row[hits[new]], batch["lo"].to_numpy()
-            yield pd.DataFrame({"d": batch["d"].to_numpy()[own], "v": batch["v"].to_numpy()[own], "first": lo[own] + at[hits[new]], "last": lo[own] + at[hits[end]]})
+            yield pd.DataFrame({"d": batch["d"].to_numpy()[own], "v": batch["v"].to_numpy()[own], "first": lo[own] + at[hits[new]], "last": lo[own] + at[hits[stop]]})
 
 
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
