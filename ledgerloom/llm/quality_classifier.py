@@ -33,7 +33,7 @@ class _Ids(dict):
     """Token to bucket, remembered for a while."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 150_000:
+        if len(self) > 50_000:
             self.clear()
         self[token] = bucket = zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
         return bucket

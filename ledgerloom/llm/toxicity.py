@@ -151,7 +151,7 @@ class _Scores(dict):
         self.w, self.bias = model["w"], model["bias"]
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 150_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = score = self.bias + float(self.w[places(word)].sum())
         return score
