@@ -21,13 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, whole_text
+from .common import WORD, checkpointed, whole_text, width
 
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5: a pair at similarity 0.8 shares a band with probability 0.99995.
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 SENT_IDS = 100_000
+#: Nodes of a bucket meet in blocks of about so many.
+BLOCK = 1024
+#: Coordinates that must agree before a pair's shingles are compared; a pair at 0.8 has fewer with probability below 1e-6.
+AGREE = 75
 _MORE = np.uint64(0x9E3779B97F4A7C15)
 _FIND = re.compile(WORD)
 #: Distribution function of the Poisson distribution with mean 1, up to 12 darts a cell.
@@ -179,44 +183,147 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts to text hash, shingles, band keys and the lowest byte of each coordinate."""
+    hashes = _Hashes()
+    for batch in batches:
+        out = []
+        for text in batch["text"]:
+            own = shingles(text, hashes)
+            if not len(own):
+                continue
+            signature = dart_signatures(own, np.array([len(own)]))
+            digest = hashlib.md5(" ".join(_FIND.findall(text)).encode("utf-8", "surrogatepass")).digest()
+            out.append((digest, own.tobytes(), band_keys(signature).tobytes(), signature.astype(np.uint8).tobytes()))
+            if len(out) > 2_000:
+                yield pd.DataFrame(out, columns=["digest", "shingles", "bands", "marks"])
+                out = []
+        yield pd.DataFrame(out, columns=["digest", "shingles", "bands", "marks"])
+
+
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of key and two blocks ``(p, q)``, those of one meeting at a time."""
+    held: list = []
+    own = None
+    for batch in batches:
+        place = batch[["key", "p", "q"]].to_numpy(np.int64)
+        cuts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(1)]) if len(batch) else []
+        for start, stop in zip(cuts, [*cuts[1:], len(batch)]):
+            if held and tuple(place[start]) != own:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            own = tuple(place[start])
+            held.append(batch.iloc[start:stop])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _partners(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a meeting with the later rows that are to be compared with it.
+
+    These are of another class and block (or of the one block that meets itself), agree
+    in AGREE coordinates, and have no earlier band in common.
+    """
+    key, p, q = (int(rows[c].iloc[0]) for c in ("key", "p", "q"))
+    bands = np.frombuffer(b"".join(rows["bands"]), np.int64).reshape(len(rows), BANDS)
+    marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(len(rows), K)
+    classes, block = rows["class_id"].to_numpy(np.int64), rows["block"].to_numpy(np.int64)
+    band = (bands == key).argmax(1)[0]
+    for i in range(len(rows) - 1):
+        later = np.flatnonzero((classes[i + 1 :] != classes[i]) & ((block[i + 1 :] != block[i]) | (p == q))) + i + 1
+        later = later[(marks[later] == marks[i]).sum(1) >= AGREE]
+        yield i, later[~(bands[later, :band] == bands[i, :band]).any(1)]
+
+
+def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Meetings to their rows that have a partner."""
+    out, size = [], 0
+    for rows in _meetings(batches):
+        named = np.zeros(len(rows), bool)
+        for i, partners in _partners(rows):
+            named[partners] = True
+            named[i] |= len(partners) > 0
+        if named.any():
+            out.append(rows[named])
+            size += int(named.sum())
+        if size > 5_000:
+            yield pd.concat(out)
+            out, size = [], 0
+    if out:
+        yield pd.concat(out)
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Meetings with shingles to pairs at SIMILARITY or more that join two classes."""
+    for rows in _meetings(batches):
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        ids, classes = rows["id"].to_numpy(np.int64), rows["class_id"].to_numpy(np.int64)
+        _, now = np.unique(classes, return_inverse=True)  # classes as joined in this meeting
+        found = []
+        for i, partners in _partners(rows):
+            for j in partners:
+                if now[i] == now[j]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= SIMILARITY * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                    now[now == now[j]] = now[i]
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def settled(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between classes from all pairs of each bucket that are in two classes.
+
+    ``crowded`` has ``key, id, digest, a``; the pairs with ``a``, the bucket's smallest
+    id, are done. Every two blocks of a bucket's other nodes meet in one group, so a
+    large bucket is dealt over many tasks. Signatures meet first; shingles of the nodes
+    that have a partner then meet in the same groups. A pair is looked at in the first
+    band that it shares, once, and not at all if its classes were joined on the way.
+    """
+    placed = crowded.where("id <> a").join(labels, "id", "left").select("key", "id", "digest", F.coalesce("class_id", "id").alias("class_id"))
+    split = placed.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
+    open_ = checkpointed(placed.join(split, "key"))
+    ids = open_.select(F.col("id").alias("doc_id")).distinct()
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)  # checked: so many at most
+    sets = checkpointed(texts.join(ids, "doc_id", "left_semi").mapInPandas(_sets, "digest binary, shingles binary, bands binary, marks binary").dropDuplicates(["digest"]))
+    blocks = F.expr(f"(n + {BLOCK - 1}) div {BLOCK}")
+    dealt = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "digest", "class_id", "block")
+    columns = "key long, p long, q long, id long, digest binary, class_id long, block long, bands binary, marks binary"
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition(width(texts), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+
+    suspects = checkpointed(met(dealt.join(sets.drop("shingles"), "digest").select(*[c.split()[0] for c in columns.split(", ")])).mapInPandas(_suspects, columns))
+    return met(suspects.join(sets.select("digest", "shingles"), "digest")).mapInPandas(_linked, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id`` (the smallest id of its class), ``rep_id``.
 
     Texts with the same words in the same order are one node, named by the smallest id
     (``rep_id``), however many copies there are. In each band's bucket every node is
-    compared with the smallest one; then, in buckets whose nodes are still in several
-    classes, a node of each class with one of the first class, until no link is found.
+    compared with the smallest one; then every pair of a bucket that is still in two
+    classes is settled (see :func:`settled`).
     Null and empty texts are copies of one another; a null id has no class; rows with
     equal ids and texts come out alike; an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     signed = checkpointed(texts.mapInPandas(_signed, "doc_id long, digest binary, bands array<long>"))
     nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"))
-    keyed = nodes.where("rep_id is not null").select(F.col("rep_id").alias("id"), F.explode("bands").alias("key"))
+    keyed = nodes.where("rep_id is not null").select(F.col("rep_id").alias("id"), "digest", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    crowded = checkpointed(keyed.join(buckets, "key"))  # nodes that share a bucket with another
+    crowded = checkpointed(keyed.join(buckets, "key"))  # key, id, digest, a: nodes that share a bucket with another
     own = F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")
     pairs = checkpointed(crowded.where("id <> a").select(*own).distinct())
     edges = checkpointed(verified(pairs, texts))
     labels = components(edges)
 
-    # Buckets that still hold several classes: other members in each round, until a round finds no link.
-    tried, turn = [pairs], 0
-    while True:
-        placed = crowded.join(labels, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id"))
-        classes = placed.groupBy("key", "class_id").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), F.col("id"))).alias("x")).select("key", "class_id", F.col("x.id").alias("id"))
-        split = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("class_id", "id")).alias("x")).where("n > 1").select("key", F.col("x.id").alias("a"))
-        more = classes.join(split, "key").where("id <> a").select(*own).distinct()
-        for before in tried:
-            more = more.join(before, ["a", "b"], "left_anti")
-        more = checkpointed(more)
-        late = checkpointed(verified(more, texts))
-        if not late.limit(1).count():
-            break
-        edges, turn = edges.unionByName(late), turn + 1
-        tried.append(more)
-        crowded = checkpointed(crowded.join(split.select("key"), "key"))  # a bucket of one class is done
-        labels = components(edges)
+    late = checkpointed(settled(crowded, labels, texts))
+    if late.limit(1).count():
+        labels = components(edges.unionByName(late))
     members = signed.select("doc_id", "digest").join(nodes.select("digest", "rep_id"), "digest")
     return members.join(labels, members["rep_id"] == labels["id"], "left").select("doc_id", F.coalesce("class_id", "rep_id").alias("class_id"), "rep_id")
 

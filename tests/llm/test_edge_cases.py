@@ -279,6 +279,25 @@ def test_near_duplicates_of_chains_and_crowds(spark):
     assert bag((r["doc_id"], r["class_id"]) for r in got) == bag(brute_classes(rows))
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 16])
+def test_near_duplicates_in_a_crowd_of_unlinked_texts(spark, monkeypatch, block):
+    """Texts that share a passage and are 0.75 to 0.79 alike hide pairs at 0.82 and more; the pairs are found all the same."""
+    import random
+
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(7)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(404)
+    tails = [own(rng.randint(55, 66)) for _ in range(80)]  # 400 shared shingles, 55 to 66 of their own
+    for k in range(20):  # texts 60 + k are 0.82 to 0.86 like texts 20 + k
+        tails[60 + k] = tails[20 + k][:20] + own(len(tails[20 + k]) - 20)
+    rows = [(i, " ".join(passage + t), "") for i, t in enumerate(tails)]
+    want = brute_classes(rows)
+    assert sum(i != c for i, c in want) == 20
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert bag((r["doc_id"], r["class_id"]) for r in got) == bag(want)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
