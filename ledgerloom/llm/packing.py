@@ -12,6 +12,7 @@ length and joins them to it.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -32,7 +33,8 @@ def _encoder(name: str):
     """Encoder for one of the public vocabularies, loaded once a process.
 
     ``tiktoken`` and ``tokenizers`` give the same ids for the two files of this
-    vocabulary (a test holds them together); the former is four times as fast.
+    vocabulary (tests hold them together); the former is four times as fast. The
+    added tokens, which ``tokenizers`` finds in text, stand in the JSON file alone.
     """
     if name not in _encoders:
         import public_tokenizers
@@ -40,7 +42,9 @@ def _encoder(name: str):
 
         with open(public_tokenizers.path(name), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
-        _encoders[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(name.replace(".tiktoken", ".json")), encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+        _encoders[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _encoders[name]
 
 
@@ -49,7 +53,7 @@ _encoders: dict = {}
 
 def token_ids(text: str, vocabulary: str) -> np.ndarray:
     """All ids of a text and the end id, as little-endian unsigned 32-bit numbers."""
-    ids = _encoder(vocabulary).encode_ordinary(text)
+    ids = _encoder(vocabulary).encode(text, allowed_special="all")
     ids.append(END_ID)
     return np.array(ids, dtype="<u4")
 

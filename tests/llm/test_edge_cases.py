@@ -115,6 +115,15 @@ def test_pack(edge, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_token_ids_with_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext|", "<|ENDOFTEXT|> 漢"):
+        assert packing.token_ids(text, "byte_bpe_50k.tiktoken").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("histogram", [{}, {1: 1}, {1100: 999}, {1500: 7, 3: 2}, {i: 3 for i in range(1, 2048)}, {700: 10, 649: 5, 2047: 4}])
 def test_plan_uses_every_token_once(histogram):
     rows, sequences = packing.plan_windows(histogram)
