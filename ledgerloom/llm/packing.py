@@ -171,8 +171,8 @@ def _cut_sums(vocabulary: str):
             for row in batch.itertuples():
                 ids = token_ids(row.text, vocabulary)
                 tail = zlib.crc32(ids[len(ids) - len(ids) % WINDOW :])
-                out += [(row.doc_id, len(ids), tail, int(c["start"]), int(c["length"]), zlib.crc32(ids[c["start"] : c["start"] + c["length"]])) for c in row.cuts]
-            yield pd.DataFrame(out, columns=["doc_id", "doc_tokens", "tail", "start", "length", "ids_crc32"])
+                out += [(None if pd.isna(row.doc_id) else int(row.doc_id), len(ids), tail, int(c["start"]), int(c["length"]), zlib.crc32(ids[c["start"] : c["start"] + c["length"]])) for c in row.cuts]
+            yield pd.DataFrame(out, columns=["doc_id", "doc_tokens", "tail", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return measure
 
@@ -244,6 +244,10 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
     cuts = jobs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("cuts"))  # a document's own cuts
     if sum(last - first for length, first, last, _, n, _, _ in plan if n < length) <= 100_000:
         cuts = F.broadcast(cuts)  # checked: so many ids and cuts at most
-    again = texts.join(cuts, "doc_id").mapInPandas(_cut_sums(vocabulary), "doc_id long, doc_tokens long, tail long, start long, length long, ids_crc32 long")
+    again = texts.join(cuts.withColumnRenamed("doc_id", "cut_id"), F.col("doc_id").eqNullSafe(F.col("cut_id"))).select("doc_id", "text", "cuts").mapInPandas(_cut_sums(vocabulary), "doc_id long, doc_tokens long, tail long, start long, length long, ids_crc32 long")
     again = again.dropDuplicates(["doc_id", "doc_tokens", "tail", "start", "length"])
-    return whole.unionByName(uncut).unionByName(cut.join(again, ["doc_id", "doc_tokens", "tail", "start", "length"]).select(*out))
+    again = again.withColumnRenamed("doc_id", "cut_id")
+    same = cut["doc_id"].eqNullSafe(again["cut_id"])  # an id may be null
+    for name in ("doc_tokens", "tail", "start", "length"):
+        same &= cut[name] == again[name]
+    return whole.unionByName(uncut).unionByName(cut.join(again, same).select(*[again[c] if c == "ids_crc32" else cut[c] for c in out]))

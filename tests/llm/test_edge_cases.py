@@ -124,6 +124,16 @@ def test_token_ids_with_added_tokens():
         assert packing.token_ids(text, "byte_bpe_50k.tiktoken").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_pack_cuts_documents_without_id(spark):
+    """Every id of a null-id table is in a piece, also of remainders that are cut."""
+    texts = [" ".join(["a"] * n) for n in (1500, 1501, 1502, 1503, 1504, 1700)]
+    rows = spark.createDataFrame([(None if i < 5 else 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pieces = packing.pack(rows).collect()
+    want = sum(len(packing.token_ids(t, "byte_bpe_50k.tiktoken")) for t in texts)
+    assert sum(p["length"] for p in pieces) == want and sum(p["length"] for p in pieces if p["doc_id"] is None) == want - 1701
+    assert any(p["length"] < p["doc_tokens"] for p in pieces if p["doc_id"] is None)
+
+
 @pytest.mark.parametrize("histogram", [{}, {1: 1}, {1100: 999}, {1500: 7, 3: 2}, {i: 3 for i in range(1, 2048)}, {700: 10, 649: 5, 2047: 4}])
 def test_plan_uses_every_token_once(histogram):
     rows, sequences = packing.plan_windows(histogram)
