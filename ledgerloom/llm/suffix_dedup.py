@@ -68,6 +68,26 @@ def strings(q: np.ndarray) -> np.ndarray:
     return mixed(_joined(longer[:-rest], longer[rest:]))
 
 
+def smallest(q: np.ndarray) -> np.ndarray:
+    """Place of the smallest of each SPAN bucket identifiers in a row, the leftmost of equal ones.
+
+    Places take the low bits of the identifiers; a longer array is cut into overlapping
+    blocks whose own places fit.
+    """
+    found, block = [], int(_LOW) + 2 - SPAN
+    for start in range(0, len(q) - SPAN + 1, block):
+        own = q[start : start + block + SPAN - 1]
+        low = (own & ~_LOW) | np.arange(len(own), dtype=np.uint64)
+        reach = 1
+        while reach * 2 <= SPAN:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        if reach < SPAN:
+            low = np.minimum(low[: reach - SPAN], low[SPAN - reach :])
+        found.append((low & _LOW).astype(np.int64) + start)
+    return np.concatenate(found)
+
+
 def anchors(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     """``piece, bucket, anchor, first, last`` of each run of strings with one anchor; offsets are in the piece."""
     sizes = np.array([len(p) for p in pieces])
@@ -76,14 +96,7 @@ def anchors(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     q = qgrams(data)
     if len(q) < SPAN:
         return (np.zeros(0, np.int64),) * 5
-    low = (q & ~_LOW) | np.arange(len(q), dtype=np.uint64)
-    reach = 1
-    while reach * 2 <= SPAN:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    if reach < SPAN:
-        low = np.minimum(low[: reach - SPAN], low[SPAN - reach :])
-    at = (low & _LOW).astype(np.int64)
+    at = smallest(q)
     piece = np.repeat(np.arange(len(pieces)), sizes)[: len(at)]
     ends = (starts + sizes)[piece]
     inside = np.flatnonzero(np.arange(len(at)) + LENGTH <= ends)

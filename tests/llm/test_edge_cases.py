@@ -349,6 +349,22 @@ def brute_removed(rows, length=suffix_dedup.LENGTH):
     return [(i, *out[i if i is not None else -(1 << 63), t or ""]) for i, t, _ in rows]
 
 
+def test_anchors_of_texts_longer_than_their_low_bits(monkeypatch):
+    low = 1023
+    monkeypatch.setattr(suffix_dedup, "_LOW", np.uint64(low))
+    rng = np.random.default_rng(4)
+    passage = rng.bytes(700)
+    data = rng.bytes(3000) + passage + rng.bytes(333) + passage + b"ab" * 400 + passage
+    q = [int(x) & ~low for x in suffix_dedup.qgrams(np.frombuffer(data, np.uint8))]
+    got = {}
+    for piece, _, at, first, last in zip(*suffix_dedup.anchors([data, passage])):
+        got |= {(piece, i): at for i in range(first, last + 1)}
+    want = {(0, i): min(range(i, i + suffix_dedup.SPAN), key=q.__getitem__) for i in range(len(data) - suffix_dedup.LENGTH + 1)}
+    assert {k: v for k, v in got.items() if k[0] == 0} == want
+    for i in range(700 - suffix_dedup.LENGTH + 1):
+        assert got[1, i] == got[0, 3000 + i] - 3000 == got[0, 4033 + i] - 4033
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT_DOCS, 1])
 def test_remove_repeats(edge, empty, monkeypatch, hot):
     """With every bucket counted as frequent, the result is the same."""
