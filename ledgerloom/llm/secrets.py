@@ -21,7 +21,6 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # the maximal runs of 32 and more
 KINDS = ("assign", "access", "hex", "random")
 STRING = r"[A-Za-z0-9+/_=-]{20,}"
-ORDINARY = r"^[-A-Za-z]?[-a-z]+$|^[-A-Z]+$"  # letters of one case but for the first: words, which are not tested
 LEVEL, BANDS = 0.05, (4, 5, 6, 7, 8, 9)  # bands: floor of the binary logarithm of the length
 BINS = 120  # p-values are counted by tenths of their decimal logarithm
 _ALPHABETS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-="
@@ -89,12 +88,12 @@ _ENCODINGS = (
 
 
 def _scored(strings: str) -> Column:
-    """Strings other than words to (start, stop, band, bin of the p-value)."""
+    """Strings to (start, stop, band, bin of the p-value)."""
     tested = "CASE " + " ".join(f"WHEN t.text RLIKE r'{p}' THEN {s}" for p, s, *_ in _ENCODINGS) + " END"
     size = "CASE " + " ".join(f"WHEN t.text RLIKE r'{p}' THEN {k}D" for p, _, k, _ in _ENCODINGS) + " END"
     order = "CASE " + " ".join(f"WHEN t.text RLIKE r'{p}' THEN {o}" for p, _, _, o in _ENCODINGS) + " END"
     return F.expr(f"""
-      transform(transform(filter({strings}, t -> NOT t.text RLIKE r'{ORDINARY}'), t -> struct(t.start AS start, t.stop AS stop, {tested} AS tested, {size} AS k, {order} AS alphabet)),
+      transform(transform({strings}, t -> struct(t.start AS start, t.stop AS stop, {tested} AS tested, {size} AS k, {order} AS alphabet)),
         t -> struct(t.start AS start, t.stop AS stop, cast(least({BANDS[-1]}, floor(log2(t.stop - t.start))) AS int) AS band,
           cast(least({BINS}D, floor(-10 * log10(greatest(1e-12D, {_battery("t.tested", "t.k", "t.alphabet")})))) AS int) AS bin))""")
 

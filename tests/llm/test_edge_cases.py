@@ -216,6 +216,19 @@ def test_secrets(spark, edge, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_of_one_case(spark):
+    """Random keys of letters of one case are found but for the share that the tests reject; strings with a pattern are not."""
+    import random
+    import string
+
+    rng = random.Random(3)
+    keys = ["".join(rng.choice(letters) for _ in range(32)) for letters in (string.ascii_lowercase, string.ascii_uppercase) for _ in range(100)]
+    texts = [f"key {x} done" for x in keys + ["wxyz" * 8, "A" * 32, "q" * 40, "lorem" * 8] * 10]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r["doc_id"] for r in got if r["n_random"]}
+    assert len(found & set(range(100))) >= 90 and len(found & set(range(100, 200))) >= 90 and not found - set(range(200))
+
+
 def brute_measures(text):
     text = text or ""
     w = words(text)
