@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,25 @@ from pyspark.sql import functions as F
 #: The white space and the words that every contract of this subpackage speaks of.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Runs of white space that are anything but one space.
+_UNEVEN = r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*"
+#: A side is broadcast if it has at most so many short rows, which is counted.
+SENT_ROWS = 100_000
+#: Inputs below so many bytes are dealt out before Python or long expressions work on them.
+SMALL_INPUT = 32 << 20
+#: Bytes of a batch of rows that is handed to Python.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one input table; nothing else is read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input over all cores: a file of one row group would be one task. Larger ones are left as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_INPUT else df
 
 
 def whole_text(column: str | Column = "text") -> Column:
@@ -23,8 +38,8 @@ def whole_text(column: str | Column = "text") -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    """The text with each run of white space as one space."""
-    return F.regexp_replace(text, SPACE, " ")
+    """The text with each run of white space as one space; most words are followed by one and cost no match."""
+    return F.regexp_replace(text, _UNEVEN, " ")
 
 
 def word_count(text: Column) -> Column:
@@ -40,13 +55,22 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, y`` of the labels 0 and 1 that may be learnt from; of contradicting ones the larger counts."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary one.
+    A local session that names none (a test) gets a temporary one; on a cluster that is
+    an error, as executors would not share it.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -57,6 +81,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a table that was written to the shared folder and is not read any more."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands rows to Python in batches of at most BATCH_BYTES (or one row)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """``df``, a checkpoint of short rows, to be broadcast if it has at most ``most`` rows; else it is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def width(df: DataFrame) -> int:
     """Number of partitions for an explicit repartition: the session's own."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

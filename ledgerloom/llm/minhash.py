@@ -4,14 +4,13 @@ Every element (a shingle of five words) owns a strip of the plane of weight and
 into unit cells; a hash decides how many darts hit a cell (Poisson with mean 1) and each
 dart's rank and coordinate. A signature keeps the earliest dart of each coordinate, so one
 pass over a document's cells, about as many as it has elements or k log k, gives all k
-coordinates. Two signatures agree in a coordinate with the probability of the (weighted)
-Jaccard similarity. Documents that share a band are candidates; every link is verified on
-the shingles of the whole texts.
+coordinates. An element weighs as much as the document has it often; two signatures agree
+in a coordinate with the probability of the weighted Jaccard similarity. Documents that
+share a band are candidates; every link is verified on the shingles of the whole texts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -21,13 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, whole_text, width
+from .common import WORD, checkpointed, in_small_batches, sent, squeezed, whole_text, width
 
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5: a pair at similarity 0.8 shares a band with probability 0.99995.
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
-SENT_IDS = 100_000
+#: Cells of the plane that are thrown at at once.
+CELLS = 1 << 18
 #: Nodes of a bucket meet in blocks of about so many.
 BLOCK = 1024
 #: Coordinates that must agree before a pair's shingles are compared; a pair at 0.8 has fewer with probability below 1e-6.
@@ -54,8 +54,11 @@ class _Hashes(dict):
         return h
 
 
-def shingles(text: str, hashes: _Hashes) -> np.ndarray:
-    """Distinct hashes of a text's windows of WORDS words; a shorter text is one window, an empty one none."""
+def shingles(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's windows of WORDS words, ascending, and how often it has each.
+
+    A text of fewer words is one window, an empty one has none.
+    """
     words = _FIND.findall(text)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(len(h) - WORDS + 1, min(1, len(h)))
@@ -63,17 +66,25 @@ def shingles(text: str, hashes: _Hashes) -> np.ndarray:
     with np.errstate(over="ignore"):
         for i in range(min(WORDS, len(h))):
             out = mixed(out + _MORE) + h[i : i + n]
-    return np.unique(mixed(out))
+    return np.unique(mixed(out), return_counts=True)
+
+
+def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity: the smaller counts over the larger ones; without repeated shingles that of the sets."""
+    _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(one[1][i], two[1][j]).sum())
+    return both / max(1, int(one[1].sum()) + int(two[1].sum()) - both)
 
 
 def dart_signatures(elements: np.ndarray, sizes: np.ndarray, weights: np.ndarray | None = None, k: int = K) -> np.ndarray:
     """One row of k coordinates per set; ``elements`` are the sets' members one after the other.
 
-    ``weights`` are whole numbers from 1 (default: all 1). Sets must not be empty.
+    ``weights`` are whole numbers from 1 (default: all 1). Sets must not be empty. Cells
+    are worked on in blocks of about CELLS, so that a very large set needs no more memory.
     """
     doc = np.repeat(np.arange(len(sizes)), sizes)
     layer = np.zeros(len(elements), np.uint64)
-    if weights is not None:
+    if weights is not None and (weights > 1).any():
         doc, elements = np.repeat(doc, weights), np.repeat(elements, weights)
         layer = (np.arange(len(elements)) - np.repeat(np.cumsum(weights) - weights, weights)).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -84,22 +95,24 @@ def dart_signatures(elements: np.ndarray, sizes: np.ndarray, weights: np.ndarray
     rank, dart, open_ = np.full(len(sizes) * k, np.inf), np.zeros(len(sizes) * k, np.uint64), np.ones(len(sizes), bool)
     while open_.any():
         own = np.flatnonzero(open_[doc])
-        ranks = (last - first)[doc[own]]
-        cell = np.repeat(own, ranks)
-        r = np.arange(len(cell)) - np.repeat(np.cumsum(ranks) - ranks, ranks) + first[doc[cell]]
-        with np.errstate(over="ignore"):
-            h = mixed(strips[cell] ^ mixed(r.astype(np.uint64) * _MORE + np.uint64(1)))
-        darts = np.searchsorted(_POISSON, (h >> np.uint64(11)) * 2.0**-53, side="right")
-        hit = np.repeat(np.arange(len(cell)), darts)
-        j = np.arange(len(hit)) - np.repeat(np.cumsum(darts) - darts, darts)
-        with np.errstate(over="ignore"):
-            d = mixed(h[hit] + (j + 1).astype(np.uint64) * _MORE)
-        at = doc[cell[hit]] * k + (d % np.uint64(k)).astype(np.int64)
-        when = r[hit] + (mixed(d) >> np.uint64(11)) * 2.0**-53
-        before = rank.copy()
-        np.minimum.at(rank, at, when)
-        won = (when == rank[at]) & (when < before[at])
-        dart[at[won]] = d[won]
+        cells = np.cumsum((last - first)[doc[own]])
+        for block in np.split(own, np.searchsorted(cells, np.arange(CELLS, cells[-1], CELLS))):
+            ranks = (last - first)[doc[block]]
+            cell = np.repeat(block, ranks)
+            r = np.arange(len(cell)) - np.repeat(np.cumsum(ranks) - ranks, ranks) + first[doc[cell]]
+            with np.errstate(over="ignore"):
+                h = mixed(strips[cell] ^ mixed(r.astype(np.uint64) * _MORE + np.uint64(1)))
+            darts = np.searchsorted(_POISSON, (h >> np.uint64(11)) * 2.0**-53, side="right")
+            hit = np.repeat(np.arange(len(cell)), darts)
+            j = np.arange(len(hit)) - np.repeat(np.cumsum(darts) - darts, darts)
+            with np.errstate(over="ignore"):
+                d = mixed(h[hit] + (j + 1).astype(np.uint64) * _MORE)
+            at = doc[cell[hit]] * k + (d % np.uint64(k)).astype(np.int64)
+            when = r[hit] + (mixed(d) >> np.uint64(11)) * 2.0**-53
+            before = rank[at]
+            np.minimum.at(rank, at, when)
+            won = (when == rank[at]) & (when < before)
+            dart[at[won]] = d[won]
         open_ = np.isinf(rank.reshape(-1, k)).any(1)
         first, last = last, last * 2
     return dart.reshape(-1, k)
@@ -116,52 +129,55 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents to text hash and band keys, some documents at a time."""
+    """Texts to band keys and the lowest byte of each coordinate, some texts at a time; both are empty for a text without words."""
     hashes = _Hashes()
     for batch in batches:
-        digests = [hashlib.md5(" ".join(_FIND.findall(t)).encode("utf-8", "surrogatepass")).digest() for t in batch["text"]]
-        keys: list = [np.zeros(0, np.int64)] * len(digests)
+        bands: list = [np.zeros(0, np.int64)] * len(batch)
+        marks = [b""] * len(batch)
         held: list = []
         size = 0
         for i, text in enumerate([*batch["text"], None]):
-            if text is not None and len(s := shingles(text, hashes)):
-                held.append((i, s))
-                size += len(s) + 900
+            if text is not None and len((own := shingles(text, hashes))[0]):
+                held.append((i, *own))
+                size += len(own[0]) + 900
             if held and (text is None or size > 1 << 16):
-                found = band_keys(dart_signatures(np.concatenate([s for _, s in held]), np.array([len(s) for _, s in held])))
-                for (at, _), row in zip(held, found):
-                    keys[at] = row
+                signatures = dart_signatures(np.concatenate([x for _, x, _ in held]), np.array([len(x) for _, x, _ in held]), np.concatenate([w for *_, w in held]))
+                for (at, *_), keys, signature in zip(held, band_keys(signatures), signatures.astype(np.uint8)):
+                    bands[at], marks[at] = keys, signature.tobytes()
                 held, size = [], 0
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digests, "bands": keys})
+        yield batch.drop(columns="text").assign(bands=bands, marks=marks)
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs with texts to those at SIMILARITY or more."""
     hashes = _Hashes()
-    last, own = None, np.zeros(0, np.uint64)
+    last, own = None, None
     for batch in batches:
         keep = []
         for a, b in zip(batch["text_a"], batch["text_b"]):
             if a != last:
                 last, own = a, shingles(a, hashes)
-            other = shingles(b, hashes)
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            keep.append(both >= SIMILARITY * (len(own) + len(other) - both) - 1e-9)
+            keep.append(similarity(own, shingles(b, hashes)) >= SIMILARITY - 1e-9)
         yield batch.loc[keep, ["a", "b"]]
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough; only texts that a pair names are moved.
+def texts_of(ids: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, text`` of the nodes ``ids``: the text of the row that stands for each.
 
-    ``pairs`` is a checkpoint. The named ids are sent to the texts if they are at most
-    SENT_IDS, which is checked; else all texts are shuffled to the pairs.
+    The places of those rows (id and hash of the text) are short; they are broadcast if
+    they are few, which is checked, else the texts are shuffled to them.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if ids.count() <= SENT_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInPandas(_verified, "a long, b long")
+    places = checkpointed(ids.join(nodes.select("id", "doc_id", "v"), "id").select("id", F.col("doc_id").alias("_doc_id"), F.col("v").alias("_v")))
+    found = texts.join(sent(places), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("v") == F.col("_v")))
+    return found.select("id", "text")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough; only texts that a pair names are moved."""
+    own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), nodes, texts)
+    one = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return in_small_batches(two.select("a", "b", "text_a", "text_b")).mapInPandas(_verified, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,22 +199,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts to text hash, shingles, band keys and the lowest byte of each coordinate."""
+def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts to their shingles and counts."""
     hashes = _Hashes()
     for batch in batches:
-        out = []
-        for text in batch["text"]:
-            own = shingles(text, hashes)
-            if not len(own):
-                continue
-            signature = dart_signatures(own, np.array([len(own)]))
-            digest = hashlib.md5(" ".join(_FIND.findall(text)).encode("utf-8", "surrogatepass")).digest()
-            out.append((digest, own.tobytes(), band_keys(signature).tobytes(), signature.astype(np.uint8).tobytes()))
-            if len(out) > 2_000:
-                yield pd.DataFrame(out, columns=["digest", "shingles", "bands", "marks"])
-                out = []
-        yield pd.DataFrame(out, columns=["digest", "shingles", "bands", "marks"])
+        found = [shingles(t, hashes) for t in batch["text"]]
+        yield pd.DataFrame({"id": batch["id"], "shingles": [x.tobytes() for x, _ in found], "counts": [n.astype("<i4").tobytes() for _, n in found]})
 
 
 def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +231,7 @@ def _partners(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
     in AGREE coordinates, and have no earlier band in common.
     """
     key, p, q = (int(rows[c].iloc[0]) for c in ("key", "p", "q"))
-    bands = np.frombuffer(b"".join(rows["bands"]), np.int64).reshape(len(rows), BANDS)
+    bands = np.stack(rows["bands"].to_list())
     marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(len(rows), K)
     classes, block = rows["class_id"].to_numpy(np.int64), rows["block"].to_numpy(np.int64)
     band = (bands == key).argmax(1)[0]
@@ -256,84 +262,108 @@ def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Meetings with shingles to pairs at SIMILARITY or more that join two classes."""
     for rows in _meetings(batches):
-        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        ids, classes = rows["id"].to_numpy(np.int64), rows["class_id"].to_numpy(np.int64)
-        _, now = np.unique(classes, return_inverse=True)  # classes as joined in this meeting
+        sets = [(np.frombuffer(x, np.uint64), np.frombuffer(n, "<i4")) for x, n in zip(rows["shingles"], rows["counts"])]
+        ids = rows["id"].tolist()
+        _, now = np.unique(rows["class_id"].to_numpy(np.int64), return_inverse=True)  # classes as joined in this meeting
         found = []
         for i, partners in _partners(rows):
             for j in partners:
-                if now[i] == now[j]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both >= SIMILARITY * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                if now[i] != now[j] and similarity(sets[i], sets[j]) >= SIMILARITY - 1e-9:
                     now[now == now[j]] = now[i]
                     found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(found, columns=["a", "b"])
 
 
-def settled(crowded: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+def settled(crowded: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between classes from all pairs of each bucket that are in two classes.
 
-    ``crowded`` has ``key, id, digest, a``; the pairs with ``a``, the bucket's smallest
-    id, are done. Every two blocks of a bucket's other nodes meet in one group, so a
-    large bucket is dealt over many tasks. Signatures meet first; shingles of the nodes
-    that have a partner then meet in the same groups. A pair is looked at in the first
-    band that it shares, once, and not at all if its classes were joined on the way.
+    ``crowded`` has ``key, id, a``; the pairs with ``a``, the bucket's first node, are
+    done. Every two blocks of a bucket's other nodes meet in one group, so a large bucket
+    is dealt over many tasks. Signatures meet first; shingles of the nodes that have a
+    partner then meet in the same groups. A pair is looked at in the first band that it
+    shares, once, and not at all if its classes were joined on the way.
     """
-    placed = crowded.where("id <> a").join(labels, "id", "left").select("key", "id", "digest", F.coalesce("class_id", "id").alias("class_id"))
+    placed = crowded.where("id <> a").join(labels, "id", "left").select("key", "id", F.xxhash64(F.coalesce("class_id", "id")).alias("class_id"))
     split = placed.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
     open_ = checkpointed(placed.join(split, "key"))
-    ids = open_.select(F.col("id").alias("doc_id")).distinct()
-    if ids.count() <= SENT_IDS:
-        ids = F.broadcast(ids)  # checked: so many at most
-    sets = checkpointed(texts.join(ids, "doc_id", "left_semi").mapInPandas(_sets, "digest binary, shingles binary, bands binary, marks binary").dropDuplicates(["digest"]))
     blocks = F.expr(f"(n + {BLOCK - 1}) div {BLOCK}")
-    dealt = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")))
+    dealt = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "digest", "class_id", "block")
-    columns = "key long, p long, q long, id long, digest binary, class_id long, block long, bands binary, marks binary"
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "class_id", "block")
+    columns = "key long, p long, q long, id binary, class_id long, block long, bands array<long>, marks binary"
 
     def met(rows: DataFrame) -> DataFrame:
-        return rows.repartition(width(texts), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+        return in_small_batches(rows.repartition(width(texts), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id"))
 
-    suspects = checkpointed(met(dealt.join(sets.drop("shingles"), "digest").select(*[c.split()[0] for c in columns.split(", ")])).mapInPandas(_suspects, columns))
-    return met(suspects.join(sets.select("digest", "shingles"), "digest")).mapInPandas(_linked, "a long, b long").distinct()
+    names = [c.split()[0] for c in columns.split(", ")]
+    suspects = checkpointed(met(dealt.join(nodes.select("id", "bands", "marks"), "id").select(*names)).mapInPandas(_suspects, columns))
+    sets = checkpointed(in_small_batches(texts_of(suspects.select("id").distinct(), nodes, texts)).mapInPandas(_shingled, "id binary, shingles binary, counts binary").dropDuplicates(["id"]))
+    return met(suspects.join(sets, "id")).mapInPandas(_linked, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id`` (the smallest id of its class), ``rep_id``.
+def node_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows as ``doc_id, v, id`` and nodes as ``id, rep_id, head, class_id, class_links``, both checkpoints.
 
-    Texts with the same words in the same order are one node, named by the smallest id
-    (``rep_id``), however many copies there are. In each band's bucket every node is
-    compared with the smallest one; then every pair of a bucket that is still in two
-    classes is settled (see :func:`settled`).
-    Null and empty texts are copies of one another; a null id has no class; rows with
-    equal ids and texts come out alike; an empty table gives an empty result.
+    A node is a text as a sequence of words, ``id`` its 128-bit hash, ``rep_id`` the
+    smallest document id that has it. ``head`` is the node of its class with the smallest
+    ``rep_id`` (null last), which is the class's ``class_id``; ``class_links`` is the
+    number of links between different texts of the class that were verified.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    signed = checkpointed(texts.mapInPandas(_signed, "doc_id long, digest binary, bands array<long>"))
-    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"))
-    keyed = nodes.where("rep_id is not null").select(F.col("rep_id").alias("id"), "digest", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    crowded = checkpointed(keyed.join(buckets, "key"))  # key, id, digest, a: nodes that share a bucket with another
-    own = F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")
-    pairs = checkpointed(crowded.where("id <> a").select(*own).distinct())
-    edges = checkpointed(verified(pairs, texts))
+    text = whole_text(text_column)
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("v"), text.alias("text"))
+    id_ = F.unhex(F.md5(F.trim(squeezed(F.col("text"))).cast("binary"))).alias("id")
+    signed = checkpointed(in_small_batches(texts.select("doc_id", "v", id_, "text")).mapInPandas(_signed, "doc_id long, v long, id binary, bands array<long>, marks binary"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")
+    nodes = signed.groupBy("id").agg(F.min(place).alias("x"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    nodes = checkpointed(nodes.select("id", "x.doc_id", "x.v", "bands", "marks"))
+    keyed = nodes.where("size(bands) > 0").select("id", "doc_id", F.explode("bands").alias("key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id"))
+    buckets = checkpointed(keyed.groupBy("key").agg(first.alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("x.id").alias("a")))
+    crowded = checkpointed(keyed.join(buckets, "key").select("key", "id", "a"))  # nodes that share a bucket with another
+    pairs = checkpointed(crowded.where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+    edges = checkpointed(verified(pairs, nodes, texts))
     labels = components(edges)
 
-    late = checkpointed(settled(crowded, labels, texts))
+    late = checkpointed(settled(crowded, labels, nodes, texts))
     if late.limit(1).count():
-        labels = components(edges.unionByName(late))
-    members = signed.select("doc_id", "digest").join(nodes.select("digest", "rep_id"), "digest")
-    return members.join(labels, members["rep_id"] == labels["id"], "left").select("doc_id", F.coalesce("class_id", "rep_id").alias("class_id"), "rep_id")
+        edges = edges.unionByName(late)
+        labels = components(edges)
+    own = nodes.select("id", F.col("doc_id").alias("rep_id")).join(labels, "id", "left").select("id", "rep_id", F.coalesce("class_id", "id").alias("label"))
+    heads = own.groupBy("label").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "id")).alias("x"))
+    links = edges.join(labels.select(F.col("id").alias("a"), "class_id"), "a").groupBy(F.col("class_id").alias("label")).agg(F.count(F.lit(1)).alias("class_links"))
+    heads = checkpointed(heads.join(links, "label", "left").select("label", F.col("x.id").alias("head"), F.col("x.rep_id").alias("class_id"), F.coalesce("class_links", F.lit(0).cast("long")).alias("class_links")))
+    return signed.select("doc_id", "v", "id"), checkpointed(own.join(heads, "label").drop("label"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, class_id, rep_id, class_links``.
+
+    Texts with the same words in the same order are one node, named by the smallest id
+    that has it (``rep_id``), however many copies there are; ``class_id`` is the smallest
+    id of the class and ``class_links`` the number of verified links between its
+    different texts. In each band's bucket every node is compared with the first one;
+    then every pair of a bucket that is still in two classes is settled (see
+    :func:`settled`).
+
+    Nodes are texts, not ids: rows of one id with different texts are told apart (their
+    classes may have one ``class_id``). Null and empty texts are copies of one another;
+    rows without id take part, and ``rep_id`` or ``class_id`` is null where no row has an
+    id. Rows that repeat come out alike; texts of any length are compared whole; an empty
+    table gives an empty result; other columns are not looked at.
+    """
+    rows, nodes = node_classes(docs, id_column, text_column)
+    return rows.join(nodes, "id").select("doc_id", "class_id", "rep_id", "class_links")
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each class the row of the smallest id.
 
-    The ids that go meet the documents in a left anti join; rows whose id is null stay,
-    and so do all rows that share the smallest id.
+    Rows go by id and text, so other texts of an id stay. Rows that repeat the id and the
+    words of the one that stays all stay, as do rows without id where no row of their
+    class has one.
     """
-    classes = near_duplicates(docs, id_column, text_column)
-    gone = checkpointed(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    rows, nodes = node_classes(docs, id_column, text_column)
+    stays = (F.col("id") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
+    gone = rows.join(nodes, "id").where(~stays).select(F.col("doc_id").alias("_doc_id"), F.col("v").alias("_v")).distinct()
+    own = docs[id_column].cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(whole_text(docs[text_column])) == F.col("_v"))
+    return docs.join(sent(checkpointed(gone)), own, "left_anti")

@@ -58,7 +58,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
-    return mix_plan(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mix_plan(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("source")
 
 
 @query
