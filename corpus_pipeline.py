@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpoint_folder
+from ledgerloom.llm.common import new_folder, remove_folder, spread
 from ledgerloom.llm.exact_dedup import drop_exact_copies
 from ledgerloom.llm.minhash import drop_near_copies
 from ledgerloom.llm.mixing import mixed_documents
@@ -16,28 +14,39 @@ from ledgerloom.llm.quality_classifier import classify
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier (operator 2) rejects go."""
+    """Documents that the quality classifier (operator 2) rejects go.
+
+    Every row is judged by its whole text (null as empty) and stays or goes by itself, so
+    repeated rows share their fate; without labels the score is a half and all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return classify(docs, labels).where(F.col("predicted") == 1).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays (operator 8)."""
+    """Of equal texts the smallest id stays (operator 8).
+
+    Null and empty texts are equal. Rows that repeat both id and text all stay or all go;
+    a row without id stays only where no equal text has an id.
+    """
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays (operator 1)."""
+    """One document of each near-duplicate class stays (operator 1), by the same rules for ties, repeats and nulls."""
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights (operator 6); documents may repeat."""
+    """Sources are mixed to their target weights (operator 6).
+
+    Documents may repeat; those without words go, and null is a source of its own.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a packed sequence (operator 7)."""
+    """One row per piece of a packed sequence (operator 7); every row is packed, also repeated ones and those without id or text."""
     return pack(docs)
 
 
@@ -48,10 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what one returns is written and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
+    """All stages over ``documents``; what one returns is written and read again for the next, and then removed.
+
+    Texts of any length and further columns, whatever they are called, pass through; an
+    empty table gives an empty result.
+    """
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    folder = new_folder(spark, "pipeline")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if i:
+            remove_folder(spark, f"{folder}/{STAGES[i - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
