@@ -8,18 +8,24 @@ can still split matter, so the refinement is run on those:
    and one anchor serves a whole run of strings. Anchors with the same q-gram form a
    bucket; a bucket with one anchor is sorted already and goes, which leaves the
    repeated part of the corpus.
-2. *Refinement.* Inside a bucket the strings are told apart by bucket identifiers of later
-   offsets, reused from level to level: 8 bytes, 16 from (8, +8), 32 from (16, +16), 64 from
-   (32, +32) and 100 from (64, +36). The first string of each final bucket stays.
+2. *Refinement.* The surroundings of a bucket's anchors meet in one task. Their offsets start
+   in buckets of equal 8 bytes; each level splits the buckets by sorting on the bucket
+   identifier of a later offset, 8, 16, 32 and then 36 bytes on, so that identifiers stand
+   for 16, 32, 64 and 100 bytes; offsets that are alone in their bucket keep their own
+   identifier and are sorted no more, and what one level has split, the next one reads at
+   later offsets. Identifiers come from the bytes themselves, never from a hash, so two
+   strings share a final bucket exactly if their bytes are equal. The first one stays.
 3. The runs of later strings are joined to their documents and cut out.
 
+A bucket of more than GROUP anchors (one passage in a third of all documents) is refined by
+Spark instead of by one task: equal surroundings are folded with map-side aggregation, and
+the rest goes down a tree of places: a row stands for the strings whose anchor is at
+places i to j, which have the bytes about the anchor in common; rows are grouped by these
+bytes, those alone go, the others are split into smaller spans of places, down to single
+strings. So no task holds a large bucket, and what is grouped is always the bytes.
+
 A document whose whole text came before goes whole, so only the first copy of each text is
 looked at; all joins with texts read one shuffle of them.
-
-Buckets that a bounded sample of documents shows to be very frequent (one passage in a
-third of all documents) are spread by document while they are counted, and equal
-surroundings of their anchors are folded with map-side aggregation, so that a bucket holds
-different surroundings only; where a bucket goes changes nothing in the result.
 """
 
 from __future__ import annotations
@@ -32,13 +38,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, width
+from .common import checkpointed, in_small_batches, whole_text, width
 from .minhash import mixed
 
 LENGTH, Q = 100, 32
 SPAN = LENGTH - Q + 1  # places of a q-gram in a string
-#: A bucket is frequent when HOT_DOCS of about SAMPLE_DOCS documents have it; so at most a bounded number are.
+#: A bucket is spread while it is counted when HOT_DOCS of about SAMPLE_DOCS documents have it; so at most a bounded number are.
 SAMPLE_DOCS, HOT_DOCS = 20_000, 200
+#: Larger buckets are refined by Spark, smaller ones each in one task; the result is the same.
+GROUP = 4096
+#: Spans of places, from level to level, of a large bucket's refinement.
+SPANS = (9, 1)
 CHUNK = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -46,14 +56,14 @@ NONE = -(1 << 63)  # stands for a null id
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bucket identifiers of longer strings from those of two shorter ones."""
+    """Hashes of longer strings from those of two shorter ones."""
     with np.errstate(over="ignore"):
         x = (a * _ODD) ^ (b + (a >> np.uint64(32)))
         return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def qgrams(data: np.ndarray) -> np.ndarray:
-    """Bucket identifier of the Q bytes from each offset on."""
+    """Hash of the Q bytes from each offset on; it deals out anchors and decides on no removal."""
     if len(data) < Q:
         return np.zeros(0, np.uint64)
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).astype(np.uint64)
@@ -61,13 +71,6 @@ def qgrams(data: np.ndarray) -> np.ndarray:
     return mixed(_joined(sixteen[:-16], sixteen[16:]))
 
 
-def strings(q: np.ndarray) -> np.ndarray:
-    """Bucket identifier of the LENGTH bytes from each offset on, from those of Q bytes."""
-    longer = _joined(q[:-Q], q[Q:])
-    rest = LENGTH - 2 * Q
-    return mixed(_joined(longer[:-rest], longer[rest:]))
-
-
 def smallest(q: np.ndarray) -> np.ndarray:
     """Place of the smallest of each SPAN bucket identifiers in a row, the leftmost of equal ones.
 
@@ -109,48 +112,82 @@ def anchors(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     return piece, q[at[new]].view(np.int64), at[new] - starts[piece], inside[new] - starts[piece], inside[end] - starts[piece]
 
 
-def _held(texts, most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts as bytes, some at a time, with the number of those before."""
-    held, size, first = [], 0, 0
+def _held(texts, most: int = CHUNK) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
+    """Texts as pieces of bytes, some at a time, with the row and the offset of each.
+
+    A long text is cut into pieces that overlap by all but one byte of a string, so each
+    string lies whole in exactly one piece.
+    """
+    places, held, size = [], [], 0
     for i, text in enumerate(texts):
-        held.append(text.encode("utf-8", "surrogatepass"))
-        size += len(held[-1])
-        if size > most:
-            yield first, held
-            held, size, first = [], 0, i + 1
+        data = text.encode("utf-8", "surrogatepass")
+        for start in range(0, max(1, len(data) - LENGTH + 1), most):
+            places.append((i, start))
+            held.append(data[start : start + most + LENGTH - 1])
+            size += len(held[-1])
+            if size > most:
+                yield places, held
+                places, held, size = [], [], 0
     if held:
-        yield first, held
+        yield places, held
 
 
 def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents to their anchors: bucket, document, and a packed place (see :func:`_runs`)."""
     for batch in batches:
         d, v = batch["d"].to_numpy(), batch["v"].to_numpy()
-        for first, held in _held(batch["text"]):
+        for places, held in _held(batch["text"]):
             piece, bucket, at, lo, hi = anchors(held)
-            yield pd.DataFrame({"bucket": bucket, "d": d[first + piece], "v": v[first + piece], "place": lo << 16 | (at - lo) << 8 | (hi - lo)})
+            row, start = np.array(places, np.int64).T
+            yield pd.DataFrame({"bucket": bucket, "d": d[row[piece]], "v": v[row[piece]], "place": lo + start[piece] << 16 | (at - lo) << 8 | (hi - lo)})
 
 
 def _runs(runs) -> list[tuple[int, int, int, int, bool]]:
-    """``first string, bucket, anchor in it, last string, frequent`` of packed runs, in order and once each."""
+    """``first string, bucket, anchor in it, last string, large`` of packed runs, in order and once each."""
     places = sorted({(r["place"] >> 1, r["bucket"], r["place"] & 1) for r in runs})
     return [(p >> 16, bucket, p >> 8 & 255, (p >> 16) + (p & 255), bool(hot)) for p, bucket, hot in places]
 
 
-def _refined(rows: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Final bucket identifiers of the strings of rows (context, bucket, anchor in it), and how many each row has."""
-    sizes = np.array([len(c) for c, _, _ in rows])
-    counts = sizes - LENGTH + 1
-    starts = np.cumsum(sizes) - sizes
-    found = strings(qgrams(np.frombuffer(b"".join(c for c, _, _ in rows), np.uint8)))
-    row = np.repeat(np.arange(len(rows)), counts)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    place = (at - np.array([a for _, _, a in rows])[row]).view(np.uint64)  # where the string lies about its anchor
-    with np.errstate(over="ignore"):
-        return _joined(found[starts[row] + at], mixed(np.array([b for _, b, _ in rows], np.int64).view(np.uint64)[row] + place * _ODD)), counts
-
+def refined(data: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Bucket identifiers of the LENGTH bytes from each offset on.
 
-def _contexts(hot: bool):
+    ``left`` is the number of bytes from each offset to the end of its piece; offsets with
+    fewer than LENGTH have identifiers of their own.
+    """
+    n = len(data)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = data
+    _, bucket, size = np.unique(np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64), return_inverse=True, return_counts=True)
+    live, length = np.flatnonzero((size[bucket] > 1) & (left >= 8)), 8
+    while length < LENGTH:
+        step = min(length, LENGTH - length)
+        live = live[left[live] >= length + step]
+        kinds, own, size = np.unique(bucket[live] * np.int64(2 * n + 1) + bucket[live + step], return_inverse=True, return_counts=True)
+        bucket = np.arange(n) + n  # alone, unless split off below
+        bucket[live] = own
+        live, length = live[size[own] > 1], length + step
+    return bucket
+
+
+def later_strings(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs ``context, first, last`` of strings that an earlier context or an earlier offset has too."""
+    sizes = np.array([len(c) for c in contexts])
+    starts = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - starts[row]
+    left = sizes[row] - at
+    bucket = refined(np.frombuffer(b"".join(contexts), np.uint8), left)
+    whole = np.flatnonzero(left >= LENGTH)
+    _, first = np.unique(bucket[whole], return_index=True)
+    old = np.ones(len(whole), bool)
+    old[first] = False
+    hits = whole[old]
+    new = np.flatnonzero(np.r_[True, (row[hits][1:] != row[hits][:-1]) | (hits[1:] != hits[:-1] + 1)]) if len(hits) else np.zeros(0, np.int64)
+    stop = np.r_[new[1:], len(hits)] - 1 if len(hits) else new
+    return row[hits[new]], at[hits[new]], at[hits[stop]]
+
+
+def _contexts(large: bool):
     """Documents with their anchors to one row per anchor with the bytes of its run of strings.
 
     Surroundings that a document had before came earlier in that document; their runs
@@ -163,17 +200,17 @@ def _contexts(hot: bool):
             out: list[tuple] = []
             for d, v, text, runs in zip(batch["d"], batch["v"], batch["text"], batch["runs"]):
                 data, had, again = text.encode("utf-8", "surrogatepass"), set(), []
-                for lo, bucket, at, hi, frequent in _runs(runs):
+                for lo, bucket, at, hi, hot in _runs(runs):
                     own = (bucket, at, data[lo : hi + LENGTH])
                     if own not in had:
                         had.add(own)
-                        if frequent == hot and len(own[2]) >= LENGTH:
+                        if hot == large:
                             out.append((bucket, d, v, lo, at, own[2]))
                     elif again and again[-1][1] + 1 == lo:
                         again[-1][1] = hi
                     else:
                         again.append([lo, hi])
-                if not hot:
+                if not large:
                     out += [(v, d, v, lo, hi, None) for lo, hi in again]
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=["bucket", "d", "v", "lo", "at", "bytes"])
@@ -183,45 +220,71 @@ def _contexts(hot: bool):
     return cut
 
 
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of bucket to frames of whole buckets, of about CHUNK bytes or one bucket each."""
+    held, size = None, 0
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        size += int(batch["bytes"].map(len).sum()) if len(batch) else 0
+        bucket = held["bucket"].to_numpy()
+        if size > CHUNK and bucket[0] != bucket[-1]:
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            yield held[:cut]
+            held = held[cut:].reset_index(drop=True)
+            size = int(held["bytes"].map(len).sum())
+    if held is not None and len(held):
+        yield held
+
+
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Contexts in order of bucket and place to runs (first, last) of strings that came before.
 
     Contexts of one place, from rows that repeat id and text, count once.
     """
-    last, seen, end = None, np.zeros(0, np.uint64), np.full((1, 4), -1)
-    for batch in batches:
-        known = batch["bytes"].isna()
-        if known.any():
-            yield batch.loc[known, ["d", "v", "lo", "at"]].set_axis(["d", "v", "first", "last"], axis=1)
-            batch = batch[~known].reset_index(drop=True)
-        if not len(batch):
-            continue
-        place = batch[["bucket", "d", "v", "lo"]].to_numpy(np.int64)
-        again = (place == np.r_[end, place[:-1]]).all(1)
-        end = place[-1:]
-        if again.any():
-            batch = batch[~again].reset_index(drop=True)
-            if not len(batch):
-                continue
-        keys, counts = _refined(list(zip(batch["bytes"], batch["bucket"], batch["at"])))
-        row = np.repeat(np.arange(len(batch)), counts)
-        bucket = batch["bucket"].to_numpy()
-        order = np.argsort(keys, kind="stable")
-        old = np.zeros(len(keys), bool)
-        old[order[1:]] = keys[order[1:]] == keys[order[:-1]]
-        if bucket[0] == last:
-            own = bucket[row] == last
-            old[own] |= np.isin(keys[own], seen)
-        same = bucket[row] == bucket[-1]
-        seen = np.union1d(seen, keys[same]) if bucket[-1] == last else np.unique(keys[same])
-        last = bucket[-1]
-        at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        hits = np.flatnonzero(old)
-        if len(hits):
-            new = np.flatnonzero(np.r_[True, (row[hits][1:] != row[hits][:-1]) | (hits[1:] != hits[:-1] + 1)])
-            stop = np.r_[new[1:], len(hits)] - 1
-            own, lo = row[hits[new]], batch["lo"].to_numpy()
-            yield pd.DataFrame({"d": batch["d"].to_numpy()[own], "v": batch["v"].to_numpy()[own], "first": lo[own] + at[hits[new]], "last": lo[own] + at[hits[stop]]})
+
+    def unknown() -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            none = batch["bytes"].isna()
+            if none.any():
+                known.append(batch.loc[none, ["d", "v", "lo", "at"]].set_axis(["d", "v", "first", "last"], axis=1))
+                batch = batch[~none]
+            yield batch
+
+    known: list[pd.DataFrame] = []
+    for group in _groups(unknown()):
+        yield from known
+        known.clear()
+        group = group[~group.duplicated(["bucket", "d", "v", "lo"])].reset_index(drop=True)
+        own, first, last = later_strings(group["bytes"].tolist())
+        lo = group["lo"].to_numpy()[own]
+        yield pd.DataFrame({"d": group["d"].to_numpy()[own], "v": group["v"].to_numpy()[own], "first": lo + first, "last": lo + last})
+    yield from known
+
+
+def later_of_large(contexts: DataFrame) -> DataFrame:
+    """``d, v, first, last`` of the strings of large buckets that came before; see the module's text."""
+    place = F.struct("d", "v", "lo")
+    heads = checkpointed(contexts.groupBy("bucket", "at", "bytes").agg(F.min(place).alias("head")))  # so hot keys of the joins are dealt out anew
+    after = contexts.join(heads, ["bucket", "at", "bytes"]).where(place > F.col("head"))
+    runs = after.select("d", "v", F.col("lo").alias("first"), (F.col("lo") + F.length("bytes") - LENGTH).alias("last"))
+
+    # A row: the strings of a context whose anchor is at places i to j in them; ``anchor`` is its place in ``bytes``.
+    rows = heads.select("head.d", "head.v", "head.lo", F.col("at").alias("anchor"), "bytes", F.lit(0).alias("i"), F.lit(SPAN - 1).alias("j"))
+    for span in SPANS:
+        parts = F.sequence(F.col("i"), F.col("j"), F.lit(span))
+        rows = rows.select("d", "v", "lo", "anchor", "bytes", "j", F.explode(parts).alias("i"))
+        rows = rows.withColumn("j", F.least(F.col("i") + span - 1, F.col("j")))
+        # Strings begin i to j bytes before the anchor; the context may have only some of them, or none.
+        rows = rows.where(f"anchor - i >= 0 and anchor - j <= length(bytes) - {LENGTH}")
+        rows = rows.withColumn("common", F.expr(f"substring(bytes, anchor - i + 1, {LENGTH} - (j - i))"))
+        groups = rows.groupBy("i", "common").agg(F.min(F.struct("d", "v", F.expr("lo + anchor - i").alias("at"))).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        rows = rows.join(checkpointed(groups), ["i", "common"])
+        # What is left of the context: the bytes of these strings alone.
+        start = F.greatest(F.expr("anchor - j"), F.lit(0))
+        rows = rows.select("d", "v", (F.col("lo") + start).cast("int").alias("lo"), (F.col("anchor") - start).alias("anchor"), F.substring("bytes", start + 1, F.least(F.col("anchor") - F.col("i") + LENGTH, F.length("bytes")) - start).alias("bytes"), "i", "j", "head")
+    at = F.expr("lo + anchor - i")
+    single = rows.where(F.struct("d", "v", at.alias("at")) > F.col("head")).select("d", "v", at.alias("first"), at.alias("last"))
+    return runs.unionByName(single)
 
 
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,32 +325,28 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Every byte that a string of LENGTH bytes covers goes if the string also starts
     earlier: in a document with a smaller id (null first, equal ids by a hash of the
     text; rows that repeat id and text are one and the same), or before in its own.
-    Null is empty; texts below LENGTH bytes stay whole; an empty table gives an empty
-    result; other columns are not looked at. ``spans`` are the removed byte ranges.
+    Null is empty; texts below LENGTH bytes stay whole, very long ones are worked on in
+    overlapping pieces; an empty table gives an empty result; other columns are not
+    looked at. ``spans`` are the removed byte ranges.
     """
-    texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NONE)).alias("d"), whole_text(text_column).alias("text"))
+    texts = in_small_batches(docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NONE)).alias("d"), whole_text(text_column).alias("text")))
     texts = texts.select("d", F.xxhash64("text").alias("v"), "text")
     firsts = texts.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min(F.struct("d", "v")).alias("x")).select("x.d", "x.v", F.lit(False).alias("copy"))
-    hot = frequent_buckets(texts)
-    frequent = texts.sparkSession.createDataFrame([(b, True) for b in hot], "bucket long, hot boolean")
+    frequent = texts.sparkSession.createDataFrame([(b, True) for b in frequent_buckets(texts)], "bucket long, hot boolean")
 
     anchored = texts.join(firsts, ["d", "v"]).select("d", "v", "text").mapInPandas(_anchored, _ANCHOR).join(F.broadcast(frequent), "bucket", "left")
     own = F.when(F.col("hot"), F.xxhash64("bucket", "d", "v")).otherwise(F.col("bucket"))  # frequent ones need no count
     counted = anchored.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(own)))
-    repeated = counted.where("n > 1 or hot").groupBy("d", "v").agg(F.collect_list(F.struct("bucket", (F.col("place") * 2 + F.coalesce("hot", F.lit(False)).cast("long")).alias("place"))).alias("runs"))  # a document's own runs
+    large = (F.coalesce("hot", F.lit(False)) | (F.col("n") > GROUP)).cast("long")
+    repeated = counted.where("n > 1 or hot").groupBy("d", "v").agg(F.collect_list(F.struct("bucket", (F.col("place") * 2 + large).alias("place"))).alias("runs"))  # a document's own runs
 
     def having(runs: DataFrame) -> DataFrame:
         return texts.select("d", "v", "text").join(runs, ["d", "v"])
 
     contexts = having(repeated).mapInPandas(_contexts(False), _CONTEXT)
-    if hot:
-        often = having(repeated.where(F.exists("runs", lambda r: r["place"] % 2 == 1))).mapInPandas(_contexts(True), _CONTEXT)
-        heads = often.groupBy("bucket", "at", "bytes").agg(F.min(F.struct("d", "v", "lo")).alias("head"))
-        after = often.join(heads, ["bucket", "at", "bytes"]).where(F.struct("d", "v", "lo") > F.col("head"))
-        contexts = contexts.unionByName(heads.select("bucket", "head.d", "head.v", "head.lo", "at", "bytes"))
     runs = contexts.repartition(width(texts), "bucket").sortWithinPartitions("bucket", "d", "v", "lo").mapInPandas(_later, "d long, v long, first int, last int")
-    if hot:
-        runs = runs.unionByName(after.select("d", "v", F.col("lo").alias("first"), (F.col("lo") + F.length("bytes") - LENGTH).alias("last")))
+    of_large = having(repeated.where(F.exists("runs", lambda r: r["place"] % 2 == 1))).mapInPandas(_contexts(True), _CONTEXT)
+    runs = runs.unionByName(later_of_large(of_large))
     runs = runs.groupBy("d", "v").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # a document's own runs
     whole = texts.join(firsts, ["d", "v"], "left").join(runs, ["d", "v"], "left")
     whole = whole.select(F.when(F.col("d") != NONE, F.col("d")).alias("doc_id"), "text", F.coalesce("copy", F.lit(True)).alias("copy"), "runs")

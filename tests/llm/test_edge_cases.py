@@ -433,14 +433,64 @@ def test_anchors_of_texts_longer_than_their_low_bits(monkeypatch):
         assert got[1, i] == got[0, 3000 + i] - 3000 == got[0, 4033 + i] - 4033
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT_DOCS, 1])
-def test_remove_repeats(edge, empty, monkeypatch, hot):
-    """With every bucket counted as frequent, the result is the same."""
+@pytest.mark.parametrize(("hot", "group"), [(suffix_dedup.HOT_DOCS, suffix_dedup.GROUP), (1, suffix_dedup.GROUP), (suffix_dedup.HOT_DOCS, 1)])
+def test_remove_repeats(edge, empty, monkeypatch, hot, group):
+    """With every bucket counted as frequent or as large, the result is the same."""
     monkeypatch.setattr(suffix_dedup, "HOT_DOCS", hot)
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     assert bag(r[:5] for r in suffix_dedup.remove_repeats(edge).collect()) == bag(brute_removed(ROWS))
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def passages():
+    """One passage in 300 documents after and before different text, and its parts in some."""
+    import random
+
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    passage, rows = own(260), []
+    for i in range(300):
+        a, b = (0, 260) if i % 3 else sorted(rng.sample(range(261), 2))
+        rows.append((i, own(rng.randrange(0, 130)) + rng.choice(["", "!", "xy"]) + passage[a:b] + own(rng.randrange(0, 130)), ""))
+    return rows
+
+
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 20])
+def test_remove_repeats_of_one_passage_in_different_surroundings(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rows = passages()
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4))
+    assert bag(r[:5] for r in got.collect()) == bag(brute_removed(rows))
+
+
+def test_refinement_compares_bytes_exactly():
+    """Identifiers are equal exactly if the strings are, on data with few different bytes."""
+    rng = np.random.default_rng(6)
+    contexts = [bytes(rng.choice([97, 98], n, p=[0.97, 0.03]).astype(np.uint8)) for n in rng.integers(90, 400, 30)]
+    seen, want = set(), []
+    for row, data in enumerate(contexts):
+        for at in range(len(data) - 99):
+            if data[at : at + 100] in seen:
+                want.append((row, at))
+            seen.add(data[at : at + 100])
+    got = [(r, at) for r, first, last in zip(*suffix_dedup.later_strings(contexts)) for at in range(first, last + 1)]
+    assert got == want and want
+
+
+def test_long_texts_are_worked_on_in_pieces():
+    assert [p for places, _ in suffix_dedup._held(["a" * 1500, "", "b" * 99], 700) for p in places] == [(0, 0), (0, 700), (0, 1400), (1, 0), (2, 0)]
+    found = {}
+    text = "".join(np.random.default_rng(3).choice(list("abc"), 5000))
+    for size in (700, 1 << 20):
+        runs = {}
+        for places, held in suffix_dedup._held([text], size):
+            for piece, bucket, at, lo, hi in zip(*suffix_dedup.anchors(held)):
+                for s in range(lo, hi + 1):
+                    runs[s + places[piece][1]] = (bucket, at + places[piece][1])
+        found[size] = runs
+    assert found[700] == found[1 << 20]
+
+
 def test_quality_classifier(edge, empty, labels):
     got = quality_classifier.classify(edge, labels)
     assert got.select("row.*").columns == edge.columns
