@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, rows_of, whole_text, width, with_text
+from .common import in_small_batches, known_labels, rows_of, whole_text, width, with_text
 
 BUCKETS, DIMENSIONS, NONZERO, BLOCK = 1 << 14, 64, 4, 256
 #: The fit takes at most so many labelled rows, those with the smallest hash of their id.
@@ -86,7 +86,7 @@ def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """The context vectors of all buckets at length 1, from every document of ``texts``."""
     schema, n = "block int, part binary", BUCKETS // BLOCK
-    parts = texts.mapInPandas(_contexts, schema)
+    parts = in_small_batches(texts).mapInPandas(_contexts, schema)
     if (lanes := width(texts) // n) > 1:  # on a large cluster each block is added up in several lanes first
         lane = F.pmod(F.spark_partition_id(), F.lit(lanes))
         parts = parts.repartition(lanes * n, "block", lane).mapInPandas(_added, schema)
@@ -156,10 +156,10 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality") -> dict:
-    """Fit on at most TRAIN_ROWS labelled documents, none of them held out."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sample = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    """Fit on at most TRAIN_ROWS labelled documents, none of them held out; rows that repeat an id count once, with the smallest text."""
+    sample = known_labels(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = _Ids()
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality") -
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: float = CUT) -> DataFrame:
     """``docs`` with ``score`` (probability of label 1) and ``predicted`` added.
 
-    Every text is scored whole; null counts as empty, and empty texts get the network's
+    Every text is scored whole, however long; null counts as empty, and empty texts get the network's
     score for a text without tokens. Equal texts score alike, an empty table gives an
     empty result. Columns of ``docs`` are handed on in a struct ``row``, so that none
     can clash; only text and, for the labels, ``doc_id`` are looked at.

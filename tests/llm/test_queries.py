@@ -46,6 +46,40 @@ def test_learnt_labels_are_those_of_training_rows_only(spark, tmp_path):
         assert one == two
 
 
+@pytest.mark.parametrize(("name", "label", "least", "area"), [("op2_quality_classifier", "quality", 0.97, 0.98), ("op10_toxicity", "toxic", 0.98, 0.96)])
+def test_held_out_accuracy(spark, name, label, least, area):
+    """Accuracy and area under the curve of the query on rows that no label was learnt from, from the raw labels."""
+    import zlib
+
+    sf = "/root/testdata/sf0.1"  # 825 such rows
+    truth = dict(duckdb.sql(f"select doc_id, {label} from '{sf}/labels.parquet' where {label} is not null").fetchall())
+    rows = [r for r in QUERIES[name](spark, sf).collect() if r["doc_id"] in truth and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(rows) > 500 and all(r["held_out"] for r in rows)
+    right = sum(r["predicted"] == truth[r["doc_id"]] for r in rows) / len(rows)
+    one, none = ([r["score"] for r in rows if truth[r["doc_id"]] == y] for y in (1, 0))
+    order = sum((a > b) + 0.5 * (a == b) for a in one for b in none) / (len(one) * len(none))
+    assert right >= least and order >= area, (right, order)
+
+
+def test_toxic_spans_are_places_in_the_text(spark):
+    """Lower case may be longer than the text; offsets are those of the text itself."""
+    from ledgerloom.llm import toxicity
+
+    train = [(f"calm words number {i} here and there", 0) for i in range(40)] + [(f"calm words vilething {i} here", 1) for i in range(20)]
+    model = toxicity.fit([t for t, _ in train], __import__("numpy").array([float(y) for _, y in train]))
+    text = "İİİ calm VileThing here"
+    _, spans = toxicity.tag_texts([text], model)
+    assert "VileThing" in [text[int(a) : int(b)] for a, b in (s.split(":") for s in spans[0].split(",") if s)]
+
+
+def test_contradicting_labels_are_settled_alike(spark):
+    from ledgerloom.llm.common import known_labels
+
+    rows = [(1, 0), (1, 1), (2, 0), (3, 5), (4, None), (None, 1)]
+    got = {tuple(r) for r in known_labels(spark.createDataFrame(rows, "doc_id long, quality int").repartition(3), "quality").collect()}
+    assert got <= {(1, 1), (2, 0)} and got
+
+
 def test_pipeline_stages_against_brute_force(spark, edge, labels, tmp_path):
     import corpus_pipeline
     from ledgerloom.llm import quality_classifier
