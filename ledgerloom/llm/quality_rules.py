@@ -13,13 +13,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, squeezed, whole_text
+from .common import checkpointed, squeezed, whole_text
 
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-ROUNDS, CLOSE, THRESHOLD = 25, 1e-4, 0.5
-SYMBOLS = "[#*$%&|<>]"
-#: Ends of words with two or more marks, and words of marks alone.
-ODD = r"(?:(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+|[^\p{L}\p{N}\x20\x09-\x0D]{2,})(?![^\x20\x09-\x0D])"
+#: EM runs until no estimate moves by CLOSE; it always gets there, MOST_ROUNDS only ends a fit that would not.
+CLOSE, MOST_ROUNDS, THRESHOLD = 1e-6, 10_000, 0.5
+SYMBOLS = "#*$%&|<>"
+#: Ends of words with two or more marks, and words of one mark, in a text whose words stand between single spaces.
+ODD = r"[^\p{L}\p{N}][^\p{L}\p{N}\x20](?=\x20)"
 
 #: (name, measure, good if the measure is within, bad if it is outside of); between the two a rule abstains.
 RULES = (
@@ -49,34 +50,41 @@ END
 """
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
+def _count(text: Column, characters: str) -> Column:
+    """How often any of the characters occurs; no pattern is matched."""
+    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
 def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The measures of each whole text; null counts as empty and has no words and lines."""
-    text = F.col("_text")
+    """The measures of each whole text; null counts as empty and has no words and lines.
+
+    Words come from one pass that squeezes white space; what can be counted by removing
+    characters is, and patterns are left to capitals and odd words.
+    """
+    text, line = F.col("_text"), F.col("_line")
     rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("_text"))
-    line = F.trim(squeezed(text))
     nothing = F.array().cast("array<string>")
+    rows = rows.select("doc_id", "_text", F.trim(squeezed(text)).alias("_line"))
     rows = rows.select(
         "doc_id",
         "_text",
+        "_line",
         F.when(line == "", nothing).otherwise(F.split(line, " ")).alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
+    last = lambda x: F.right(F.rtrim(x), F.lit(1))
     return rows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+        F.when(line == "", 0).otherwise(F.length(line) - F.size("words") + 1).cast("long").alias("word_chars"),
         _count(text, SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(_REPEATED).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        _count(text, r"\p{Lu}").alias("n_capitals"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
         _count(text, "!").alias("n_exclamations"),
-        F.regexp_count(text, F.lit(ODD)).cast("long").alias("n_odd_words"),
-        F.size(F.filter("lines", lambda x: x.rlike(r"[.!?:;\x22)]\s*$"))).cast("long").alias("n_ended_lines"),
+        F.regexp_count(F.concat(F.lit(" "), line, F.lit(" ")), F.lit(ODD)).cast("long").alias("n_odd_words"),
+        F.size(F.filter("lines", lambda x: last(x).isin(*'.!?:;")'))).cast("long").alias("n_ended_lines"),
     )
 
 
@@ -96,29 +104,36 @@ def log_odds(rules: list[str], model: dict) -> Column:
 
 
 def fit(votes: DataFrame, rules: list[str]) -> dict:
-    """Expectation-maximisation over the vote patterns; each round is one small aggregate.
+    """Expectation-maximisation over the vote patterns, counted once by Spark.
 
-    Rules are taken to be better than chance, which settles which class is the good one.
+    They are at most 3 to the number of rules, whatever the corpus size, and the driver
+    works on them alone. Rules are taken to be better than chance, which settles which
+    class is the good one. ``moved`` is the last round's largest change.
     """
-    patterns = checkpointed(votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")))
-    model = {"good": 0.8} | {rule: (0.98, 0.4) for rule in rules}
-    for _ in range(ROUNDS):
-        good = F.col("n") / (1 + F.exp(-log_odds(rules, model)))
-        bad = F.col("n") - good
-        sums = [F.sum(good).alias("good"), F.sum("n").alias("n")]
-        for rule in rules:
-            sums += [F.sum(F.when(F.col(rule) == v, w)).alias(f"{rule}_{name}{v}") for name, w in (("good", good), ("bad", bad)) for v in (0, 1)]
-        row = patterns.agg(*sums).first().asDict()
-        if not row["n"]:
-            return model
-        share = lambda yes, no, least: min(max(((yes or 0) + 1) / ((yes or 0) + (no or 0) + 2), least), 0.999)
-        new = {"good": min(max(row["good"] / row["n"], 0.02), 0.98)}
-        for rule in rules:
-            a = share(row[f"{rule}_good1"], row[f"{rule}_good0"], 0.6)
-            new[rule] = a, share(row[f"{rule}_bad0"], row[f"{rule}_bad1"], min(0.5, 2 * (1 - a)))
-        moved = max(abs(x - y) for k in new for x, y in zip(new[k] if k != "good" else [new[k]], model[k] if k != "good" else [model[k]]))
+    patterns = [tuple(r) for r in votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).collect()]
+    model: dict = {"good": 0.8} | {rule: (0.98, 0.4) for rule in rules} | {"moved": 0.0}
+    total = sum(p[-1] for p in patterns)
+    for _ in range(MOST_ROUNDS if total else 0):
+        good, sums = 0.0, {rule: [0.0, 0.0, 0.0, 0.0] for rule in rules}  # good and bad documents by vote 0 and 1
+        logs = [(math.log((1 - model[r][0]) / model[r][1]), math.log(model[r][0] / (1 - model[r][1]))) for r in rules]
+        start = math.log(model["good"] / (1 - model["good"]))
+        for *own, n in patterns:
+            odds = start + sum(log[v] for log, v in zip(logs, own) if v is not None)
+            p = n / (1 + math.exp(-odds))
+            good += p
+            for rule, v in zip(rules, own):
+                if v is not None:
+                    sums[rule][v] += p
+                    sums[rule][2 + v] += n - p
+        share = lambda yes, no, least: min(max((yes + 1) / (yes + no + 2), least), 0.999)
+        new: dict = {"good": min(max(good / total, 0.02), 0.98)}
+        for rule, (good0, good1, bad0, bad1) in sums.items():
+            a = share(good1, good0, 0.6)
+            new[rule] = a, share(bad0, bad1, min(0.5, 2 * (1 - a)))
+        flat = lambda m: [m["good"], *(x for rule in rules for x in m[rule])]
+        new["moved"] = max(abs(x - y) for x, y in zip(flat(new), flat(model)))
         model = new
-        if moved < CLOSE:
+        if model["moved"] < CLOSE:
             break
     return model
 
@@ -127,8 +142,9 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """Measures, votes, posterior and verdict of each row of ``docs``.
 
     ``kept`` is false where ``base_failed``, else the posterior decides. Null and empty
-    texts have fewer than 50 words and so fail; repeated rows are judged alike; an empty
-    table gives an empty result; other columns are not looked at.
+    texts have fewer than 50 words and so fail; texts of any length are measured whole;
+    repeated rows are judged alike; an empty table gives an empty result; other columns
+    are not looked at.
     """
     rules = [name for name, *_ in RULES]
     measured = measures(docs, id_column, text_column)
