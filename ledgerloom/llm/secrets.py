@@ -3,15 +3,20 @@
 Base rules find assignments, access keys and long hex strings. The method adds long mixed
 strings that look random: a battery of three tests (chi-squared for a uniform alphabet,
 runs about the alphabet's middle, serial correlation) under the encoding that the
-string's characters suggest gives one p-value for "drawn at random". Benjamini and
-Hochberg's rule, over all strings of the corpus and for each length band by itself (long
-strings have power that short ones lack), declares the strings that are not random; at
-most a share of LEVEL of those it declares so are random ones. All others are added.
+string's characters suggest gives one statistic of randomness.
+
+What it gives for *ordinary* strings, text written in the same encoding, is tabulated by
+length band and encoding from a fixed set of simulated ones, letters drawn as often as
+text has them. The share of those that look at least as random as a string is its p-value
+for being ordinary, and Benjamini and Hochberg's rule, in each length band by itself (long
+strings have power that short ones lack) and with Storey's estimate of the number of
+ordinary ones, declares the strings that are not: of those that are *reported*, at most a
+share of LEVEL are ordinary strings. Strings of digits alone are numbers and not tested.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, whole_text
@@ -20,9 +25,13 @@ ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # the maximal runs of 32 and more
 KINDS = ("assign", "access", "hex", "random")
-STRING = r"[A-Za-z0-9+/_=-]{20,}"
-LEVEL, BANDS = 0.05, (4, 5, 6, 7, 8, 9)  # bands: floor of the binary logarithm of the length
-BINS = 120  # p-values are counted by tenths of their decimal logarithm
+LEAST_LENGTH = 20
+STRING = rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}"
+#: Length bands by their shortest strings; a string is in the last one that it reaches.
+LEVEL, BANDS = 0.1, (LEAST_LENGTH, 24, 28, 32, 40, 48, 64, 96, 128, 256, 512)
+NULL_CHARACTERS, NULL_LENGTH = 32_000, 128  # simulated for each band and encoding; longer bands share the strings of NULL_LENGTH
+ORDER_WEIGHT = 0.25
+BINS = 120  # the statistic is counted by tenths
 _ALPHABETS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-="
 _SPAN = "array<struct<start:int,stop:int,text:string>>"
 
@@ -53,7 +62,11 @@ def _two_sided(z: str) -> str:
 
 
 def _battery(token: str, k: str, order: str) -> str:
-    """p-value of "uniform over k characters, independent" for one string.
+    """Statistic of one string against "uniform over k characters, independent": 0 or more, small for random ones.
+
+    The decimal logarithms of the three p-values are added; those of the two tests that
+    go along the string weigh less, as ordinary text differs from random strings by its
+    alphabet most of all, and repeated patterns by their order beyond all measure.
 
     x.c are the characters' places in the alphabet. Chi-squared needs the squared counts
     alone, which the sorted places give; runs and correlation go along the string.
@@ -64,7 +77,7 @@ def _battery(token: str, k: str, order: str) -> str:
     return f"""
       transform(transform(transform(array(struct(
           cast(length({token}) AS double) AS n, {k} AS k,
-          transform(sequence(1, length({token})), i -> cast(instr({order}, substr({token}, i, 1)) AS double)) AS c,
+          transform(filter(split({token}, ''), ch -> ch <> ''), ch -> cast(instr({order}, ch) AS double)) AS c,
           aggregate(array_distinct(split({token}, '')), 0D, (s, ch) -> s + CASE WHEN ch = '' THEN 0D ELSE pow(length({token}) - length(replace({token}, ch, '')), 2) END) AS squares)),
         x -> struct(x.n AS n, x.c AS c, {chi} AS chi, aggregate(x.c, 0D, (s, v) -> s + v) / x.n AS mean, array_sort(x.c)[cast(x.n AS int) div 2] AS middle)),
         x -> struct(x.n AS n, x.chi AS chi,
@@ -72,8 +85,7 @@ def _battery(token: str, k: str, order: str) -> str:
           aggregate(sequence(1, size(x.c) - 1), 1D, (s, i) -> s + CASE WHEN (x.c[i] >= x.middle) <> (x.c[i - 1] >= x.middle) THEN 1D ELSE 0D END) AS runs,
           aggregate(sequence(1, size(x.c) - 1), 0D, (s, i) -> s + (x.c[i] - x.mean) * (x.c[i - 1] - x.mean)) AS lagged,
           aggregate(x.c, 0D, (s, v) -> s + pow(v - x.mean, 2)) AS spread)),
-        y -> transform(array(-ln(greatest(1e-12D, {_normal("-(y.chi)")})) - ln({_two_sided(runs)}) - ln({_two_sided(serial)})),
-          h -> exp(-h) * (1 + h + h * h / 2))[0])[0]"""
+        y -> -log10(greatest(1e-12D, {_normal("-(y.chi)")})) - {ORDER_WEIGHT}D * (log10({_two_sided(runs)}) + log10({_two_sided(serial)})))[0]"""
 
 
 #: Encodings in the order in which they are tried: (pattern, string to be tested, alphabet size, its order).
@@ -87,15 +99,55 @@ _ENCODINGS = (
 )
 
 
-def _scored(strings: str) -> Column:
-    """Strings to (start, stop, band, bin of the p-value)."""
-    tested = "CASE " + " ".join(f"WHEN t.text RLIKE r'{p}' THEN {s}" for p, s, *_ in _ENCODINGS) + " END"
-    size = "CASE " + " ".join(f"WHEN t.text RLIKE r'{p}' THEN {k}D" for p, _, k, _ in _ENCODINGS) + " END"
-    order = "CASE " + " ".join(f"WHEN t.text RLIKE r'{p}' THEN {o}" for p, _, _, o in _ENCODINGS) + " END"
+#: How often the letters a to z occur in a thousand letters of English text, at least once.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+_URN = "".join(chr(97 + i) * n for i, n in enumerate(LETTERS))
+#: Shares in percent of capitals, digits and marks in ordinary strings of the larger alphabets.
+CAPITALS, DIGITS, MARKS = 10, 5, 5
+
+
+def _encoding() -> str:
+    """Place of a string's encoding in _ENCODINGS."""
+    return "CASE " + " ".join(f"WHEN t.text RLIKE r'{p}' THEN {i}" for i, (p, *_) in enumerate(_ENCODINGS)) + " END"
+
+
+def _scored(strings: str, encoding: str = _encoding()) -> Column:
+    """Strings to (start, stop, band, encoding, bin of the statistic)."""
+    case = lambda at: "CASE t.encoding " + " ".join(f"WHEN {i} THEN {e[at]}" + "D" * (at == 2) for i, e in enumerate(_ENCODINGS)) + " END"
     return F.expr(f"""
-      transform(transform({strings}, t -> struct(t.start AS start, t.stop AS stop, {tested} AS tested, {size} AS k, {order} AS alphabet)),
-        t -> struct(t.start AS start, t.stop AS stop, cast(least({BANDS[-1]}, floor(log2(t.stop - t.start))) AS int) AS band,
-          cast(least({BINS}D, floor(-10 * log10(greatest(1e-12D, {_battery("t.tested", "t.k", "t.alphabet")})))) AS int) AS bin))""")
+      transform(transform(transform({strings}, t -> struct(t.start AS start, t.stop AS stop, t.text AS text, {encoding} AS encoding)),
+        t -> struct(t.start AS start, t.stop AS stop, t.encoding AS encoding, {case(1)} AS tested, {case(2)} AS k, {case(3)} AS alphabet)),
+        t -> struct(t.start AS start, t.stop AS stop, array_max(filter(array({", ".join(map(str, BANDS))}), b -> b <= t.stop - t.start)) AS band, t.encoding AS encoding,
+          cast(least({BINS}D, floor(10 * {_battery("t.tested", "t.k", "t.alphabet")})) AS int) AS bin))""")
+
+
+def ordinary(spark: SparkSession) -> dict[tuple[int, int], dict[int, int]]:
+    """Number of simulated ordinary strings by (band, encoding) and bin; the same in every run and on every corpus.
+
+    Text in hexadecimal is the code of its characters, in capitals and digits its capital
+    letters and some digits, in the larger alphabets the text with some capitals, digits
+    and marks. A band is represented by its shortest strings, which are the hardest.
+    """
+    if not _ordinary:
+        letter, kind = f"substr('{_URN}', 1 + cast(pmod(h, {len(_URN)}) AS int), 1)", "pmod(shiftright(h, 20), 100)"
+        digit = lambda digits: f"substr('{digits}', 1 + cast(pmod(h, {len(digits)}) AS int), 1)"
+        capital = f"WHEN {kind} < {DIGITS + CAPITALS} THEN upper({letter}) ELSE {letter} END"
+        number = f"CASE WHEN {kind} < {DIGITS} THEN {digit('0123456789')}"
+        mark = f"WHEN {kind} >= {100 - MARKS} THEN {digit('+/_-')}"
+        drawn = f"CASE i WHEN 2 THEN CASE WHEN {kind} < {DIGITS} THEN {digit('234567')} ELSE upper({letter}) END WHEN 3 THEN {number} {capital} WHEN 4 THEN {number} {mark} {capital} ELSE {letter} END"
+        shortest = [b for b in BANDS if b <= NULL_LENGTH]
+        rows = spark.createDataFrame([(n, i) for n in shortest for i in range(len(_ENCODINGS))], "n int, i int").repartition(spark.sparkContext.defaultParallelism, "n", "i")
+        rows = rows.select("n", "i", F.explode(F.expr(f"sequence(1, {NULL_CHARACTERS} div n)")).alias("id"))
+        rows = rows.withColumn("text", F.expr(f"array_join(transform(transform(sequence(1, CASE i WHEN 0 THEN n div 2 ELSE n END), at -> xxhash64(id, at, n, i)), h -> {drawn}), '')"))
+        rows = rows.select("i", F.expr("array(struct(0 AS start, n AS stop, CASE i WHEN 0 THEN lower(hex(text)) ELSE text END AS text))").alias("strings"))
+        for r in rows.select(F.explode(_scored("strings", "i")).alias("x")).groupBy("x.band", "x.encoding", "x.bin").count().collect():
+            for band in BANDS:
+                if min(band, shortest[-1]) == r["band"]:
+                    _ordinary.setdefault((band, r["encoding"]), {})[r["bin"]] = r["count"]
+    return _ordinary
+
+
+_ordinary: dict[tuple[int, int], dict[int, int]] = {}
 
 
 def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -107,7 +159,7 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         F.expr(rf"CASE WHEN _text RLIKE r'{ASSIGN}' THEN regexp_extract_all(_text, r'{ASSIGN}', 2) ELSE cast(array() AS array<string>) END").alias("values"),
         spans("_text", ACCESS).alias("access"),
         spans("_text", HEX).alias("hex"),
-        spans("_text", STRING).alias("strings"),
+        F.filter(spans("_text", STRING), lambda x: ~x["text"].rlike("^[0-9]+$")).alias("strings"),
     )
     place = "x -> struct(x.start AS start, x.stop AS stop)"
     return rows.select(
@@ -118,34 +170,42 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         _scored("strings").alias("strings"),
     )
 
-def thresholds(found: DataFrame, level: float = LEVEL) -> dict[int, int]:
-    """Length band to the bin from which strings are not random; at most BINS + 1 for each.
+def thresholds(found: DataFrame, level: float = LEVEL) -> dict[tuple[int, int], int]:
+    """(band, encoding) to the last bin whose strings are reported, for those that have one.
 
-    The histogram has at most bands times bins rows, whatever the corpus size.
+    The histogram of all tested strings has at most bands times encodings times bins
+    rows, whatever the corpus size.
     """
-    counts = {(r["band"], r["bin"]): r["count"] for r in found.select(F.explode("strings").alias("x")).groupBy("x.band", "x.bin").count().collect()}
-    least = {}
+    counts = found.select(F.explode("strings").alias("x")).groupBy("x.band", "x.encoding", "x.bin").count().collect()
+    null, last = ordinary(found.sparkSession), {}
     for band in BANDS:
-        tested = {b: n for (k, b), n in counts.items() if k == band}
-        for b in range(BINS + 1):
-            declared = sum(n for x, n in tested.items() if x >= b)
-            if declared and 10 ** (-b / 10) * sum(tested.values()) / declared <= level:
-                least[band] = b
-                break
-        least.setdefault(band, BINS + 1)
-    return least
+        cells = []
+        for r in counts:
+            if r["band"] == band:
+                own = null[band, r["encoding"]]
+                cells.append(((1 + sum(n for b, n in own.items() if b <= r["bin"])) / (1 + sum(own.values())), r["encoding"], r["bin"], r["count"]))
+        total = sum(n for *_, n in cells)
+        of_null = min(total, 2 * (1 + sum(n for p, *_, n in cells if p > 0.5)))
+        cut, so_far = 0.0, 0
+        for p, _, _, n in sorted(cells):
+            so_far += n
+            if of_null * p <= level * so_far:
+                cut = p
+        for p, encoding, b, _ in cells:
+            if p <= cut:
+                last[band, encoding] = max(b, last.get((band, encoding), 0))
+    return last
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", level: float = LEVEL) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random`` of each row.
 
-    Null and empty texts have no spans; rows that repeat are scanned alike; an empty
-    table gives an empty result; other columns are not looked at. Added spans are of kind
+    Null and empty texts have no spans; texts of any length are scanned whole; rows that
+    repeat are scanned alike; an empty table gives an empty result; other columns are not looked at. Added spans are of kind
     ``random`` and overlap no base span.
     """
     found = checkpointed(features(docs, id_column, text_column))
-    least = thresholds(found, level)
-    passes = " OR ".join(f"(x.band = {band} AND x.bin < {b})" for band, b in least.items())
+    passes = " OR ".join(f"(x.band = {band} AND x.encoding = {e} AND x.bin <= {b})" for (band, e), b in thresholds(found, level).items()) or "false"
     clear = " AND ".join(f"NOT exists({kind}, b -> b.start < x.stop AND x.start < b.stop)" for kind in KINDS[:3])
     rows = found.withColumn("random", F.expr(f"filter(strings, x -> ({passes}) AND {clear})"))
     row = lambda kind: f"transform({kind}, x -> struct(x.start AS start, {KINDS.index(kind)} AS rank, concat('{kind}:', x.start, ':', x.stop) AS span))"

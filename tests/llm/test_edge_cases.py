@@ -229,6 +229,34 @@ def test_secrets_of_one_case(spark):
     assert len(found & set(range(100))) >= 90 and len(found & set(range(100, 200))) >= 90 and not found - set(range(200))
 
 
+def planted_keys():
+    """Keys of several encodings, and ordinary long strings: identifiers, glued words, paths, numbers, text in hex."""
+    import random
+    import string
+
+    rng = random.Random(8)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    alnum, common = string.ascii_letters + string.digits, "the of and to in is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if will each about how up out them then she many some so these would other into has more two".split()
+    glued = lambda n: "".join(rng.choice(common) for _ in range(n))
+    keys = [pick(x, n) for x, n in ((alnum, 24), (alnum, 32), (alnum + "+/", 44), ("0123456789abcdef", 64), (string.ascii_lowercase, 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 52)) for _ in range(40)]
+    camel = lambda: "".join(rng.choice(common).title() for _ in range(8))
+    plain = [f() for f in (lambda: glued(9), camel, lambda: glued(3) + "/" + glued(3) + "/" + glued(4), lambda: glued(12).upper(), lambda: pick("0123456789", 24), lambda: (glued(3) + " " + glued(3)).encode().hex()[:31], lambda: "-" * 40, lambda: "_".join(rng.choice(common) for _ in range(9))) for _ in range(60)]
+    return keys, [x for x in plain if len(x) >= 20]
+
+
+def test_secrets_precision_and_recall(spark):
+    """At least 0.9 of the planted keys are reported, and at most a tenth of what is reported is ordinary, the level."""
+    keys, plain = planted_keys()
+    rows = [(i, f"some words {x} and more") for i, x in enumerate(keys + plain)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r["doc_id"] for r in got if r["n_random"] or r["n_hex"]}
+    right = len({i for i in found if i < len(keys)})
+    assert right >= 0.9 * len(keys) and right >= 0.9 * len(found), (right, len(keys), len(found))
+    for n in (24, 32):
+        own = {i for i, x in enumerate(keys) if len(x) == n}
+        assert len(found & own) >= 0.85 * len(own), (n, len(found & own))
+
+
 def brute_measures(text):
     text = text or ""
     w = words(text)
