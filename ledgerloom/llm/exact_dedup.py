@@ -26,7 +26,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     ``keep_id`` is the smallest id of the group, ``kept`` marks the row that has it.
-    Null text counts as empty. Rows that repeat both id and text are the same row: all of
+    Null text counts as empty, texts of any length are compared whole. Rows that repeat both id and text are the same row: all of
     them carry the same flags. A null id is kept only in a group without any other id.
     An empty table gives an empty result; other columns of ``docs`` are not looked at.
 
@@ -48,7 +48,9 @@ def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """The rows of ``docs``, all columns, that stay: of equal texts the smallest id.
 
     The ids that go are found on hashes alone; the documents meet them once, in a left
-    anti join on the id and its content hash.
+    anti join on the id and its content hash. Rows that repeat the id and the text of the
+    one that stays all stay. Nulls, empty and long texts are as in :func:`exact_groups`;
+    an empty table gives an empty result.
     """
     flags = exact_groups(docs, id_column, text_column)
     gone = flags.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()

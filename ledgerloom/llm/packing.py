@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, whole_text, width
+from .common import SENT_ROWS, checkpointed, in_small_batches, whole_text, width
 
 WINDOW, END_ID = 2048, 1
-#: Ranks are counted in so many parts of a length, each by itself.
-PARTS = 4096
+#: Ranks are counted in so many parts of a length, each by itself, and in more when a part would have more than PART_ROWS.
+PARTS, PART_ROWS = 4096, 1_000_000
 
 
 def _encoder(name: str):
@@ -180,8 +180,8 @@ def _cut_sums(vocabulary: str):
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    Every row of ``docs`` is packed, repeated ids and rows too; null text is empty and has
-    the end id alone. Sequences below the number of packed windows hold remainders, those
+    Every row of ``docs`` is packed, repeated ids and rows and rows without id too; null
+    text is empty and has the end id alone; long texts take as many windows as they need. Sequences below the number of packed windows hold remainders, those
     above one full window each. No two pieces of a sequence overlap and none is cut
     but to close a gap. An empty table gives an empty result; only ``doc_id`` and
     ``text`` are read, whatever other columns are called.
@@ -189,8 +189,9 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
     The ids are not kept: checksums of windows and remainders are taken as the text is
     encoded, and only documents whose remainder is cut are encoded once more.
     """
-    texts = docs.select("doc_id", whole_text().alias("text"))
+    texts = in_small_batches(docs.select("doc_id", whole_text().alias("text")))
     measured = checkpointed(texts.mapInPandas(_measured(vocabulary, WINDOW), "doc_id long, doc_tokens long, sums array<long>"))
+    parts = max(PARTS, measured.count() // PART_ROWS)
     rows = measured.select(
         "doc_id",
         "doc_tokens",
@@ -198,7 +199,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
         (F.col("doc_tokens") % WINDOW).cast("int").alias("rest"),
         F.expr(f"doc_tokens div {WINDOW}").alias("full"),
         F.when(F.col("doc_tokens") % WINDOW > 0, F.element_at("sums", -1)).otherwise(F.lit(0).cast("long")).alias("tail"),
-        F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(PARTS)).cast("int").alias("part"),
+        F.pmod(F.xxhash64("doc_id", "doc_tokens", F.when(F.col("doc_id").isNull(), F.spark_partition_id())), F.lit(parts)).cast("int").alias("part"),  # rows without id are spread, too
     )
     histogram = {r["rest"]: r["count"] for r in rows.where("rest > 0").groupBy("rest").count().collect()}  # at most WINDOW - 1 rows
     plan, packed = plan_windows(histogram)
@@ -215,7 +216,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("part", "rest").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("full"))
     ranks = sizes.select("part", "rest", F.coalesce(F.sum("n").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rank0"))
-    fulls = sizes.groupBy("part").agg(F.sum("full").alias("full")).select("part", F.coalesce(F.sum("full").over(before), F.lit(0)).alias("full0"))  # PARTS rows
+    fulls = sizes.groupBy("part").agg(F.sum("full").alias("full")).select("part", F.coalesce(F.sum("full").over(before), F.lit(0)).alias("full0"))  # one row a part
     ranked = ranked.join(ranks, ["part", "rest"]).join(fulls, "part")
 
     whole = ranked.where("full > 0").select("doc_id", "doc_tokens", F.posexplode(F.slice("sums", F.lit(1), F.col("full").cast("int"))).alias("i", "ids_crc32"), (F.col("fulls") + F.col("full0") + packed).alias("base"))
@@ -223,7 +224,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
 
     at = F.col("rank") + F.col("rank0")
     rest = ranked.where("rest > 0").select("doc_id", "doc_tokens", "tail", "rest", "full", at.alias("at"))
-    rest = rest.join(F.broadcast(intervals), "rest").where("at >= first and at < last")
+    rest = rest.join(F.broadcast(intervals) if len(plan) <= SENT_ROWS else intervals, "rest").where("at >= first and at < last")
     rest = rest.select(
         "doc_id",
         (F.col("full") * WINDOW + F.col("cut_start")).alias("start"),
@@ -242,7 +243,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
     cut = rest.where("cut")
     jobs = cut.select("doc_id", "doc_tokens", "tail", "start", "length").distinct()
     cuts = jobs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("cuts"))  # a document's own cuts
-    if sum(last - first for length, first, last, _, n, _, _ in plan if n < length) <= 100_000:
+    if sum(last - first for length, first, last, _, n, _, _ in plan if n < length) <= SENT_ROWS:
         cuts = F.broadcast(cuts)  # checked: so many ids and cuts at most
     again = texts.join(cuts.withColumnRenamed("doc_id", "cut_id"), F.col("doc_id").eqNullSafe(F.col("cut_id"))).select("doc_id", "text", "cuts").mapInPandas(_cut_sums(vocabulary), "doc_id long, doc_tokens long, tail long, start long, length long, ids_crc32 long")
     again = again.dropDuplicates(["doc_id", "doc_tokens", "tail", "start", "length"])

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, whole_text, width
+from .common import in_small_batches, new_folder, whole_text, width
 
 CHUNK, SMALLEST_REVISITED = 1 << 16, 1000
 ARCHIVE = "record string, chunk int, data binary, digest string"
@@ -33,8 +33,9 @@ def classify(pages: DataFrame, page_id: str = "page_id", html: str = "html", url
 
     Of the pages with equal payloads of at least SMALLEST_REVISITED bytes that with the
     largest id is the response. Payloads are equal when two digests and the length agree.
-    Null html is the empty payload. Repeated rows are all responses if they have the
-    largest id; a null id is a response only if no equal payload has another id.
+    Null html is the empty payload, payloads of any length are compared by digests.
+    Repeated rows are all responses if they have the largest id; a null id is a response
+    only if no equal payload has another id. An empty table gives an empty result.
     """
     rows = pages.select(
         F.col(page_id).alias("page_id"),
@@ -48,16 +49,16 @@ def classify(pages: DataFrame, page_id: str = "page_id", html: str = "html", url
     return rows.select("page_id", "url", "payload", "sha1", F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("holder")).alias("refers_to"))
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}')}>"
+def _header(row: dict, record: str, size: int, date: str) -> bytes:
+    """The header fields of one record and the empty line.
 
-
-def _header(row: dict, size: int, date: str) -> bytes:
-    """The header fields of one record and the empty line."""
+    The id is that of the record's place in the archive, so repeated pages and pages
+    without id have different ones; a revisit names the page that it refers to.
+    """
     revisit = row["record_type"] == "revisit"
     fields = {
         "WARC-Type": row["record_type"],
-        "WARC-Record-ID": _urn(row["page_id"]),
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{row['page_id']} {row['sha1']} {record}')}>",
         "WARC-Date": date,
         "WARC-Target-URI": "".join((row["url"] or "about:blank").split()),
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(row["sha1"])).decode(),
@@ -68,7 +69,7 @@ def _header(row: dict, size: int, date: str) -> bytes:
     if row["page_id"] is not None:
         fields["X-Page-Id"] = row["page_id"]
     if revisit:
-        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": _urn(row["refers_to"]), "X-Refers-To-Page-Id": row["refers_to"]}
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To-Date": date, "X-Refers-To-Page-Id": row["refers_to"]}
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode()
 
 
@@ -83,7 +84,7 @@ def _chunks(date: str, chunk_bytes: int):
             for i, row in enumerate(batch.drop_columns(["payload"]).to_pylist()):
                 payload, digest = memoryview(payloads[i].as_buffer()), hashlib.sha1()
                 record, number = f"{task:06d}-{number:012d}", number + 1
-                out.append((record, 0, _header(row, len(payload), date), digest.hexdigest()))
+                out.append((record, 0, _header(row, record, len(payload), date), digest.hexdigest()))
                 stored = len(payload) if row["record_type"] == "response" else 0
                 for chunk, start in enumerate(range(0, stored, chunk_bytes), 1):
                     part = bytes(payload[start : start + chunk_bytes])
@@ -104,7 +105,7 @@ def _chunks(date: str, chunk_bytes: int):
 
 def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", chunk_bytes: int = CHUNK, **columns: str) -> None:
     """Write one WARC record per page to the chunk table at ``path``."""
-    classify(pages, **columns).mapInArrow(_chunks(date, chunk_bytes), ARCHIVE).write.option("compression", "zstd").parquet(path)
+    in_small_batches(classify(pages, **columns)).mapInArrow(_chunks(date, chunk_bytes), ARCHIVE).write.option("compression", "zstd").parquet(path)
 
 
 def _fields(header: bytes) -> dict[str, str]:
@@ -160,7 +161,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     changed or misplaced chunk ends the query with an error that names it.
     """
     chunks = spark.read.schema(ARCHIVE).parquet(path)
-    return chunks.repartition(width(chunks), "record").sortWithinPartitions("record", "chunk").mapInArrow(_read, INDEX)
+    return in_small_batches(chunks.repartition(width(chunks), "record").sortWithinPartitions("record", "chunk")).mapInArrow(_read, INDEX)
 
 
 def warc_bytes(spark: SparkSession, path: str, record: str) -> Iterator[bytes]:
@@ -172,6 +173,6 @@ def warc_bytes(spark: SparkSession, path: str, record: str) -> Iterator[bytes]:
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Write an archive to the shared folder and read it back. An empty table gives an empty result."""
-    path = f"{checkpoint_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = new_folder(pages.sparkSession, "warc")
     write_archive(pages, path, **columns)
     return read_archive(pages.sparkSession, path)

@@ -94,7 +94,6 @@ def test_pack(edge, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs = Counter()
     for i, text, _ in ROWS:
         docs[i, tuple([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1])] += 1
@@ -124,6 +123,17 @@ def test_token_ids_with_added_tokens():
         assert packing.token_ids(text, "byte_bpe_50k.tiktoken").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_token_ids_of_a_whole_table():
+    """The contract's tokenizer, with its own settings, on every text of a table."""
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for (text,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall():
+        assert packing.token_ids(text or "", "byte_bpe_50k.tiktoken").tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+
+
 def test_pack_cuts_documents_without_id(spark):
     """Every id of a null-id table is in a piece, also of remainders that are cut."""
     texts = [" ".join(["a"] * n) for n in (1500, 1501, 1502, 1503, 1504, 1700)]
@@ -179,6 +189,8 @@ def test_warc(spark, edge, empty, tmp_path):
     warc.write_archive(pages, path, chunk_bytes=1000)
     assert bag(warc.read_archive(spark, path).collect()) == bag(want)
     chunks = spark.read.parquet(path)
+    ids = [re.search(rb"WARC-Record-ID: (.+)\r", r["data"])[1] for r in chunks.where("chunk = 0").collect()]
+    assert len(ids) == len(set(ids)) == len(ROWS)
     assert max(len(r["data"]) for r in chunks.where("chunk > 0").collect()) <= 1000
     record = chunks.where("chunk = 3").first()["record"]
     data = b"".join(warc.warc_bytes(spark, path, record))
