@@ -21,8 +21,8 @@ A bucket of more than GROUP anchors (one passage in a third of all documents) is
 Spark instead of by one task: equal surroundings are folded with map-side aggregation, and
 the rest goes down a tree of places: a row stands for the strings whose anchor is at
 places i to j, which have the bytes about the anchor in common; rows are grouped by these
-bytes, those alone go, the others are split into smaller spans of places, down to single
-strings. So no task holds a large bucket, and what is grouped is always the bytes.
+bytes, those alone go, equal ones are folded, and the others are split into smaller spans
+of places, down to single strings. So no task holds a large bucket, and what is grouped is always the bytes.
 
 A document whose whole text came before goes whole, so only the first copy of each text is
 looked at; all joins with texts read one shuffle of them.
@@ -49,7 +49,7 @@ SAMPLE_DOCS, HOT_DOCS = 20_000, 200
 GROUP = 4096
 #: Spans of places, from level to level, of a large bucket's refinement.
 SPANS = (9, 1)
-CHUNK = 1 << 20
+CHUNK, TOGETHER = 1 << 20, 1 << 18  # bytes of text that are looked at, and of surroundings that are refined, at once
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 NONE = -(1 << 63)  # stands for a null id
@@ -178,9 +178,10 @@ def later_strings(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     left = sizes[row] - at
     bucket = refined(np.frombuffer(b"".join(contexts), np.uint8), left)
     whole = np.flatnonzero(left >= LENGTH)
-    _, first = np.unique(bucket[whole], return_index=True)
-    old = np.ones(len(whole), bool)
-    old[first] = False
+    own = bucket[whole]
+    first = np.empty(2 * len(row) + 1, np.int64)
+    first[own[::-1]] = whole[::-1]  # of repeated places the last one written stays: the first string
+    old = first[own] != whole
     hits = whole[old]
     new = np.flatnonzero(np.r_[True, (row[hits][1:] != row[hits][:-1]) | (hits[1:] != hits[:-1] + 1)]) if len(hits) else np.zeros(0, np.int64)
     stop = np.r_[new[1:], len(hits)] - 1 if len(hits) else new
@@ -221,13 +222,13 @@ def _contexts(large: bool):
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of bucket to frames of whole buckets, of about CHUNK bytes or one bucket each."""
+    """Rows in order of bucket to frames of whole buckets, of about TOGETHER bytes or one bucket each."""
     held, size = None, 0
     for batch in batches:
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
         size += int(batch["bytes"].map(len).sum()) if len(batch) else 0
         bucket = held["bucket"].to_numpy()
-        if size > CHUNK and bucket[0] != bucket[-1]:
+        if size > TOGETHER and bucket[0] != bucket[-1]:
             cut = int(np.searchsorted(bucket, bucket[-1]))
             yield held[:cut]
             held = held[cut:].reset_index(drop=True)
@@ -271,20 +272,24 @@ def later_of_large(contexts: DataFrame) -> DataFrame:
     # A row: the strings of a context whose anchor is at places i to j in them; ``anchor`` is its place in ``bytes``.
     rows = heads.select("head.d", "head.v", "head.lo", F.col("at").alias("anchor"), "bytes", F.lit(0).alias("i"), F.lit(SPAN - 1).alias("j"))
     for span in SPANS:
-        parts = F.sequence(F.col("i"), F.col("j"), F.lit(span))
-        rows = rows.select("d", "v", "lo", "anchor", "bytes", "j", F.explode(parts).alias("i"))
+        rows = rows.select("d", "v", "lo", "anchor", "bytes", "j", F.explode(F.sequence(F.col("i"), F.col("j"), F.lit(span))).alias("i"))
         rows = rows.withColumn("j", F.least(F.col("i") + span - 1, F.col("j")))
         # Strings begin i to j bytes before the anchor; the context may have only some of them, or none.
         rows = rows.where(f"anchor - i >= 0 and anchor - j <= length(bytes) - {LENGTH}")
-        rows = rows.withColumn("common", F.expr(f"substring(bytes, anchor - i + 1, {LENGTH} - (j - i))"))
-        groups = rows.groupBy("i", "common").agg(F.min(F.struct("d", "v", F.expr("lo + anchor - i").alias("at"))).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        rows = rows.join(checkpointed(groups), ["i", "common"])
-        # What is left of the context: the bytes of these strings alone.
+        if span > 1:  # rows alone with the bytes that their strings have in common go
+            rows = rows.withColumn("common", F.expr(f"substring(bytes, anchor - i + 1, {LENGTH} - (j - i))"))
+            groups = rows.groupBy("i", "common").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "common")
+            rows = rows.join(checkpointed(groups), ["i", "common"], "left_semi").drop("common")
+        # What is left of the context: the bytes of these strings alone. Equal ones are folded.
         start = F.greatest(F.expr("anchor - j"), F.lit(0))
-        rows = rows.select("d", "v", (F.col("lo") + start).cast("int").alias("lo"), (F.col("anchor") - start).alias("anchor"), F.substring("bytes", start + 1, F.least(F.col("anchor") - F.col("i") + LENGTH, F.length("bytes")) - start).alias("bytes"), "i", "j", "head")
-    at = F.expr("lo + anchor - i")
-    single = rows.where(F.struct("d", "v", at.alias("at")) > F.col("head")).select("d", "v", at.alias("first"), at.alias("last"))
-    return runs.unionByName(single)
+        own = F.substring("bytes", start + 1, F.least(F.col("anchor") - F.col("i") + LENGTH, F.length("bytes")) - start)
+        rows = rows.select("d", "v", (F.col("lo") + start).cast("int").alias("lo"), (F.col("anchor") - start).alias("anchor"), own.alias("bytes"), "i", "j")
+        heads = rows.groupBy("i", "j", "anchor", "bytes").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n"))
+        heads = checkpointed(heads)
+        again = rows.join(heads.where("n > 1").drop("n"), ["i", "j", "anchor", "bytes"]).where(place > F.col("head"))
+        runs = runs.unionByName(again.select("d", "v", F.col("lo").alias("first"), (F.col("lo") + F.length("bytes") - LENGTH).alias("last")))
+        rows = heads.select("head.d", "head.v", "head.lo", "anchor", "bytes", "i", "j")
+    return runs
 
 
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,6 +344,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     counted = anchored.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(own)))
     large = (F.coalesce("hot", F.lit(False)) | (F.col("n") > GROUP)).cast("long")
     repeated = counted.where("n > 1 or hot").groupBy("d", "v").agg(F.collect_list(F.struct("bucket", (F.col("place") * 2 + large).alias("place"))).alias("runs"))  # a document's own runs
+    repeated = checkpointed(repeated)  # short rows that both routes read
 
     def having(runs: DataFrame) -> DataFrame:
         return texts.select("d", "v", "text").join(runs, ["d", "v"])
