@@ -81,6 +81,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """``df``, a checkpoint; Spark is told to remove the shuffle files of the lineage that it cut off.
+
+    Its cleaner acts when the driver collects garbage, which a long query may not do by itself.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared checkpoint folder."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_small_batches, whole_text, width
+from .common import checkpointed, in_small_batches, released, whole_text, width
 from .minhash import mixed
 
 LENGTH, Q = 100, 32
@@ -344,7 +344,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     counted = anchored.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(own)))
     large = (F.coalesce("hot", F.lit(False)) | (F.col("n") > GROUP)).cast("long")
     repeated = counted.where("n > 1 or hot").groupBy("d", "v").agg(F.collect_list(F.struct("bucket", (F.col("place") * 2 + large).alias("place"))).alias("runs"))  # a document's own runs
-    repeated = checkpointed(repeated)  # short rows that both routes read
+    repeated = released(checkpointed(repeated))  # short rows that both routes read
 
     def having(runs: DataFrame) -> DataFrame:
         return texts.select("d", "v", "text").join(runs, ["d", "v"])
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     contexts = having(repeated).mapInPandas(_contexts(False), _CONTEXT)
     runs = contexts.repartition(width(texts), "bucket").sortWithinPartitions("bucket", "d", "v", "lo").mapInPandas(_later, "d long, v long, first int, last int")
     of_large = having(repeated.where(F.exists("runs", lambda r: r["place"] % 2 == 1))).mapInPandas(_contexts(True), _CONTEXT)
-    runs = runs.unionByName(later_of_large(of_large))
+    runs = released(runs.unionByName(later_of_large(of_large)))
     runs = runs.groupBy("d", "v").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # a document's own runs
     whole = texts.join(firsts, ["d", "v"], "left").join(runs, ["d", "v"], "left")
     whole = whole.select(F.when(F.col("d") != NONE, F.col("d")).alias("doc_id"), "text", F.coalesce("copy", F.lit(True)).alias("copy"), "runs")
