@@ -1,73 +1,136 @@
-"""Cron expressions of five or six fields (seconds first), in UTC."""
+"""Cron expressions of five or six fields (seconds first), in UTC, as columns.
+
+A schedule is parsed to a struct of the allowed numbers of each field; days must fit day,
+month and weekday alike. All functions take columns and work on whole tables of schedules;
+store what ``parse`` gives in a column of its own first, as the others look at it many times.
+"""
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
-from functools import lru_cache
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+#: Fields in order with their least and largest number, and the names of months and weekdays.
 FIELDS = (("second", 0, 59), ("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7))
-NAMES = {n: i for i, n in enumerate(("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"), 1)} | {n: i for i, n in enumerate(("SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT"))}
-
-
-def _field(text: str, low: int, high: int) -> frozenset[int]:
-    value = lambda x: NAMES[x.upper()] if x.upper() in NAMES else int(x)
-    found: set[int] = set()
-    for part in text.split(","):
-        body, _, step = part.partition("/")
-        first, last = low, high
-        if body not in ("*", "?"):
-            a, _, b = body.partition("-")
-            first = value(a)
-            last = value(b) if b else high if step else first
-        if not (low <= first <= high and low <= last <= high) or (step and int(step) < 1):
-            raise ValueError(f"{part} is outside of {low} to {high}")
-        found.update(range(first, last + 1, int(step or 1)))
-    return frozenset(found)
-
-
-@lru_cache(1024)
-def parse(expression: str) -> tuple[frozenset[int], ...]:
-    parts = expression.split()
-    if len(parts) == 5:
-        parts = ["0", *parts]
-    if len(parts) != 6:
-        raise ValueError(f"{expression!r} has {len(parts)} fields")
-    fields = [_field(p, low, high) for p, (_, low, high) in zip(parts, FIELDS)]
-    fields[5] = frozenset(d % 7 for d in fields[5])
-    return (*fields, parts[3] in "*?", parts[5] in "*?")
-
-
-def next_occurrence(expression: str, after: datetime, years: int = 8) -> datetime | None:
-    """The first occurrence strictly after a time; None if there is none within ``years``."""
-    second, minute, hour, day, month, weekday, any_day, any_weekday = parse(expression)
-
-    def fits(d: datetime) -> bool:
-        by_day, by_week = d.day in day, (d.weekday() + 1) % 7 in weekday
-        return d.month in month and (by_day and by_week if any_day or any_weekday else by_day and by_week)
-
-    start = after.replace(microsecond=0) + timedelta(seconds=1)
-    date = start.replace(hour=0, minute=0, second=0)
-    for _ in range(366 * years):
-        if fits(date):
-            for h in sorted(hour):
-                for m in sorted(minute):
-                    if date.replace(hour=h, minute=m, second=59) < start:
-                        continue
-                    for s in sorted(second):
-                        if (found := date.replace(hour=h, minute=m, second=s)) >= start:
-                            return found
-        date += timedelta(days=1)
-    return None
-
-
-def catch_up(expression: str, last_fired: datetime | None, now: datetime, window: timedelta, most: int = 100_000) -> datetime | None:
-    """The latest missed occurrence in (last_fired, now], if it is at most ``window`` old; none without a watermark."""
-    if last_fired is None:
-        return None
-    missed, at = None, last_fired
-    for _ in range(most):
-        at = next_occurrence(expression, at)
-        if at is None or at > now:
-            break
-        missed = at
-    return missed if missed is not None and now - missed <= window else None
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+WEEKDAYS = ("SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT")
+#: A missed occurrence is not looked for over so many of them or more.
+MOST_MISSED = 100_000
+#: The calendar leaves at most 40 years between two days that fit a schedule (29 February on one weekday), if any fits.
+FAR_YEARS = 41
+
+
+def _numbers(text: Column, low: int, high: int) -> Column:
+    """The numbers that one field allows, ascending; null if it is malformed."""
+
+    def expand(part: Column) -> Column:
+        body, step = F.split_part(part, F.lit("/"), F.lit(1)), F.split_part(part, F.lit("/"), F.lit(2))
+        every, stepped, ranged = body.isin("*", "?"), F.contains(part, F.lit("/")), F.contains(body, F.lit("-"))
+        first = F.when(every, low).otherwise(F.split_part(body, F.lit("-"), F.lit(1)).try_cast("int"))
+        last = F.when(every | (stepped & ~ranged), high).when(ranged, F.split_part(body, F.lit("-"), F.lit(2)).try_cast("int")).otherwise(first)
+        by = F.when(stepped, step.try_cast("int")).otherwise(1)
+        return F.when((first >= low) & (last <= high) & (first <= last) & (by >= 1), F.sequence(first, last, by))
+
+    lists = F.transform(F.split(text, ","), expand)
+    return F.when(~F.exists(lists, lambda x: x.isNull()), F.array_sort(F.array_distinct(F.flatten(lists))))
+
+
+def parse(expression: Column) -> Column:
+    """``second, minute, hour, day, month, weekday`` as sorted arrays; null for what is no schedule."""
+    parts = F.split(F.trim(F.upper(expression)), r"\s+")
+    parts = F.when(F.size(parts) == 5, F.concat(F.array(F.lit("0")), parts)).when(F.size(parts) == 6, parts)
+    found = []
+    for i, (name, low, high) in enumerate(FIELDS):
+        text = F.get(parts, F.lit(i))
+        for n, word in [*enumerate(MONTHS, 1)] * (name == "month") + [*enumerate(WEEKDAYS)] * (name == "weekday"):
+            text = F.replace(text, F.lit(word), F.lit(str(n)))
+        numbers = _numbers(text, low, high)
+        found.append((F.array_sort(F.array_distinct(F.transform(numbers, lambda d: d % 7))) if name == "weekday" else numbers).alias(name))
+    schedule = F.struct(*found)
+    whole = F.lit(True)
+    for c in found:
+        whole &= c.isNotNull()
+    return F.when(whole, schedule)
+
+
+def day_fits(schedule: Column, day: Column) -> Column:
+    return F.array_contains(schedule["day"], F.dayofmonth(day)) & F.array_contains(schedule["month"], F.month(day)) & F.array_contains(schedule["weekday"], F.dayofweek(day) - 1)
+
+
+def _clock(at: Column) -> tuple[Column, Column, Column]:
+    return F.hour(at), F.minute(at), F.floor(F.second(at)).cast("int")
+
+
+def _on(day: Column, seconds: Column) -> Column:
+    return day.cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def _end(schedule: Column, pick) -> Column:
+    """The first or last time of a day that fits, in seconds."""
+    return pick(schedule["hour"]) * 3600 + pick(schedule["minute"]) * 60 + pick(schedule["second"])
+
+
+def _near(schedule: Column, at: Column, pick, beyond, here) -> Column:
+    """The nearest time of the same day, in seconds: ``beyond`` the hour or minute, or with both and ``here``."""
+    hour, minute, second = _clock(at)
+    only = lambda name, test: pick(F.filter(schedule[name], test))
+    in_hour = F.array_contains(schedule["hour"], hour)
+    in_minute = in_hour & F.array_contains(schedule["minute"], minute)
+    return F.coalesce(
+        F.when(in_minute, hour * 3600 + minute * 60 + only("second", lambda x: here(x, second))),
+        F.when(in_hour, hour * 3600 + only("minute", lambda x: beyond(x, minute)) * 60 + pick(schedule["second"])),
+        only("hour", lambda x: beyond(x, hour)) * 3600 + pick(schedule["minute"]) * 60 + pick(schedule["second"]),
+    )
+
+
+def next_occurrence(schedule: Column, after: Column) -> Column:
+    """The first occurrence strictly after a time; null if there is none at all.
+
+    Days of the next year are looked at first; only schedules without one there look on.
+    """
+    today = F.to_date(after)
+    above = lambda x, y: x > y
+    near = F.when(day_fits(schedule, today), _near(schedule, after, F.array_min, above, above))
+    days = lambda a, b: F.array_min(F.filter(F.sequence(a, b), lambda d: day_fits(schedule, d)))
+    day = F.coalesce(days(F.date_add(today, 1), F.date_add(today, 366)), days(F.date_add(today, 367), F.add_months(today, 12 * FAR_YEARS)))
+    return F.coalesce(_on(today, near), _on(day, _end(schedule, F.array_min)))
+
+
+def occurrences_on(schedule: Column, day: Column) -> Column:
+    """All occurrences of one day, ascending; null on other days."""
+    times = F.flatten(F.transform(schedule["hour"], lambda h: F.flatten(F.transform(schedule["minute"], lambda m: F.transform(schedule["second"], lambda s: h * 3600 + m * 60 + s)))))
+    return F.when(day_fits(schedule, day), F.transform(times, lambda s: _on(day, s)))
+
+
+def last_occurrence(schedule: Column, since: Column, until: Column) -> Column:
+    """The last occurrence after ``since`` and not after ``until``; null if there is none."""
+    today = F.to_date(until)
+    near = F.when(day_fits(schedule, today), _near(schedule, until, F.array_max, lambda x, y: x < y, lambda x, y: x <= y))
+    before = F.when(F.to_date(since) < today, F.array_max(F.filter(F.sequence(F.to_date(since), F.date_sub(today, 1)), lambda d: day_fits(schedule, d))))
+    found = F.coalesce(_on(today, near), _on(before, _end(schedule, F.array_max)))
+    return F.when(found > since, found)
+
+
+def count_between(schedule: Column, since: Column, until: Column) -> Column:
+    """Number of occurrences after ``since`` and not after ``until``."""
+    size = lambda name: F.size(schedule[name]).cast("long")
+
+    def up_to(at: Column) -> Column:
+        hour, minute, second = _clock(at)
+        below = lambda name, x: F.size(F.filter(schedule[name], lambda y: y < x))
+        rest = below("minute", minute) * size("second") + F.when(F.array_contains(schedule["minute"], minute), F.size(F.filter(schedule["second"], lambda y: y <= second))).otherwise(0)
+        return F.when(day_fits(schedule, F.to_date(at)), below("hour", hour) * size("minute") * size("second") + F.when(F.array_contains(schedule["hour"], hour), rest).otherwise(0)).otherwise(0)
+
+    first, last = F.to_date(since), F.to_date(until)
+    whole = F.when(first < last, F.size(F.filter(F.sequence(first, F.date_sub(last, 1)), lambda d: day_fits(schedule, d)))).otherwise(0)
+    return whole * size("hour") * size("minute") * size("second") + up_to(until) - up_to(since)
+
+
+def catch_up(schedule: Column, last_fired: Column, now: Column, window: Column) -> Column:
+    """The latest missed occurrence, if it is at most ``window`` old.
+
+    Null without a watermark or window, and where MOST_MISSED or more were missed: such
+    a gap is not replayed.
+    """
+    missed = F.when(count_between(schedule, last_fired, now) < MOST_MISSED, last_occurrence(schedule, last_fired, now))
+    return F.when(missed + window >= now, missed)

@@ -17,6 +17,7 @@ class ExecutionQuery:
     """All members are optional and hold together; an empty one is no condition."""
 
     statuses: Sequence[str] = ()
+    execution_id: str | None = None
     job_name: str | None = None
     batch_id: int | str | None = None
     batch_definition_id: int | str | None = None
@@ -38,7 +39,7 @@ class ExecutionQuery:
         rows = executions
         if self.statuses:
             rows = rows.where(F.col("status").isin(*self.statuses))
-        for name in ("job_name", "batch_id", "batch_definition_id", "worker_name"):
+        for name in ("execution_id", "job_name", "batch_id", "batch_definition_id", "worker_name"):
             if getattr(self, name) is not None:
                 rows = rows.where(F.col(name) == getattr(self, name))
         if self.since is not None:

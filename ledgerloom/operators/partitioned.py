@@ -22,10 +22,10 @@ def workers(asked: str | None, registered: int) -> int:
         return registered
 
 
-def process_items(items: DataFrame, work: Callable[[pd.Series], object], result: T.DataType | str, policy: str = "continue", retries: int = 0, partitions: int | None = None, delay: float = FIRST_DELAY) -> DataFrame:
+def process_items(items: DataFrame, work: Callable[[dict], object], result: T.DataType | str, policy: str = "continue", retries: int = 0, partitions: int | None = None, delay: float = FIRST_DELAY) -> DataFrame:
     """``items`` with ``outcome`` (Completed or Failed), ``attempts``, ``result`` and ``error``.
 
-    ``work`` gets a row and is opaque, so it runs in Python, a batch of rows at a time;
+    ``work`` gets a row as a dictionary and is opaque, so it runs in Python, a batch of rows at a time;
     use columns where columns can say it. ``fail_fast`` lets the first error end the
     query. A task that Spark runs again calls ``work`` again for its rows.
     """
@@ -37,7 +37,7 @@ def process_items(items: DataFrame, work: Callable[[pd.Series], object], result:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for _, row in batch.iterrows():
+            for row in batch.to_dict("records"):
                 for attempt in range(1, attempts + 1):
                     try:
                         out.append(("Completed", attempt, work(row), None))

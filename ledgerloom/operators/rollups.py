@@ -45,21 +45,27 @@ def completion_summary(executions: DataFrame, now: Column) -> DataFrame:
     return executions.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total"), *counts, F.max(F.coalesce("completed_at", now)).alias("completed_at"))
 
 
-def run_summary(executions: DataFrame) -> DataFrame:
-    """What a page shows of a run it knows by executions alone; a cancelled row makes it failed."""
+def run_summary(executions: DataFrame, paused: DataFrame) -> DataFrame:
+    """What a page shows of a run it knows by executions alone; a cancelled row makes it failed.
+
+    ``paused`` has the ``batch_id`` of each run with a pending gate, which has no row of
+    its own: such a run waits for approval when it would be done, and has no end.
+    """
     bad, open_ = F.col("status").isin("Failed", "Cancelled"), ~is_terminal(F.col("status"))
     rows = executions.groupBy("batch_id").agg(
         F.max(F.when(bad, 2).when(open_, 1).otherwise(0)).alias("worst"), F.min("enqueued_at").alias("s"), F.max("completed_at").alias("e"), F.count(F.lit(1)).alias("n"), F.count("completed_at").alias("ended")
     )
-    return rows.select("batch_id", F.when(F.col("worst") == 2, "Failed").when(F.col("worst") == 1, "Running").otherwise("Completed").alias("st"), "s", F.when(F.col("n") == F.col("ended"), F.col("e")).alias("e"))
+    rows = rows.join(paused.select("batch_id").distinct().withColumn("waits", F.lit(True)), "batch_id", "left")
+    status = F.when(F.col("worst") == 2, "Failed").when(F.col("worst") == 1, "Running").when(F.col("waits"), "AwaitingApproval").otherwise("Completed")
+    return rows.select("batch_id", status.alias("st"), "s", F.when((F.col("n") == F.col("ended")) & F.col("waits").isNull(), F.col("e")).alias("e"))
 
 
 def decision_status(branches: DataFrame) -> DataFrame:
-    """A decision's status from its branches': failed, cancelled, at work, done, else skipped."""
-    order = ["Skipped", "Completed", "Running", "Cancelled", "Failed"]
-    position = F.array_position(F.array(*map(F.lit, order)), F.col("status"))
-    top = branches.groupBy("batch_id").agg(F.max(position).cast("int").alias("p"))
-    return top.select("batch_id", F.element_at(F.array(*map(F.lit, order)), F.col("p")).alias("status"))
+    """A decision's status from its branches': failed, cancelled (or about to be), at work (or waiting to be), done, else skipped."""
+    status = F.col("status")
+    weight = F.when(status == "Failed", 4).when(status.isin("Cancelled", "Cancelling"), 3).when(~is_terminal(status), 2).when(status == "Completed", 1).otherwise(0)
+    top = branches.groupBy("batch_id").agg(F.max(weight).alias("w"))
+    return top.select("batch_id", F.element_at(F.array(*map(F.lit, ("Skipped", "Completed", "Running", "Cancelled", "Failed"))), F.col("w") + 1).alias("status"))
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:

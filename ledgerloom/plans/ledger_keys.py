@@ -10,6 +10,7 @@ from ..functions import scalars
 from ..functions.conditions import Condition, compile_condition
 from ..functions.status import is_terminal
 from ..operators.ledger_query import ExecutionQuery, RunQuery, holds_text, newest_executions, newest_runs, page
+from ..streaming import feeds
 from .registry import key
 
 SHORT = ["execution_id", "job_name", "batch_id", "status", "enqueued_at"]
@@ -25,7 +26,17 @@ def _(v):
     return v.executions
 
 
-executions("get_execution", ExecutionQuery(batch_id=1, job_name="Job.7"), "batch_id = 1 and job_name = 'Job.7'")
+@key("get_execution", "select execution_id, job_name, batch_id, status, enqueued_at from v_exec where execution_id = (select min(execution_id) from v_exec where batch_id = 1)")
+def _(v):
+    wanted = v.executions.where("batch_id = 1").agg(F.min("execution_id").alias("execution_id"))  # one row
+    return v.executions.join(F.broadcast(wanted), "execution_id", "left_semi").select(*SHORT)
+
+
+@key("get_execution_unknown", "select execution_id, job_name, batch_id, status, enqueued_at from v_exec where execution_id = 'no such id'")
+def _(v):
+    return ExecutionQuery(execution_id="no such id").apply(v.executions).select(*SHORT)
+
+
 executions("filter_status_in", ExecutionQuery(statuses=("Failed", "Cancelled")), "status in ('Failed', 'Cancelled')")
 executions("filter_job_name", ExecutionQuery(job_name="Job.3"), "job_name = 'Job.3'")
 executions("filter_batch_id", ExecutionQuery(batch_id=7), "batch_id = 7")
@@ -86,7 +97,7 @@ def _(v):
     return v.definitions.where("schedule <> '' and schedule_enabled").select("id", "schedule")
 
 
-@key("reap_orphans", "select execution_id, case when status = 'Running' and enqueued_at < timestamp '1998-10-01 00:00:00' - interval '2' minute then 'Failed' else status end as status, case when status = 'Running' and enqueued_at < timestamp '1998-10-01 00:00:00' - interval '2' minute then 'interrupted' else last_error end as last_error from v_exec")
+@key("reap_orphans", "select execution_id, case when status not in ('Completed', 'Failed', 'Cancelled', 'Skipped') and enqueued_at < timestamp '1998-10-01 00:00:00' - interval '2' minute then 'Failed' else status end as status, case when status not in ('Completed', 'Failed', 'Cancelled', 'Skipped') and enqueued_at < timestamp '1998-10-01 00:00:00' - interval '2' minute then 'interrupted' else last_error end as last_error from v_exec")
 def _(v):
     stale = ~is_terminal(F.col("status")) & (F.col("enqueued_at") < F.expr("timestamp_ntz'1998-10-01 00:00:00' - interval '2' minute"))
     return v.executions.select("execution_id", F.when(stale, "Failed").otherwise(F.col("status")).alias("status"), F.when(stale, "interrupted").otherwise(F.col("last_error")).alias("last_error"))
@@ -100,8 +111,7 @@ def _(v):
 @key("errors_by_path", "select 'Steps['||cast(l_linenumber as string)||']' as path, count(distinct l_returnflag) as n, min(l_returnflag) as first_message from lineitem where l_linenumber <> 7 group by l_linenumber")
 def _(v):
     errors = v.table("lineitem").select(F.when(F.col("l_linenumber") == 7, "Schedule").otherwise(F.concat(F.lit("Steps["), F.col("l_linenumber").cast("string"), F.lit("]"))).alias("path"), F.col("l_returnflag").alias("message"))
-    listed = errors.where(F.col("path").startswith("Steps[")).groupBy("path").agg(F.array_sort(F.collect_set("message")).alias("messages"))
-    return listed.select("path", F.size("messages").cast("long").alias("n"), F.element_at("messages", 1).alias("first_message"))
+    return errors.where(F.col("path").startswith("Steps[")).groupBy("path").agg(F.count_distinct("message").alias("n"), F.min("message").alias("first_message"))
 
 
 # Conditions over the parameter bags of v_param: the key may be missing, or there with a null.
@@ -162,8 +172,7 @@ def _(v):
 
 @key("definition_summary", "select l_orderkey as id, count(*) as step_count, max(l_linenumber) as last_step from lineitem group by l_orderkey")
 def _(v):
-    steps = v.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_linenumber").alias("steps"))
-    return steps.select("id", F.size("steps").cast("long").alias("step_count"), F.array_max("steps").alias("last_step"))
+    return v.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("step_count"), F.max("l_linenumber").alias("last_step"))
 
 
 @key("format_duration", "select execution_id, case when s < 60 then cast(s as string)||'s' when s < 3600 then cast(s // 60 as string)||'m '||cast(s % 60 as string)||'s' else cast(s // 3600 as string)||'h '||cast(s % 3600 // 60 as string)||'m' end as shown from (select execution_id, processed * 137 as s from v_exec) t")
@@ -236,15 +245,15 @@ def _(v):
 @key("json_equal", "select l_orderkey as batch_id, l_quantity <> l_linenumber as changed from lineitem")
 def _(v):
     rows = v.table("lineitem")
-    text = lambda c: F.to_json(F.struct(F.col(c).cast("double").alias("q")))
-    return rows.select(F.col("l_orderkey").alias("batch_id"), (text("l_quantity") != text("l_linenumber")).alias("changed"))
+    return rows.select(F.col("l_orderkey").alias("batch_id"), (F.col("l_quantity").cast("double") != F.col("l_linenumber").cast("double")).alias("changed"))
 
 
 @key("poison_split", "select event_id, 'bad' as route from events where event_id % 13 = 0 union all select event_id, 'good' from events where event_id % 13 <> 0")
 def _(v):
-    body = F.when(F.col("event_id") % 13 == 0, F.lit("{not json")).otherwise(F.to_json(F.struct("event_id", "user_id")))
-    parsed = v.events.select("event_id", F.from_json(body, "event_id long, user_id long").alias("x"))
-    return parsed.select("event_id", F.when(F.col("x.event_id").isNull(), "bad").otherwise("good").alias("route"))
+    """Messages that are no JSON any more, every thirteenth was cut off on its way, are dead letters."""
+    messages = v.events.select("event_id", F.when(F.col("event_id") % 13 == 0, F.left("props", F.lit(4))).otherwise(F.col("props")).alias("body"))
+    good, bad = feeds.dead_letters(messages, "body", "k int")
+    return good.select("event_id", F.lit("good").alias("route")).unionByName(bad.select("event_id", F.lit("bad").alias("route")))
 
 
 @key("json_wildcard_roles", "select event_id, case when event_id % 2 = 0 then 'admin,'||event_type else event_type end as roles from events")

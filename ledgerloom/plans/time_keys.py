@@ -5,31 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import cron, hints
 from ..functions.scalars import backoff_seconds
 from ..operators.ledger_query import page
+from ..sources.event_log import current_executions
+from ..streaming import feeds
 from .registry import key
 
-STEP = "cast(regexp_extract(schedule, '/([0-9]+)', 1) as int)"  # a schedule fires at the minutes that its step divides
-SCHEDULED = f"(select cast(id as bigint) as id, {STEP} as step from v_def where schedule is not null and schedule <> '')"
-AT = "timestamp_ntz'2024-01-15 10:07:00'"
+NOW, DAY = "2024-01-15 10:07:00", "2024-01-15"
+AT = f"timestamp_ntz'{NOW}'"
+#: What the schedules of v_def mean, said by filters on a series of times.
+FIRES = f"""(
+  select s.schedule, t.m as fires_at from (select distinct schedule, cast(regexp_extract(schedule, '/([0-9]+)', 1) as int) as step from v_def where schedule like '0 */%') s,
+    (select unnest(generate_series(timestamp '{DAY} 00:00:00', timestamp '{DAY} 23:59:00', interval 1 minute)) as m) t where minute(t.m) % s.step = 0
+  union all select '30 15,45 9-17/4 * * MON-FRI', m + interval 30 second from (select unnest(generate_series(timestamp '2024-01-12 00:00:00', timestamp '2024-01-17 00:00:00', interval 15 minute)) as m) t
+    where minute(m) in (15, 45) and hour(m) in (9, 13, 17) and isodow(m) <= 5
+  union all select '0 0 12 29 2 ?', m from (values (timestamp '2020-02-29 12:00:00'), (timestamp '2024-02-29 12:00:00')) t(m)
+  union all select '10 5 0 1 * *', m from (values (timestamp '2024-01-01 00:05:10'), (timestamp '2024-02-01 00:05:10')) t(m))"""
+SCHEDULED = "(select *, cast(id as bigint) as def_id, timestamp '2024-01-15 09:30:00' + to_minutes(cast(id as bigint) % 60) as last_fired from v_def where schedule <> '')"
 
 
-def _fires(v):
-    return v.definitions.where("schedule <> ''").select(F.col("id").cast("long").alias("id"), F.expr(STEP).alias("step"))
+def _schedules(v):
+    """Definitions that have a schedule, with the schedule as columns and a watermark."""
+    last = F.expr("timestamp_ntz'2024-01-15 09:30:00'") + F.make_dt_interval(mins=(F.col("id").cast("long") % 60).cast("int"))
+    rows = v.definitions.where("schedule <> ''").withColumn("last_fired", last).withColumn("id", F.col("id").cast("long"))
+    return rows.withColumn("cron", cron.parse(F.col("schedule")))
 
 
-@key("cron_occurrences", f"select id, m as minute from {SCHEDULED} d, (select unnest(range(0, 60)) as m) t where m % step = 0")
+@key("cron_occurrences", f"select d.def_id as id, f.fires_at from {SCHEDULED} d join {FIRES} f on f.schedule = d.schedule where cast(f.fires_at as date) = date '{DAY}'")
 def _(v):
-    return _fires(v).select("id", F.explode(F.sequence(F.lit(0), F.lit(59), F.col("step")).cast("array<long>")).alias("minute"))
+    return _schedules(v).select("id", F.explode(cron.occurrences_on(F.col("cron"), F.lit(DAY).cast("date"))).alias("fires_at"))
 
 
 def _next(v):
-    minute = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(59), F.col("step")), lambda m: m > 7))
-    at = F.expr("timestamp_ntz'2024-01-15 10:00:00'") + F.make_dt_interval(mins=minute)
-    return _fires(v).select("id", at.alias("fires_at"))
+    return _schedules(v).select("id", cron.next_occurrence(F.col("cron"), F.expr(AT)).alias("fires_at"))
 
 
-_NEXT = f"select id, timestamp '2024-01-15 10:00:00' + to_minutes(cast((7 // step + 1) * step as bigint)) as fires_at from {SCHEDULED} d"
+_NEXT = f"select d.def_id as id, min(f.fires_at) as fires_at from {SCHEDULED} d join {FIRES} f on f.schedule = d.schedule where f.fires_at > timestamp '{NOW}' group by d.def_id"
 key("next_fire", _NEXT)(_next)
 
 
@@ -38,16 +50,23 @@ def _(v):
     return page(_next(v), [F.col("fires_at"), F.col("id")], 0, 1)
 
 
-_MISSED = "timestamp '2024-01-15 10:00:00' + to_minutes(cast((7 // step) * step as bigint))"
+@key("catchup_decision", f"""select def_id as id, missed, case when catch_up_minutes is not null and missed + to_minutes(catch_up_minutes) >= timestamp '{NOW}' then missed end as replay
+from (select d.def_id, d.catch_up_minutes, max(f.fires_at) as missed from {SCHEDULED} d left join {FIRES} f on f.schedule = d.schedule and f.fires_at > d.last_fired and f.fires_at <= timestamp '{NOW}' group by d.def_id, d.catch_up_minutes) t""")
+def _(v):
+    window = F.make_dt_interval(mins="catch_up_minutes")
+    return _schedules(v).select(
+        "id", cron.last_occurrence(F.col("cron"), F.col("last_fired"), F.expr(AT)).alias("missed"), cron.catch_up(F.col("cron"), F.col("last_fired"), F.expr(AT), window).alias("replay")
+    )
 
 
-@key("catchup_decision", f"select id, missed, missed > last_fired and date_diff('minute', missed, timestamp '2024-01-15 10:07:00') <= 3 as replay from (select id, {_MISSED} as missed, timestamp '2024-01-15 09:30:00' + to_minutes(id % 60) as last_fired from {SCHEDULED} d) t")
+@key("schedule_resume", f"""select def_id as id, case when source = 'Code' then 'immutable' when schedule_enabled then 'active' else 'resumed' end as outcome,
+  case when source <> 'Code' and not schedule_enabled and catch_up_minutes is not null then greatest(last_fired, timestamp '{NOW}') else last_fired end as watermark from {SCHEDULED} d""")
 def _(v):
-    minute = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(59), F.col("step")), lambda m: m <= 7))
-    missed = F.expr("timestamp_ntz'2024-01-15 10:00:00'") + F.make_dt_interval(mins=minute)
-    last = F.expr("timestamp_ntz'2024-01-15 09:30:00'") + F.make_dt_interval(mins=(F.col("id") % 60).cast("int"))
-    fresh = F.timestamp_diff("MINUTE", missed, F.expr(AT)) <= 3
-    return _fires(v).select("id", missed.alias("missed"), ((missed > last) & fresh).alias("replay"))
+    """A resumed schedule that catches up has its watermark moved to now, never back, so that the pause is not replayed."""
+    resumed = (F.col("source") != "Code") & ~F.col("schedule_enabled")
+    outcome = F.when(F.col("source") == "Code", "immutable").when(F.col("schedule_enabled"), "active").otherwise("resumed")
+    moved = F.when(resumed & F.col("catch_up_minutes").isNotNull(), F.greatest(F.col("last_fired"), F.expr(AT))).otherwise(F.col("last_fired"))
+    return _schedules(v).select("id", outcome.alias("outcome"), moved.alias("watermark"))
 
 
 @key("schedule_watermark", "select user_id, max(ts) as last_fired from events where event_type <> 'view' group by user_id")
@@ -55,21 +74,35 @@ def _(v):
     return v.events.where("event_type <> 'view'").groupBy("user_id").agg(F.max("ts").alias("last_fired"))
 
 
+@key("layout_hints", """select id, step, x, y from (
+  select id, 'a' as step, cast(id as bigint) % 50 + 0.5 as x, cast(id as bigint) % 7 as y from v_def union all select id, 'b', case when cast(id as bigint) % 3 = 0 then 9 else 1 end, 2 from v_def
+  union all select id, 'c', 4, 5 from v_def where cast(id as bigint) % 3 = 0) t""")
+def _(v):
+    """Stored hints under those that are set now; text, missing numbers, infinite ones and names that are too long are no hints."""
+    n = F.col("id").cast("long")
+    stored = F.format_string('{"other": 1, "dagLayout": {"a": {"x": %d.5, "y": %d}, "b": {"x": 1, "y": 2}, "d": {"x": "7", "y": 1}, "e": {"y": 3}, "f": {"x": 1e999, "y": 3}, "%s": {"x": 1, "y": 1}}}', n % 50, n % 7, F.repeat(F.lit("n"), 300))
+    now = F.when(n % 3 == 0, F.lit('{"dagLayout": {"b": {"x": 9, "y": 2}, "c": {"x": 4, "y": 5}}}')).otherwise(F.lit("[]"))
+    places = v.definitions.select("id", F.explode(hints.merged(hints.parse(stored), hints.parse(now))).alias("step", "place"))
+    return places.select("id", "step", "place.x", "place.y")
+
+
 @key("retry_schedule", "select event_id, least(power(2.0, cast(event_id % 10 as int)), 60.0) as delay_s from v_param")
 def _(v):
     return v.params.select("event_id", backoff_seconds((F.col("event_id") % 10 + 1).cast("int")).alias("delay_s"))
 
 
-@key("worker_liveness", "select worker_name, max(enqueued_at) as last_seen, max(enqueued_at) >= timestamp '2001-10-01 00:00:00' as online from v_exec group by worker_name")
+@key("worker_liveness", """select worker_name, status, last_seen, status = 'Online' and last_seen + interval '2' hour >= timestamp '2024-01-30 23:00:00' as online
+from (select cast(user_id as string) as worker_name, arg_max(case event_type when 'error' then 'Draining' else 'Online' end, ts) as status, max(ts) as last_seen from events where ts <= timestamp '2024-01-30 23:00:00' group by user_id) t
+where last_seen + interval '1' day >= timestamp '2024-01-30 23:00:00' order by last_seen desc, worker_name limit 1000""")
 def _(v):
-    last = F.max("enqueued_at")
-    return v.executions.groupBy("worker_name").agg(last.alias("last_seen")).withColumn("online", F.col("last_seen") >= F.expr("timestamp_ntz'2001-10-01 00:00:00'"))
+    now = F.expr("timestamp_ntz'2024-01-30 23:00:00'")
+    beats = v.events.where(F.col("ts") <= now).select(F.col("user_id").cast("string").alias("worker_name"), F.when(F.col("event_type") == "error", "Draining").otherwise("Online").alias("status"), F.col("ts").alias("at"))
+    return feeds.liveness(beats, now, "2 hours", "1 day")
 
 
-@key("workers_list", "select worker_name, min(job_name) as first_job from v_exec group by worker_name order by worker_name limit 20")
+@key("workers_list", "select worker_name, min(job_name) as first_job from v_exec group by worker_name order by worker_name")
 def _(v):
-    jobs = v.executions.groupBy("worker_name").agg(F.collect_set("job_name").alias("jobs"))
-    return page(jobs.select("worker_name", F.array_min("jobs").alias("first_job")), [F.col("worker_name")], 0, 20)
+    return v.executions.groupBy("worker_name").agg(F.min("job_name").alias("first_job")).orderBy("worker_name")
 
 
 @key("workers_cap", "select worker_name, last_seen from (select worker_name, max(enqueued_at) as last_seen from v_exec group by worker_name) t order by last_seen desc, worker_name limit 30")
@@ -77,15 +110,29 @@ def _(v):
     return page(v.executions.groupBy("worker_name").agg(F.max("enqueued_at").alias("last_seen")), [F.col("last_seen").desc(), F.col("worker_name")], 0, 30)
 
 
-@key("progress_debounce", "select user_id, date_trunc('hour', ts) as slot, max(value) as value from events group by user_id, date_trunc('hour', ts)")
+@key("progress_debounce", "select user_id, date_trunc('hour', ts) as slot, arg_max(value, ts) as value, max(ts) as at from events group by user_id, date_trunc('hour', ts)")
+def _(v):
+    return feeds.debounced(v.events.select("user_id", "ts", "value"), "user_id", "ts", slot="1 hour")
+
+
+@key("session_debounce", "select user_id, started_at, max(ts) + interval '2' hour as due_at, count(*) as n from (select user_id, ts, max(case when gap is null or gap >= 7200000000 then ts end) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as started_at from (select user_id, event_id, ts, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events) a) b group by user_id, started_at")
 def _(v):
-    return v.events.groupBy("user_id", F.window("ts", "1 hour")["start"].alias("slot")).agg(F.max("value").alias("value"))
+    return feeds.quiet_bursts(v.events.select("user_id", "ts"), "user_id", "ts", "2 hours")
 
 
-@key("session_debounce", "select user_id, session_start, count(*) as n, max(ts) as last_event from (select user_id, ts, max(case when gap is null or gap >= 7200000000 then ts end) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as session_start from (select user_id, event_id, ts, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events) a) b group by user_id, session_start")
+_STATE = "case event_type when 'view' then 'Pending' when 'click' then 'Running' when 'purchase' then 'Completed' when 'error' then 'Failed' else 'Cancelling' end"
+
+
+@key("fold_event_log", f"""select cast(user_id as string) as execution_id, arg_max({_STATE}, ts) as status, min(ts) as enqueued_at, min(case when event_type = 'click' then ts end) as started_at,
+  max(case when event_type in ('purchase', 'error') then ts end) as completed_at, arg_max(case when event_type = 'error' then props end, ts) filter (where event_type = 'error') as last_error, count(case when event_type = 'click' then 1 end) as attempts from events group by user_id""")
 def _(v):
-    sessions = v.events.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_event"))
-    return sessions.select("user_id", F.col("w.start").alias("session_start"), "n", "last_event")
+    """The fold of the event log, over events of that shape."""
+    text = lambda c: F.lit(None).cast("string").alias(c)
+    log = v.events.select(
+        F.format_string("%020d", "event_id").alias("event_id"), F.col("user_id").cast("string").alias("execution_id"), text("job_name"), text("batch_id"), text("batch_step_id"),
+        F.expr(_STATE).alias("status"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"), F.lit(None).cast("map<string,string>").alias("outputs"), F.col("ts").alias("at"),
+    )
+    return current_executions(log).select("execution_id", "status", "enqueued_at", "started_at", "completed_at", "last_error", "attempts")
 
 
 @key("dedupe_completion", "select user_id, min(ts) as first_ts from events where event_type = 'purchase' group by user_id")
@@ -99,16 +146,29 @@ def _(v):
     return messages.groupBy("message_id").agg(F.min("event_id").alias("processed_as"), (F.count(F.lit(1)) - 1).alias("replays"))
 
 
+@key("dedupe_result_replay", "select event_id, event_id // 3 as message_id, event_id % 3 <> 0 as replayed, first_value(value) over (partition by event_id // 3 order by event_id) as result from events")
+def _(v):
+    """A message that comes again is answered with the first one's result; a message's few deliveries are one window."""
+    messages = v.events.select("event_id", F.expr("event_id div 3").alias("message_id"), "value")
+    first = Window.partitionBy("message_id").orderBy("event_id")
+    return messages.select("event_id", "message_id", (F.row_number().over(first) > 1).alias("replayed"), F.first("value").over(first).alias("result"))
+
+
 @key("first_terminal_event", "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id order by ts, event_id) n from events where event_type in ('purchase', 'signup')) t where n = 1")
 def _(v):
     first = v.events.where("event_type in ('purchase', 'signup')").groupBy("user_id").agg(F.min(F.struct("ts", "event_id", "event_type")).alias("x"))
     return first.select("user_id", "x.event_type", "x.event_id")
 
 
-@key("breaker_windows", "select date_trunc('hour', ts) as slot, count(*) as failures, count(*) >= 5 as is_open from events where event_type = 'click' group by date_trunc('hour', ts)")
+#: Five failures and no success within the sampling time trip a breaker, which then is open for as long; scaled to the test's events.
+TRIPS, SAMPLING = 5, "8 hours"
+_CALLS = "(select event_type, event_id, ts, event_type in ('error', 'click', 'signup') as failed from events)"
+
+
+@key("breaker_state", f"""select event_type, event_id, tripped, coalesce(max(case when tripped then ts end) over (partition by event_type order by ts, event_id rows between unbounded preceding and 1 preceding) + interval '{SAMPLING}' > ts, false) as is_open
+from (select event_type, event_id, ts, coalesce(failed and n >= {TRIPS} and ok = 0, false) as tripped from (select *, count(*) over w as n, count(case when not failed then 1 end) over w as ok from {_CALLS} c window w as (partition by event_type order by ts range between interval '{SAMPLING}' preceding and current row)) a) b""")
 def _(v):
-    failures = v.events.where("event_type = 'click'").groupBy(F.window("ts", "1 hour")["start"].alias("slot")).agg(F.count(F.lit(1)).alias("failures"))
-    return failures.withColumn("is_open", F.col("failures") >= 5)
+    return feeds.breaker(v.events.select("event_type", "event_id", "ts", F.col("event_type").isin("error", "click", "signup").alias("failed")), ["event_type"], "ts", "event_id", TRIPS, SAMPLING)
 
 
 @key("backpressure_ratio", "select worker_name, cast(sum(total_items - processed) as bigint) as waiting, case when sum(total_items - processed) * 2 >= sum(total_items) then 'Degraded' else 'Healthy' end as health from v_exec group by worker_name")

@@ -1,19 +1,18 @@
-"""Workflows of Spark jobs: what a batch is, whether it is well formed, and a thin runner.
+"""Definitions of workflows: what a batch is, how many steps it has, and whether it is well formed.
 
-The work of a step is a Spark job that the step's function starts; the runner only decides
-what comes next and appends each change to the event log.
+The work of a step is a Spark job that the step's function starts. What happened, what comes
+next, and what to resume or undo are queries over the ledger (``workflow_keys``); there is
+no scheduler here.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
-from ..functions.conditions import Condition, evaluate
-from ..functions.scalars import time_ordered_id
+from ..functions.conditions import Condition
 
 Job = Callable[[SparkSession, dict], "dict | None"]
 
@@ -77,90 +76,8 @@ def problems(batch: Batch) -> list[str]:
     return found
 
 
-class Runner:
-    """Runs one batch; steps see the initial parameters, then what earlier steps put out, then their own."""
-
-    def __init__(self, spark: SparkSession, log=None):
-        self.spark, self.log, self.events = spark, log, []
-
-    def _event(self, run: str, step: str, status: str, **more) -> None:
-        self.events.append({"execution_id": more.pop("execution_id", time_ordered_id()), "batch_id": run, "batch_step_id": step, "status": status, **more})
-
-    def _flush(self) -> None:
-        if self.log is not None and self.events:
-            self.log.append(self.events)
-        self.events = []
-
-    def _job(self, run: str, step: Step, job: Job, params: dict, step_id: str | None = None) -> dict | None:
-        """Run a job with its retries under the run's tag; its outputs, or None if it failed."""
-        execution = time_ordered_id()
-        self._event(run, step_id or step.id, "Pending", execution_id=execution, job_name=getattr(job, "__name__", "job"))
-        for attempt in range(step.retries + 1):
-            self._event(run, step_id or step.id, "Running", execution_id=execution)
-            self.spark.addTag(run)
-            try:
-                out = job(self.spark, params) or {}
-            except Exception as error:
-                self._event(run, step_id or step.id, "Retrying" if attempt < step.retries else "Failed", execution_id=execution, error=str(error)[:1000])
-                continue
-            finally:
-                self.spark.removeTag(run)
-            self._event(run, step_id or step.id, "Completed", execution_id=execution, outputs={k: str(v) for k, v in out.items()})
-            return out
-        return None
-
-    def _group(self, run: str, group: Parallel, params: dict) -> dict | None:
-        quorum = {"all": len(group.children), "any": 1, "majority": len(group.children) // 2 + 1}[group.join]
-        results: dict[int, dict] = {}
-        failed = 0
-        with ThreadPoolExecutor(len(group.children)) as pool:
-            jobs = {pool.submit(self._job, run, c, c.job, params | c.params): i for i, c in enumerate(group.children)}
-            for done in as_completed(jobs):
-                if (out := done.result()) is None:
-                    failed += 1
-                elif len(results) < quorum:
-                    results[jobs[done]] = out
-                if group.join != "all" and (len(results) >= quorum or failed > len(group.children) - quorum):
-                    self.spark.interruptTag(run)  # the others are not needed
-        if len(results) < quorum:
-            return None
-        return {k: v for i in sorted(results) for k, v in results[i].items()}  # the later child wins
-
-    def run(self, batch: Batch, params: dict | None = None) -> dict:
-        """``batch_id, status, outputs, done`` of one run; raises before it if the batch is not well formed."""
-        if wrong := problems(batch):
-            raise ValueError("; ".join(wrong))
-        run, start, outputs, done, status = time_ordered_id(), params or {}, {}, [], "Completed"
-        for step in batch.steps:
-            seen = start | outputs
-            if isinstance(step, Parallel):
-                out = self._group(run, step, seen)
-            elif isinstance(step, Decision):
-                winner = next((b for b in step.branches if b.when is None or evaluate(b.when, seen)), None)
-                for loser in step.branches:
-                    if loser is not winner:
-                        self._event(run, loser.id, "Skipped")
-                out = self._job(run, winner, winner.job, seen | winner.params) if winner else {}
-                done += [winner] if winner and out is not None else []
-            elif step.when and not evaluate(step.when, seen | step.params):
-                self._event(run, step.id, "Skipped")
-                continue
-            else:
-                out = self._job(run, step, step.job, seen | step.params)
-                done += [step] if out is not None else []
-            self._flush()
-            if out is not None:
-                outputs |= out
-            elif batch.on_failure != "continue":
-                status = "Failed"
-                break
-            else:
-                status = "Failed"
-        if status == "Failed" and batch.on_failure == "compensate":
-            for step in reversed([s for s in done if s.undo]):
-                self._job(run, step, step.undo, start | outputs, f"{step.id}:comp")  # the next goes on if one fails
-        if status == "Failed":
-            for step in batch.after_failure:
-                self._job(run, step, step.job, start | outputs | step.params)
-        self._flush()
-        return {"batch_id": run, "status": status, "outputs": outputs, "done": [s.id for s in done]}
+def step_count(batch: Batch) -> int:
+    """Branches of decisions, children of groups, other steps, compensators and the steps after a failure: changes of it are drift."""
+    inner = [step.children if isinstance(step, Parallel) else step.branches if isinstance(step, Decision) else (step,) for step in batch.steps]
+    undone = sum(isinstance(step, Step) and step.undo is not None for step in batch.steps)
+    return sum(map(len, inner)) + undone + len(batch.after_failure)

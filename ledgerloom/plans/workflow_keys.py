@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.partitioned import MOST_WORKERS, process_items
 from .registry import key
 
-STEPS = 4  # of the definition that the runs of v_run follow
+def _with_definition(v):
+    """Runs beside the steps of their definition, at top level and in all; ``drifted`` if these are others than when the run began."""
+    definitions = v.definitions.select(F.col("id").cast("long").alias("batch_definition_id"), "top_steps", F.col("step_count").alias("now"))
+    return v.runs.join(definitions, "batch_definition_id").withColumn("drifted", F.col("step_count") != F.col("now"))
 
 
-@key("resume_start_index", "select batch_id, least(greatest(coalesce(current_step_index,0),0),3) as start_index from v_run")
+def _start(cursor, steps):
+    """A cursor within 0 to the number of steps; at that number every step has run."""
+    return F.least(F.greatest(cursor, F.lit(0)), steps)
+
+
+_RUNS = "(select r.*, d.top_steps, r.step_count <> d.step_count as drifted from v_run r join v_def d on cast(r.batch_definition_id as string) = d.id)"
+
+
+@key("resume_start_index", f"select batch_id, least(greatest(coalesce(current_step_index, 0), 0), top_steps) as start_index from {_RUNS} t")
 def _(v):
-    return v.runs.select("batch_id", F.least(F.greatest(F.coalesce("current_step_index", F.lit(0)), F.lit(0)), F.lit(STEPS - 1)).alias("start_index"))
+    return _with_definition(v).select("batch_id", _start(F.coalesce("current_step_index", F.lit(0)), F.col("top_steps")).alias("start_index"))
 
 
-@key("retryable_runs", "select batch_id, case when status is null then 'in_progress' when status<>'Failed' then 'not_failed' when compensation_step_index is not null then 'compensated' when current_step_index is null and succeeded>0 then 'no_cursor' else 'ok' end as verdict from v_run")
+@key("retryable_runs", f"select batch_id, case when status is null then 'in_progress' when status<>'Failed' then 'not_failed' when compensation_step_index is not null then 'compensated' when current_step_index is null and succeeded>0 then 'no_cursor' when drifted then 'drift' else 'ok' end as verdict from {_RUNS} t")
 def _(v):
     verdict = (
         F.when(F.col("status").isNull(), "in_progress")
         .when(F.col("status") != "Failed", "not_failed")
         .when(F.col("compensation_step_index").isNotNull(), "compensated")
         .when(F.col("current_step_index").isNull() & (F.col("succeeded") > 0), "no_cursor")
+        .when(F.col("drifted"), "drift")
         .otherwise("ok")
     )
-    return v.runs.select("batch_id", verdict.alias("verdict"))
+    return _with_definition(v).select("batch_id", verdict.alias("verdict"))
 
 
-@key("resume_plan", "select batch_id, case when compensation_step_index is not null then 'resume unwind' when succeeded > 4 then 'restart all' when coalesce(current_step_index, 0) >= 3 then 'finalize' else 'resume' end as action, case when succeeded > 4 or compensation_step_index is not null then 0 else coalesce(current_step_index, 0) end as from_step from v_run where status is null")
+@key("resume_plan", f"select batch_id, case when unwinding then 'resume unwind' when start >= top_steps then 'finalize' when drifted then 'restart all' else 'resume' end as action, case when unwinding then null else start end as from_step from (select *, compensation_step_index is not null as unwinding, case when drifted then 0 else least(greatest(coalesce(current_step_index, 0), 0), top_steps) end as start from {_RUNS} t where status is null) u")
 def _(v):
-    unwinding, drifted, cursor = F.col("compensation_step_index").isNotNull(), F.col("succeeded") > STEPS, F.coalesce("current_step_index", F.lit(0))
-    action = F.when(unwinding, "resume unwind").when(drifted, "restart all").when(cursor >= STEPS - 1, "finalize").otherwise("resume")
-    return v.runs.where("status is null").select("batch_id", action.alias("action"), F.when(drifted | unwinding, 0).otherwise(cursor).alias("from_step"))
+    unwinding = F.col("compensation_step_index").isNotNull()
+    start = F.when(F.col("drifted"), 0).otherwise(_start(F.coalesce("current_step_index", F.lit(0)), F.col("top_steps")))
+    action = F.when(unwinding, "resume unwind").when(start >= F.col("top_steps"), "finalize").when(F.col("drifted"), "restart all").otherwise("resume")
+    return _with_definition(v).where("status is null").select("batch_id", action.alias("action"), F.when(~unwinding, start).alias("from_step"))
 
 
 @key("unwind_plan", "select batch_id, batch_step_id||':comp' as compensator, row_number() over (partition by batch_id order by batch_step_id desc) as position from (select distinct batch_id, cast(batch_step_id as string) as batch_step_id from v_exec where status = 'Completed' and batch_step_id is not null) t")
@@ -89,8 +103,9 @@ def _(v):
 
 @key("wf_sequence", "select batch_id, count(*) as steps, count(case when step_order < coalesce(f, 99) then 1 end) as ran_before_failure from (select batch_id, step_order, min(case when status = 'Failed' then step_order end) over (partition by batch_id) as f from v_exec) t group by batch_id")
 def _(v):
-    steps = v.executions.groupBy("batch_id").agg(F.min(F.when(F.col("status") == "Failed", F.col("step_order"))).alias("f"), F.collect_list("step_order").alias("steps"))
-    return steps.select("batch_id", F.size("steps").cast("long").alias("steps"), F.size(F.filter("steps", lambda s: s < F.coalesce(F.col("f"), F.lit(99)))).cast("long").alias("ran_before_failure"))
+    failed = F.min(F.when(F.col("status") == "Failed", F.col("step_order"))).over(Window.partitionBy("batch_id"))  # one run's steps; the count below shares the exchange
+    rows = v.executions.select("batch_id", "step_order", "status").withColumn("f", failed)
+    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.col("step_order") < F.coalesce("f", F.lit(99))).alias("ran_before_failure"))
 
 
 @key("shadow_status", "select execution_id, case when status = 'Cancelled' then 'Failed' else status end as status from v_exec where worker_name <> 'worker-1'")
@@ -165,12 +180,15 @@ def _(v):
     return process_items(items, _flaky, "long", "retry_then_continue", retries=1, delay=0.0).select("event_id", "outcome", "attempts", "result")
 
 
-@key("item_policy_failfast")
+@key("item_policy_failfast", "select event_id from events where event_type is not null")
 def _(v):
-    checked = F.when(F.col("event_id") < 0, F.raise_error(F.lit("item fails"))).otherwise(F.col("event_id"))
+    """An item without a type would end the query; what comes out has one."""
+    checked = F.when(F.col("event_type").isNull(), F.raise_error(F.lit("item fails"))).otherwise(F.col("event_id"))
     return v.events.select(checked.cast("long").alias("event_id"))
 
 
-@key("worker_index")
+@key("worker_index", "select count(*) as items, true as within_workers from events")
 def _(v):
-    return v.events.select("event_id", F.spark_partition_id().alias("worker"))
+    """Every item sees the index of the worker that has it, counted from 0."""
+    seen = v.events.repartition(8, "event_id").select(F.spark_partition_id().alias("worker"))
+    return seen.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.bool_and(F.col("worker").between(0, 7)), F.lit(True)).alias("within_workers"))

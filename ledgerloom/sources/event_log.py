@@ -10,17 +10,21 @@ import threading
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import time_ordered_id
-from ..functions.status import TERMINAL, allowed
+from ..functions.status import TERMINAL, allowed, legal
 
 EVENT = "event_id string, execution_id string, job_name string, batch_id string, batch_step_id string, status string, error string, outputs map<string,string>, at timestamp, day date"
 
 
 class EventLog:
-    """One writer appends; readers fold, or follow it as a stream."""
+    """One writer appends; readers fold, or follow it as a stream.
+
+    Appending checks nothing, as a writer that knew all states would be a bottleneck;
+    :func:`illegal_moves` and :func:`repeated_events` audit the log as queries.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self._lock = spark, path, threading.Lock()
@@ -29,7 +33,8 @@ class EventLog:
         """Append events; each gets a time-ordered id, which also orders events of one instant."""
         rows = []
         for e in events:
-            at = e.get("at") or datetime.now(timezone.utc).replace(tzinfo=None)
+            at = e.get("at") or datetime.now(timezone.utc)
+            at = at.astimezone(timezone.utc) if at.tzinfo else at.replace(tzinfo=timezone.utc)  # a time without zone is UTC
             rows.append((time_ordered_id(), e["execution_id"], e.get("job_name"), e.get("batch_id"), e.get("batch_step_id"), e["status"], e.get("error"), e.get("outputs"), at, at.date()))
         with self._lock:
             self.spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").partitionBy("day").parquet(self.path)
@@ -64,6 +69,21 @@ def current_executions(events: DataFrame) -> DataFrame:
     )
 
 
+def illegal_moves(events: DataFrame) -> DataFrame:
+    """Events whose status does not follow from the one before of their execution; the first must be Pending or Scheduled.
+
+    An execution's few events are one window.
+    """
+    before = F.lag("status").over(Window.partitionBy("execution_id").orderBy("at", "event_id"))
+    rows = events.select("event_id", "execution_id", "at", before.alias("before"), "status")
+    return rows.where(F.when(F.col("before").isNull(), ~F.col("status").isin("Pending", "Scheduled", "Skipped")).otherwise(~legal(F.col("before"), F.col("status"))))
+
+
+def repeated_events(events: DataFrame) -> DataFrame:
+    """Event ids that the log has more than once, with their number."""
+    return events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def check_move(before: str | None, after: str) -> None:
     """Raise on a change of status that the lattice does not have."""
     if before is not None and not allowed(before, after):

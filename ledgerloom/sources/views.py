@@ -19,7 +19,7 @@ select cast(l_orderkey as string)||'-'||cast(l_linenumber as string)||'-'||cast(
        case when l_linenumber = 6 then null else l_orderkey % 50 end as batch_definition_id,
        case when l_returnflag='N' then 'Completed'
             when l_returnflag='R' and l_linestatus='F' then 'Failed'
-            when l_returnflag='R' then 'Running'
+            when l_returnflag='R' then case l_partkey % 12 when 0 then 'Pending' when 1 then 'Scheduled' when 2 then 'Retrying' when 3 then 'AwaitingApproval' when 4 then 'Cancelling' else 'Running' end
             when l_linestatus='F' then 'Cancelled' else 'Skipped' end as status,
        l_shipdate as enqueued_at,
        case when l_returnflag='R' and l_linestatus='O' then null else l_shipdate + interval '1' hour end as completed_at,
@@ -35,21 +35,25 @@ select o_orderkey as batch_id, o_custkey as batch_definition_id,
        case when o_orderkey % 5 = 0 then null else cast(o_orderkey % 4 as int) end as current_step_index,
        case when o_orderkey % 11 = 0 then 2 end as compensation_step_index,
        case when o_orderkey % 9 = 0 and o_orderkey > 9 then o_orderkey - 9 end as retry_of_batch_id,
-       cast(o_orderkey % 6 as int) as succeeded, o_orderpriority as triggered_by
+       cast(o_orderkey % 6 as int) as succeeded, o_orderpriority as triggered_by,
+       cast(3 + o_custkey % 3 + o_custkey % 4 + case when o_orderkey % 8 = 0 then 1 else 0 end as int) as step_count
 from orders"""
 V_DEF = """
 select cast(c_custkey as string) as id,
        case when c_mktsegment='BUILDING' then 'Code' when c_mktsegment in ('MACHINERY','HOUSEHOLD') then 'Dashboard' else 'Api' end as source,
        'batch-'||cast(c_custkey % 400 as string) as name,
-       case when c_custkey % 3 = 0 then '0 */'||cast(5 + c_custkey % 20 as string)||' * * * *' when c_custkey % 3 = 1 then '' end as schedule,
+       case when c_custkey % 12 = 0 then '30 15,45 9-17/4 * * MON-FRI' when c_custkey % 12 = 3 then '0 0 12 29 2 ?' when c_custkey % 12 = 6 then '10 5 0 1 * *'
+            when c_custkey % 3 = 0 then '0 */'||cast(5 + c_custkey % 20 as string)||' * * * *' when c_custkey % 3 = 1 then '' end as schedule,
        c_custkey % 7 <> 0 as schedule_enabled,
-       cast(c_custkey % 5 as int) as version
+       case when c_custkey % 4 <> 0 then cast(c_custkey % 4 * 5 as int) end as catch_up_minutes,
+       cast(c_custkey % 5 as int) as version,
+       cast(3 + c_custkey % 3 as int) as top_steps, cast(3 + c_custkey % 3 + c_custkey % 4 as int) as step_count
 from customer"""
 V_GATE = """
 select cast(o_orderkey as string) as approval_id, o_orderkey as batch_id, o_orderkey % 4 as step_id, o_orderdate as pending_since,
        o_orderdate + interval '3' day as deadline,
        case o_orderpriority when '1-URGENT' then 'Fail' when '2-HIGH' then 'AutoApprove' else 'Hold' end as on_timeout,
-       case when o_orderkey % 5 = 0 then '*' when o_orderkey % 5 = 1 then 'ops' when o_orderkey % 5 = 2 then 'ops,dev' when o_orderkey % 5 = 3 then 'admin' else '' end as allowed_roles
+       case when o_orderkey % 7 = 0 then '*,dev' when o_orderkey % 5 = 0 then '*' when o_orderkey % 5 = 1 then 'ops' when o_orderkey % 5 = 2 then 'ops,dev' when o_orderkey % 5 = 3 then 'admin' else '' end as allowed_roles
 from orders where o_orderstatus='P'"""
 V_PARAM = """
 select event_id, user_id, ts, event_type, value,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,12 +43,28 @@ def answered(requests: DataFrame, replies: DataFrame, timeout: str, late: str =
 def liveness(beats: DataFrame, now, online_for: str = "45 seconds", kept_for: str = "10 minutes", most: int = 1000) -> DataFrame:
     """Workers by their last beat: online up to and including ``online_for``, gone after ``kept_for``.
 
-    ``beats`` has ``worker_name``, ``status`` and ``at``; at most the ``most`` latest are listed.
+    ``beats`` has ``worker_name``, ``status`` and ``at``; at most the ``most`` latest are
+    listed, by name.
     """
     last = beats.groupBy("worker_name").agg(F.max_by("status", "at").alias("status"), F.max("at").alias("last_seen"))
     age = lambda text: F.col("last_seen") + F.expr(f"interval {text}")
     rows = last.where(now <= age(kept_for)).withColumn("online", (F.col("status") == "Online") & (now <= age(online_for)))
-    return rows.orderBy(F.col("last_seen").desc(), "worker_name").limit(most)
+    return rows.orderBy(F.col("last_seen").desc(), "worker_name").limit(most).orderBy("worker_name")
+
+
+def breaker(calls: DataFrame, keys: list[str], at: str, number: str, trips: int = 5, sampling: str = "30 seconds") -> DataFrame:
+    """Calls with ``tripped`` and ``is_open``, over a table of calls with ``failed``.
+
+    A failed call trips its breaker if the calls of the last ``sampling`` time are
+    ``trips`` or more and all failed; for as long after it the breaker is open. One key's
+    calls are sorted in one task; add a span of time to the keys where one has very many.
+    """
+    span = f"(PARTITION BY {', '.join(keys)} ORDER BY {at} RANGE BETWEEN INTERVAL {sampling} PRECEDING AND CURRENT ROW)"
+    rows = calls.withColumn("_n", F.expr(f"count(1) OVER {span}")).withColumn("_ok", F.expr(f"count_if(NOT failed) OVER {span}"))
+    rows = rows.withColumn("tripped", F.coalesce(F.col("failed") & (F.col("_n") >= trips) & (F.col("_ok") == 0), F.lit(False)))
+    before = Window.partitionBy(*keys).orderBy(at, number).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("tripped"), F.col(at))).over(before)
+    return rows.select(*keys, number, "tripped", F.coalesce(last + F.expr(f"interval {sampling}") > F.col(at), F.lit(False)).alias("is_open"))
 
 
 def dead_letters(messages: DataFrame, body: str, schema: str) -> tuple[DataFrame, DataFrame]:

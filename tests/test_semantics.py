@@ -12,8 +12,8 @@ from ledgerloom.functions.scalars import backoff_seconds, time_ordered_id
 from ledgerloom.functions.status import EDGES, STATUSES, TERMINAL, allowed
 from ledgerloom.operators.ledger_query import ExecutionQuery, page, page_problems
 from ledgerloom.operators.partitioned import counts, process_items, workers
-from ledgerloom.plans.workflow import Batch, Decision, Parallel, Runner, Step, problems
-from ledgerloom.sources.event_log import EventLog, check_move, current_executions
+from ledgerloom.plans.workflow import Batch, Decision, Parallel, Step, problems, step_count
+from ledgerloom.sources.event_log import EventLog, check_move, current_executions, illegal_moves, repeated_events
 from ledgerloom.streaming import feeds
 
 
@@ -58,20 +58,44 @@ def test_all_hundred_moves():
         ("5 4 * * *", datetime(2024, 1, 1, 4, 5), datetime(2024, 1, 2, 4, 5)),
         ("0 0 0 31 2 *", datetime(2024, 1, 1), None),
         ("0 0 9-17/4 * * 1-5", datetime(2024, 1, 5, 17), datetime(2024, 1, 8, 9)),
+        ("0 0 0 29 2 MON", datetime(2025, 1, 1), datetime(2044, 2, 29)),
+        ("0 0 0 29 2 ?", datetime(2096, 3, 1), datetime(2104, 2, 29)),
+        ("5,10 * * * * *", datetime(2024, 1, 1, 0, 0, 5, 400_000), datetime(2024, 1, 1, 0, 0, 10)),
+        ("0 0 0 1 JAN,JUN 7", datetime(2024, 1, 1), datetime(2025, 6, 1)),
     ],
 )
-def test_next_occurrence(expression, after, want):
-    assert cron.next_occurrence(expression, after) == want
+def test_next_occurrence(spark, expression, after, want):
+    rows = spark.createDataFrame([(expression, after)], "e string, t timestamp_ntz").select("t", cron.parse(F.col("e")).alias("c"))
+    assert rows.select(cron.next_occurrence(F.col("c"), F.col("t"))).first()[0] == want
 
 
-def test_catch_up_replays_the_latest_missed_once():
+def test_catch_up_replays_the_latest_missed_once(spark):
     now, last = datetime(2024, 1, 1, 10, 7), datetime(2024, 1, 1, 8)
-    assert cron.catch_up("0 0 * * * *", last, now, timedelta(minutes=10)) == datetime(2024, 1, 1, 10)
-    assert cron.catch_up("0 0 * * * *", last, now, timedelta(minutes=5)) is None
-    assert cron.catch_up("0 0 * * * *", None, now, timedelta(days=1)) is None
-    for bad in ("* *", "61 * * * * *", "0 0 0 0 1 *", "*/0 * * * * *"):
-        with pytest.raises(ValueError):
-            cron.parse(bad)
+    rows = [
+        ("0 0 * * * *", last, now, 10, datetime(2024, 1, 1, 10)), ("0 0 * * * *", last, now, 5, None), ("0 0 * * * *", None, now, 1440, None), ("0 0 * * * *", last, now, None, None),
+        ("* * * * * *", datetime(2023, 12, 31), now, 100_000, None), ("0 0 0 1 * *", datetime(2023, 6, 1), now, 100_000, datetime(2024, 1, 1)), ("0 7 10 * * *", now, now, 10, None),
+    ]
+    table = spark.createDataFrame([r[:4] for r in rows], "e string, last timestamp_ntz, now timestamp_ntz, w int").withColumn("c", cron.parse(F.col("e")))
+    got = table.select(cron.catch_up(F.col("c"), F.col("last"), F.col("now"), F.make_dt_interval(mins="w"))).collect()
+    assert [r[0] for r in got] == [r[4] for r in rows]
+    bad = spark.createDataFrame([(x,) for x in ("* *", "61 * * * * *", "0 0 0 0 1 *", "*/0 * * * * *", "x * * * * *", "", None)], "e string")
+    assert bad.where(cron.parse(F.col("e")).isNotNull()).count() == 0
+
+
+def test_cron_against_a_walk(spark):
+    """Next, last and number of occurrences against a walk over every second."""
+    expressions = ["*/17 */13 */5 * * *", "30 15,45 9-17/4 * * MON-FRI", "0 59 23 * * SUN", "10 5 0 1,15 * ?"]
+    start = datetime(2024, 2, 27, 22, 3, 9)
+    fields = {"*/17": range(0, 60, 17), "*/13": range(0, 60, 13), "*/5": range(0, 24, 5), "30": [30], "15,45": [15, 45], "9-17/4": [9, 13, 17], "0": [0], "59": [59], "23": [23], "10": [10], "5": [5], "1,15": [1, 15]}
+    days = {"*": range(7), "?": range(7), "MON-FRI": range(5), "SUN": [6]}
+    for e in expressions:
+        s, m, h, d, _, w = e.split()
+        fits = lambda t: t.second in fields[s] and t.minute in fields[m] and t.hour in fields[h] and (d == "*" or t.day in fields[d]) and t.weekday() in days[w]  # noqa: E731, B023
+        hits = [t for i in range(1, 20 * 86400) if (t := start + timedelta(seconds=i)).second in fields[s] and fits(t)]
+        end = start + timedelta(days=19, seconds=86399)
+        row = spark.createDataFrame([(start, end, e)], "a timestamp_ntz, b timestamp_ntz, e string").withColumn("c", cron.parse(F.col("e")))
+        got = row.select(cron.next_occurrence(F.col("c"), F.col("a")), cron.last_occurrence(F.col("c"), F.col("a"), F.col("b")), cron.count_between(F.col("c"), F.col("a"), F.col("b"))).first()
+        assert tuple(got) == (hits[0], hits[-1], len(hits)), e
 
 
 def test_ids_sort_by_time():
@@ -162,53 +186,42 @@ def test_liveness_and_dead_letters(spark):
     assert (good.count(), bad.count()) == (1, 2)
 
 
-def done(name, **out):
-    def job(spark, params):
-        return out | {"saw_" + name: ",".join(sorted(params))}
-
-    return job
-
-
 def fails(spark, params):
     raise RuntimeError("step fails")
 
 
-def test_workflow_forwards_outputs_and_decides(spark, tmp_path):
-    count = lambda spark, params: {"rows": spark.range(params["n"]).count()}
-    batch = Batch("b", (
-        Step("count", count),
-        Step("skipped", fails, when=Condition("missing", "NotEquals", "x")),
-        Decision("pick", (Step("many", done("many"), when=Condition("rows", "GreaterThan", "50")), Step("few", done("few")))),
-        Parallel("both", (Step("p1", done("p1", x=1)), Step("p2", done("p2", x=2)))),
-    ))
-    log = EventLog(spark, str(tmp_path / "log"))
-    result = Runner(spark, log).run(batch, {"n": 10})
-    assert result["status"] == "Completed" and result["outputs"]["rows"] == 10 and result["outputs"]["x"] == 2 and "saw_few" in result["outputs"]
-    states = {r["batch_step_id"]: r["status"] for r in current_executions(log.events()).collect()}
-    assert states == {"count": "Completed", "skipped": "Skipped", "many": "Skipped", "few": "Completed", "p1": "Completed", "p2": "Completed"}
-
-
-def test_failure_policies(spark):
-    undone = []
-    undo = lambda name: lambda spark, params: undone.append(name)
-    steps = (Step("a", done("a"), undo=undo("a")), Step("b", done("b"), undo=undo("b")), Step("c", fails), Step("d", done("d")))
-    after = []
-    chain = (Step("tell", lambda spark, params: after.append(1)),)
-    assert Runner(spark).run(Batch("x", steps))["done"] == ["a", "b"] and not undone
-    assert Runner(spark).run(Batch("x", steps, "continue"))["done"] == ["a", "b", "d"]
-    assert Runner(spark).run(Batch("x", steps, "compensate", chain))["status"] == "Failed"
-    assert undone == ["b", "a"] and after == [1]
-
-
-@pytest.mark.parametrize("join, bad, ok", [("all", 1, False), ("any", 2, True), ("any", 3, False), ("majority", 1, True), ("majority", 2, False)])
-def test_joins(spark, join, bad, ok):
-    children = tuple(Step(f"s{i}", fails if i < bad else done(f"s{i}")) for i in range(3))
-    assert (Runner(spark).run(Batch("j", (Parallel("g", children, join),)))["status"] == "Completed") is ok
-
-
-def test_problems():
+def test_problems_and_steps():
     s = Step("a", fails)
     batch = Batch("x", (s, s, Parallel("g", (s,), "majority"), Decision("d", (Step("e", fails), Step("f", fails)))), "explode")
-    assert len(problems(batch)) == 4
-    with pytest.raises(ValueError):
-        Runner(None).run(batch)
+    assert len(problems(batch)) == 4 and step_count(batch) == 5
+    undone = Batch("y", (Step("a", fails, undo=fails), Parallel("g", (Step("b", fails), Step("c", fails)))), after_failure=(Step("z", fails),))
+    assert problems(undone) == [] and step_count(undone) == 5
+
+
+def test_decision_status_of_all_statuses(spark):
+    from ledgerloom.operators.rollups import decision_status
+
+    cases = [(["Pending"], "Running"), (["Scheduled", "Completed"], "Running"), (["Completed", "Retrying"], "Running"), (["AwaitingApproval", "Skipped"], "Running"), (["Completed", "Cancelling"], "Cancelled"), (["Failed", "Cancelled"], "Failed"), (["Skipped", "Completed"], "Completed"), (["Skipped"], "Skipped")]
+    rows = spark.createDataFrame([(i, s) for i, (own, _) in enumerate(cases) for s in own], "batch_id int, status string")
+    assert {r["batch_id"]: r["status"] for r in decision_status(rows).collect()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_event_log_audit_and_time_zones(spark, tmp_path):
+    from datetime import timezone
+
+    log, t = EventLog(spark, str(tmp_path / "log")), datetime(2024, 1, 1, 23, 30)
+    for e, status, at in (("e1", "Pending", t), ("e1", "Completed", t + timedelta(seconds=1)), ("e2", "Running", t), ("e3", "Pending", t.replace(tzinfo=timezone(timedelta(hours=-5)))), ("e3", "Running", t + timedelta(days=1))):
+        log.append([{"execution_id": e, "status": status, "at": at}])
+    events = log.events()
+    assert {(r["execution_id"], r["before"], r["status"]) for r in illegal_moves(events).collect()} == {("e1", "Pending", "Completed"), ("e2", None, "Running")}
+    assert repeated_events(events).count() == 0 and repeated_events(events.union(events)).count() == 5
+    shown = {tuple(r) for r in events.select("execution_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss"), F.col("day").cast("string")).collect()}
+    assert ("e1", "2024-01-01 23:30:00", "2024-01-01") in shown and ("e3", "2024-01-02 04:30:00", "2024-01-02") in shown
+
+
+def test_breaker_opens_after_failures_without_success(spark):
+    t = datetime(2024, 1, 1)
+    calls = [(0, True), (1, True), (2, True), (3, True), (4, True), (5, False), (33, True), (40, True), (90, True)]
+    rows = spark.createDataFrame([("s", i, t + timedelta(seconds=s), f) for i, (s, f) in enumerate(calls)], "service string, n int, at timestamp_ntz, failed boolean")
+    got = {r["n"]: (r["tripped"], r["is_open"]) for r in feeds.breaker(rows, ["service"], "at", "n").collect()}
+    assert got == {0: (False, False), 1: (False, False), 2: (False, False), 3: (False, False), 4: (True, False), 5: (False, True), 6: (False, True), 7: (False, False), 8: (False, False)}
