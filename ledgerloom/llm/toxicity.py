@@ -23,7 +23,7 @@ from .common import checkpointed, in_small_batches, known_labels, rows_of, whole
 
 #: The fit takes at most so many toxic and clean documents, those with the smallest hash of their id, and so many bytes of text.
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1_000, 3_000, 16 << 20
-EPOCHS, FEATURES = 30, 1 << 17
+EPOCHS, FEATURES, PART = 30, 1 << 17, 1 << 18
 PREFIXES, LEAST_DOCS, PURE = (4, 5, 6, 7, 8), 3, 0.8
 CUT = 0.5
 TOKEN = re.compile(r"\w+")
@@ -53,11 +53,11 @@ class Chains:
         total = int(lengths.sum())
         self.starts = np.zeros(total, bool)
         self.starts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        self.steps = max(1, int(np.sqrt(total)))
 
     def _along(self, m: np.ndarray) -> np.ndarray:
         """Weights (2, n) after each matrix of ``m`` (2, 2, n), from equal weights on."""
-        n, steps = m.shape[2], self.steps
+        n = m.shape[2]
+        steps = max(1, int(np.sqrt(n)))
         blocks = -(-n // steps)
         padded = np.zeros((2, 2, blocks * steps))
         padded[0, 0], padded[1, 1] = 1, 1
@@ -87,13 +87,19 @@ class Chains:
         return out.transpose(0, 2, 1).reshape(2, -1)[:, :n]
 
     def messages(self, e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log ratios (toxic to clean) of the forward and the backward messages."""
-        if not len(e):
-            return np.zeros(0), np.zeros(0)
+        """Log ratios (toxic to clean) of the forward and the backward messages, in parts of about PART tokens."""
+        ahead, back = np.empty(len(e)), np.empty(len(e))
+        begins = np.flatnonzero(self.starts)
+        cuts = np.unique(begins[np.minimum(np.searchsorted(begins, np.arange(0, len(e), PART)), len(begins) - 1)]) if len(e) else []
+        for start, stop in zip(cuts, [*cuts[1:], len(e)]):
+            ahead[start:stop], back[start:stop] = self._messages(e[start:stop], t, self.starts[start:stop])
+        return ahead, back
+
+    def _messages(self, e: np.ndarray, t: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w, t = np.exp(np.clip(e, -60, 60)), np.exp(t)
         m = np.empty((2, 2, len(e)))
-        m[0, 0], m[0, 1] = np.where(self.starts, 1, t[0, 0]), np.where(self.starts, 1, t[1, 0])
-        m[1, 0], m[1, 1] = np.where(self.starts, w, w * t[0, 1]), np.where(self.starts, w, w * t[1, 1])
+        m[0, 0], m[0, 1] = np.where(starts, 1, t[0, 0]), np.where(starts, 1, t[1, 0])
+        m[1, 0], m[1, 1] = np.where(starts, w, w * t[0, 1]), np.where(starts, w, w * t[1, 1])
         ahead = self._along(m)
         # Backwards: the token after hands its weights on by the transposed matrix; behind the last one they are equal.
         back = np.full((2, len(e)), 0.5)
@@ -134,8 +140,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None) -> dict
     words, token = list(ids), np.concatenate(docs)
     lengths = np.array([len(d) for d in docs])
     y = np.repeat(toxic, lengths) * telling_words(docs, toxic, words, share)[token]
-    own = [places(w) for w in words]  # features of the distinct words alone
-    row, col = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([i for x in own for i in x], dtype=np.int64)
+    row = np.repeat(np.arange(len(words)), [len(parts(w)) for w in words])  # features of the distinct words alone
+    col = np.fromiter((i for w in words for i in places(w)), np.int64, len(row))
     emissions = lambda p: (p["bias"] + np.bincount(row, p["w"][col], len(words)))[token]
     chains, inner = Chains(lengths), np.ones(len(y), bool)
     inner[np.cumsum(lengths)[lengths > 0] - 1] = False  # tokens with a next one
