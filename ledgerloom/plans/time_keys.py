@@ -74,7 +74,7 @@ def _(v):
     return v.events.where("event_type <> 'view'").groupBy("user_id").agg(F.max("ts").alias("last_fired"))
 
 
-@key("layout_hints", """select id, step, x, y from (
+@key("layout_hints", """select id, step, cast(x as double) as x, cast(y as double) as y from (
   select id, 'a' as step, cast(id as bigint) % 50 + 0.5 as x, cast(id as bigint) % 7 as y from v_def union all select id, 'b', case when cast(id as bigint) % 3 = 0 then 9 else 1 end, 2 from v_def
   union all select id, 'c', 4, 5 from v_def where cast(id as bigint) % 3 = 0) t""")
 def _(v):
