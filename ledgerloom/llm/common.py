@@ -108,9 +108,10 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
-    """``df``, a checkpoint of short rows, to be broadcast if it has at most ``most`` rows; else it is shuffled."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def sent(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, a checkpoint of short rows, to be broadcast if it has at most SENT_ROWS (``rows`` if known); else it is shuffled."""
+    rows = df.limit(SENT_ROWS + 1).count() if rows is None else rows
+    return F.broadcast(df) if rows <= SENT_ROWS else df
 
 
 def width(df: DataFrame) -> int:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SENT_ROWS, checkpointed, in_small_batches, whole_text, width
+from .common import checkpointed, in_small_batches, sent, whole_text, width
 
 WINDOW, END_ID = 2048, 1
 #: Ranks are counted in so many parts of a length, each by itself, and in more when a part would have more than PART_ROWS.
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
 
     at = F.col("rank") + F.col("rank0")
     rest = ranked.where("rest > 0").select("doc_id", "doc_tokens", "tail", "rest", "full", at.alias("at"))
-    rest = rest.join(F.broadcast(intervals) if len(plan) <= SENT_ROWS else intervals, "rest").where("at >= first and at < last")
+    rest = rest.join(sent(intervals, len(plan)), "rest").where("at >= first and at < last")
     rest = rest.select(
         "doc_id",
         (F.col("full") * WINDOW + F.col("cut_start")).alias("start"),
@@ -243,8 +243,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
     cut = rest.where("cut")
     jobs = cut.select("doc_id", "doc_tokens", "tail", "start", "length").distinct()
     cuts = jobs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("cuts"))  # a document's own cuts
-    if sum(last - first for length, first, last, _, n, _, _ in plan if n < length) <= SENT_ROWS:
-        cuts = F.broadcast(cuts)  # checked: so many ids and cuts at most
+    cuts = sent(cuts, sum(last - first for length, first, last, _, n, _, _ in plan if n < length))  # so many ids and cuts at most
     again = texts.join(cuts.withColumnRenamed("doc_id", "cut_id"), F.col("doc_id").eqNullSafe(F.col("cut_id"))).select("doc_id", "text", "cuts").mapInPandas(_cut_sums(vocabulary), "doc_id long, doc_tokens long, tail long, start long, length long, ids_crc32 long")
     again = again.dropDuplicates(["doc_id", "doc_tokens", "tail", "start", "length"])
     again = again.withColumnRenamed("doc_id", "cut_id")

@@ -425,6 +425,40 @@ def test_near_duplicates_in_a_crowd_of_unlinked_texts(spark, monkeypatch, block)
     assert bag((r["doc_id"], r["class_id"]) for r in got) == bag(want)
 
 
+def test_what_is_too_large_to_broadcast_is_shuffled(edge, monkeypatch):
+    """The results on both sides of the row limit are the same."""
+    from ledgerloom.llm import common
+
+    def results():
+        return [bag(f(edge).collect()) for f in (minhash.near_duplicates, mixing.mix_plan, lambda x: mixing.mixed_documents(x).select("doc_id", "text"), lambda x: minhash.drop_near_copies(x).select("doc_id", "text"), packing.pack)]
+
+    want = results()
+    monkeypatch.setattr(common, "SENT_ROWS", 0)
+    assert results() == want
+
+
+def test_mix_plan_with_many_short_ranges(edge):
+    assert bag(mixing.mix_plan(edge, range_rows=0.0001).collect()) == bag(mixing.mix_plan(edge).collect())
+
+
+def test_word_vectors_in_lanes(spark, edge):
+    """Blocks that are added up in several lanes first give the same table."""
+    texts, before = edge.selectExpr("coalesce(text, '') as text"), spark.conf.get("spark.sql.shuffle.partitions")
+    want = quality_classifier.word_vectors(texts)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "130")
+        assert (quality_classifier.word_vectors(texts) == want).all()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_dart_signatures_in_blocks(monkeypatch):
+    elements, sizes = np.random.default_rng(1).integers(0, 2**63, 900).astype(np.uint64), np.array([3, 800, 97])
+    want = minhash.dart_signatures(elements, sizes)
+    monkeypatch.setattr(minhash, "CELLS", 500)
+    assert (minhash.dart_signatures(elements, sizes) == want).all()
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
