@@ -82,7 +82,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def released(df: DataFrame) -> DataFrame:
-    """``df``, a checkpoint; Spark is told to remove the shuffle files of the lineage that it cut off.
+    """``df``, which reads a checkpoint or table; Spark is told to remove the shuffle files that nothing needs any more.
 
     Its cleaner acts when the driver collects garbage, which a long query may not do by itself.
     """

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, new_folder, whole_text, width
+from .common import in_small_batches, new_folder, released, whole_text, width
 
 CHUNK, SMALLEST_REVISITED = 1 << 16, 1000
 ARCHIVE = "record string, chunk int, data binary, digest string"
@@ -175,4 +175,4 @@ def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Write an archive to the shared folder and read it back. An empty table gives an empty result."""
     path = new_folder(pages.sparkSession, "warc")
     write_archive(pages, path, **columns)
-    return read_archive(pages.sparkSession, path)
+    return released(read_archive(pages.sparkSession, path))  # the writer's shuffle is done with
