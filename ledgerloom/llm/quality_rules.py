@@ -18,7 +18,7 @@ from .common import checkpointed, squeezed, whole_text
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: EM runs until no estimate moves by CLOSE; it always gets there, MOST_ROUNDS only ends a fit that would not.
 CLOSE, MOST_ROUNDS, THRESHOLD = 1e-6, 10_000, 0.5
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Ends of words with two or more marks, and words of one mark, in a text whose words stand between single spaces.
 ODD = r"[^\p{L}\p{N}][^\p{L}\p{N}\x20](?=\x20)"
 
@@ -50,16 +50,11 @@ END
 """
 
 
-def _count(text: Column, characters: str) -> Column:
-    """How often any of the characters occurs; no pattern is matched."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
-
-
 def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The measures of each whole text; null counts as empty and has no words and lines.
 
-    Words come from one pass that squeezes white space; what can be counted by removing
-    characters is, and patterns are left to capitals and odd words.
+    Words come from one pass that squeezes white space; the patterns that are counted are
+    single characters, but for odd words.
     """
     text, line = F.col("_text"), F.col("_line")
     rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("_text"))
@@ -77,12 +72,12 @@ def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.when(line == "", 0).otherwise(F.length(line) - F.size("words") + 1).cast("long").alias("word_chars"),
-        _count(text, SYMBOLS).alias("n_symbols"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(_REPEATED).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
-        _count(text, "!").alias("n_exclamations"),
+        (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_exclamations"),
         F.regexp_count(F.concat(F.lit(" "), line, F.lit(" ")), F.lit(ODD)).cast("long").alias("n_odd_words"),
         F.size(F.filter("lines", lambda x: last(x).isin(*'.!?:;")'))).cast("long").alias("n_ended_lines"),
     )
