@@ -165,11 +165,12 @@ def texts_of(ids: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``id, text`` of the nodes ``ids``: the text of the row that stands for each.
 
     The places of those rows (id and hash of the text) are short; they are broadcast if
-    they are few, which is checked, else the texts are shuffled to them.
+    they are few, which is checked, else the texts are shuffled to them. Rows that repeat
+    id and text, however many, count once.
     """
     places = checkpointed(ids.join(nodes.select("id", "doc_id", "v"), "id").select("id", F.col("doc_id").alias("_doc_id"), F.col("v").alias("_v")))
     found = texts.join(sent(places), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("v") == F.col("_v")))
-    return found.select("id", "text")
+    return found.select("id", "text").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -297,7 +298,7 @@ def settled(crowded: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Data
 
     names = [c.split()[0] for c in columns.split(", ")]
     suspects = checkpointed(met(dealt.join(nodes.select("id", "bands", "marks"), "id").select(*names)).mapInPandas(_suspects, columns))
-    sets = checkpointed(in_small_batches(texts_of(suspects.select("id").distinct(), nodes, texts)).mapInPandas(_shingled, "id binary, shingles binary, counts binary").dropDuplicates(["id"]))
+    sets = checkpointed(in_small_batches(texts_of(suspects.select("id").distinct(), nodes, texts)).mapInPandas(_shingled, "id binary, shingles binary, counts binary"))
     return met(suspects.join(sets, "id")).mapInPandas(_linked, "a binary, b binary").distinct()
 
 

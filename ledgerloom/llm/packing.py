@@ -157,7 +157,7 @@ def _measured(vocabulary: str, window: int):
                 ids = token_ids(text, vocabulary)
                 numbers.append(len(ids))
                 sums.append([zlib.crc32(ids[a : a + window]) for a in range(0, len(ids), window)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "doc_tokens": numbers, "sums": sums})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "v": batch["v"], "doc_tokens": numbers, "sums": sums})
 
     return measure
 
@@ -170,9 +170,8 @@ def _cut_sums(vocabulary: str):
             out = []
             for row in batch.itertuples():
                 ids = token_ids(row.text, vocabulary)
-                tail = zlib.crc32(ids[len(ids) - len(ids) % WINDOW :])
-                out += [(None if pd.isna(row.doc_id) else int(row.doc_id), len(ids), tail, int(c["start"]), int(c["length"]), zlib.crc32(ids[c["start"] : c["start"] + c["length"]])) for c in row.cuts]
-            yield pd.DataFrame(out, columns=["doc_id", "doc_tokens", "tail", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                out += [(None if pd.isna(row.doc_id) else int(row.doc_id), row.v, int(c["start"]), int(c["length"]), zlib.crc32(ids[c["start"] : c["start"] + c["length"]])) for c in row.cuts]
+            yield pd.DataFrame(out, columns=["cut_id", "cut_v", "start", "length", "ids_crc32"]).astype({"cut_id": "Int64"})
 
     return measure
 
@@ -189,17 +188,18 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
     The ids are not kept: checksums of windows and remainders are taken as the text is
     encoded, and only documents whose remainder is cut are encoded once more.
     """
-    texts = in_small_batches(docs.select("doc_id", whole_text().alias("text")))
-    measured = checkpointed(texts.mapInPandas(_measured(vocabulary, WINDOW), "doc_id long, doc_tokens long, sums array<long>"))
+    texts = in_small_batches(docs.select("doc_id", F.xxhash64(whole_text()).alias("v"), whole_text().alias("text")))
+    measured = checkpointed(texts.mapInPandas(_measured(vocabulary, WINDOW), "doc_id long, v long, doc_tokens long, sums array<long>"))
     parts = max(PARTS, measured.count() // PART_ROWS)
     rows = measured.select(
         "doc_id",
+        "v",
         "doc_tokens",
         "sums",
         (F.col("doc_tokens") % WINDOW).cast("int").alias("rest"),
         F.expr(f"doc_tokens div {WINDOW}").alias("full"),
         F.when(F.col("doc_tokens") % WINDOW > 0, F.element_at("sums", -1)).otherwise(F.lit(0).cast("long")).alias("tail"),
-        F.pmod(F.xxhash64("doc_id", "doc_tokens", F.when(F.col("doc_id").isNull(), F.spark_partition_id())), F.lit(parts)).cast("int").alias("part"),  # rows without id are spread, too
+        F.pmod(F.xxhash64("doc_id", "v", F.when(F.col("doc_id").isNull(), F.spark_partition_id())), F.lit(parts)).cast("int").alias("part"),  # rows without id are spread, too
     )
     histogram = {r["rest"]: r["count"] for r in rows.where("rest > 0").groupBy("rest").count().collect()}  # at most WINDOW - 1 rows
     plan, packed = plan_windows(histogram)
@@ -207,7 +207,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
 
     # Ranks: the parts are counted, the counts are summed up along the parts, and each part ranks its own rows.
     by_part = rows.repartition(width(docs), "part")
-    order = ["doc_id", "doc_tokens", "tail"]
+    order = ["doc_id", "doc_tokens", "v"]
     ranked = by_part.select(
         "*",
         (F.row_number().over(Window.partitionBy("part", "rest").orderBy(*order)) - 1).cast("long").alias("rank"),
@@ -223,10 +223,11 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
     whole = whole.select("doc_id", (F.col("i").cast("long") * WINDOW).alias("start"), F.lit(WINDOW).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("base") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     at = F.col("rank") + F.col("rank0")
-    rest = ranked.where("rest > 0").select("doc_id", "doc_tokens", "tail", "rest", "full", at.alias("at"))
+    rest = ranked.where("rest > 0").select("doc_id", "v", "doc_tokens", "tail", "rest", "full", at.alias("at"))
     rest = rest.join(sent(intervals, len(plan)), "rest").where("at >= first and at < last")
     rest = rest.select(
         "doc_id",
+        "v",
         (F.col("full") * WINDOW + F.col("cut_start")).alias("start"),
         F.col("cut_length").cast("long").alias("length"),
         "tail",
@@ -241,13 +242,11 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFram
         return whole.unionByName(uncut)
 
     cut = rest.where("cut")
-    jobs = cut.select("doc_id", "doc_tokens", "tail", "start", "length").distinct()
-    cuts = jobs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("cuts"))  # a document's own cuts
+    jobs = cut.select("doc_id", "v", "start", "length").distinct()
+    cuts = jobs.groupBy(F.col("doc_id").alias("cut_id"), F.col("v").alias("cut_v")).agg(F.collect_list(F.struct("start", "length")).alias("cuts"))  # a text's own cuts
     cuts = sent(cuts, sum(last - first for length, first, last, _, n, _, _ in plan if n < length))  # so many ids and cuts at most
-    again = texts.join(cuts.withColumnRenamed("doc_id", "cut_id"), F.col("doc_id").eqNullSafe(F.col("cut_id"))).select("doc_id", "text", "cuts").mapInPandas(_cut_sums(vocabulary), "doc_id long, doc_tokens long, tail long, start long, length long, ids_crc32 long")
-    again = again.dropDuplicates(["doc_id", "doc_tokens", "tail", "start", "length"])
-    again = again.withColumnRenamed("doc_id", "cut_id")
-    same = cut["doc_id"].eqNullSafe(again["cut_id"])  # an id may be null
-    for name in ("doc_tokens", "tail", "start", "length"):
-        same &= cut[name] == again[name]
+    one = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("v") == F.col("cut_v"))  # an id may be null, or have several texts
+    again = texts.join(cuts, one).select("doc_id", "v", "text", "cuts").mapInPandas(_cut_sums(vocabulary), "cut_id long, cut_v long, start long, length long, ids_crc32 long")
+    again = again.dropDuplicates(["cut_id", "cut_v", "start", "length"])
+    same = one & (cut["start"] == again["start"]) & (cut["length"] == again["length"])
     return whole.unionByName(uncut).unionByName(cut.join(again, same).select(*[again[c] if c == "ids_crc32" else cut[c] for c in out]))
