@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,9 +86,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def released(df: DataFrame) -> DataFrame:
     """``df``, which reads a checkpoint or table; Spark is told to remove the shuffle files that nothing needs any more.
 
-    Its cleaner acts when the driver, Python's side first, collects garbage, which a long query may not do by itself.
+    Its cleaner acts when the driver collects garbage, which a long query may not do by
+    itself; what Python has dropped is handed over to the JVM once a second.
     """
     gc.collect()
+    time.sleep(1.2)
     df.sparkSession.sparkContext._jvm.System.gc()
     return df
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, new_folder, released, whole_text, width
+from .common import checkpointed, in_small_batches, new_folder, sent, whole_text, width
 
 CHUNK, SMALLEST_REVISITED = 1 << 16, 1000
 ARCHIVE = "record string, chunk int, data binary, digest string"
@@ -43,8 +43,8 @@ def classify(pages: DataFrame, page_id: str = "page_id", html: str = "html", url
         whole_text(html).cast("binary").alias("payload"),
     )
     rows = rows.select("*", F.sha1("payload").alias("sha1"), F.when(F.length("payload") >= SMALLEST_REVISITED, F.sha2("payload", 256)).alias("same"))
-    holders = rows.where("same is not null").groupBy("sha1", "same").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(holders, ["sha1", "same"], "left")
+    holders = rows.where("same is not null").groupBy("sha1", "same").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.join(sent(checkpointed(holders)), ["sha1", "same"], "left")  # payloads are shuffled only beside very many groups of copies
     response = F.col("holder").isNull() | F.col("page_id").eqNullSafe(F.col("holder"))
     return rows.select("page_id", "url", "payload", "sha1", F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("holder")).alias("refers_to"))
 
@@ -175,4 +175,4 @@ def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Write an archive to the shared folder and read it back. An empty table gives an empty result."""
     path = new_folder(pages.sparkSession, "warc")
     write_archive(pages, path, **columns)
-    return released(read_archive(pages.sparkSession, path))  # the writer's shuffle is done with
+    return read_archive(pages.sparkSession, path)

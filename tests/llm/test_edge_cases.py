@@ -430,7 +430,7 @@ def test_what_is_too_large_to_broadcast_is_shuffled(edge, monkeypatch):
     from ledgerloom.llm import common
 
     def results():
-        return [bag(f(edge).collect()) for f in (minhash.near_duplicates, mixing.mix_plan, lambda x: mixing.mixed_documents(x).select("doc_id", "text"), lambda x: minhash.drop_near_copies(x).select("doc_id", "text"), packing.pack)]
+        return [bag(f(edge).collect()) for f in (minhash.near_duplicates, mixing.mix_plan, lambda x: mixing.mixed_documents(x).select("doc_id", "text"), lambda x: minhash.drop_near_copies(x).select("doc_id", "text"), packing.pack, lambda x: warc.round_trip(x, page_id="doc_id", html="text", url="source"))]
 
     want = results()
     monkeypatch.setattr(common, "SENT_ROWS", 0)
