@@ -25,7 +25,7 @@ bytes, those alone go, equal ones are folded, and the others are split into smal
 of places, down to single strings. So no task holds a large bucket, and what is grouped is always the bytes.
 
 A document whose whole text came before goes whole, so only the first copy of each text is
-looked at; all joins with texts read one shuffle of them.
+looked at; copies are found on short rows.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_small_batches, released, whole_text, width
+from .common import checkpointed, in_small_batches, released, sent, whole_text, width
 from .minhash import mixed
 
 LENGTH, Q = 100, 32
@@ -336,10 +336,13 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     texts = in_small_batches(docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NONE)).alias("d"), whole_text(text_column).alias("text")))
     texts = texts.select("d", F.xxhash64("text").alias("v"), "text")
-    firsts = texts.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min(F.struct("d", "v")).alias("x")).select("x.d", "x.v", F.lit(False).alias("copy"))
+    place = F.struct("d", "v")
+    short = texts.select("d", "v", F.md5(F.col("text").cast("binary")).alias("h"))
+    firsts = checkpointed(short.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    copies = checkpointed(short.join(sent(firsts), "h").where(place > F.col("first")).select("d", "v").distinct())  # of texts that came before
     frequent = texts.sparkSession.createDataFrame([(b, True) for b in frequent_buckets(texts)], "bucket long, hot boolean")
 
-    anchored = texts.join(firsts, ["d", "v"]).select("d", "v", "text").mapInPandas(_anchored, _ANCHOR).join(F.broadcast(frequent), "bucket", "left")
+    anchored = texts.join(sent(copies), ["d", "v"], "left_anti").mapInPandas(_anchored, _ANCHOR).join(F.broadcast(frequent), "bucket", "left")
     own = F.when(F.col("hot"), F.xxhash64("bucket", "d", "v")).otherwise(F.col("bucket"))  # frequent ones need no count
     counted = anchored.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(own)))
     large = (F.coalesce("hot", F.lit(False)) | (F.col("n") > GROUP)).cast("long")
@@ -354,6 +357,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     of_large = having(repeated.where(F.exists("runs", lambda r: r["place"] % 2 == 1))).mapInPandas(_contexts(True), _CONTEXT)
     runs = released(runs.unionByName(later_of_large(of_large)))
     runs = runs.groupBy("d", "v").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # a document's own runs
-    whole = texts.join(firsts, ["d", "v"], "left").join(runs, ["d", "v"], "left")
-    whole = whole.select(F.when(F.col("d") != NONE, F.col("d")).alias("doc_id"), "text", F.coalesce("copy", F.lit(True)).alias("copy"), "runs")
+    whole = texts.select("d", "v", "text").join(runs, ["d", "v"], "left")  # reads the exchange of texts that the contexts are cut from
+    whole = whole.join(sent(copies).withColumn("copy", F.lit(True)), ["d", "v"], "left")
+    whole = whole.select(F.when(F.col("d") != NONE, F.col("d")).alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "runs")
     return whole.mapInPandas(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
