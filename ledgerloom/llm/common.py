@@ -29,9 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small input over all cores: a file of one row group would be one task. Larger ones are left as they are."""
+    """A small input in fewer parts than there are cores is dealt over all: a file of one row group would be one task.
+
+    Larger inputs, and those in many parts, are left as they are.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_INPUT else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < SMALL_INPUT and df.rdd.getNumPartitions() < cores else df
 
 
 def whole_text(column: str | Column = "text") -> Column:
