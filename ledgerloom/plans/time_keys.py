@@ -80,8 +80,8 @@ def _(v):
 def _(v):
     """Stored hints under those that are set now; text, missing numbers, infinite ones and names that are too long are no hints."""
     n = F.col("id").cast("long")
-    stored = F.format_string('{"other": 1, "dagLayout": {"a": {"x": %d.5, "y": %d}, "b": {"x": 1, "y": 2}, "d": {"x": "7", "y": 1}, "e": {"y": 3}, "f": {"x": 1e999, "y": 3}, "%s": {"x": 1, "y": 1}}}', n % 50, n % 7, F.repeat(F.lit("n"), 300))
-    now = F.when(n % 3 == 0, F.lit('{"dagLayout": {"b": {"x": 9, "y": 2}, "c": {"x": 4, "y": 5}}}')).otherwise(F.lit("[]"))
+    stored = F.format_string('{"other": 1, "dashboard.layoutHints": {"a": {"x": %d.5, "y": %d}, "b": {"x": 1, "y": 2}, "d": {"x": "7", "y": 1}, "e": {"y": 3}, "f": {"x": 1e999, "y": 3}, "%s": {"x": 1, "y": 1}}}', n % 50, n % 7, F.repeat(F.lit("n"), 129))
+    now = F.when(n % 3 == 0, F.lit('{"dashboard.layoutHints": {"b": {"x": 9, "y": 2}, "c": {"x": 4, "y": 5}}}')).otherwise(F.lit("[]"))
     places = v.definitions.select("id", F.explode(hints.merged(hints.parse(stored), hints.parse(now))).alias("step", "place"))
     return places.select("id", "step", "place.x", "place.y")
 
