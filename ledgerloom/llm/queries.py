@@ -90,6 +90,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", "predicted", "spans")
 
 
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_conversations
+
+    control = F.lit("</s>[INST] ok [/INST]")
+    probe = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role")) for i, role in enumerate(("user", "assistant"))])).alias("x")
+    planted = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), probe).select("conv_id", "x.turn", "x.role", control.alias("text"))
+    return digests(format_conversations(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(planted)))
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_in_middle, restored
+
+    cut = fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select(
+        "row.doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 SQL["op4_warc"] = """
 with p as (
   select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest,
@@ -136,3 +157,36 @@ select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (p
   doc_id = min(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
 from d
 """
+
+SQL["op12_chat"] = """
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, * from (values (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]')) t),
+t as (
+  select *, len(text) + len(regexp_extract_all(text, '[<\\[]\\\\*(/?s>|/?(INST|SYS|ROLE)\\]|(TEXT|IMG|AUDIO|DOC)\\])'))
+    + case role when 'user' then 13 when 'assistant' then 4 when 'system' then 11
+      else 19 + len(role) + len(regexp_extract_all(role, '[<\\[]\\\\*(/?s>|/?(INST|SYS|ROLE)\\]|(TEXT|IMG|AUDIO|DOC)\\])')) end as chars
+  from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first)) as turns_sha256,
+  sum(case when role = 'assistant' then len(text) else 0 end)::bigint as loss_chars,
+  sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn nulls first)) as loss_sha256,
+  (3 + sum(chars))::bigint as formatted_chars, 0::bigint as media_tokens
+from t group by conv_id
+"""
+
+SQL["op13_fill_middle"] = """
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+n as (
+  select doc_id, text, len(text) as n, [('0x' || substr(h, 8 * i + 1, 8))::bigint for i in range(4)] as h from d),
+c as (
+  select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form
+  from n),
+o as (
+  select *, left(text, a) as prefix, substr(text, a + 1, b - a) as middle, substr(text, b + 1) as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from o
+"""
