@@ -90,6 +90,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", "predicted", "spans")
 
 
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
 @query
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_conversations
@@ -158,6 +165,35 @@ select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (p
 from d
 """
 
+SQL["op11_phrases"] = """
+with d as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text, row_number() over () as d from documents),
+p as (
+  select lang, d, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) as piece, generate_subscripts(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]'), 1) as p from d),
+w as (
+  select lang, d, p, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select *, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from p) t),
+g as (
+  select lang, w as w1, lead(w, 1) over o as w2, lead(w, 2) over o as w3, lead(w, 3) over o as w4, lead(w, 4) over o as w5 from w window o as (partition by d, p order by i)),
+f as (
+  select lang, [w1] as ws, count(*) as f from g group by all having count(*) >= 100
+  union all select lang, [w1, w2], count(*) from g where w2 is not null group by all having count(*) >= 100
+  union all select lang, [w1, w2, w3], count(*) from g where w3 is not null group by all having count(*) >= 100
+  union all select lang, [w1, w2, w3, w4], count(*) from g where w4 is not null group by all having count(*) >= 100
+  union all select lang, [w1, w2, w3, w4, w5], count(*) from g where w5 is not null group by all having count(*) >= 100),
+n as (select lang, count(*) as n from w group by lang),
+inside as (
+  select lang, f, ws[i:i + m - 1] as ws from (select lang, f, ws, unnest(range(1, len(ws) - m + 2)) as i, m from (select *, unnest(range(2, len(ws))) as m from f where len(ws) > 2) t) u),
+c as (
+  select * from f where len(ws) > 1 and not exists (select 1 from inside x where x.lang = f.lang and x.ws = f.ws and 100 * x.f >= 100 * f.f)),
+cuts as (
+  select c.lang, c.ws, c.f as a, k, l.f as l, r.f as r, n.n, (1000::hugeint * c.f * n.n) // (l.f::hugeint * r.f) as score
+  from (select *, unnest(range(1, len(ws))) as k from c) c
+  join f l on l.lang = c.lang and l.ws = c.ws[1:k] join f r on r.lang = c.lang and r.ws = c.ws[k + 1:] join n on n.lang = c.lang),
+worst as (select * from (select *, row_number() over (partition by lang, ws order by score, k) as o from cuts) t where o = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, array_to_string(ws, ' ')) as rank from worst)
+select lang, rank, array_to_string(ws, ' ') as phrase, a, l, r, n, score::bigint as score from ranked where rank <= 2000
+"""
+
 SQL["op12_chat"] = """
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
