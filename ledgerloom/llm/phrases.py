@@ -1,12 +1,17 @@
 """Phrase collocation mining with vertical positional inverted lists.
 
 Documents are dealt into blocks of bounded bytes. In a block every word has the list of the
-positions at which it occurs, and so has every phrase that may be frequent; positions are numbered so
+positions at which it occurs, and so has every frequent phrase; positions are numbered so
 that no two words of different pieces are neighbours. Phrases grow word by word: the list
 of a frequent phrase of k words is merge-joined, k positions on, with the postings of the frequent
 words, which gives the lists of all phrases of k + 1 words that begin with it. The length of a list
-is its block's exact count; Spark adds the counts of all blocks, and says back to each block
-which of its lists are frequent. Lists never leave their block, only counts are shuffled.
+is its block's exact count, and Spark adds the counts of all blocks.
+
+Most phrases of a block are rare everywhere, and a row for each would be the bulk of all that is
+shuffled. So blocks first send packets: the hashes of their phrases in order, with counts, packed.
+Where a hash is summed up to less than the least count, its phrases are rare, and no block
+looks at them again; a phrase is never lost, as whatever shares its hash only adds. What is left
+is counted by its words. Lists never leave their block.
 """
 
 from __future__ import annotations
@@ -14,13 +19,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_small_batches, new_folder, sent, whole_text
+from .common import checkpointed, in_small_batches, new_folder, sent, whole_text, width
 
 #: Bytes of text of a block (a piece of a text that is longer is a block of its own), and the longest phrase.
 BLOCK_BYTES, LONGEST = 16 << 20, 5
@@ -33,32 +39,79 @@ _CLASSES[[ord(c) for c in ".,;:!?\n\v\f\r"]] = _SEPARATOR
 _CLASSES[[0x20, 0x09]] = _BLANK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Rows of a block: counts of its phrases, and one row with its lists, which has no phrase.
-_ROWS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("list", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("postings", "posting_n", "places", "place_n")), ("words", pa.list_(pa.string()))])
-_SCHEMA = "block long, lang string, phrase string, list int, n long, postings binary, posting_n binary, places binary, place_n binary, words array<string>"
+#: Bits of a hash. Phrases that share one are only counted for nothing.
+BITS = 40
+#: Rows of a block: packets (with ``part``), counts (with ``n``), and one row with its lists (with ``words``).
+_ROWS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), *((c, pa.binary()) for c in ("postings", "posting_n", "places", "place_n", "members")), ("words", pa.list_(pa.string())), ("langs", pa.list_(pa.string()))])
+_SCHEMA = "block long, part int, hashes binary, counts binary, lang string, phrase string, n long, postings binary, posting_n binary, places binary, place_n binary, members binary, words array<string>, langs array<string>"
+_STATE = ("postings", "posting_n", "places", "place_n", "members", "words", "langs")
 
 
 def _packed(numbers: np.ndarray) -> bytes:
     """Differences of neighbours, byte by byte, compressed."""
-    gaps = np.diff(numbers.astype(np.int32), prepend=np.int32(0))
-    return np.int64(len(gaps)).tobytes() + pa.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+    gaps = np.diff(numbers.astype(np.int64), prepend=np.int64(0))
+    small = len(gaps) == 0 or (gaps.min() >= -(2**31) and gaps.max() < 2**31)
+    gaps = gaps.astype(np.int32) if small else gaps
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(len(gaps), gaps.itemsize).T)
+    return np.array([len(gaps), gaps.itemsize], np.int64).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data[:8], np.int64)[0])
-    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int32)
+    n, size = (int(x) for x in np.frombuffer(data[:16], np.int64))
+    planes = np.frombuffer(pa.decompress(data[16:], size * n, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int32 if size == 4 else np.int64).ravel(), dtype=np.int64)
+
+
+def _batch(size: int, **columns) -> pa.RecordBatch:
+    """``size`` rows of a block; columns that are not named are null."""
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _ROWS], schema=_ROWS)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _word_hashes(words: pa.Array, langs: pa.Array) -> np.ndarray:
+    """64 bits of each word in its language."""
+    texts = pc.binary_join_element_wise(words, langs, "\n").to_numpy(zero_copy_only=False)
+    return pd.util.hash_array(texts, categorize=False) if len(texts) else np.zeros(0, np.uint64)
+
+
+def _longer_hashes(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hashes of phrases with one more word."""
+    return _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _packets(block: int, hashes: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The hashes of a block's phrases in order, with counts, a packet for each range of hashes that has any."""
+    hashes = _short(hashes)
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    ends = np.searchsorted(hashes, [(i << BITS) // parts for i in range(parts + 1)])
+    held = np.flatnonzero(np.diff(ends))
+    pack = lambda x: pa.array([_packed(x[ends[i] : ends[i + 1]]) for i in held], pa.binary())
+    return _batch(len(held), block=pa.array(np.full(len(held), block)), part=pa.array(held.astype(np.int32)), hashes=pack(hashes), counts=pack(counts))
 
 
-def _rows(block: int, lang: pa.Array, phrase: pa.Array, counts: np.ndarray, state: dict) -> Iterator[pa.RecordBatch]:
-    """The counts of a block's lists, in parts, and then the row with the lists themselves."""
-    for i in range(0, len(counts), 100_000):
-        own = counts[i : i + 100_000]
-        columns = [pa.array(np.full(len(own), block)), lang[i : i + len(own)], phrase[i : i + len(own)], pa.array(np.arange(i, i + len(own), dtype=np.int32)), pa.array(own.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(own), f.type) for f in list(_ROWS)[5:])], schema=_ROWS)
-    if len(counts):
-        one = {"block": block, "lang": None, "phrase": None, "list": None, "n": None, **state}
-        yield pa.RecordBatch.from_pylist([one], schema=_ROWS)
+def _frequent_hashes(least: int):
+    """For the packets of one range: back to each block, those of its hashes whose counts add up to ``least`` or more."""
+
+    def run(packets: pa.Table) -> pa.Table:
+        hashes = [_unpacked(x) for x in packets.column("hashes").to_pylist()]
+        counts = np.concatenate([_unpacked(x) for x in packets.column("counts").to_pylist()])
+        keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        enough = np.bincount(place, weights=counts, minlength=len(keys))[place] >= least
+        ends = np.cumsum([0, *map(len, hashes)])
+        left = [x[enough[a:b]] for x, a, b in zip(hashes, ends, ends[1:])]
+        held = [i for i, x in enumerate(left) if len(x)]
+        return pa.table({"block": packets.column("block").combine_chunks().take(pa.array(held, pa.int64())), "hashes": pa.array([_packed(left[i]) for i in held], pa.binary())})
+
+    return run
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -78,12 +131,12 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return data, order, batch.column("lang").take(pa.array(np.minimum(owner, len(text) - 1)))
 
 
-def _first_lists(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]], block: int) -> Iterator[pa.RecordBatch]:
+def _first_lists(texts: list[tuple[np.ndarray, np.ndarray, pa.Array]], block: int, parts: int) -> Iterator[pa.RecordBatch]:
     """The words of a block with their positions."""
-    data = _LOWER[np.concatenate([d for d, _, _ in parts])]
-    sizes = np.cumsum([0, *(len(d) for d, _, _ in parts)])
-    begins = np.concatenate([o[:-1] + base for (_, o, _), base in zip(parts, sizes)])
-    langs = pa.chunked_array([x for _, _, x in parts]).combine_chunks().dictionary_encode()
+    data = _LOWER[np.concatenate([d for d, _, _ in texts])]
+    sizes = np.cumsum([0, *(len(d) for d, _, _ in texts)])
+    begins = np.concatenate([o[:-1] + base for (_, o, _), base in zip(texts, sizes)])
+    langs = pa.chunked_array([x for _, _, x in texts]).combine_chunks().dictionary_encode()
     kinds = _CLASSES[data]
     word = kinds == _WORD
     edge = np.zeros(len(data) + 1, bool)
@@ -101,29 +154,41 @@ def _first_lists(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]], block: in
     who = np.asarray(names.indices).astype(np.int64)
     spoken = np.asarray(langs.indices).astype(np.int64)[np.searchsorted(begins, starts, side="right") - 1]
     keys, who, counts = np.unique(spoken * len(names.dictionary) + who, return_inverse=True, return_counts=True)
-    lists = _packed(at[np.argsort(who, kind="stable")])
-    state = {"postings": lists, "posting_n": _packed(counts), "places": None, "place_n": None, "words": None}
-    yield from _rows(block, langs.dictionary.take(pa.array(keys // len(names.dictionary))), names.dictionary.take(pa.array(keys % len(names.dictionary))), counts, state)
+    words, tongues = names.dictionary.take(pa.array(keys % len(names.dictionary))), langs.dictionary.take(pa.array(keys // len(names.dictionary)))
+    yield _packets(block, _word_hashes(words, tongues), counts, parts)
+    said = np.bincount(keys // len(names.dictionary), weights=counts, minlength=len(langs.dictionary)).astype(np.int64)
+    yield _batch(len(said), block=pa.array(np.full(len(said), block)), lang=langs.dictionary, n=pa.array(said))
+    lists = {"postings": _packed(at[np.argsort(who, kind="stable")]), "posting_n": _packed(counts)}
+    yield _state(block, words=words, langs=tongues, **lists)
+
 
+def _state(block: int, words: pa.Array, langs: pa.Array, **lists: bytes) -> pa.RecordBatch:
+    texts = {name: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for name, x in (("words", words), ("langs", langs))}
+    return _batch(1, block=pa.array([block], pa.int64()), **texts, **{name: pa.array([x], pa.binary()) for name, x in lists.items()})
 
-def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _word_lists(parts: int):
     """All blocks of a task, numbered by task and place in it."""
-    held, size, block = [], 0, TaskContext.get().partitionId() << 24
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        data, offsets, langs = _texts(batch)
-        low = 0
-        while low < len(offsets) - 1:
-            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + BLOCK_BYTES - size, side="right")) - 1)
-            held.append((data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], langs[low:high]))
-            size += int(offsets[high] - offsets[low])
-            low = high
-            if size >= BLOCK_BYTES or low < len(offsets) - 1:
-                yield from _first_lists(held, block)
-                held, size, block = [], 0, block + 1
-    if held:
-        yield from _first_lists(held, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, block = [], 0, TaskContext.get().partitionId() << 24
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, offsets, langs = _texts(batch)
+            low = 0
+            while low < len(offsets) - 1:
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + BLOCK_BYTES - size, side="right")) - 1)
+                held.append((data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], langs[low:high]))
+                size += int(offsets[high] - offsets[low])
+                low = high
+                if size >= BLOCK_BYTES or low < len(offsets) - 1:
+                    yield from _first_lists(held, block, parts)
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield from _first_lists(held, block, parts)
+
+    return run
 
 
 def _chosen(places: np.ndarray, lengths: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,63 +218,78 @@ def extended(k: int, postings: np.ndarray, who: np.ndarray, places: np.ndarray,
     return keys, places[meets][order], lengths
 
 
-def _longer_lists(k: int, longest: int):
-    """For one block: its lists and which of those of k words are frequent, to its lists of k + 1 words."""
-
-    def run(state: pa.Table, kept: pa.Table) -> pa.Table:
-        out = []
-        if state.num_rows and kept.num_rows:
-            own, kept = state.to_pylist()[0], kept.sort_by("list").combine_chunks()
-            lists = kept.column("list").to_numpy()
-            phrases, langs = (kept.column(c).combine_chunks() for c in ("phrase", "lang"))
-            if k == 1:
-                postings, who = _chosen(_unpacked(own["postings"]), _unpacked(own["posting_n"]), lists)
-                places, owner, words = postings, who, phrases
-            else:
-                postings, lengths = _unpacked(own["postings"]), _unpacked(own["posting_n"])
-                who, words = np.repeat(np.arange(len(lengths)), lengths), pa.array(own["words"], pa.string())
-                places, owner = _chosen(_unpacked(own["places"]), _unpacked(own["place_n"]), lists)
-            if len(places) and len(postings):
-                keys, places, lengths = extended(k, postings, who, places, owner, len(words))
-                first = pa.array(keys // len(words))
-                longer = pc.binary_join_element_wise(phrases.take(first), words.take(pa.array(keys % len(words))), " ")
-                near = np.isin(postings, places + k + 1)  # what can follow the longer phrases
-                state_of = {"postings": None, "posting_n": None, "places": None, "place_n": None, "words": None}
-                if k + 1 < longest:
-                    state_of = {"postings": _packed(postings[near]), "posting_n": _packed(np.bincount(who[near], minlength=len(words))), "places": _packed(places), "place_n": _packed(lengths), "words": words.to_pylist()}
-                out = list(_rows(own["block"], langs.take(first), longer, lengths, state_of))
+def _longer_lists(k: int, longest: int, parts: int):
+    """For one block, its lists of k - 1 words and the hashes of frequent phrases of k: counts of those, and packets of k + 1."""
+
+    def run(state: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not state.num_rows or not frequent.num_rows:
+            return _ROWS.empty_table()
+        one = lambda name: state.column(name)[0]
+        block, words, langs = one("block").as_py(), one("words").values, one("langs").values
+        left = np.concatenate([_unpacked(x) for x in frequent.column("hashes").to_pylist()])
+        postings, posting_n, own = _unpacked(one("postings").as_py()), _unpacked(one("posting_n").as_py()), _word_hashes(words, langs)
+        if k == 1:
+            lists = np.flatnonzero(np.isin(_short(own), left))
+            postings, who = _chosen(postings, posting_n, lists)
+            words, langs, own = words.take(pa.array(lists)), langs.take(pa.array(lists)), own[lists]
+            places, owner, members = postings, who, np.arange(len(lists))[:, None]
+        else:
+            who, lengths = np.repeat(np.arange(len(posting_n)), posting_n), _unpacked(one("place_n").as_py())
+            before = _unpacked(one("members").as_py()).reshape(-1, k - 1)
+            keys, places, lengths = extended(k - 1, postings, who, _unpacked(one("places").as_py()), np.repeat(np.arange(len(lengths)), lengths), len(words))
+            members = np.concatenate([before[keys // len(words)], (keys % len(words))[:, None]], axis=1)
+            lists = np.flatnonzero(np.isin(_short(_phrase_hashes(own, members)), left))
+            places, owner = _chosen(places, lengths, lists)
+            members = members[lists]
+        out, n = [], np.bincount(owner, minlength=len(members)).astype(np.int64)
+        said = words.take(pa.array(members[:, 0]))
+        for i in range(1, k):
+            said = pc.binary_join_element_wise(said, words.take(pa.array(members[:, i])), " ")
+        out.append(_batch(len(n), block=pa.array(np.full(len(n), block)), lang=langs.take(pa.array(members[:, 0])), phrase=said, n=pa.array(n)))
+        if k < longest and len(places):
+            keys, _, lengths = extended(k, postings, who, places, owner, len(words))
+            longer = _longer_hashes(_phrase_hashes(own, members)[keys // len(words)], own[keys % len(words)])
+            out.append(_packets(block, longer, lengths, parts))
+            near = np.isin(postings, np.concatenate([places + k, places + k + 1]))  # what the next two words can be
+            lists = {"postings": postings[near], "posting_n": np.bincount(who[near], minlength=len(words)), "places": places, "place_n": n, "members": members.ravel()}
+            out.append(_state(block, words, langs, **{name: _packed(x) for name, x in lists.items()}))
         return pa.Table.from_batches(out, schema=_ROWS)
 
     return run
 
 
+def _phrase_hashes(words: np.ndarray, members: np.ndarray) -> np.ndarray:
+    hashes = words[members[:, 0]]
+    for i in range(1, members.shape[1]):
+        hashes = _longer_hashes(hashes, words[members[:, i]])
+    return hashes
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, k, f`` of all phrases of 1 to ``longest`` words with ``least`` or more occurrences, and ``lang, n`` of all words.
 
-    A row of counts is a phrase of a block; what one key can gather is at most a row of each
-    block. Each step is written to the shared folder, so a lost executor costs its tasks only.
+    Hashes are dealt by ranges, as many as the session has shuffle partitions; a range has a packet of each
+    block at most, whatever is frequent. Each step is written to the shared folder, so a lost
+    executor costs its tasks only.
     """
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "phrases")
+    spark, folder, parts = docs.sparkSession, new_folder(docs.sparkSession, "phrases"), width(docs)
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), whole_text().alias("text"))
-    step = in_small_batches(texts).mapInArrow(_word_lists, _SCHEMA)
-    found, totals, same = [], None, Window.partitionBy("lang", "phrase")
-    for k in range(1, longest + 1):
+    step, found = in_small_batches(texts).mapInArrow(_word_lists(parts), _SCHEMA), []
+    for k in range(1, longest + 2):
         step.write.option("compression", "zstd").parquet(f"{folder}/lists-{k}")
         rows = spark.read.schema(_SCHEMA).parquet(f"{folder}/lists-{k}")
-        counts = rows.where("phrase IS NOT NULL").select("block", "lang", "phrase", "list", "n")
-        if k == 1:
-            totals = checkpointed(counts.groupBy("lang").agg(F.sum("n").alias("n")))
-        summed = counts.select("*", F.sum("n").over(same).alias("f"), F.min("block").over(same).alias("first")).where(F.col("f") >= least)
-        summed.write.option("compression", "zstd").parquet(f"{folder}/frequent-{k}")
-        kept = spark.read.schema("block long, lang string, phrase string, list int, f long, first long").parquet(f"{folder}/frequent-{k}")
-        found.append(kept.where("block = first").select("lang", "phrase", F.lit(k).alias("k"), "f"))
-        if k < longest:
-            state = rows.where("phrase IS NULL").select("block", "postings", "posting_n", "places", "place_n", "words")
-            step = state.groupBy("block").cogroup(kept.select("block", "lang", "phrase", "list").groupBy("block")).applyInArrow(_longer_lists(k, longest), _SCHEMA)
-    phrases = found[0]
-    for df in found[1:]:
-        phrases = phrases.unionByName(df)
-    return phrases, totals
+        found.append(rows.where("n IS NOT NULL").select("lang", "phrase", "n"))
+        if k <= longest:
+            packets = rows.where("part IS NOT NULL").select("part", "block", "hashes", "counts")
+            frequent = packets.groupBy("part").applyInArrow(_frequent_hashes(least), "block long, hashes binary")
+            state = rows.where("words IS NOT NULL").select("block", *_STATE)
+            step = state.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(_longer_lists(k, longest, parts), _SCHEMA)
+    totals = checkpointed(found[0].groupBy("lang").agg(F.sum("n").alias("n")))
+    counts = found[1]
+    for df in found[2:]:
+        counts = counts.unionByName(df)
+    phrases = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return checkpointed(phrases.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), "f")), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, absorbed: int = ABSORBED_PERCENT, shown: int = SHOWN) -> DataFrame:
