@@ -40,26 +40,27 @@ _CLASSES[[0x20, 0x09]] = _BLANK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bits of a hash. Phrases that share one are only counted for nothing.
-BITS = 40
-#: Rows of a block: packets (with ``part``), counts (with ``n``), and one row with its lists (with ``words``).
-_ROWS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), *((c, pa.binary()) for c in ("postings", "posting_n", "places", "place_n", "members")), ("words", pa.list_(pa.string())), ("langs", pa.list_(pa.string()))])
-_SCHEMA = "block long, part int, hashes binary, counts binary, lang string, phrase string, n long, postings binary, posting_n binary, places binary, place_n binary, members binary, words array<string>, langs array<string>"
-_STATE = ("postings", "posting_n", "places", "place_n", "members", "words", "langs")
+BITS = 36
+#: Rows of a block: packets of hashes or of phrases (with ``part``), words of a language (with ``n``), and one row with what is left of the block.
+_ROWS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("hashes", pa.binary()), ("said", pa.list_(pa.string())), ("counts", pa.binary()), ("lang", pa.string()), ("n", pa.int64()), ("gaps", pa.binary()), ("who", pa.binary()), ("begins", pa.binary()), ("words", pa.list_(pa.string()))])
+_SCHEMA = "block long, part int, hashes binary, said array<string>, counts binary, lang string, n long, gaps binary, who binary, begins binary, words array<string>"
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Differences of neighbours, byte by byte, compressed."""
-    gaps = np.diff(numbers.astype(np.int64), prepend=np.int64(0))
-    small = len(gaps) == 0 or (gaps.min() >= -(2**31) and gaps.max() < 2**31)
-    gaps = gaps.astype(np.int32) if small else gaps
-    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(len(gaps), gaps.itemsize).T)
-    return np.array([len(gaps), gaps.itemsize], np.int64).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """Numbers of 0 or more, byte by byte, compressed; small ones take a byte or less."""
+    size = 8 if len(numbers) and numbers.max() >= 2**32 else 4 if len(numbers) and numbers.max() >= 256 else 1
+    planes = np.ascontiguousarray(numbers.astype(f"u{size}").view(np.uint8).reshape(len(numbers), size).T)
+    return np.array([len(numbers), size], np.int64).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     n, size = (int(x) for x in np.frombuffer(data[:16], np.int64))
     planes = np.frombuffer(pa.decompress(data[16:], size * n, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int32 if size == 4 else np.int64).ravel(), dtype=np.int64)
+    return np.ascontiguousarray(planes.T).view(f"u{size}").ravel().astype(np.int64)
+
+
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=0)
 
 
 def _batch(size: int, **columns) -> pa.RecordBatch:
@@ -72,10 +73,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _word_hashes(words: pa.Array, langs: pa.Array) -> np.ndarray:
-    """64 bits of each word in its language."""
-    texts = pc.binary_join_element_wise(words, langs, "\n").to_numpy(zero_copy_only=False)
-    return pd.util.hash_array(texts, categorize=False) if len(texts) else np.zeros(0, np.uint64)
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word, which has its language behind a line feed."""
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.zeros(0, np.uint64)
 
 
 def _longer_hashes(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -87,29 +87,58 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _in_parts(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by hash, the places in it at which ranges of hashes begin, and the ranges that have any."""
+    order = np.argsort(hashes)
+    ends = np.searchsorted(hashes[order], [(i << BITS) // parts for i in range(parts + 1)])
+    return order, ends, np.flatnonzero(np.diff(ends))
+
+
 def _packets(block: int, hashes: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
     """The hashes of a block's phrases in order, with counts, a packet for each range of hashes that has any."""
     hashes = _short(hashes)
-    order = np.argsort(hashes)
+    order, ends, held = _in_parts(hashes, parts)
     hashes, counts = hashes[order], counts[order]
-    ends = np.searchsorted(hashes, [(i << BITS) // parts for i in range(parts + 1)])
-    held = np.flatnonzero(np.diff(ends))
-    pack = lambda x: pa.array([_packed(x[ends[i] : ends[i + 1]]) for i in held], pa.binary())
-    return _batch(len(held), block=pa.array(np.full(len(held), block)), part=pa.array(held.astype(np.int32)), hashes=pack(hashes), counts=pack(counts))
+    own = lambda x, f=lambda x: x: pa.array([_packed(f(x[ends[i] : ends[i + 1]])) for i in held], pa.binary())
+    return _batch(len(held), block=pa.array(np.full(len(held), block)), part=pa.array(held.astype(np.int32)), hashes=own(hashes, _gaps), counts=own(counts))
+
+
+def _phrases(block: int, hashes: np.ndarray, said: pa.Array, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The phrases themselves with their counts, in the same way."""
+    order, ends, held = _in_parts(_short(hashes), parts)
+    lists = pa.ListArray.from_arrays(pa.array([*ends[held], len(order)], pa.int32()), said.take(pa.array(order)))
+    counts = counts[order]
+    return _batch(len(held), block=pa.array(np.full(len(held), block)), part=pa.array(held.astype(np.int32)), said=lists, counts=pa.array([_packed(counts[ends[i] : ends[i + 1]]) for i in held], pa.binary()))
 
 
 def _frequent_hashes(least: int):
     """For the packets of one range: back to each block, those of its hashes whose counts add up to ``least`` or more."""
 
     def run(packets: pa.Table) -> pa.Table:
-        hashes = [_unpacked(x) for x in packets.column("hashes").to_pylist()]
+        hashes = [np.cumsum(_unpacked(x)) for x in packets.column("hashes").to_pylist()]
         counts = np.concatenate([_unpacked(x) for x in packets.column("counts").to_pylist()])
         keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
         enough = np.bincount(place, weights=counts, minlength=len(keys))[place] >= least
         ends = np.cumsum([0, *map(len, hashes)])
         left = [x[enough[a:b]] for x, a, b in zip(hashes, ends, ends[1:])]
         held = [i for i, x in enumerate(left) if len(x)]
-        return pa.table({"block": packets.column("block").combine_chunks().take(pa.array(held, pa.int64())), "hashes": pa.array([_packed(left[i]) for i in held], pa.binary())})
+        return pa.table({"block": packets.column("block").combine_chunks().take(pa.array(held, pa.int64())), "hashes": pa.array([_packed(_gaps(left[i])) for i in held], pa.binary())})
+
+    return run
+
+
+def _frequent(least: int):
+    """For the phrases of one range: those whose counts add up to ``least`` or more."""
+
+    def run(packets: pa.Table) -> pa.Table:
+        said = pa.chunked_array([c.flatten() for c in packets.column("said").chunks], pa.string()).combine_chunks().dictionary_encode()
+        counts = np.concatenate([_unpacked(x) for x in packets.column("counts").to_pylist()])
+        total = np.zeros(len(said.dictionary), np.int64)
+        np.add.at(total, np.asarray(said.indices), counts)
+        held = np.flatnonzero(total >= least)
+        texts = [x.split("\n", 1) for x in said.dictionary.take(pa.array(held)).to_pylist()]
+        columns = [pa.array([x[1] for x in texts], pa.string()), pa.array([x[0] for x in texts], pa.string()), pa.array([x[0].count(" ") + 1 for x in texts], pa.int32()), pa.array(total[held])]
+        return pa.Table.from_arrays(columns, names=["lang", "phrase", "k", "f"])
 
     return run
 
@@ -154,17 +183,21 @@ def _first_lists(texts: list[tuple[np.ndarray, np.ndarray, pa.Array]], block: in
     who = np.asarray(names.indices).astype(np.int64)
     spoken = np.asarray(langs.indices).astype(np.int64)[np.searchsorted(begins, starts, side="right") - 1]
     keys, who, counts = np.unique(spoken * len(names.dictionary) + who, return_inverse=True, return_counts=True)
-    words, tongues = names.dictionary.take(pa.array(keys % len(names.dictionary))), langs.dictionary.take(pa.array(keys // len(names.dictionary)))
-    yield _packets(block, _word_hashes(words, tongues), counts, parts)
+    rank = np.argsort(-counts, kind="stable")  # frequent words have small numbers
+    keys, counts, number = keys[rank], counts[rank], np.argsort(rank)
+    take = lambda texts, which: texts.dictionary.take(pa.array(which))
+    words = pc.binary_join_element_wise(take(names, keys % len(names.dictionary)), take(langs, keys // len(names.dictionary)), "\n")
+    yield _packets(block, _word_hashes(words), counts, parts)
     said = np.bincount(keys // len(names.dictionary), weights=counts, minlength=len(langs.dictionary)).astype(np.int64)
     yield _batch(len(said), block=pa.array(np.full(len(said), block)), lang=langs.dictionary, n=pa.array(said))
-    lists = {"postings": _packed(at[np.argsort(who, kind="stable")]), "posting_n": _packed(counts)}
-    yield _state(block, words=words, langs=tongues, **lists)
+    yield _rest(block, at, number[who], None, words)
 
 
-def _state(block: int, words: pa.Array, langs: pa.Array, **lists: bytes) -> pa.RecordBatch:
-    texts = {name: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for name, x in (("words", words), ("langs", langs))}
-    return _batch(1, block=pa.array([block], pa.int64()), **texts, **{name: pa.array([x], pa.binary()) for name, x in lists.items()})
+def _rest(block: int, at: np.ndarray, who: np.ndarray, begins: np.ndarray | None, words: pa.Array) -> pa.RecordBatch:
+    """What is left of a block: which word is where, and where frequent phrases begin."""
+    marks = None if begins is None else _packed(np.packbits(begins))
+    texts = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return _batch(1, block=pa.array([block], pa.int64()), gaps=pa.array([_packed(_gaps(at))], pa.binary()), who=pa.array([_packed(who)], pa.binary()), begins=pa.array([marks], pa.binary()), words=texts)
 
 
 def _word_lists(parts: int):
@@ -191,68 +224,70 @@ def _word_lists(parts: int):
     return run
 
 
-def _chosen(places: np.ndarray, lengths: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of some lists (their numbers ascend) and, for each place, its list's new number."""
-    number = np.full(len(lengths), -1, np.int64)
-    number[lists] = np.arange(len(lists))
-    owner = np.repeat(number, lengths)
-    kept = owner >= 0
-    return places[kept], owner[kept]
+def _lists(at: np.ndarray, who: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lists of all phrases of k words that begin at the marked places: places by list, list of each place, lengths, and each list's words."""
+    i = np.flatnonzero(begins)
+    owner, members = who[i], np.arange(who.max() + 1 if len(who) else 0)[:, None]
+    for j in range(k):
+        key = owner * (who.max() + 1) + who[i + j] if j else who[i]
+        keys, owner = np.unique(key, return_inverse=True)
+        members = np.concatenate([members[keys // (who.max() + 1)], (keys % (who.max() + 1))[:, None]], axis=1) if j else keys[:, None]
+    order = np.argsort(owner, kind="stable")
+    return at[i][order], owner[order], np.bincount(owner, minlength=len(members)), members
 
 
-def extended(k: int, postings: np.ndarray, who: np.ndarray, places: np.ndarray, owner: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def extended(k: int, at: np.ndarray, who: np.ndarray, places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Merge join of the lists of phrases of k words with the postings of words k places on.
 
-    Gives the keys (phrase, word) that occur, the places by key, and the list lengths. What
+    Gives the places of the longer phrases by list, and their lists' phrases, words and lengths. What
     follows the first word must be a frequent phrase too, or the longer one cannot be frequent.
     """
-    order = np.argsort(postings)
-    postings, who = postings[order], who[order]
-    j = np.minimum(np.searchsorted(postings, places + k), len(postings) - 1)
+    j = np.minimum(np.searchsorted(at, places + k), len(at) - 1)
     along = np.sort(places)
     i = np.minimum(np.searchsorted(along, places + 1), len(along) - 1)
-    meets = (postings[j] == places + k) & (along[i] == places + 1)
-    key = owner[meets] * words + who[j[meets]]
-    order = np.argsort(key, kind="stable")
+    meets = (at[j] == places + k) & (along[i] == places + 1)
+    size = int(who.max()) + 1
+    key = owner[meets] * size + who[j[meets]]
     keys, lengths = np.unique(key, return_counts=True)
-    return keys, places[meets][order], lengths
+    return places[meets][np.argsort(key, kind="stable")], keys // size, keys % size, lengths
 
 
 def _longer_lists(k: int, longest: int, parts: int):
-    """For one block, its lists of k - 1 words and the hashes of frequent phrases of k: counts of those, and packets of k + 1."""
+    """For one block, what is left of it and the hashes of frequent phrases of k words: counts of those, and packets of k + 1."""
 
     def run(state: pa.Table, frequent: pa.Table) -> pa.Table:
         if not state.num_rows or not frequent.num_rows:
             return _ROWS.empty_table()
         one = lambda name: state.column(name)[0]
-        block, words, langs = one("block").as_py(), one("words").values, one("langs").values
-        left = np.concatenate([_unpacked(x) for x in frequent.column("hashes").to_pylist()])
-        postings, posting_n, own = _unpacked(one("postings").as_py()), _unpacked(one("posting_n").as_py()), _word_hashes(words, langs)
+        block, words = one("block").as_py(), one("words").values
+        left = np.concatenate([np.cumsum(_unpacked(x)) for x in frequent.column("hashes").to_pylist()])
+        at, who, own = np.cumsum(_unpacked(one("gaps").as_py())), _unpacked(one("who").as_py()), _word_hashes(words)
         if k == 1:
-            lists = np.flatnonzero(np.isin(_short(own), left))
-            postings, who = _chosen(postings, posting_n, lists)
-            words, langs, own = words.take(pa.array(lists)), langs.take(pa.array(lists)), own[lists]
-            places, owner, members = postings, who, np.arange(len(lists))[:, None]
+            known = np.isin(_short(own), left)
+            new = np.cumsum(known) - 1
+            held = known[who]
+            at, who, words, own = at[held], new[who[held]], words.filter(pa.array(known)), own[known]
+            begins = np.ones(len(at), bool)
         else:
-            who, lengths = np.repeat(np.arange(len(posting_n)), posting_n), _unpacked(one("place_n").as_py())
-            before = _unpacked(one("members").as_py()).reshape(-1, k - 1)
-            keys, places, lengths = extended(k - 1, postings, who, _unpacked(one("places").as_py()), np.repeat(np.arange(len(lengths)), lengths), len(words))
-            members = np.concatenate([before[keys // len(words)], (keys % len(words))[:, None]], axis=1)
-            lists = np.flatnonzero(np.isin(_short(_phrase_hashes(own, members)), left))
-            places, owner = _chosen(places, lengths, lists)
-            members = members[lists]
-        out, n = [], np.bincount(owner, minlength=len(members)).astype(np.int64)
-        said = words.take(pa.array(members[:, 0]))
-        for i in range(1, k):
-            said = pc.binary_join_element_wise(said, words.take(pa.array(members[:, i])), " ")
-        out.append(_batch(len(n), block=pa.array(np.full(len(n), block)), lang=langs.take(pa.array(members[:, 0])), phrase=said, n=pa.array(n)))
-        if k < longest and len(places):
-            keys, _, lengths = extended(k, postings, who, places, owner, len(words))
-            longer = _longer_hashes(_phrase_hashes(own, members)[keys // len(words)], own[keys % len(words)])
-            out.append(_packets(block, longer, lengths, parts))
-            near = np.isin(postings, np.concatenate([places + k, places + k + 1]))  # what the next two words can be
-            lists = {"postings": postings[near], "posting_n": np.bincount(who[near], minlength=len(words)), "places": places, "place_n": n, "members": members.ravel()}
-            out.append(_state(block, words, langs, **{name: _packed(x) for name, x in lists.items()}))
+            begins = np.unpackbits(_unpacked(one("begins").as_py()).astype(np.uint8), count=len(at)).astype(bool)
+            places, owner, _, members = _lists(at, who, begins, k - 1)
+            places, first, last, lengths = extended(k - 1, at, who, places, owner) if len(places) else (places, owner, owner, owner)
+            known = np.isin(_short(_longer_hashes(_phrase_hashes(own, members)[first], own[last])), left)
+            begins = np.zeros(len(at), bool)
+            begins[np.searchsorted(at, places[np.repeat(known, lengths)])] = True
+        if not begins.any():
+            return _ROWS.empty_table()
+        places, owner, lengths, members = _lists(at, who, begins, k)
+        hashes = _phrase_hashes(own, members)
+        texts, tongues = (pc.list_element(pc.split_pattern(words, "\n", max_splits=1), i) for i in (0, 1))
+        said = [texts.take(pa.array(members[:, i])) for i in range(k)]
+        phrases = pc.binary_join_element_wise(pc.binary_join_element_wise(*said, " ") if k > 1 else said[0], tongues.take(pa.array(members[:, 0])), "\n")
+        out = [_phrases(block, hashes, phrases, lengths, parts)]
+        if k < longest:
+            _, first, last, lengths = extended(k, at, who, places, owner)
+            out.append(_packets(block, _longer_hashes(hashes[first], own[last]), lengths, parts))
+            near = np.isin(at, np.concatenate([places + i for i in range(k + 2)]))  # the phrases, and what the next two words can be
+            out.append(_rest(block, at[near], who[near], begins[near], words))
         return pa.Table.from_batches(out, schema=_ROWS)
 
     return run
@@ -274,22 +309,21 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
     """
     spark, folder, parts = docs.sparkSession, new_folder(docs.sparkSession, "phrases"), width(docs)
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), whole_text().alias("text"))
-    step, found = in_small_batches(texts).mapInArrow(_word_lists(parts), _SCHEMA), []
+    step, counts = in_small_batches(texts).mapInArrow(_word_lists(parts), _SCHEMA), None
     for k in range(1, longest + 2):
         step.write.option("compression", "zstd").parquet(f"{folder}/lists-{k}")
         rows = spark.read.schema(_SCHEMA).parquet(f"{folder}/lists-{k}")
-        found.append(rows.where("n IS NOT NULL").select("lang", "phrase", "n"))
+        if k == 1:
+            totals = checkpointed(rows.where("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")))
+        else:
+            said = rows.where("said IS NOT NULL").select("part", "said", "counts")
+            counts = said if counts is None else counts.unionByName(said)
         if k <= longest:
-            packets = rows.where("part IS NOT NULL").select("part", "block", "hashes", "counts")
+            packets = rows.where("hashes IS NOT NULL").select("part", "block", "hashes", "counts")
             frequent = packets.groupBy("part").applyInArrow(_frequent_hashes(least), "block long, hashes binary")
-            state = rows.where("words IS NOT NULL").select("block", *_STATE)
+            state = rows.where("words IS NOT NULL").select("block", "gaps", "who", "begins", "words")
             step = state.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(_longer_lists(k, longest, parts), _SCHEMA)
-    totals = checkpointed(found[0].groupBy("lang").agg(F.sum("n").alias("n")))
-    counts = found[1]
-    for df in found[2:]:
-        counts = counts.unionByName(df)
-    phrases = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return checkpointed(phrases.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), "f")), totals
+    return checkpointed(counts.groupBy("part").applyInArrow(_frequent(least), "lang string, phrase string, k int, f long")), totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, absorbed: int = ABSORBED_PERCENT, shown: int = SHOWN) -> DataFrame:
