@@ -1,8 +1,12 @@
 """Cron expressions of five or six fields (seconds first), in UTC, as columns.
 
 A schedule is parsed to a struct of the allowed numbers of each field; days must fit day,
-month and weekday alike. All functions take columns and work on whole tables of schedules;
-store what ``parse`` gives in a column of its own first, as the others look at it many times.
+month and weekday alike. Ranges may wrap (``22-2``, ``FRI-MON``, ``DEC-FEB``). The day may be
+``L`` (the month's last), ``L-3`` (three before it), ``15W`` (the working day nearest to it in its month)
+or ``LW``; the weekday ``5L`` (the last one of the month) or ``MON#2`` (the second); these stand
+alone in their field. ``?`` is ``*`` for day and weekday, and macros are whole expressions. All functions take
+columns and work on whole tables of schedules; store what ``parse`` gives in a column of its own
+first, as the others look at it many times. What does not parse is null, and ``problem`` says why.
 """
 
 from __future__ import annotations
@@ -14,47 +18,97 @@ from pyspark.sql import functions as F
 FIELDS = (("second", 0, 59), ("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7))
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 WEEKDAYS = ("SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT")
+MACROS = {
+    "@EVERY_SECOND": "* * * * * *", "@EVERY_MINUTE": "0 * * * * *", "@HOURLY": "0 0 * * * *", "@DAILY": "0 0 0 * * *", "@MIDNIGHT": "0 0 0 * * *",
+    "@WEEKLY": "0 0 0 * * 0", "@MONTHLY": "0 0 0 1 * *", "@YEARLY": "0 0 0 1 1 *", "@ANNUALLY": "0 0 0 1 1 *",
+}
+#: Days counted from the month's end or moved to a working day, and weekdays that are the last or the n-th of their month.
+_DAY, _WEEKDAY = r"^(?:L(?:-([0-9]{1,2}))?(W)?|([0-9]{1,2})W)$", r"^([0-7])(?:L|#([1-5]))$"
 #: A missed occurrence is not looked for over so many of them or more.
 MOST_MISSED = 100_000
 #: The calendar leaves at most 40 years between two days that fit a schedule (29 February on one weekday), if any fits.
 FAR_YEARS = 41
 
 
-def _numbers(text: Column, low: int, high: int) -> Column:
-    """The numbers that one field allows, ascending; null if it is malformed."""
+def _numbers(text: Column, low: int, high: int, name: str) -> Column:
+    """The numbers that one field allows, ascending; null if it is malformed. A range whose end is before its beginning wraps."""
+    size = 7 if name == "weekday" else high - low + 1
 
     def expand(part: Column) -> Column:
         body, step = F.split_part(part, F.lit("/"), F.lit(1)), F.split_part(part, F.lit("/"), F.lit(2))
-        every, stepped, ranged = body.isin("*", "?"), F.contains(part, F.lit("/")), F.contains(body, F.lit("-"))
+        every, stepped, ranged = body.isin("*", "?") if name in ("day", "weekday") else body == "*", F.contains(part, F.lit("/")), F.contains(body, F.lit("-"))
         first = F.when(every, low).otherwise(F.split_part(body, F.lit("-"), F.lit(1)).try_cast("int"))
         last = F.when(every | (stepped & ~ranged), high).when(ranged, F.split_part(body, F.lit("-"), F.lit(2)).try_cast("int")).otherwise(first)
         by = F.when(stepped, step.try_cast("int")).otherwise(1)
-        return F.when((first >= low) & (last <= high) & (first <= last) & (by >= 1), F.sequence(first, last, by))
+        fits = part.rlike(r"^(\*|\?|[0-9]+(-[0-9]+)?)(/[0-9]+)?$") & first.between(low, high) & last.between(low, high) & (by >= 1)
+        return F.when(fits, F.transform(F.sequence(first, F.when(first <= last, last).otherwise(last + size), by), lambda n: (n - low) % size + low))
 
-    lists = F.transform(F.split(text, ","), expand)
+    lists = F.transform(F.split(text, ",", -1), expand)
     return F.when(~F.exists(lists, lambda x: x.isNull()), F.array_sort(F.array_distinct(F.flatten(lists))))
 
 
-def parse(expression: Column) -> Column:
-    """``second, minute, hour, day, month, weekday`` as sorted arrays; null for what is no schedule."""
-    parts = F.split(F.trim(F.upper(expression)), r"\s+")
-    parts = F.when(F.size(parts) == 5, F.concat(F.array(F.lit("0")), parts)).when(F.size(parts) == 6, parts)
+def _fields(expression: Column) -> Column:
+    """The six fields in capitals, or fewer or more if it has not six (or five, without seconds)."""
+    text = F.trim(F.upper(expression))
+    text = F.coalesce(F.create_map(*[F.lit(x) for pair in MACROS.items() for x in pair])[text], text)
+    parts = F.split(text, r"\s+")
+    return F.when(F.size(parts) == 5, F.concat(F.array(F.lit("0")), parts)).otherwise(parts)
+
+
+def _parsed(parts: Column) -> list[tuple[str, Column]]:
+    """Each field's allowed numbers by its name, null where it is malformed."""
     found = []
     for i, (name, low, high) in enumerate(FIELDS):
         text = F.get(parts, F.lit(i))
         for n, word in [*enumerate(MONTHS, 1)] * (name == "month") + [*enumerate(WEEKDAYS)] * (name == "weekday"):
             text = F.replace(text, F.lit(word), F.lit(str(n)))
-        numbers = _numbers(text, low, high)
-        found.append((F.array_sort(F.array_distinct(F.transform(numbers, lambda d: d % 7))) if name == "weekday" else numbers).alias(name))
-    schedule = F.struct(*found)
-    whole = F.lit(True)
-    for c in found:
-        whole &= c.isNotNull()
-    return F.when(whole, schedule)
+        numbers = _numbers(text, low, high, name)
+        if name == "day":
+            day, offset = F.regexp_extract(text, _DAY, 3).try_cast("int"), F.regexp_extract(text, _DAY, 1).try_cast("int")
+            from_end = F.when(F.startswith(text, F.lit("L")), F.coalesce(offset, F.lit(0)))
+            marked = text.rlike(_DAY) & (F.coalesce(day, F.lit(1)).between(1, 31)) & (F.coalesce(offset, F.lit(0)) <= 30)
+            numbers = F.when(marked, F.array(F.coalesce(day, F.lit(0)))).otherwise(numbers)
+            found += [("from_end", F.when(marked, from_end)), ("working", F.when(marked, F.endswith(text, F.lit("W"))).otherwise(False))]
+        if name == "weekday":
+            marked, nth = text.rlike(_WEEKDAY), F.regexp_extract(text, _WEEKDAY, 2).try_cast("int")
+            numbers = F.when(marked, F.array(F.regexp_extract(text, _WEEKDAY, 1).try_cast("int"))).otherwise(numbers)
+            numbers = F.array_sort(F.array_distinct(F.transform(numbers, lambda d: d % 7)))
+            found.append(("nth", F.when(marked, F.coalesce(nth, F.lit(0)))))
+        found.append((name, numbers))
+    return found
+
+
+def parse(expression: Column) -> Column:
+    """``second, minute, hour, day, month, weekday`` as sorted arrays, with the marks of day and weekday; null for what is no schedule."""
+    parts = _fields(expression)
+    found = _parsed(parts)
+    whole = F.size(parts) == 6
+    for name, c in found:
+        if name in [f[0] for f in FIELDS]:
+            whole &= c.isNotNull()
+    return F.when(whole, F.struct(*[c.alias(name) for name, c in found]))
+
+
+def problem(expression: Column) -> Column:
+    """Why an expression is no schedule: its number of fields, or the first field that is malformed; null if it is one."""
+    parts = _fields(expression)
+    reason = F.when(expression.isNull() | (F.size(parts) != 6), "fields")
+    for name, c in _parsed(parts):
+        if name in [f[0] for f in FIELDS]:
+            reason = reason.when(c.isNull(), name)
+    return reason
 
 
 def day_fits(schedule: Column, day: Column) -> Column:
-    return F.array_contains(schedule["day"], F.dayofmonth(day)) & F.array_contains(schedule["month"], F.month(day)) & F.array_contains(schedule["weekday"], F.dayofweek(day) - 1)
+    number, last = F.dayofmonth(day), F.last_day(day)
+    wanted = F.when(schedule["from_end"].isNotNull(), F.dayofmonth(last) - schedule["from_end"]).otherwise(schedule["day"][0])
+    target = F.date_add(F.trunc(day, "month"), wanted - 1)
+    moved = F.when(F.dayofweek(target) == 7, F.when(wanted == 1, F.date_add(target, 2)).otherwise(F.date_sub(target, 1)))
+    moved = moved.when(F.dayofweek(target) == 1, F.when(target == last, F.date_sub(target, 2)).otherwise(F.date_add(target, 1))).otherwise(target)
+    exists = (wanted >= 1) & (target <= last)
+    on_day = F.when(schedule["working"], exists & (moved == day)).when(schedule["from_end"].isNotNull(), wanted == number).otherwise(F.array_contains(schedule["day"], number))
+    nth = F.when(schedule["nth"].isNull(), True).when(schedule["nth"] == 0, F.date_add(day, 7) > last).otherwise(F.ceil(number / 7) == schedule["nth"])
+    return on_day & nth & F.array_contains(schedule["month"], F.month(day)) & F.array_contains(schedule["weekday"], F.dayofweek(day) - 1)
 
 
 def _clock(at: Column) -> tuple[Column, Column, Column]:

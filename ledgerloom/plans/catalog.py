@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ledger_keys, relation_keys, time_keys, workflow_keys  # noqa: F401
+from . import ledger_keys, order_keys, relation_keys, time_keys, tree_keys, workflow_keys  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

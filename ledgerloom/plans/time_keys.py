@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cron, hints
 from ..functions.scalars import backoff_seconds
 from ..operators.ledger_query import page
-from ..sources.event_log import current_executions
+from ..sources.event_log import Snapshot, current_executions, shown
+from ..sources.shared import new_folder
 from ..streaming import feeds
 from .registry import key
 
@@ -45,6 +48,44 @@ _NEXT = f"select d.def_id as id, min(f.fires_at) as fires_at from {SCHEDULED} d
 key("next_fire", _NEXT)(_next)
 
 
+#: Schedules with wrapped ranges, marks and macros, each beside what it means, said of an hour ``t``.
+MARKED = {
+    "0 0 22-2 * * *": "hour(t) in (22, 23, 0, 1, 2)",
+    "0 0 6 * * FRI-MON": "hour(t) = 6 and isodow(t) in (5, 6, 7, 1)",
+    "0 0 12 L * ?": "hour(t) = 12 and cast(t as date) = last_day(t)",
+    "0 0 12 15W * ?": "hour(t) = 12 and day(t) = case isodow(date_trunc('month', t) + interval 14 day) when 6 then 14 when 7 then 16 else 15 end",
+    "0 0 9 * * MON#2": "hour(t) = 9 and isodow(t) = 1 and day(t) between 8 and 14",
+    "0 0 9 ? * 5L": "hour(t) = 9 and isodow(t) = 5 and month(t + interval 7 day) <> month(t)",
+    "@weekly": "hour(t) = 0 and isodow(t) = 7",
+    "0 0 8 LW * ?": "hour(t) = 8 and day(t) = day(last_day(t)) - case isodow(last_day(t)) when 6 then 1 when 7 then 2 else 0 end",
+    "0 0 0 L-3 DEC-FEB ?": "hour(t) = 0 and month(t) in (12, 1, 2) and day(t) = day(last_day(t)) - 3",
+    "0 0 4 1W 6-8 ?": "hour(t) = 4 and month(t) in (6, 7, 8) and day(t) = case isodow(date_trunc('month', t)) when 6 then 3 when 7 then 2 else 1 end",
+    "0 0 23-1/2 * * MON-SUN": "hour(t) in (23, 1)",
+}
+_MARKED = " union all ".join(f"select {i} as kind, t from (select unnest(generate_series(timestamp '2024-01-01 00:00:00', timestamp '2027-06-01 00:00:00', interval 1 hour)) as t) h where {rule}" for i, rule in enumerate(MARKED.values()))
+
+
+@key("next_fire_marked", f"select c.id, min(f.t) as fires_at from (select cast(id as bigint) as id, cast(id as bigint) % {len(MARKED)} as kind, timestamp '2024-01-01 00:30:00' + to_hours(cast(id as bigint) % 500 * 37) as since from v_def) c join ({_MARKED}) f on f.kind = c.kind and f.t > c.since group by c.id")
+def _(v):
+    """The first time after some time of each definition, for schedules that wrap, count from the month's end or move to working days."""
+    n = F.col("id").cast("long")
+    expression = F.element_at(F.array(*map(F.lit, MARKED)), (n % len(MARKED)).cast("int") + 1)
+    since = F.expr("timestamp_ntz'2024-01-01 00:30:00'") + F.make_dt_interval(hours=(n % 500 * 37).cast("int"))
+    rows = v.definitions.select(n.alias("id"), cron.parse(expression).alias("cron"), since.alias("since"))
+    return rows.select("id", cron.next_occurrence(F.col("cron"), F.col("since")).alias("fires_at"))
+
+
+@key("cron_errors", """select c_custkey as id, case when c_custkey % 17 = 0 then 'fields' when c_custkey % 70 > 59 then 'minute' when c_nationkey = 24 then 'hour' when c_custkey % 33 = 0 or c_custkey % 33 > 31 then 'day' else 'weekday' end as problem
+from customer where c_custkey % 17 = 0 or c_custkey % 70 > 59 or c_nationkey = 24 or c_custkey % 33 = 0 or c_custkey % 33 > 31 or length(c_mktsegment) > 8""")
+def _(v):
+    """Expressions that are no schedules, and the first field that is wrong; they are made of the customers' numbers and names."""
+    n, text = F.col("c_custkey"), lambda c: c.cast("string")
+    weekday = F.when(F.length("c_mktsegment") > 8, F.col("c_mktsegment")).otherwise("?")
+    whole = F.concat_ws(" ", F.lit("0"), text(n % 70), text(F.col("c_nationkey")), text(n % 33), F.lit("*"), weekday)
+    expression = F.when(n % 17 == 0, text(n)).otherwise(whole)
+    return v.table("customer").select(n.alias("id"), cron.problem(expression).alias("problem")).where("problem is not null")
+
+
 @key("next_due", f"select id, fires_at from ({_NEXT}) t order by fires_at, id limit 1")
 def _(v):
     return page(_next(v), [F.col("fires_at"), F.col("id")], 0, 1)
@@ -123,16 +164,35 @@ def _(v):
 _STATE = "case event_type when 'view' then 'Pending' when 'click' then 'Running' when 'purchase' then 'Completed' when 'error' then 'Failed' else 'Cancelling' end"
 
 
-@key("fold_event_log", f"""select cast(user_id as string) as execution_id, arg_max({_STATE}, ts) as status, min(ts) as enqueued_at, min(case when event_type = 'click' then ts end) as started_at,
-  max(case when event_type in ('purchase', 'error') then ts end) as completed_at, arg_max(case when event_type = 'error' then props end, ts) filter (where event_type = 'error') as last_error, count(case when event_type = 'click' then 1 end) as attempts from events group by user_id""")
-def _(v):
-    """The fold of the event log, over events of that shape."""
+_FOLD = f"""select cast(user_id as string) as execution_id, arg_max({_STATE}, ts) as status, min(ts) as enqueued_at, min(case when event_type = 'click' then ts end) as started_at,
+  max(case when event_type in ('purchase', 'error') then ts end) as completed_at, arg_max(case when event_type = 'error' then props end, ts) filter (where event_type = 'error') as last_error, count(case when event_type = 'click' then 1 end) as attempts from events group by user_id"""
+
+
+def _log(v):
+    """The events in the shape of the event log."""
     text = lambda c: F.lit(None).cast("string").alias(c)
-    log = v.events.select(
+    return v.events.select(
         F.format_string("%020d", "event_id").alias("event_id"), F.col("user_id").cast("string").alias("execution_id"), text("job_name"), text("batch_id"), text("batch_step_id"),
-        F.expr(_STATE).alias("status"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"), F.lit(None).cast("map<string,string>").alias("outputs"), F.col("ts").alias("at"),
+        F.expr(_STATE).alias("status"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"), F.lit(None).cast("map<string,string>").alias("outputs"), F.col("ts").alias("at"), F.to_date("ts").alias("day"),
     )
-    return current_executions(log).select("execution_id", "status", "enqueued_at", "started_at", "completed_at", "last_error", "attempts")
+
+
+_SHOWN = ["execution_id", "status", "enqueued_at", "started_at", "completed_at", "last_error", "attempts"]
+
+
+@key("fold_event_log", _FOLD)
+def _(v):
+    """The fold of the event log, over events of that shape."""
+    return current_executions(_log(v)).select(*_SHOWN)
+
+
+@key("snapshot_fold", _FOLD)
+def _(v):
+    """The same from a snapshot of two thirds of the days, advanced once, and the events since."""
+    log, kept = _log(v), Snapshot(v.spark, new_folder(v.spark, "snapshot"), f"snapshot_{uuid.uuid4().hex}", buckets=8)
+    kept.advance(log, None, "2024-01-10")
+    kept.advance(log, "2024-01-10", "2024-01-20")
+    return shown(kept.state(log, "2024-01-20")).select(*_SHOWN)
 
 
 @key("dedupe_completion", "select user_id, min(ts) as first_ts from events where event_type = 'purchase' group by user_id")
@@ -160,17 +220,6 @@ def _(v):
     return first.select("user_id", "x.event_type", "x.event_id")
 
 
-#: Five failures and no success within the sampling time trip a breaker, which then is open for as long; scaled to the test's events.
-TRIPS, SAMPLING = 5, "8 hours"
-_CALLS = "(select event_type, event_id, ts, event_type in ('error', 'click', 'signup') as failed from events)"
-
-
-@key("breaker_state", f"""select event_type, event_id, tripped, coalesce(max(case when tripped then ts end) over (partition by event_type order by ts, event_id rows between unbounded preceding and 1 preceding) + interval '{SAMPLING}' > ts, false) as is_open
-from (select event_type, event_id, ts, coalesce(failed and n >= {TRIPS} and ok = 0, false) as tripped from (select *, count(*) over w as n, count(case when not failed then 1 end) over w as ok from {_CALLS} c window w as (partition by event_type order by ts range between interval '{SAMPLING}' preceding and current row)) a) b""")
-def _(v):
-    return feeds.breaker(v.events.select("event_type", "event_id", "ts", F.col("event_type").isin("error", "click", "signup").alias("failed")), ["event_type"], "ts", "event_id", TRIPS, SAMPLING)
-
-
 @key("backpressure_ratio", "select worker_name, cast(sum(total_items - processed) as bigint) as waiting, case when sum(total_items - processed) * 2 >= sum(total_items) then 'Degraded' else 'Healthy' end as health from v_exec group by worker_name")
 def _(v):
     rows = v.executions.groupBy("worker_name").agg(F.sum(F.col("total_items") - F.col("processed")).alias("waiting"), F.sum("total_items").alias("capacity"))

@@ -9,6 +9,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import step_tree
+
 V_EXEC = """
 select cast(l_orderkey as string)||'-'||cast(l_linenumber as string)||'-'||cast(l_partkey as string)||'-'||
        cast(l_suppkey as string)||'-'||cast(cast(l_quantity as int) as string)||'-'||cast(cast(l_shipdate as date) as string) as execution_id,
@@ -60,8 +62,33 @@ select event_id, user_id, ts, event_type, value,
        case when event_id % 10 = 0 then null else cast(regexp_extract(props,'([0-9]+)',1) as string) end as k,
        event_id % 7 <> 0 as has_k
 from events"""
-SELECTS = {"v_exec": V_EXEC, "v_run": V_RUN, "v_def": V_DEF, "v_gate": V_GATE, "v_param": V_PARAM}
-BASE = {"v_exec": "lineitem", "v_run": "orders", "v_def": "customer", "v_gate": "orders", "v_param": "events"}
+V_HEAD = """
+select c_custkey as definition_id, case when c_nationkey = 3 then ' ' else c_name end as name, cast(c_custkey % 4 as int) as failure_policy,
+       case when c_nationkey % 2 = 0 then cast(floor(c_acctbal) as bigint) end as catch_up_seconds
+from customer"""
+V_STEP = """
+select definition_id, ord, part, step_id, step_type, has_payload, job_name, service, join_policy, title, on_timeout, timeout_s, comp_job, has_cond, cond_key, cond_op, cond_value,
+       row_number() over (partition by definition_id, part order by started, ord) - 1 as pos
+from (
+  select o_custkey as definition_id, o_orderkey as ord, o_orderdate as started, case when o_orderstatus = 'F' and o_orderpriority in ('4-NOT SPECIFIED', '5-LOW') then 'failure' else 'main' end as part,
+         case when t % 40 = 0 then ' ' when t % 40 = 1 then 's'||cast(t % 7 as string)||':comp' else 's'||cast(t % 400 as string) end as step_id,
+         case o_orderpriority when '1-URGENT' then 'ParallelGroup' when '2-HIGH' then 'Decision' when '3-MEDIUM' then 'ApprovalGate' else case when t % 30 = 7 then 'Wait' else 'Job' end end as step_type,
+         t % 25 <> 3 as has_payload, case when t % 20 = 5 then '' else 'Job.'||cast(t % 20 as string) end as job_name, case when t % 8 = 1 then 'billing' when t % 8 = 2 then ' ' end as service,
+         cast(o_orderkey % 4 as int) as join_policy, case when t % 15 = 4 then null else 'Approve '||cast(t % 9 as string) end as title, cast(o_orderkey % 3 as int) as on_timeout,
+         case t % 3 when 0 then null when 1 then 0 else 3600 end as timeout_s, case t % 6 when 0 then '' when 1 then 'Undo.'||cast(t % 4 as string) end as comp_job,
+         t % 5 = 2 as has_cond, case when t % 35 = 2 then ' ' else 'k' end as cond_key, cast(t % 13 as int) as cond_op, case t % 4 when 0 then null when 1 then 'many' when 2 then '10.5' else '7' end as cond_value
+  from (select *, cast(floor(o_totalprice) as bigint) as t from orders) o) s"""
+V_CHILD = """
+select l_orderkey as parent, l_linenumber as ord, case l_partkey % 50 when 0 then '' when 1 then 'c:comp' else 'c'||cast(l_partkey % 300 as string) end as step_id,
+       case l_partkey % 17 when 3 then 'ApprovalGate' when 4 then 'ParallelGroup' when 5 then 'Decision' else 'Job' end as step_type, l_suppkey % 20 <> 0 as has_job,
+       case when l_suppkey % 20 = 1 then ' ' else 'Job.'||cast(l_partkey % 20 as string) end as job_name, case when l_partkey % 9 = 1 then 'billing' end as service,
+       case l_suppkey % 9 when 0 then ' ' when 1 then ' Fast ' end as label, case l_partkey % 19 when 0 then 'Undo' when 1 then '' end as comp_job,
+       l_tax > 0.015 as has_when, l_tax > 0.075 as has_cond, case when l_suppkey % 11 = 0 then '  ' else 'k' end as cond_key, cast(l_partkey % 13 as int) as cond_op,
+       case l_suppkey % 4 when 0 then null when 1 then 'many' when 2 then '10.5' else '7' end as cond_value,
+       row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_shipdate) - 1 as pos
+from lineitem"""
+SELECTS = {"v_exec": V_EXEC, "v_run": V_RUN, "v_def": V_DEF, "v_gate": V_GATE, "v_param": V_PARAM, "v_head": V_HEAD, "v_step": V_STEP, "v_child": V_CHILD}
+BASE = {"v_exec": "lineitem", "v_run": "orders", "v_def": "customer", "v_gate": "orders", "v_param": "events", "v_head": "customer", "v_step": "orders", "v_child": "lineitem"}
 
 
 class Views:
@@ -82,6 +109,12 @@ class Views:
     gates = cached_property(lambda self: self._view("v_gate"))
     params = cached_property(lambda self: self._view("v_param"))
     events = cached_property(lambda self: self.table("events"))
+    steps = cached_property(lambda self: self._view("v_step"))
+
+    @cached_property
+    def trees(self) -> DataFrame:
+        """Definitions as trees: one row each, with its steps, their children and branches, and the steps after a failure."""
+        return step_tree.assembled(self._view("v_head"), self.steps, self._view("v_child"))
 
 
 def with_views(sql: str) -> str:

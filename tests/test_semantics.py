@@ -217,11 +217,3 @@ def test_event_log_audit_and_time_zones(spark, tmp_path):
     assert repeated_events(events).count() == 0 and repeated_events(events.union(events)).count() == 5
     shown = {tuple(r) for r in events.select("execution_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss"), F.col("day").cast("string")).collect()}
     assert ("e1", "2024-01-01 23:30:00", "2024-01-01") in shown and ("e3", "2024-01-02 04:30:00", "2024-01-02") in shown
-
-
-def test_breaker_opens_after_failures_without_success(spark):
-    t = datetime(2024, 1, 1)
-    calls = [(0, True), (1, True), (2, True), (3, True), (4, True), (5, False), (33, True), (40, True), (90, True)]
-    rows = spark.createDataFrame([("s", i, t + timedelta(seconds=s), f) for i, (s, f) in enumerate(calls)], "service string, n int, at timestamp_ntz, failed boolean")
-    got = {r["n"]: (r["tripped"], r["is_open"]) for r in feeds.breaker(rows, ["service"], "at", "n").collect()}
-    assert got == {0: (False, False), 1: (False, False), 2: (False, False), 3: (False, False), 4: (True, False), 5: (False, True), 6: (False, True), 7: (False, False), 8: (False, False)}
