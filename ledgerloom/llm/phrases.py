@@ -16,6 +16,7 @@ is counted by its words. Lists never leave their block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_small_batches, new_folder, sent, whole_text, width
+from .common import checkpointed, in_small_batches, new_folder, remove_folder, sent, whole_text, width
 
 #: Bytes of text of a block (a piece of a text that is longer is a block of its own), and the longest phrase.
 BLOCK_BYTES, LONGEST = 16 << 20, 5
@@ -39,11 +40,11 @@ _CLASSES[[ord(c) for c in ".,;:!?\n\v\f\r"]] = _SEPARATOR
 _CLASSES[[0x20, 0x09]] = _BLANK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Bits of a hash. Phrases that share one are only counted for nothing.
-BITS = 36
+#: Bits of a word's hash; those of phrases are chosen by :func:`hash_bits`. What shares a hash is only counted for nothing.
+WORD_BITS, SPARE_BITS = 36, 5
 #: Rows of a block: packets of hashes or of phrases (with ``part``), words of a language (with ``n``), and one row with what is left of the block.
-_ROWS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("hashes", pa.binary()), ("said", pa.list_(pa.string())), ("counts", pa.binary()), ("lang", pa.string()), ("n", pa.int64()), ("gaps", pa.binary()), ("who", pa.binary()), ("begins", pa.binary()), ("words", pa.list_(pa.string()))])
-_SCHEMA = "block long, part int, hashes binary, said array<string>, counts binary, lang string, n long, gaps binary, who binary, begins binary, words array<string>"
+_ROWS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("hashes", pa.binary()), ("said", pa.list_(pa.string())), ("counts", pa.binary()), ("lang", pa.string()), ("n", pa.int64()), ("gaps", pa.binary()), ("who", pa.binary()), ("begins", pa.binary()), ("words", pa.binary())])
+_SCHEMA = "block long, part int, hashes binary, said array<string>, counts binary, lang string, n long, gaps binary, who binary, begins binary, words binary"
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -59,6 +60,22 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"u{size}").ravel().astype(np.int64)
 
 
+def _packed_texts(texts: pa.Array) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, pa.schema([("t", pa.string())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([texts], names=["t"]))
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked_texts(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column("t").combine_chunks()
+
+
+def hash_bits(words: int, least: int) -> int:
+    """Bits enough for ``words`` words: at most words / ``least`` phrases of a length are frequent, and a rare one is taken for such with a chance of 1 / 32 or less."""
+    return max(16, min(60, math.ceil(math.log2(max(words, 1) / least + 1)) + SPARE_BITS))
+
+
 def _gaps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=0)
 
@@ -83,29 +100,29 @@ def _longer_hashes(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def _short(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _in_parts(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _in_parts(hashes: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by hash, the places in it at which ranges of hashes begin, and the ranges that have any."""
     order = np.argsort(hashes)
-    ends = np.searchsorted(hashes[order], [(i << BITS) // parts for i in range(parts + 1)])
+    ends = np.searchsorted(hashes[order], [(i << bits) // parts for i in range(parts + 1)])
     return order, ends, np.flatnonzero(np.diff(ends))
 
 
-def _packets(block: int, hashes: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+def _packets(block: int, hashes: np.ndarray, counts: np.ndarray, parts: int, bits: int) -> pa.RecordBatch:
     """The hashes of a block's phrases in order, with counts, a packet for each range of hashes that has any."""
-    hashes = _short(hashes)
-    order, ends, held = _in_parts(hashes, parts)
-    hashes, counts = hashes[order], counts[order]
+    hashes, place = np.unique(_short(hashes, bits), return_inverse=True)
+    counts = np.bincount(place, weights=counts, minlength=len(hashes)).astype(np.int64)
+    _, ends, held = _in_parts(hashes, parts, bits)
     own = lambda x, f=lambda x: x: pa.array([_packed(f(x[ends[i] : ends[i + 1]])) for i in held], pa.binary())
     return _batch(len(held), block=pa.array(np.full(len(held), block)), part=pa.array(held.astype(np.int32)), hashes=own(hashes, _gaps), counts=own(counts))
 
 
 def _phrases(block: int, hashes: np.ndarray, said: pa.Array, counts: np.ndarray, parts: int) -> pa.RecordBatch:
     """The phrases themselves with their counts, in the same way."""
-    order, ends, held = _in_parts(_short(hashes), parts)
+    order, ends, held = _in_parts(_short(hashes, WORD_BITS), parts, WORD_BITS)
     lists = pa.ListArray.from_arrays(pa.array([*ends[held], len(order)], pa.int32()), said.take(pa.array(order)))
     counts = counts[order]
     return _batch(len(held), block=pa.array(np.full(len(held), block)), part=pa.array(held.astype(np.int32)), said=lists, counts=pa.array([_packed(counts[ends[i] : ends[i + 1]]) for i in held], pa.binary()))
@@ -143,7 +160,7 @@ def _frequent(least: int):
     return run
 
 
-def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def _texts(batch: pa.RecordBatch, block_bytes: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Bytes, offsets and languages of a batch; texts longer than a block are cut where pieces end."""
     text = batch.column("text")
     offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
@@ -151,9 +168,9 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
     offsets -= offsets[0]
     cuts = []
-    for i in np.flatnonzero(np.diff(offsets) > BLOCK_BYTES):
+    for i in np.flatnonzero(np.diff(offsets) > block_bytes):
         ends = offsets[i] + np.flatnonzero(_CLASSES[data[offsets[i] : offsets[i + 1]]] == _SEPARATOR)
-        cuts.append(np.unique(ends[np.searchsorted(ends, np.arange(offsets[i] + BLOCK_BYTES, offsets[i + 1], BLOCK_BYTES)) - 1]) if len(ends) else ends)
+        cuts.append(np.unique(ends[np.searchsorted(ends, np.arange(offsets[i] + block_bytes, offsets[i + 1], block_bytes)) - 1]) if len(ends) else ends)
     more = np.concatenate([offsets, *cuts]) if cuts else offsets
     order = np.sort(more, kind="stable")
     owner = np.searchsorted(offsets, order[:-1], side="right") - 1
@@ -183,11 +200,11 @@ def _first_lists(texts: list[tuple[np.ndarray, np.ndarray, pa.Array]], block: in
     who = np.asarray(names.indices).astype(np.int64)
     spoken = np.asarray(langs.indices).astype(np.int64)[np.searchsorted(begins, starts, side="right") - 1]
     keys, who, counts = np.unique(spoken * len(names.dictionary) + who, return_inverse=True, return_counts=True)
-    rank = np.argsort(-counts, kind="stable")  # frequent words have small numbers
-    keys, counts, number = keys[rank], counts[rank], np.argsort(rank)
     take = lambda texts, which: texts.dictionary.take(pa.array(which))
     words = pc.binary_join_element_wise(take(names, keys % len(names.dictionary)), take(langs, keys // len(names.dictionary)), "\n")
-    yield _packets(block, _word_hashes(words), counts, parts)
+    rank = np.asarray(pc.sort_indices(pa.table({"n": counts, "word": words}), [("n", "descending"), ("word", "ascending")])).astype(np.int64)  # frequent words have small numbers
+    words, keys, counts, number = words.take(pa.array(rank)), keys[rank], counts[rank], np.argsort(rank)
+    yield _packets(block, _word_hashes(words), counts, parts, WORD_BITS)
     said = np.bincount(keys // len(names.dictionary), weights=counts, minlength=len(langs.dictionary)).astype(np.int64)
     yield _batch(len(said), block=pa.array(np.full(len(said), block)), lang=langs.dictionary, n=pa.array(said))
     yield _rest(block, at, number[who], None, words)
@@ -196,11 +213,11 @@ def _first_lists(texts: list[tuple[np.ndarray, np.ndarray, pa.Array]], block: in
 def _rest(block: int, at: np.ndarray, who: np.ndarray, begins: np.ndarray | None, words: pa.Array) -> pa.RecordBatch:
     """What is left of a block: which word is where, and where frequent phrases begin."""
     marks = None if begins is None else _packed(np.packbits(begins))
-    texts = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    texts = pa.array([_packed_texts(words)], pa.binary())
     return _batch(1, block=pa.array([block], pa.int64()), gaps=pa.array([_packed(_gaps(at))], pa.binary()), who=pa.array([_packed(who)], pa.binary()), begins=pa.array([marks], pa.binary()), words=texts)
 
 
-def _word_lists(parts: int):
+def _word_lists(parts: int, block_bytes: int):
     """All blocks of a task, numbered by task and place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,14 +225,14 @@ def _word_lists(parts: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data, offsets, langs = _texts(batch)
+            data, offsets, langs = _texts(batch, block_bytes)
             low = 0
             while low < len(offsets) - 1:
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + BLOCK_BYTES - size, side="right")) - 1)
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + block_bytes - size, side="right")) - 1)
                 held.append((data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], langs[low:high]))
                 size += int(offsets[high] - offsets[low])
                 low = high
-                if size >= BLOCK_BYTES or low < len(offsets) - 1:
+                if size >= block_bytes or low < len(offsets) - 1:
                     yield from _first_lists(held, block, parts)
                     held, size, block = [], 0, block + 1
         if held:
@@ -252,18 +269,18 @@ def extended(k: int, at: np.ndarray, who: np.ndarray, places: np.ndarray, owner:
     return places[meets][np.argsort(key, kind="stable")], keys // size, keys % size, lengths
 
 
-def _longer_lists(k: int, longest: int, parts: int):
+def _longer_lists(k: int, longest: int, parts: int, bits: int):
     """For one block, what is left of it and the hashes of frequent phrases of k words: counts of those, and packets of k + 1."""
 
     def run(state: pa.Table, frequent: pa.Table) -> pa.Table:
         if not state.num_rows or not frequent.num_rows:
             return _ROWS.empty_table()
         one = lambda name: state.column(name)[0]
-        block, words = one("block").as_py(), one("words").values
+        block, words = one("block").as_py(), _unpacked_texts(one("words").as_py())
         left = np.concatenate([np.cumsum(_unpacked(x)) for x in frequent.column("hashes").to_pylist()])
         at, who, own = np.cumsum(_unpacked(one("gaps").as_py())), _unpacked(one("who").as_py()), _word_hashes(words)
         if k == 1:
-            known = np.isin(_short(own), left)
+            known = np.isin(_short(own, WORD_BITS), left)
             new = np.cumsum(known) - 1
             held = known[who]
             at, who, words, own = at[held], new[who[held]], words.filter(pa.array(known)), own[known]
@@ -272,7 +289,7 @@ def _longer_lists(k: int, longest: int, parts: int):
             begins = np.unpackbits(_unpacked(one("begins").as_py()).astype(np.uint8), count=len(at)).astype(bool)
             places, owner, _, members = _lists(at, who, begins, k - 1)
             places, first, last, lengths = extended(k - 1, at, who, places, owner) if len(places) else (places, owner, owner, owner)
-            known = np.isin(_short(_longer_hashes(_phrase_hashes(own, members)[first], own[last])), left)
+            known = np.isin(_short(_longer_hashes(_phrase_hashes(own, members)[first], own[last]), bits), left)
             begins = np.zeros(len(at), bool)
             begins[np.searchsorted(at, places[np.repeat(known, lengths)])] = True
         if not begins.any():
@@ -285,7 +302,7 @@ def _longer_lists(k: int, longest: int, parts: int):
         out = [_phrases(block, hashes, phrases, lengths, parts)]
         if k < longest:
             _, first, last, lengths = extended(k, at, who, places, owner)
-            out.append(_packets(block, _longer_hashes(hashes[first], own[last]), lengths, parts))
+            out.append(_packets(block, _longer_hashes(hashes[first], own[last]), lengths, parts, bits))
             near = np.isin(at, np.concatenate([places + i for i in range(k + 2)]))  # the phrases, and what the next two words can be
             out.append(_rest(block, at[near], who[near], begins[near], words))
         return pa.Table.from_batches(out, schema=_ROWS)
@@ -300,33 +317,39 @@ def _phrase_hashes(words: np.ndarray, members: np.ndarray) -> np.ndarray:
     return hashes
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, k, f`` of all phrases of 1 to ``longest`` words with ``least`` or more occurrences, and ``lang, n`` of all words.
 
     Hashes are dealt by ranges, as many as the session has shuffle partitions; a range has a packet of each
     block at most, whatever is frequent. Each step is written to the shared folder, so a lost
-    executor costs its tasks only.
+    executor costs its tasks only, and removed when the next one is.
     """
     spark, folder, parts = docs.sparkSession, new_folder(docs.sparkSession, "phrases"), width(docs)
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), whole_text().alias("text"))
-    step, counts = in_small_batches(texts).mapInArrow(_word_lists(parts), _SCHEMA), None
+    step, found = in_small_batches(texts).mapInArrow(_word_lists(parts, block_bytes), _SCHEMA), []
     for k in range(1, longest + 2):
         step.write.option("compression", "zstd").parquet(f"{folder}/lists-{k}")
         rows = spark.read.schema(_SCHEMA).parquet(f"{folder}/lists-{k}")
         if k == 1:
             totals = checkpointed(rows.where("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")))
+            bits = bits or hash_bits(totals.agg(F.sum("n")).first()[0] or 0, least)
         else:
             said = rows.where("said IS NOT NULL").select("part", "said", "counts")
-            counts = said if counts is None else counts.unionByName(said)
+            found.append(checkpointed(said.groupBy("part").applyInArrow(_frequent(least), "lang string, phrase string, k int, f long")))
+            remove_folder(spark, f"{folder}/lists-{k - 1}")
         if k <= longest:
             packets = rows.where("hashes IS NOT NULL").select("part", "block", "hashes", "counts")
             frequent = packets.groupBy("part").applyInArrow(_frequent_hashes(least), "block long, hashes binary")
             state = rows.where("words IS NOT NULL").select("block", "gaps", "who", "begins", "words")
-            step = state.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(_longer_lists(k, longest, parts), _SCHEMA)
-    return checkpointed(counts.groupBy("part").applyInArrow(_frequent(least), "lang string, phrase string, k int, f long")), totals
+            step = state.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(_longer_lists(k, longest, parts, bits), _SCHEMA)
+    remove_folder(spark, folder)
+    phrases = found[0]
+    for df in found[1:]:
+        phrases = phrases.unionByName(df)
+    return phrases, totals
 
 
-def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, absorbed: int = ABSORBED_PERCENT, shown: int = SHOWN) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, absorbed: int = ABSORBED_PERCENT, shown: int = SHOWN, **settings: int) -> DataFrame:
     """The best phrases of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
     A phrase's score is that of its worst cut: 1000 a n / (l r), rounded down, in exact decimals
@@ -336,7 +359,7 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGE
     texts of any length are read whole; ties are settled by the phrase's bytes; an empty
     table gives an empty result; other columns are not looked at.
     """
-    phrases, totals = frequent_phrases(docs, least, longest)
+    phrases, totals = frequent_phrases(docs, least, longest, **settings)
     words = F.split("phrase", " ")
     joined = lambda low, n: F.array_join(F.slice("words", low, n), " ")
     several = phrases.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), words.alias("words"))
