@@ -16,6 +16,8 @@ share of LEVEL are ordinary strings. Strings of digits alone are numbers and not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,20 +38,74 @@ _ALPHABETS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-
 _SPAN = "array<struct<start:int,stop:int,text:string>>"
 
 
+#: A running total is taken over parts of so many entries, whose totals are summed in the same way, so many levels deep.
+PART, LEVELS = 256, 2
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(numbers: Column, zero: Column, both: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
+    """For each entry of an array, ``both`` folded from the first entry to it.
+
+    An array that grows by an entry is copied, so a fold over a long one takes the square of its length; here
+    only arrays of PART entries grow, and the one of the parts' totals: ten million matches in one text have 40,000.
+    """
+
+    def short(part: Column, first: Column) -> Column:
+        whole = F.aggregate(part, F.array(first), lambda found, x: F.concat(found, F.array(both(F.element_at(found, -1), x))))
+        return F.slice(whole, 2, F.size(part))
+
+    if levels == 1:
+        return _let(numbers, lambda whole: short(whole, zero))
+
+    def joined(parts: Column) -> Column:
+        totals = running(F.transform(parts, lambda p: F.aggregate(p, zero, both)), zero, both, levels - 1)
+        return _let(totals, lambda t: F.flatten(F.transform(parts, lambda p, i: short(p, F.coalesce(F.get(t, i - 1), zero)))))
+
+    def cut(whole: Column) -> Column:
+        last = F.floor(F.greatest(F.size(whole) - 1, F.lit(0)) / PART).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(whole, i * PART + 1, PART))
+
+    return _let(_let(numbers, cut), joined)
+
+
 def spans(text: str, pattern: str) -> Column:
     """All matches of a pattern, leftmost first and not overlapping, as (start, stop, text).
 
-    Splitting at the pattern gives what lies between the matches, so lengths alone give
-    the places, in code points.
+    Splitting at the pattern gives what lies between the matches, so running totals of
+    lengths give the places, in code points.
     """
-    return F.expr(f"""
-      CASE WHEN {text} RLIKE r'{pattern}' THEN
-      transform(array(struct(split({text}, r'{pattern}', -1) AS gaps, regexp_extract_all({text}, r'{pattern}', 0) AS hits)), x ->
-        aggregate(sequence(0, size(x.hits) - 1), struct(0 AS pos, cast(array() AS {_SPAN}) AS found),
-          (a, i) -> struct(a.pos + length(x.gaps[i]) + length(x.hits[i]) AS pos,
-            concat(a.found, array(struct(a.pos + length(x.gaps[i]) AS start, a.pos + length(x.gaps[i]) + length(x.hits[i]) AS stop, x.hits[i] AS text))) AS found),
-          a -> a.found))[0]
-      ELSE cast(array() AS {_SPAN}) END""")
+    column, zero = F.col(text), F.lit(0)
+
+    def placed(x: Column) -> Column:
+        ends = running(F.transform(x["hits"], lambda hit, i: F.length(F.get(x["gaps"], i)) + F.length(hit)), zero, lambda a, b: a + b)
+        return _let(ends, lambda e: F.transform(x["hits"], lambda hit, i: F.struct((F.get(e, i) - F.length(hit)).alias("start"), F.get(e, i).alias("stop"), hit.alias("text"))))
+
+    found = _let(F.struct(F.split(column, pattern, -1).alias("gaps"), F.regexp_extract_all(column, F.lit(pattern), F.lit(0)).alias("hits")), placed)
+    return F.when(column.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+
+
+def _clear(strings: Column, base: Column) -> Column:
+    """The strings that overlap none of the base spans, by places.
+
+    Both are put in order by where they start. A string is overlapped if a base span before it ends
+    behind its start, or the next one starts before its end.
+    """
+    most, none = F.lit(2**31 - 1), F.lit(-1)
+    entry = lambda x, kind: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["stop"].alias("stop"))
+    order = F.array_sort(F.concat(F.transform(base, lambda b: entry(b, 0)), F.transform(strings, lambda s: entry(s, 1))))
+
+    def kept(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda r: F.when(r["kind"] == 0, r["stop"]).otherwise(none)), none, lambda a, b: F.greatest(a, b))
+        starts = running(F.transform(F.reverse(rows), lambda r: F.when(r["kind"] == 0, r["start"]).otherwise(most)), most, lambda a, b: F.least(a, b))
+        both = F.struct(ends.alias("ends"), F.reverse(starts).alias("starts"))
+        free = lambda x: F.filter(F.transform(rows, lambda r, i: F.when((r["kind"] == 1) & (F.get(x["ends"], i) <= r["start"]) & (F.get(x["starts"], i) >= r["stop"]), F.struct(r["start"].alias("start"), r["stop"].alias("stop")))), lambda r: r.isNotNull())
+        return _let(both, free)
+
+    return F.when(F.size(strings) > 0, _let(order, kept)).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
 
 
 def _normal(z: str) -> str:
@@ -164,12 +220,13 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     place = "x -> struct(x.start AS start, x.stop AS stop)"
     return rows.select(
         "doc_id",
-        F.expr(f"transform(filter(assign, (x, i) -> length(values[i]) >= 8), {place})").alias("assign"),
+        F.expr(f"transform(filter(zip_with(assign, values, (x, v) -> struct(x.start AS start, x.stop AS stop, length(v) AS n)), x -> x.n >= 8), {place})").alias("assign"),
         F.expr(f"transform(filter(access, x -> x.stop - x.start >= 16), {place})").alias("access"),
         F.expr(f"transform(hex, {place})").alias("hex"),
         _scored("strings").alias("strings"),
     )
 
+
 def thresholds(found: DataFrame, level: float = LEVEL) -> dict[tuple[int, int], int]:
     """(band, encoding) to the last bin whose strings are reported, for those that have one.
 
@@ -206,8 +263,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     found = checkpointed(features(docs, id_column, text_column))
     passes = " OR ".join(f"(x.band = {band} AND x.encoding = {e} AND x.bin <= {b})" for (band, e), b in thresholds(found, level).items()) or "false"
-    clear = " AND ".join(f"NOT exists({kind}, b -> b.start < x.stop AND x.start < b.stop)" for kind in KINDS[:3])
-    rows = found.withColumn("random", F.expr(f"filter(strings, x -> ({passes}) AND {clear})"))
+    rows = found.withColumn("random", F.expr(f"filter(strings, x -> {passes})"))
+    rows = rows.withColumn("random", _clear(F.col("random"), F.concat(*KINDS[:3])))
     row = lambda kind: f"transform({kind}, x -> struct(x.start AS start, {KINDS.index(kind)} AS rank, concat('{kind}:', x.start, ':', x.stop) AS span))"
     joined = lambda *kinds: F.expr(f"array_join(transform(array_sort(concat({', '.join(map(row, kinds))})), x -> x.span), ',')")
     return rows.select(

@@ -164,3 +164,39 @@ def test_scores_beyond_64_bits():
     """The decimals of the score hold counts of a corpus of 10^13 words."""
     a, n, left, right = 10**10, 10**13, 10**11, 10**12
     assert math.log2(1000 * a * n) > 64 and 1000 * a * n // (left * right) == 1000
+
+
+# Secret scans of long texts.
+
+
+def test_places_of_very_many_strings(spark):
+    """A text with 100,000 strings, some of them in base spans, in bounded time; places by a plain search."""
+    import time
+
+    from ledgerloom.llm import secrets
+
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(n))
+    texts = ["\n".join(("password=" if i % 7 == 0 else "é ") + token(25) for i in range(n)) for n in (1, 64, 65, 5000, 100_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert time.perf_counter() - began < 60
+    for i, t in enumerate(texts):
+        base = [(m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[2]) >= 8]
+        said = ",".join(f"assign:{a}:{b}" for a, b in base)
+        assert got[i]["n_assign"] == len(base) and got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        taken, strings = set(x for a, b in base for x in range(a, b)), {(m.start(), m.end()) for m in re.finditer(secrets.STRING, t)}
+        added = [tuple(map(int, x.split(":")[1:])) for x in got[i]["spans"].split(",") if x.startswith("random")]
+        assert set(added) <= strings and not any(a in taken or b - 1 in taken for a, b in added)
+
+
+def test_running_totals(spark):
+    from ledgerloom.llm.secrets import running
+
+    rng = random.Random(9)
+    lists = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 128, 4096, 4097, 9000)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    got = df.select("x", running(F.col("x"), F.lit(0), lambda a, b: a + b).alias("s"), running(F.col("x"), F.lit(-1), lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    for r in got:
+        assert r["s"] == list(np.cumsum(r["x"], dtype=int)) and r["m"] == list(np.maximum.accumulate(r["x"]) if r["x"] else [])
