@@ -31,6 +31,7 @@ looked at; copies are found on short rows.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,7 @@ from .minhash import mixed
 
 LENGTH, Q = 100, 32
 SPAN = LENGTH - Q + 1  # places of a q-gram in a string
+PERIODS = 32  # strings that repeat the one up to so many bytes before need no anchor
 #: A bucket is spread while it is counted when HOT_DOCS of about SAMPLE_DOCS documents have it; so at most a bounded number are.
 SAMPLE_DOCS, HOT_DOCS = 20_000, 200
 #: Larger buckets are refined by Spark, smaller ones each in one task; the result is the same.
@@ -91,6 +93,53 @@ def smallest(q: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def self_repeats(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
+    """``piece, first, last`` of runs of strings that equal the string up to PERIODS bytes before, in the same piece.
+
+    Such strings go whatever else there is, and none is the first of its kind. In periodic text, which moves
+    the anchor with every period, they are all but the first few; left in, they were an anchor each. Where
+    LENGTH bytes equal those p before, one of the places that are multiples of 64 begins 32 bytes that
+    do, which finds them; other text costs one comparison for 64 bytes and p.
+    """
+    found, eight = [], np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,)) if len(data) > 7 else np.zeros(0, np.uint64)
+    for p in range(1, PERIODS + 1):
+        one, two = eight[::64], eight[p::64]
+        hits = np.flatnonzero(one[: len(two)] == two) * 64
+        hits = hits[hits + 24 + p < len(eight)]
+        for more in (8, 16, 24):
+            hits = hits[eight[hits + more] == eight[hits + more + p]]
+        i = 0
+        while i < len(hits):
+            low, high = _equal_run(data, int(hits[i]), p)
+            i = int(np.searchsorted(hits, high))
+            if high - low >= LENGTH:
+                for piece in range(int(np.searchsorted(starts, low, side="right")) - 1, int(np.searchsorted(starts, high))):
+                    first, last = max(low, int(starts[piece])) + p, min(high + p, int(starts[piece] + sizes[piece])) - LENGTH
+                    if first <= last:
+                        found.append((piece, first, last))
+    return found
+
+
+def _equal_run(data: np.ndarray, at: int, p: int) -> tuple[int, int]:
+    """The places around ``at``, from the first to behind the last, whose bytes equal those p on."""
+    low, high, step = at, at, 256
+    while high + p < len(data):
+        other = data[high : high + step][: len(data) - p - high] != data[high + p : high + p + step]
+        if other.any():
+            high += int(np.argmax(other))
+            break
+        high, step = high + len(other), step * 4
+    step = 256
+    while low > 0:
+        begin = max(0, low - step)
+        other = data[begin:low] != data[begin + p : low + p]
+        if other.any():
+            low = begin + int(np.flatnonzero(other)[-1]) + 1
+            break
+        low, step = begin, step * 4
+    return low, high
+
+
 def anchors(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     """``piece, bucket, anchor, first, last`` of each run of strings with one anchor; offsets are in the piece."""
     sizes = np.array([len(p) for p in pieces])
@@ -102,7 +151,10 @@ def anchors(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
     at = smallest(q)
     piece = np.repeat(np.arange(len(pieces)), sizes)[: len(at)]
     ends = (starts + sizes)[piece]
-    inside = np.flatnonzero(np.arange(len(at)) + LENGTH <= ends)
+    fits = np.arange(len(at)) + LENGTH <= ends
+    for _, first, last in self_repeats(data, starts, sizes):
+        fits[first : last + 1] = False
+    inside = np.flatnonzero(fits)
     if not len(inside):
         return (np.zeros(0, np.int64),) * 5
     at, piece = at[inside], piece[inside]
@@ -295,11 +347,15 @@ def later_of_large(contexts: DataFrame) -> DataFrame:
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents with their runs of later strings to what is left of them."""
     for batch in batches:
-        out = []
-        for doc_id, text, copy, runs in zip(batch["doc_id"], batch["text"], batch["copy"], batch["runs"]):
-            data = text.encode("utf-8", "surrogatepass")
+        out, texts = [], [text.encode("utf-8", "surrogatepass") for text in batch["text"]]
+        sizes = np.array([len(x) for x in texts], np.int64)
+        starts, own = np.cumsum(sizes) - sizes, defaultdict(list)
+        for i, first, last in self_repeats(np.frombuffer(b"".join(texts), np.uint8), starts, sizes):
+            own[i].append((first - int(starts[i]), last - int(starts[i]) + LENGTH))
+        for i, (doc_id, data, copy, runs) in enumerate(zip(batch["doc_id"], texts, batch["copy"], batch["runs"])):
             spans: list[list[int]] = [[0, len(data)]] if copy and len(data) >= LENGTH else []
-            for lo, hi in sorted((r["first"], r["last"] + LENGTH) for r in (runs if runs is not None and not copy else [])):
+            later = own[i] + [(r["first"], r["last"] + LENGTH) for r in (runs if runs is not None else [])]
+            for lo, hi in sorted([] if copy else later):
                 if spans and lo <= spans[-1][1]:
                     spans[-1][1] = max(hi, spans[-1][1])
                 else:

@@ -200,3 +200,50 @@ def test_running_totals(spark):
     got = df.select("x", running(F.col("x"), F.lit(0), lambda a, b: a + b).alias("s"), running(F.col("x"), F.lit(-1), lambda a, b: F.greatest(a, b)).alias("m")).collect()
     for r in got:
         assert r["s"] == list(np.cumsum(r["x"], dtype=int)) and r["m"] == list(np.maximum.accumulate(r["x"]) if r["x"] else [])
+
+
+# Periodic texts in suffix-array dedup.
+
+
+def periodic_texts():
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    texts = ["a" * 99, "a" * 100, "a" * 101, "b" * 700, "", own(50) + "ab" * 120 + own(80) + "ba" * 120, "é" * 200]
+    for p in (1, 2, 3, 7, 31, 32, 33, 64, 99):
+        unit = own(p)
+        texts += [own(rng.randrange(90)) + (unit * 400)[: rng.randrange(100, 420)] + own(rng.randrange(90)) for _ in range(3)]
+    return texts + texts[3:9]
+
+
+def test_self_repeats_are_those_of_a_plain_search():
+    from ledgerloom.llm import suffix_dedup
+
+    texts = [t.encode() for t in periodic_texts()]
+    sizes = np.array(list(map(len, texts)))
+    starts = np.cumsum(sizes) - sizes
+    got = {(piece, i - starts[piece]) for piece, first, last in suffix_dedup.self_repeats(np.frombuffer(b"".join(texts), np.uint8), starts, sizes) for i in range(first, last + 1)}
+    want = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 99) if any(i >= p and t[i : i + 100] == t[i - p : i - p + 100] for p in range(1, 33))}
+    assert got == want and len(want) > 1000
+
+
+def test_periodic_texts_are_deduped_as_by_brute_force(spark):
+    from ledgerloom.llm import suffix_dedup
+
+    from .test_edge_cases import bag, brute_removed
+
+    rows = [(i, t, "") for i, t in enumerate(periodic_texts())]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4))
+    assert bag(r[:5] for r in got.collect()) == bag(brute_removed(rows))
+
+
+def test_twenty_megabytes_of_a_letter_and_of_a_period(spark):
+    import time
+
+    from ledgerloom.llm import suffix_dedup
+
+    n = 20_000_000
+    df = spark.range(2).selectExpr("id as doc_id", f"if(id = 0, repeat('z', {n}), repeat('1234567', {n // 7})) as text").repartition(2)
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {0: (n - 1, 1), 1: (n // 7 * 7 - 7, 1)}
+    assert time.perf_counter() - began < 90
