@@ -13,13 +13,11 @@ HINTS = "map<string,struct<x:double,y:double>>"
 def parse(metadata: Column) -> Column:
     """Step to (x, y) from JSON metadata: finite numbers only, names of 1 to LONGEST characters; else an empty map."""
     places = F.coalesce(F.from_json(F.get_json_object(metadata, f"$['{KEY}']"), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    number = lambda text, name: F.get_json_object(text, f"$.{name}")
-    kept = F.map_filter(places, lambda k, v: F.length(k).between(1, LONGEST) & _finite(number(v, "x")) & _finite(number(v, "y")) & v.rlike(r'"x"\s*:\s*[-0-9]') & v.rlike(r'"y"\s*:\s*[-0-9]'))
-    return F.transform_values(kept, lambda k, v: F.struct(number(v, "x").try_cast("double").alias("x"), number(v, "y").try_cast("double").alias("y")))
+    read = F.transform_values(places, lambda k, v: F.from_json(v, "x double, y double"))  # a text in place of a number is null
+    return F.map_filter(read, lambda k, v: F.length(k).between(1, LONGEST) & _finite(v["x"]) & _finite(v["y"]))
 
 
-def _finite(text: Column) -> Column:
-    x = text.try_cast("double")
+def _finite(x: Column) -> Column:
     return F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
 
 

@@ -126,3 +126,43 @@ def awaited(waits: DataFrame, ends: DataFrame) -> DataFrame:
     outcome = F.when(at <= F.col("asked_at"), "caught_up").when(at <= F.col("due_at"), "ended").otherwise("timed_out")
     resolved = F.when(at <= F.col("due_at"), F.greatest(at, F.col("asked_at"))).otherwise(F.col("due_at"))
     return rows.select(*waits.columns, outcome.alias("outcome"), F.when(at <= F.col("due_at"), F.col("_end.status")).alias("status"), resolved.alias("resolved_at"))
+
+
+def recorded(log: DataFrame, gate: str, order: list[str]) -> DataFrame:
+    """Decisions of a log with ``result`` and ``existing``, the outcome that stood.
+
+    The log has ``saved`` (a row opens its gate, also anew) and else an ``outcome``. A gate that was never saved is
+    ``not_found``; the first decision since it was saved is ``recorded``, and later ones are ``already_decided``.
+    """
+    own = Window.partitionBy(gate).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = log.withColumn("_saves", F.count_if("saved").over(own))
+    first = F.first(F.when(~F.col("saved"), F.struct("outcome", *order)), ignorenulls=True).over(Window.partitionBy(gate, "_saves").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    is_first = F.lit(True)
+    for c in order:
+        is_first &= F.col(f"_first.{c}") == F.col(c)
+    result = F.when(F.col("_saves") == 0, "not_found").when(is_first, "recorded").otherwise("already_decided")
+    found = rows.withColumn("_first", first).where(~F.col("saved"))
+    return found.select(*log.columns, result.alias("result"), F.when(result == "already_decided", F.col("_first.outcome")).alias("existing"))
+
+
+def resumed_steps(runs: DataFrame, executions: DataFrame, gates: DataFrame) -> DataFrame:
+    """What a resumed run does with each of its steps: ``batch_id, batch_step_id, action``.
+
+    Steps before the run's ``cursor`` are ``behind`` it. Of the others one that completed in any attempt is not run
+    again, but its outputs forwarded (``reuse``); a skipped one is skipped; the outcome of a step's last decided
+    gate is followed, and a pending one is awaited; all else is dispatched anew, failed and unfinished attempts too.
+    """
+    steps = executions.where("batch_step_id is not null").groupBy("batch_id", "batch_step_id").agg(
+        F.min("step_order").alias("_order"), F.bool_or(F.col("status") == "Completed").alias("_done"), F.bool_or(F.col("status") == "Skipped").alias("_skipped")
+    )
+    state = gates.groupBy("batch_id", "batch_step_id").agg(F.max_by("outcome", F.when(F.col("outcome").isNotNull(), F.struct("decided_at", "approval_id"))).alias("_outcome"), F.bool_or(F.col("outcome").isNull()).alias("_pending"))
+    rows = steps.join(runs.select("batch_id", "cursor"), "batch_id").join(state, ["batch_id", "batch_step_id"], "left")
+    action = F.when(F.col("_order") <= F.coalesce("cursor", F.lit(0)), "behind").when(F.col("_done"), "reuse").when(F.col("_skipped"), "skip")
+    action = action.when(F.col("_outcome").isNotNull(), F.concat(F.lit("follow "), "_outcome")).when(F.col("_pending"), "await").otherwise("dispatch")
+    return rows.select("batch_id", "batch_step_id", action.alias("action"))
+
+
+def start_index(policy: Column, step: Column, cursor: Column, steps: Column) -> Column:
+    """The step at which a run begins again: its cursor (``Forward``), the first (``RestartAll``) or ``step`` (``RestartFrom``), within 0 to the number of steps."""
+    asked = F.when(policy == "RestartFrom", F.coalesce(step, F.lit(0))).when(policy == "Forward", F.coalesce(cursor, F.lit(0))).otherwise(0)
+    return F.least(F.greatest(asked, F.lit(0)), steps)

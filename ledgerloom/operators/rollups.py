@@ -16,7 +16,8 @@ def step_key() -> Column:
 def latest_attempts(executions: DataFrame) -> DataFrame:
     """The last attempt of each step of each run, by time and then id.
 
-    A maximum of structs is aggregated before the shuffle; there is no sort of all attempts.
+    A maximum of structs is aggregated before the shuffle and after it, so one row a step and task is
+    shuffled; as structs are no mutable state, Spark sorts a task's rows by step for it.
     """
     last = executions.groupBy("batch_id", step_key().alias("step")).agg(F.max(F.struct("enqueued_at", "execution_id", "status", "batch_step_id")).alias("x"))
     return last.select("batch_id", "step", "x.execution_id", "x.status", "x.enqueued_at", "x.batch_step_id")

@@ -118,6 +118,41 @@ def _(v):
     return progression.awaited(waits, ends).select("event_id", "outcome", "status", "resolved_at")
 
 
+@key("gate_decisions", """with recursive e as (select *, cast(user_id as varchar)||'@'||cast(cast(ts as date) as varchar) as gate from events where event_type <> 'click'),
+o as (select gate, event_id, event_type, row_number() over (partition by gate order by ts, event_id) as n from e),
+s as (select gate, cast(0 as bigint) as n, cast(null as bigint) as event_id, 'none' as state, cast(null as varchar) as outcome, cast(null as varchar) as result, cast(null as varchar) as existing from (select distinct gate from o) g
+  union all select s.gate, o.n, o.event_id, case when o.event_type = 'view' then 'pending' when s.state = 'pending' then 'decided' else s.state end, case when o.event_type = 'view' then null when s.state = 'pending' then o.event_type else s.outcome end,
+    case when o.event_type = 'view' then null when s.state = 'none' then 'not_found' when s.state = 'pending' then 'recorded' else 'already_decided' end, case when o.event_type <> 'view' and s.state = 'decided' then s.outcome end from s join o on o.gate = s.gate and o.n = s.n + 1)
+select event_id, result, existing from s where result is not null""")
+def _(v):
+    """A user's day is a gate that views save; purchases, errors and signups decide on it."""
+    rows = v.events.where("event_type <> 'click'").withColumn("gate", F.concat_ws("@", F.col("user_id").cast("string"), F.to_date("ts").cast("string")))
+    log = rows.select("gate", "ts", "event_id", (F.col("event_type") == "view").alias("saved"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("outcome"))
+    return progression.recorded(log, "gate", ["ts", "event_id"]).select("event_id", "result", "existing")
+
+
+@key("resume_steps", """with r as (select batch_id, current_step_index as cursor from v_run where status is null),
+g as (select batch_id, step_id + 1 as batch_step_id, max(case on_timeout when 'AutoApprove' then 'Approved' when 'Fail' then 'TimedOut' end) as outcome, count(*) as n from v_gate group by batch_id, step_id),
+s as (select batch_id, batch_step_id, min(step_order) as o, count(case when status = 'Completed' then 1 end) as done, count(case when status = 'Skipped' then 1 end) as skipped from v_exec where batch_step_id is not null group by batch_id, batch_step_id)
+select s.batch_id, s.batch_step_id, case when o <= coalesce(cursor, 0) then 'behind' when done > 0 then 'reuse' when skipped > 0 then 'skip' when outcome is not null then 'follow '||outcome when n > 0 then 'await' else 'dispatch' end as action
+from s join r on r.batch_id = s.batch_id left join g on g.batch_id = s.batch_id and g.batch_step_id = s.batch_step_id""")
+def _(v):
+    """Steps of the runs in flight; gates of the first four steps hold, or were decided when they ran out of time."""
+    outcome = F.when(F.col("on_timeout") == "AutoApprove", "Approved").when(F.col("on_timeout") == "Fail", "TimedOut")
+    gates = v.gates.select("batch_id", (F.col("step_id") + 1).cast("int").alias("batch_step_id"), outcome.alias("outcome"), F.col("deadline").alias("decided_at"), "approval_id")
+    return progression.resumed_steps(v.runs.where("status is null").select("batch_id", F.col("current_step_index").alias("cursor")), v.executions, gates)
+
+
+@key("resume_policies", """select batch_id, policy, least(greatest(case policy when 'Forward' then coalesce(current_step_index, 0) when 'RestartAll' then 0 else succeeded end, 0), top_steps) as start_index
+from (select r.batch_id, r.current_step_index, r.succeeded, d.top_steps from v_run r join v_def d on cast(r.batch_definition_id as string) = d.id) t, (values ('Forward'), ('RestartAll'), ('RestartFrom')) p(policy)""")
+def _(v):
+    """Where a run begins again under each policy: at its cursor, at the first step, or at a step that is named (here the number that succeeded)."""
+    steps = v.definitions.select(F.col("id").cast("long").alias("batch_definition_id"), "top_steps")
+    asked = F.array(*[F.struct(F.lit(name).alias("policy"), k.cast("int").alias("k")) for name, k in (("Forward", F.lit(None)), ("RestartAll", F.lit(None)), ("RestartFrom", F.col("succeeded")))])
+    rows = v.runs.join(steps, "batch_definition_id").select("batch_id", "current_step_index", "top_steps", F.explode(asked).alias("p"))
+    return rows.select("batch_id", "p.policy", progression.start_index(F.col("p.policy"), F.col("p.k"), F.col("current_step_index"), F.col("top_steps")).alias("start_index"))
+
+
 SET_CAPACITY = 40
 
 

@@ -53,10 +53,10 @@ def liveness(beats: DataFrame, now, online_for: str = "45 seconds", kept_for: st
 
 
 def dead_letters(messages: DataFrame, body: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Messages that parse, and those that do not, as two frames over one source."""
-    parsed = messages.withColumn("parsed", F.from_json(body, schema))
-    bad = F.col("parsed").isNull() | ~F.exists(F.array(*[F.col(f"parsed.{c.split()[0]}").isNotNull() for c in schema.split(",")]), lambda x: x)
-    return parsed.where(~bad), parsed.where(bad).drop("parsed")
+    """Messages that parse, and those that do not (or have no body), as two frames over one source; fields may all be null."""
+    parsed = messages.withColumn("parsed", F.from_json(body, f"{schema}, _unread string", {"columnNameOfCorruptRecord": "_unread"}))
+    bad = F.col("parsed").isNull() | F.col("parsed._unread").isNotNull()
+    return parsed.where(~bad).withColumn("parsed", F.col("parsed").dropFields("_unread")), parsed.where(bad).drop("parsed")
 
 
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
