@@ -166,3 +166,28 @@ def start_index(policy: Column, step: Column, cursor: Column, steps: Column) ->
     """The step at which a run begins again: its cursor (``Forward``), the first (``RestartAll``) or ``step`` (``RestartFrom``), within 0 to the number of steps."""
     asked = F.when(policy == "RestartFrom", F.coalesce(step, F.lit(0))).when(policy == "Forward", F.coalesce(cursor, F.lit(0))).otherwise(0)
     return F.least(F.greatest(asked, F.lit(0)), steps)
+
+
+def failure_route(steps: DataFrame, failure_steps: DataFrame, run: str = "run") -> DataFrame:
+    """What a run does with its steps: ``run, phase, position, step_id, action``.
+
+    ``steps`` has ``position`` (from 1), ``step_id``, ``outcome``, ``has_undo`` and the run's ``policy`` (0 stop,
+    1 continue, 2 compensate; others stop), ``failure_steps`` has ``position`` and ``step_id``. A failed step ends the
+    main sequence unless the run continues, and a cancelled one always does. A run that compensates undoes
+    what was done before, last first, and then runs its failure steps in order; with nothing to undo
+    and no failure steps it just stops, and so does a cancelled run.
+    """
+    whole = Window.partitionBy(run)
+    ends = (F.col("outcome") == "Cancelled") | ((F.col("outcome") == "Failed") & (F.col("policy") != 1))
+    rows = steps.withColumn("_stop", F.min(F.when(ends, F.struct("position", "outcome"))).over(whole))
+    at, before = F.col("_stop.position"), F.col("position") < F.col("_stop.position")
+    chains_ = failure_steps.groupBy(run).agg(F.count(F.lit(1)).alias("_chain"))
+    rows = rows.withColumn("_undo", F.coalesce(F.bool_or(before & F.col("has_undo")).over(whole), F.lit(False))).join(chains_, run, "left")
+    rows = rows.withColumn("_back", F.coalesce((F.col("policy") == 2) & (F.col("_stop.outcome") == "Failed") & (F.col("_undo") | F.col("_chain").isNotNull()), F.lit(False)))
+    action = F.when(F.col("position") > at, "not reached").when(F.col("outcome").isin("Failed", "Cancelled"), F.lower("outcome")).otherwise("ran")
+    main = rows.select(run, F.lit("main").alias("phase"), "position", "step_id", action.alias("action"))
+    last_first = F.row_number().over(Window.partitionBy(run).orderBy(F.col("position").desc()))
+    undone = rows.where(F.col("_back") & before & F.col("has_undo")).select(run, F.lit("undo").alias("phase"), last_first.alias("position"), F.concat("step_id", F.lit(":comp")).alias("step_id"), F.lit("undone").alias("action"))
+    back = rows.where("_back").select(run).distinct()
+    fallen = failure_steps.join(back, run, "left_semi").select(run, F.lit("failure").alias("phase"), "position", "step_id", F.lit("ran").alias("action"))
+    return main.unionByName(undone).unionByName(fallen)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ordered, progression
@@ -118,6 +119,25 @@ def _(v):
     return progression.awaited(waits, ends).select("event_id", "outcome", "status", "resolved_at")
 
 
+@key("failure_routes", """with o as (select batch_id, case when bool_or(status = 'Cancelled') then 'Cancelled' when bool_or(status = 'Failed') then 'Failed' else 'Completed' end as outcome from v_exec where step_order = 1 group by batch_id),
+s as (select v.definition_id, v.step_id, coalesce(o.outcome, 'Completed') as outcome, v.comp_job is not null as has_undo, h.failure_policy as policy, row_number() over (partition by v.definition_id order by v.ord) as position from v_step v join v_head h using (definition_id) left join o on o.batch_id = v.ord where v.part = 'main'),
+f as (select definition_id, step_id, row_number() over (partition by definition_id order by ord) as position from v_step where part = 'failure'),
+e as (select definition_id, min(position) as stop from s where outcome = 'Cancelled' or (outcome = 'Failed' and policy <> 1) group by definition_id),
+b as (select e.definition_id, e.stop from e join s on s.definition_id = e.definition_id and s.position = e.stop and s.outcome = 'Failed' and s.policy = 2
+  where exists (select 1 from s u where u.definition_id = e.definition_id and u.position < e.stop and u.has_undo) or exists (select 1 from f where f.definition_id = e.definition_id))
+select s.definition_id, 'main' as phase, position, step_id, case when position > e.stop then 'not reached' when outcome = 'Failed' then 'failed' when outcome = 'Cancelled' then 'cancelled' else 'ran' end as action from s left join e on e.definition_id = s.definition_id
+union all select s.definition_id, 'undo', row_number() over (partition by s.definition_id order by position desc), step_id||':comp', 'undone' from s join b on b.definition_id = s.definition_id and s.position < b.stop where has_undo
+union all select f.definition_id, 'failure', position, step_id, 'ran' from f join b on b.definition_id = f.definition_id""")
+def _(v):
+    """Definitions run once: a step's outcome is that of its order's first lines, the policy that of the definition."""
+    status = lambda name: F.bool_or(F.col("status") == name)
+    outcome = v.executions.where("step_order = 1").groupBy(F.col("batch_id").alias("ord")).agg(F.when(status("Cancelled"), "Cancelled").when(status("Failed"), "Failed").otherwise("Completed").alias("outcome"))
+    numbered = lambda part: v.steps.where(F.col("part") == part).withColumn("position", F.row_number().over(Window.partitionBy("definition_id").orderBy("ord")))
+    main = numbered("main").join(outcome, "ord", "left").join(v.heads.select("definition_id", F.col("failure_policy").alias("policy")), "definition_id")
+    main = main.select("definition_id", "position", "step_id", F.coalesce("outcome", F.lit("Completed")).alias("outcome"), F.col("comp_job").isNotNull().alias("has_undo"), "policy")
+    return progression.failure_route(main, numbered("failure").select("definition_id", "position", "step_id"), "definition_id")
+
+
 @key("gate_decisions", """with recursive e as (select *, cast(user_id as varchar)||'@'||cast(cast(ts as date) as varchar) as gate from events where event_type <> 'click'),
 o as (select gate, event_id, event_type, row_number() over (partition by gate order by ts, event_id) as n from e),
 s as (select gate, cast(0 as bigint) as n, cast(null as bigint) as event_id, 'none' as state, cast(null as varchar) as outcome, cast(null as varchar) as result, cast(null as varchar) as existing from (select distinct gate from o) g

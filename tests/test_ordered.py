@@ -133,3 +133,39 @@ def test_empty_tables(spark):
     assert ordered.recently_seen(calls, ["service"], "n", ["at"], F.lit(1), 3).count() == 0
     links = spark.createDataFrame([], "id long, before long")
     assert progression.chains(links, "id", "before", [], checkpointed).count() == 0
+
+
+def test_failure_routes(spark):
+    runs = {  # policy, steps as (outcome, has_undo), number of failure steps
+        "stop": (0, [("Completed", True), ("Failed", False), ("Completed", False)], 1),
+        "go on": (1, [("Failed", False), ("Completed", False), ("Cancelled", False), ("Completed", False)], 1),
+        "undo": (2, [("Completed", True), ("Completed", False), ("Completed", True), ("Failed", True), ("Completed", True)], 2),
+        "nothing to undo": (2, [("Completed", False), ("Failed", True)], 0),
+        "chain only": (2, [("Failed", True)], 1),
+        "cancelled": (2, [("Completed", True), ("Cancelled", False)], 1),
+        "fine": (2, [("Completed", True)], 1),
+    }
+    steps = [(r, i + 1, f"s{i + 1}", o, u, p) for r, (p, own, _) in runs.items() for i, (o, u) in enumerate(own)]
+    fallen = [(r, i + 1, f"f{i + 1}") for r, (_, _, n) in runs.items() for i in range(n)]
+    rows = progression.failure_route(spark.createDataFrame(steps, "run string, position int, step_id string, outcome string, has_undo boolean, policy int"), spark.createDataFrame(fallen, "run string, position int, step_id string")).collect()
+    got = {r: [[f"{x['step_id']} {x['action']}" for x in sorted((x for x in rows if x["run"] == r and x["phase"] == phase), key=lambda x: x["position"])] for phase in ("main", "undo", "failure")] for r in runs}
+    assert got["stop"] == [["s1 ran", "s2 failed", "s3 not reached"], [], []]
+    assert got["go on"] == [["s1 failed", "s2 ran", "s3 cancelled", "s4 not reached"], [], []]
+    assert got["undo"] == [["s1 ran", "s2 ran", "s3 ran", "s4 failed", "s5 not reached"], ["s3:comp undone", "s1:comp undone"], ["f1 ran", "f2 ran"]]
+    assert got["nothing to undo"] == [["s1 ran", "s2 failed"], [], []] and got["chain only"] == [["s1 failed"], [], ["f1 ran"]]
+    assert got["cancelled"][1:] == [[], []] and got["fine"] == [["s1 ran"], [], []]
+
+
+def test_second_decisions_are_refused(spark):
+    log = [("g", 0, False, "Approved"), ("g", 1, True, None), ("g", 2, False, "Approved"), ("g", 3, False, "Rejected"), ("g", 4, True, None), ("g", 5, False, "Rejected"), ("h", 6, False, "Approved")]
+    got = {r["n"]: (r["result"], r["existing"]) for r in progression.recorded(spark.createDataFrame(log, "gate string, n int, saved boolean, outcome string"), "gate", ["n"]).collect()}
+    assert got == {0: ("not_found", None), 2: ("recorded", None), 3: ("already_decided", "Approved"), 5: ("recorded", None), 6: ("not_found", None)}
+
+
+def test_resumed_steps(spark):
+    runs = spark.createDataFrame([(1, 1), (2, None)], "batch_id int, cursor int")
+    rows = [(1, 1, 1, "Completed"), (1, 2, 2, "Failed"), (1, 2, 2, "Completed"), (1, 3, 3, "Skipped"), (1, 4, 4, "Failed"), (1, 5, 5, "Pending"), (1, 6, 6, "Running"), (2, 1, 1, "Running"), (3, 1, 1, "Completed")]
+    executions = spark.createDataFrame(rows, "batch_id int, batch_step_id int, step_order int, status string")
+    gates = [(1, 4, None, None, "a"), (1, 5, "Rejected", T0, "b"), (1, 5, "Approved", T0 + timedelta(1), "c"), (1, 5, None, None, "d")]
+    got = progression.resumed_steps(runs, executions, spark.createDataFrame(gates, "batch_id int, batch_step_id int, outcome string, decided_at timestamp_ntz, approval_id string")).collect()
+    assert {(r["batch_id"], r["batch_step_id"]): r["action"] for r in got} == {(1, 1): "behind", (1, 2): "reuse", (1, 3): "skip", (1, 4): "await", (1, 5): "follow Approved", (1, 6): "dispatch", (2, 1): "dispatch"}
