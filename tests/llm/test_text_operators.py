@@ -247,3 +247,105 @@ def test_twenty_megabytes_of_a_letter_and_of_a_period(spark):
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect()}
     assert got == {0: (n - 1, 1), 1: (n // 7 * 7 - 7, 1)}
     assert time.perf_counter() - began < 90
+
+
+# The verdict of quality rules, document by document.
+
+
+def plain_votes(measures):
+    """The nine rules' votes: 1 good, 0 bad, None neither or nothing to measure."""
+    from ledgerloom.llm.quality_rules import RULES
+
+    votes = []
+    for _, measure, good, bad in RULES:
+        parts = [measures[x] for x in measure.split(" / ")]
+        x = parts[0] if len(parts) == 1 else parts[0] / parts[1] if parts[1] else None
+        votes.append(None if x is None else 1 if good[0] <= x <= good[1] else 0 if x < bad[0] or x > bad[1] else None)
+    return votes
+
+
+def plain_posteriors(votes, rounds=10_000):
+    """Expectation-maximisation over single documents: each gets its posterior of being good, each rule its accuracies."""
+    good, accuracy = 0.8, [(0.98, 0.4)] * len(votes[0])
+    clip = lambda x, low, high: min(max(x, low), high)
+
+    def posterior(own):
+        odds = good / (1 - good)
+        for v, (a, b) in zip(own, accuracy):
+            odds *= 1 if v is None else a / (1 - b) if v else (1 - a) / b
+        return odds / (1 + odds)
+
+    for _ in range(rounds):
+        p = [posterior(own) for own in votes]
+        new = []
+        for r in range(len(accuracy)):
+            sums = {(v, c): sum((q if c else 1 - q) for q, own in zip(p, votes) if own[r] == v) for v in (0, 1) for c in (0, 1)}
+            a = clip((sums[1, 1] + 1) / (sums[1, 1] + sums[0, 1] + 2), 0.6, 0.999)
+            new.append((a, clip((sums[0, 0] + 1) / (sums[0, 0] + sums[1, 0] + 2), min(0.5, 2 * (1 - a)), 0.999)))
+        share = clip(sum(p) / len(p), 0.02, 0.98)
+        moved = max(abs(share - good), *(abs(x - y) for one, two in zip(new, accuracy) for x, y in zip(one, two)))
+        good, accuracy = share, new
+        if moved < 1e-6:
+            break
+    return [posterior(own) for own in votes]
+
+
+def test_verdicts_of_quality_rules_by_plain_expectation_maximisation(spark, edge):
+    from ledgerloom.llm import quality_rules
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(edge.select("doc_id", "text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text").cache()
+    measured = {r["doc_id"]: r.asDict() for r in quality_rules.measures(docs).collect()}
+    ids = sorted(measured)
+    want = dict(zip(ids, plain_posteriors([plain_votes(measured[i]) for i in ids])))
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert set(got) == set(ids) and any(r["kept"] for r in got.values())
+    for i in ids:
+        m = measured[i]
+        failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+        assert abs(got[i]["posterior"] - want[i]) < 1e-4 and got[i]["base_failed"] == failed
+        if abs(want[i] - 0.5) > 1e-3:
+            assert got[i]["kept"] == (not failed and want[i] >= 0.5)
+
+
+# Word vectors, pooling and network of the quality classifier, in plain loops.
+
+
+def test_vectors_pooling_and_network_by_plain_loops(spark):
+    import zlib
+
+    from ledgerloom.llm import quality_classifier as qc
+
+    rng = random.Random(14)
+    texts = [None, "", "one", *(" ".join(rng.choice(["a", "b,", "Été", "x1", "?!", "漢字", "c"]) for _ in range(rng.randrange(1, 40))) for _ in range(50))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    places, signs = qc.index_vectors()
+    bucket = lambda t: zlib.crc32(t.encode()) % qc.BUCKETS
+    split = lambda t: [bucket(x) for x in re.findall(r"\w+|[^\w\s]+", t or "")]
+    want = defaultdict(lambda: [0.0] * qc.DIMENSIONS)
+    for t in texts:
+        own = split(t)
+        for i, a in enumerate(own):
+            for b in own[max(i - 1, 0) : i] + own[i + 1 : i + 2]:
+                for at, sign in zip(places[b], signs[b]):
+                    want[a][at] += sign
+    table = qc.word_vectors(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    length = {b: max(math.sqrt(sum(x * x for x in v)), 1e-9) for b, v in want.items()}
+    for b in range(qc.BUCKETS):
+        assert np.allclose(table[b], [x / length[b] for x in want[b]] if b in length else 0, atol=1e-6)
+    pooled = qc.pooled([t or "" for t in texts], table, qc._Ids())
+    model = {"mean": np.full(130, 0.1), "scale": np.full(130, 2.0), "a": np.random.default_rng(1).normal(size=(130, 3)), "b": np.array([0.1, -0.2, 0.3]), "c": np.array([1.0, -2.0, 0.5]), "d": np.array([0.2]), "temperature": 1.7}
+    scores = qc.predict(model, pooled)
+    for i, t in enumerate(texts):
+        own = split(t)
+        x = [0.0] * 130
+        if own:
+            vectors = [[y / length[b] if b in length else 0.0 for y in want.get(b, [0.0] * 64)] if b in want else [0.0] * 64 for b in own]
+            for d in range(64):
+                mean = sum(v[d] for v in vectors) / len(own)
+                x[d], x[64 + d] = mean, math.sqrt(max(sum(v[d] ** 2 for v in vectors) / len(own) - mean**2, 0))
+            x[128], x[129] = math.log(1 + len(own)), len(set(own)) / len(own)
+        assert np.allclose(pooled[i], x, atol=2e-3)
+        hidden = [math.tanh(sum((v - 0.1) / 2.0 * model["a"][j][k] for j, v in enumerate(pooled[i].tolist())) + model["b"][k]) for k in range(3)]
+        logit = (sum(h * c for h, c in zip(hidden, model["c"])) + 0.2) / 1.7
+        assert abs(scores[i] - 1 / (1 + math.exp(-logit))) < 1e-6
