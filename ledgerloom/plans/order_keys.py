@@ -183,3 +183,35 @@ def _(v):
     """An id is new again when 40 others were used since: its reuse distance."""
     rows = v.events.select("event_type", "event_id", "user_id", "ts")
     return ordered.recently_seen(rows, ["event_type"], "user_id", ["ts", "event_id"], F.to_date("ts"), SET_CAPACITY).select("event_type", "event_id", "is_new")
+
+
+@key("refused_inserts", """select event_id, first_value(event_id) over (partition by user_id, event_type, cast(ts as date) order by ts, event_id) as holder from events
+qualify row_number() over (partition by user_id, event_type, cast(ts as date) order by ts, event_id) > 1""")
+def _(v):
+    """A user's day and type is an id: the first row that brings it is stored, each later one is refused."""
+    ids = ["user_id", "event_type", "day"]
+    rows = v.events.select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("day"))
+    first = rows.groupBy(*ids).agg(F.min(F.struct("ts", "event_id")).alias("x"))
+    return rows.join(first.select(*ids, F.col("x.event_id").alias("holder")), ids).where("event_id <> holder").select("event_id", "holder")
+
+
+@key("watermark_updates", """with p as (select user_id, event_id, ts - to_minutes(cast(floor(value) * 30 as bigint)) as fired_at from events)
+select p.user_id, p.event_id, not exists (select 1 from p o where o.user_id = p.user_id and o.event_id < p.event_id and o.fired_at >= p.fired_at) as advanced,
+  (select max(o.fired_at) from p o where o.user_id = p.user_id and o.event_id <= p.event_id) as watermark from p""")
+def _(v):
+    """Times at which a schedule fired, as they are reported: only a later one than is stored moves the watermark, which never goes back."""
+    rows = v.events.select("user_id", "event_id", (F.col("ts") - F.make_dt_interval(mins=(F.floor("value") * 30).cast("int"))).alias("fired_at"))
+    along = Window.partitionBy("user_id").orderBy("event_id")
+    before = F.max("fired_at").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("user_id", "event_id", F.coalesce(F.col("fired_at") > before, F.lit(True)).alias("advanced"), F.greatest(before, "fired_at").alias("watermark"))
+
+
+@key("parameter_changes", """with s as (select user_id, event_id, cast(json_extract_string(props, '$.k') as int) as k, event_type from events),
+b as (select *, lag(k) over w as k0, lag(event_type) over w as t0, row_number() over w as n from s window w as (partition by user_id order by event_id))
+select event_id, n = 1 or k is distinct from k0 or event_type is distinct from t0 as changed from b""")
+def _(v):
+    """Whether what an event sets differs from the one before, by the text of JSON objects whose keys are in order, whatever their order was."""
+    own = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("type"), F.col("event_type")))
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(own))))
+    before = F.lag("text").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return v.events.select("user_id", "event_id", text.alias("text")).select("event_id", (~F.col("text").eqNullSafe(before)).alias("changed"))
