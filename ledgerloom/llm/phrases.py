@@ -43,8 +43,8 @@ _LOWER[65:91] += 32
 #: Bits of a word's hash; those of phrases are chosen by :func:`hash_bits`. What shares a hash is only counted for nothing.
 WORD_BITS, SPARE_BITS = 36, 5
 #: Rows of a block: packets of hashes or of phrases (with ``part``), words of a language (with ``n``), and one row with what is left of the block.
-_ROWS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("hashes", pa.binary()), ("said", pa.list_(pa.string())), ("counts", pa.binary()), ("lang", pa.string()), ("n", pa.int64()), ("gaps", pa.binary()), ("who", pa.binary()), ("begins", pa.binary()), ("words", pa.binary())])
-_SCHEMA = "block long, part int, hashes binary, said array<string>, counts binary, lang string, n long, gaps binary, who binary, begins binary, words binary"
+_ROWS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("said", pa.binary()), ("lengths", pa.binary()), ("lang", pa.string()), ("n", pa.int64()), ("gaps", pa.binary()), ("who", pa.binary()), ("begins", pa.binary()), ("words", pa.binary())])
+_SCHEMA = "block long, part int, hashes binary, counts binary, said binary, lengths binary, lang string, n long, gaps binary, who binary, begins binary, words binary"
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -121,11 +121,17 @@ def _packets(block: int, hashes: np.ndarray, counts: np.ndarray, parts: int, bit
 
 
 def _phrases(block: int, hashes: np.ndarray, said: pa.Array, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    """The phrases themselves with their counts, in the same way."""
-    order, ends, held = _in_parts(_short(hashes, WORD_BITS), parts, WORD_BITS)
-    lists = pa.ListArray.from_arrays(pa.array([*ends[held], len(order)], pa.int32()), said.take(pa.array(order)))
-    counts = counts[order]
-    return _batch(len(held), block=pa.array(np.full(len(held), block)), part=pa.array(held.astype(np.int32)), said=lists, counts=pa.array([_packed(counts[ends[i] : ends[i + 1]]) for i in held], pa.binary()))
+    """The phrases themselves with their counts, in the same way; those of a packet are in order, which packs well."""
+    bounds = [(i << WORD_BITS) // parts for i in range(1, parts)]
+    part = np.searchsorted(bounds, _short(hashes, WORD_BITS), side="right")
+    order = np.asarray(pc.sort_indices(said)).astype(np.int64)
+    order = order[np.argsort(part[order], kind="stable")]
+    ends, texts, counts = np.searchsorted(part[order], np.arange(parts + 1)), said.take(pa.array(order)), counts[order]
+    held = np.flatnonzero(np.diff(ends))
+    places = np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1].astype(np.int64)
+    own = lambda x: pa.array([_packed(x[ends[i] : ends[i + 1]]) for i in held], pa.binary())
+    data = [_packed(np.frombuffer(texts.buffers()[2], np.uint8)[places[ends[i]] : places[ends[i + 1]]]) for i in held]
+    return _batch(len(held), block=pa.array(np.full(len(held), block)), part=pa.array(held.astype(np.int32)), counts=own(counts), said=pa.array(data, pa.binary()), lengths=own(np.diff(places)))
 
 
 def _frequent_hashes(least: int):
@@ -148,7 +154,11 @@ def _frequent(least: int):
     """For the phrases of one range: those whose counts add up to ``least`` or more."""
 
     def run(packets: pa.Table) -> pa.Table:
-        said = pa.chunked_array([c.flatten() for c in packets.column("said").chunks], pa.string()).combine_chunks().dictionary_encode()
+        texts = []
+        for data, lengths in zip(packets.column("said").to_pylist(), packets.column("lengths").to_pylist()):
+            places, held = np.cumsum(np.append(0, _unpacked(lengths))).astype(np.int32), _unpacked(data).astype(np.uint8)
+            texts.append(pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(held)))
+        said = pa.concat_arrays(texts).dictionary_encode()
         counts = np.concatenate([_unpacked(x) for x in packets.column("counts").to_pylist()])
         total = np.zeros(len(said.dictionary), np.int64)
         np.add.at(total, np.asarray(said.indices), counts)
@@ -334,7 +344,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
             totals = checkpointed(rows.where("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")))
             bits = bits or hash_bits(totals.agg(F.sum("n")).first()[0] or 0, least)
         else:
-            said = rows.where("said IS NOT NULL").select("part", "said", "counts")
+            said = rows.where("said IS NOT NULL").select("part", "said", "lengths", "counts")
             found.append(checkpointed(said.groupBy("part").applyInArrow(_frequent(least), "lang string, phrase string, k int, f long")))
             remove_folder(spark, f"{folder}/lists-{k - 1}")
         if k <= longest:
