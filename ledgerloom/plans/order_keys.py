@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import backoff_seconds
 from ..operators import ordered, progression
 from ..sources.shared import checkpointed
 from .registry import key
@@ -215,3 +216,22 @@ def _(v):
     text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(own))))
     before = F.lag("text").over(Window.partitionBy("user_id").orderBy("event_id"))
     return v.events.select("user_id", "event_id", text.alias("text")).select("event_id", (~F.col("text").eqNullSafe(before)).alias("changed"))
+
+
+#: A failed execution is tried again so often.
+MOST_RETRIES = 3
+
+
+@key("retry_timeline", f"""with recursive d as (select user_id, event_id, ts, event_type = 'purchase' as ok, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type in ('purchase', 'error')),
+s as (select user_id, cast(0 as bigint) as n, cast(null as bigint) as event_id, 0 as attempt, 'Completed' as status, cast(null as timestamp) as next_at from (select distinct user_id from d) u
+  union all select user_id, n, event_id, attempt, status, case when status = 'Retrying' then ts + to_seconds(least(power(2, attempt - 1), 60)) end
+  from (select *, case when ok then 'Completed' when attempt > {MOST_RETRIES} then 'Failed' else 'Retrying' end as status
+    from (select s.user_id, d.n, d.event_id, d.ts, d.ok, case when s.status = 'Retrying' then s.attempt + 1 else 1 end as attempt from s join d on d.user_id = s.user_id and d.n = s.n + 1) a) b)
+select event_id, attempt, status, next_at from s where n > 0""")
+def _(v):
+    """A user's errors are failed attempts at one job and a purchase its success; after three retries the job has failed, and what comes next is another."""
+    rows = v.events.where("event_type in ('purchase', 'error')").select("user_id", "event_id", "event_type", "ts")
+    tried = progression.deliveries(rows, "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", 1 + MOST_RETRIES)
+    status = F.when(F.col("outcome") == "acknowledged", "Completed").when(F.col("outcome") == "dead", "Failed").otherwise("Retrying")
+    next_at = F.when(status == "Retrying", F.col("ts") + F.make_dt_interval(secs=backoff_seconds(F.col("delivery")).cast("decimal(18,6)")))
+    return tried.select("event_id", F.col("delivery").alias("attempt"), status.alias("status"), next_at.alias("next_at"))
