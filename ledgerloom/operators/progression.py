@@ -191,3 +191,23 @@ def failure_route(steps: DataFrame, failure_steps: DataFrame, run: str = "run")
     back = rows.where("_back").select(run).distinct()
     fallen = failure_steps.join(back, run, "left_semi").select(run, F.lit("failure").alias("phase"), "position", "step_id", F.lit("ran").alias("action"))
     return main.unionByName(undone).unionByName(fallen)
+
+
+def cross_service(steps: DataFrame, replies: DataFrame, key: list[str]) -> DataFrame:
+    """Steps that another service runs, with ``shadow_status`` (of their row in this ledger), ``returned``, ``effect`` and ``outputs``.
+
+    ``steps`` has ``nested`` (a child of a group) and ``due_at``, ``replies`` the final ``status``, ``replied_at`` and ``outputs``; of
+    replies to one step the first counts. Without one by then the step has timed out, which is a failure. A
+    step that was cancelled over there has failed in this ledger. A step of the sequence that did not complete
+    throws; a child hands what came back, cancelled too, to its group's join. Outputs count if it completed.
+    """
+    first = replies.groupBy(*key).agg(F.min(F.struct("replied_at", "status", "outputs")).alias("_r"))
+    rows = steps.join(first, key, "left")
+    in_time = F.coalesce(F.col("_r.replied_at") <= F.col("due_at"), F.lit(False))
+    returned = F.when(in_time, F.col("_r.status")).otherwise("Failed")
+    failed = returned.isin("Failed", "Cancelled")
+    effect = F.when(F.col("nested"), "joins").when(failed, "throws").otherwise("goes on")
+    return rows.select(
+        *steps.columns, F.when(returned == "Cancelled", "Failed").otherwise(returned).alias("shadow_status"), returned.alias("returned"), effect.alias("effect"),
+        F.when(returned == "Completed", F.col("_r.outputs")).alias("outputs"), (~in_time).alias("timed_out"),
+    )

@@ -235,3 +235,21 @@ def _(v):
     status = F.when(F.col("outcome") == "acknowledged", "Completed").when(F.col("outcome") == "dead", "Failed").otherwise("Retrying")
     next_at = F.when(status == "Retrying", F.col("ts") + F.make_dt_interval(secs=backoff_seconds(F.col("delivery")).cast("decimal(18,6)")))
     return tried.select("event_id", F.col("delivery").alias("attempt"), status.alias("status"), next_at.alias("next_at"))
+
+
+@key("cross_service_steps", f"""with p as (select ord as batch_id, cast(1 as int) as step_order, false as nested from v_step where part = 'main' and step_type = 'Job' and has_payload and service = 'billing'
+  union all select distinct k.parent, k.ord, true from v_child k join v_step s on s.ord = k.parent where s.step_type = 'ParallelGroup' and s.has_payload and k.step_type = 'Job' and k.has_job and k.service = 'billing'),
+r as (select *, row_number() over (partition by batch_id, step_order order by completed_at, status, processed) as n from v_exec where status in {_FINAL} and completed_at is not null),
+x as (select p.*, coalesce(r.completed_at <= u.started_at + interval '900' day, false) as in_time, r.status, r.processed from p join v_run u on u.batch_id = p.batch_id left join r on r.batch_id = p.batch_id and r.step_order = p.step_order and r.n = 1),
+y as (select *, case when in_time then status else 'Failed' end as returned from x)
+select batch_id, step_order, nested, case when returned = 'Cancelled' then 'Failed' else returned end as shadow_status, returned, case when nested then 'joins' when returned in ('Failed', 'Cancelled') then 'throws' else 'goes on' end as effect,
+  case when returned = 'Completed' then processed end as outputs, not in_time as timed_out from y""")
+def _(v):
+    """Steps and children that the billing service runs; an order's first line replies to its step, each line to its child, within 900 days."""
+    step = v.steps.where("part = 'main' and step_type = 'Job' and has_payload and service = 'billing'").select(F.col("ord").alias("batch_id"), F.lit(1).alias("step_order"), F.lit(False).alias("nested"))
+    groups = v.steps.where("step_type = 'ParallelGroup' and has_payload").select(F.col("ord").alias("parent"))
+    child = v.children.where("step_type = 'Job' and has_job and service = 'billing'").join(groups, "parent").select(F.col("parent").alias("batch_id"), F.col("ord").alias("step_order"), F.lit(True).alias("nested")).distinct()
+    due = v.runs.select("batch_id", (F.col("started_at") + F.expr("interval '900' day")).alias("due_at"))
+    final = v.executions.where(f"status in {_FINAL} and completed_at is not null")
+    replies = final.select("batch_id", "step_order", "status", F.col("completed_at").alias("replied_at"), F.col("processed").alias("outputs"))
+    return progression.cross_service(step.unionByName(child).join(due, "batch_id"), replies, ["batch_id", "step_order"]).drop("due_at")

@@ -111,11 +111,12 @@ class Views:
     events = cached_property(lambda self: self.table("events"))
     steps = cached_property(lambda self: self._view("v_step"))
     heads = cached_property(lambda self: self._view("v_head"))
+    children = cached_property(lambda self: self._view("v_child"))
 
     @cached_property
     def trees(self) -> DataFrame:
         """Definitions as trees: one row each, with its steps, their children and branches, and the steps after a failure."""
-        return step_tree.assembled(self.heads, self.steps, self._view("v_child"))
+        return step_tree.assembled(self.heads, self.steps, self.children)
 
 
 def with_views(sql: str) -> str:
