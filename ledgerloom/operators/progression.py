@@ -76,13 +76,16 @@ def chains(links: DataFrame, id_: str, before: str, order: list[Column], checkpo
     """``id_, root, depth, latest``: where a chain of retries began, how far each is from it, and the last one of the chain.
 
     Links double their reach each round (a row that knows the one 2^k before it learns that
-    one's), so a chain of length n takes log2(n) joins. ``checkpoint`` cuts the lineage after each round.
+    one's), so a chain of length n takes log2(n) joins. Only rows that follow another take part, and ``checkpoint`` cuts
+    their lineage after each round; what follows nothing is its own root and is joined once, at the end.
     A ``before`` that is not there is itself the root's; rows without one are roots; circles end with an error.
     """
-    own = links.select(F.col(id_).alias("id"), F.col(before).alias("up"))
-    known = own.select(F.col("id").alias("up"), F.lit(True).alias("there"))
-    start = own.join(known, "up", "left").select("id", F.when(F.col("there"), F.col("up")).alias("up"))
-    state = checkpoint(start.select("id", F.coalesce("up", "id").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("done")))
+    every = links.select(F.col(id_).alias("id"), F.struct(*order, F.col(id_)).alias("_o"))
+    known = links.select(F.col(id_).alias("at"))
+    after = links.select(F.col(id_).alias("id"), F.col(before).alias("at")).where("at is not null and id is not null")
+    start = checkpoint(after.join(known, "at", "left_semi"))
+    follower = start.select(F.col("id").alias("at"), F.lit(True).alias("follows"))
+    state = checkpoint(start.join(follower, "at", "left").select("id", "at", F.lit(1).cast("long").alias("depth"), F.col("follows").isNull().alias("done")))
     parts, rounds = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), state.count().bit_length() + 1
     while state.where("not done").limit(1).count():
         rounds -= 1
@@ -91,9 +94,11 @@ def chains(links: DataFrame, id_: str, before: str, order: list[Column], checkpo
         above = state.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("depth").alias("depth2"), F.col("done").alias("done2"))
         moving = state.where("not done").join(above, "at").select("id", F.col("at2").alias("at"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("done2").alias("done"))
         state = checkpoint(state.where("done").unionByName(moving).coalesce(parts))
-    rows = state.join(links.select(F.col(id_).alias("id"), F.struct(*order, F.col(id_)).alias("_o")), "id")
-    last = rows.groupBy("at").agg(F.max_by("id", "_o").alias("latest"))
-    return state.join(last, "at").select(F.col("id").alias(id_), F.col("at").alias("root"), "depth", "latest")
+    roots = state.select("at").distinct().select(F.col("at").alias("id"), "at", F.lit(0).cast("long").alias("depth"))
+    members = checkpoint(state.select("id", "at", "depth").unionByName(roots).join(every, "id"))
+    last = members.groupBy("at").agg(F.max_by("id", "_o").alias("latest"))
+    placed = members.drop("_o").join(last, "at")
+    return every.select("id").join(placed, "id", "left").select(F.col("id").alias(id_), F.coalesce("at", "id").alias("root"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("latest", "id").alias("latest"))
 
 
 def deliveries(log: DataFrame, message: str, order: list[str], acknowledged: Column, limit: int = DELIVERY_LIMIT) -> DataFrame:

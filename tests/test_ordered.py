@@ -109,6 +109,16 @@ def test_chains_of_any_length(spark):
         progression.chains(circle, "id", "before", [F.col("at")], checkpointed).count()
 
 
+def test_only_rows_that_follow_another_go_through_the_rounds(spark):
+    """Of 3,000 runs 64 are one chain; what the rounds write grows with the chain, not with the runs."""
+    rows = [(i, i - 1 if 0 < i < 64 else None, T0) for i in range(3000)]
+    written = []
+    keep = lambda df: written.append(df.count()) or checkpointed(df)
+    got = progression.chains(spark.createDataFrame(rows, "id long, before long, at timestamp_ntz"), "id", "before", [F.col("at")], keep)
+    assert {tuple(r) for r in got.collect()} == {(i, 0, i, 63) if i < 64 else (i, i, 0, i) for i in range(3000)}
+    assert len(written) > 3 and max(written) <= 64
+
+
 def test_deliveries_die_after_five(spark):
     acks = [0, 0, 1, 0, 0, 0, 0, 0, 0, 1]
     df = spark.createDataFrame([("m", i, bool(a)) for i, a in enumerate(acks)], "m string, n int, ok boolean")
