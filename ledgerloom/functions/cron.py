@@ -23,51 +23,86 @@ MACROS = {
     "@WEEKLY": "0 0 0 * * 0", "@MONTHLY": "0 0 0 1 * *", "@YEARLY": "0 0 0 1 1 *", "@ANNUALLY": "0 0 0 1 1 *",
 }
 #: Days counted from the month's end or moved to a working day, and weekdays that are the last or the n-th of their month.
-_DAY, _WEEKDAY = r"^(?:L(?:-([0-9]{1,2}))?(W)?|([0-9]{1,2})W)$", r"^([0-7])(?:L|#([1-5]))$"
+_DAY, _WEEKDAY = r"^(?:L(?:-([0-9]{1,2}))?(W)?|([0-9]{1,2})W)\z", r"^([0-7])(?:L|#([1-5]))\z"
+#: The same marks as alternatives of a whole field, with numbers that there are.
+_MARKS = {"day": r"|L(?:-(?:[0-2]?[0-9]|30))?W?|(?:0?[1-9]|[12][0-9]|3[01])W", "weekday": r"|[0-7](?:L|#[1-5])"}
 #: A missed occurrence is not looked for over so many of them or more.
 MOST_MISSED = 100_000
 #: The calendar leaves at most 40 years between two days that fit a schedule (29 February on one weekday), if any fits.
 FAR_YEARS = 41
 
 
+def _once(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is found once, though it is looked at many times."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _steps() -> str:
+    """The pattern of the digits from 1 to the largest int."""
+    most = str(2**31 - 1)
+    less = [f"{most[:i]}[{'1' if i == 0 else '0'}-{chr(ord(d) - 1)}][0-9]{{{len(most) - 1 - i}}}" for i, d in enumerate(most) if d > ("1" if i == 0 else "0")]
+    return f"0*(?:[1-9][0-9]{{0,{len(most) - 2}}}|{'|'.join(less)}|{most})"
+
+
+def _pattern(name: str, low: int, high: int) -> str:
+    """The texts that one field may be: parts between commas, or one mark."""
+    number = f"0*(?:{'|'.join(map(str, range(high, low - 1, -1)))})"
+    every = r"[*?]" if name in ("day", "weekday") else r"\*"
+    part = f"(?:{every}|{number}(?:-{number})?)(?:/{_steps()})?"
+    return rf"\A(?:{part}(?:,{part})*{_MARKS.get(name, '')})\z"
+
+
 def _numbers(text: Column, low: int, high: int, name: str) -> Column:
-    """The numbers that one field allows, ascending; null if it is malformed. A range whose end is before its beginning wraps."""
+    """The numbers that a well-formed field allows, ascending. A range whose end is before its beginning wraps."""
     size = 7 if name == "weekday" else high - low + 1
 
     def expand(part: Column) -> Column:
         body, step = F.split_part(part, F.lit("/"), F.lit(1)), F.split_part(part, F.lit("/"), F.lit(2))
-        every, stepped, ranged = body.isin("*", "?") if name in ("day", "weekday") else body == "*", F.contains(part, F.lit("/")), F.contains(body, F.lit("-"))
+        every, stepped, ranged = body.isin("*", "?"), F.contains(part, F.lit("/")), F.contains(body, F.lit("-"))
         first = F.when(every, low).otherwise(F.split_part(body, F.lit("-"), F.lit(1)).try_cast("int"))
         last = F.when(every | (stepped & ~ranged), high).when(ranged, F.split_part(body, F.lit("-"), F.lit(2)).try_cast("int")).otherwise(first)
         by = F.when(stepped, step.try_cast("int")).otherwise(1)
-        fits = part.rlike(r"^(\*|\?|[0-9]+(-[0-9]+)?)(/[0-9]+)?$") & first.between(low, high) & last.between(low, high) & (by >= 1)
-        return F.when(fits, F.transform(F.sequence(first, F.when(first <= last, last).otherwise(last + size), by), lambda n: (n - low) % size + low))
+        return F.transform(F.sequence(first, F.when(first <= last, last).otherwise(last + size), by), lambda n: (n - low) % size + low)
 
-    lists = F.transform(F.split(text, ",", -1), expand)
-    return F.when(~F.exists(lists, lambda x: x.isNull()), F.array_sort(F.array_distinct(F.flatten(lists))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(text, ",", -1), expand))))
 
 
 def _fields(expression: Column) -> Column:
     """The six fields in capitals, or fewer or more if it has not six (or five, without seconds)."""
     text = F.trim(F.upper(expression))
-    text = F.coalesce(F.create_map(*[F.lit(x) for pair in MACROS.items() for x in pair])[text], text)
-    parts = F.split(text, r"\s+")
-    return F.when(F.size(parts) == 5, F.concat(F.array(F.lit("0")), parts)).otherwise(parts)
+    named = F.when(F.startswith(text, F.lit("@")), F.create_map(*[F.lit(x) for pair in MACROS.items() for x in pair])[text])
+    return _once(F.split(F.coalesce(named, text), r"\s+"), lambda parts: F.when(F.size(parts) == 5, F.concat(F.array(F.lit("0")), parts)).otherwise(parts))
 
 
-def _parsed(parts: Column) -> list[tuple[str, Column]]:
-    """Each field's allowed numbers by its name, null where it is malformed."""
-    found = []
-    for i, (name, low, high) in enumerate(FIELDS):
+def _named(parts: Column) -> Column:
+    """The fields with numbers in place of the names of months and weekdays."""
+    texts = []
+    for i, (name, _, _) in enumerate(FIELDS):
         text = F.get(parts, F.lit(i))
         for n, word in [*enumerate(MONTHS, 1)] * (name == "month") + [*enumerate(WEEKDAYS)] * (name == "weekday"):
             text = F.replace(text, F.lit(word), F.lit(str(n)))
+        texts.append(text)
+    return F.array(*texts)
+
+
+def _wrong(texts: Column) -> Column:
+    """The first field that is malformed; null if none is."""
+    reason = F
+    for i, (name, low, high) in enumerate(FIELDS):
+        reason = reason.when(~texts[i].rlike(_pattern(name, low, high)), name)
+    return reason
+
+
+def _parsed(texts: Column) -> list[tuple[str, Column]]:
+    """Each field's allowed numbers by its name, with the marks of day and weekday, of well-formed fields."""
+    found = []
+    for i, (name, low, high) in enumerate(FIELDS):
+        text = texts[i]
         numbers = _numbers(text, low, high, name)
         if name == "day":
-            day, offset = F.regexp_extract(text, _DAY, 3).try_cast("int"), F.regexp_extract(text, _DAY, 1).try_cast("int")
+            marked, offset = text.rlike(_DAY), F.regexp_extract(text, _DAY, 1).try_cast("int")
             from_end = F.when(F.startswith(text, F.lit("L")), F.coalesce(offset, F.lit(0)))
-            marked = text.rlike(_DAY) & (F.coalesce(day, F.lit(1)).between(1, 31)) & (F.coalesce(offset, F.lit(0)) <= 30)
-            numbers = F.when(marked, F.array(F.coalesce(day, F.lit(0)))).otherwise(numbers)
+            numbers = F.when(marked, F.array(F.coalesce(F.regexp_extract(text, _DAY, 3).try_cast("int"), F.lit(0)))).otherwise(numbers)
             found += [("from_end", F.when(marked, from_end)), ("working", F.when(marked, F.endswith(text, F.lit("W"))).otherwise(False))]
         if name == "weekday":
             marked, nth = text.rlike(_WEEKDAY), F.regexp_extract(text, _WEEKDAY, 2).try_cast("int")
@@ -80,35 +115,60 @@ def _parsed(parts: Column) -> list[tuple[str, Column]]:
 
 def parse(expression: Column) -> Column:
     """``second, minute, hour, day, month, weekday`` as sorted arrays, with the marks of day and weekday; null for what is no schedule."""
-    parts = _fields(expression)
-    found = _parsed(parts)
-    whole = F.size(parts) == 6
-    for name, c in found:
-        if name in [f[0] for f in FIELDS]:
-            whole &= c.isNotNull()
-    return F.when(whole, F.struct(*[c.alias(name) for name, c in found]))
+    schedule = lambda texts: F.when(_wrong(texts).isNull(), F.struct(*[c.alias(name) for name, c in _parsed(texts)]))
+    return _once(_fields(expression), lambda parts: F.when(F.size(parts) == 6, _once(_named(parts), schedule)))
 
 
 def problem(expression: Column) -> Column:
     """Why an expression is no schedule: its number of fields, or the first field that is malformed; null if it is one."""
-    parts = _fields(expression)
-    reason = F.when(expression.isNull() | (F.size(parts) != 6), "fields")
-    for name, c in _parsed(parts):
-        if name in [f[0] for f in FIELDS]:
-            reason = reason.when(c.isNull(), name)
-    return reason
+    return _once(_fields(expression), lambda parts: F.when(parts.isNull() | (F.size(parts) != 6), "fields").otherwise(_once(_named(parts), _wrong)))
 
 
-def day_fits(schedule: Column, day: Column) -> Column:
-    number, last = F.dayofmonth(day), F.last_day(day)
-    wanted = F.when(schedule["from_end"].isNotNull(), F.dayofmonth(last) - schedule["from_end"]).otherwise(schedule["day"][0])
-    target = F.date_add(F.trunc(day, "month"), wanted - 1)
+def _wanted(schedule: Column, last: Column) -> Column:
+    """The number of the one day that a marked field names, before it is moved, in the month that ends with ``last``."""
+    return F.when(schedule["from_end"].isNotNull(), F.dayofmonth(last) - schedule["from_end"]).otherwise(schedule["day"][0])
+
+
+def _working(wanted: Column, last: Column) -> Column:
+    """The working day nearest to a day of the month that ends with ``last``; null if there is no such day."""
+    target = F.date_add(F.trunc(last, "month"), wanted - 1)
     moved = F.when(F.dayofweek(target) == 7, F.when(wanted == 1, F.date_add(target, 2)).otherwise(F.date_sub(target, 1)))
     moved = moved.when(F.dayofweek(target) == 1, F.when(target == last, F.date_sub(target, 2)).otherwise(F.date_add(target, 1))).otherwise(target)
-    exists = (wanted >= 1) & (target <= last)
-    on_day = F.when(schedule["working"], exists & (moved == day)).when(schedule["from_end"].isNotNull(), wanted == number).otherwise(F.array_contains(schedule["day"], number))
-    nth = F.when(schedule["nth"].isNull(), True).when(schedule["nth"] == 0, F.date_add(day, 7) > last).otherwise(F.ceil(number / 7) == schedule["nth"])
-    return on_day & nth & F.array_contains(schedule["month"], F.month(day)) & F.array_contains(schedule["weekday"], F.dayofweek(day) - 1)
+    return F.when((wanted >= 1) & (target <= last), moved)
+
+
+def _week_fits(schedule: Column, day: Column) -> Column:
+    nth = F.when(schedule["nth"].isNull(), True).when(schedule["nth"] == 0, F.date_add(day, 7) > F.last_day(day)).otherwise(F.ceil(F.dayofmonth(day) / 7) == schedule["nth"])
+    return nth & F.array_contains(schedule["weekday"], F.dayofweek(day) - 1)
+
+
+def day_fits(schedule: Column, day: Column) -> Column:
+    number, last = F.dayofmonth(day), F.last_day(day)
+    wanted = _wanted(schedule, last)
+    moved = F.coalesce(_working(wanted, last) == day, F.lit(False))
+    on_day = F.when(schedule["working"], moved).when(schedule["from_end"].isNotNull(), wanted == number).otherwise(F.array_contains(schedule["day"], number))
+    return on_day & F.array_contains(schedule["month"], F.month(day)) & _week_fits(schedule, day)
+
+
+def _days_in(schedule: Column, month: Column) -> Column:
+    """The days that fit in a month, given by its first, of those that the day's field names."""
+    last = F.last_day(month)
+    wanted = _wanted(schedule, last)
+    marked = F.when(schedule["working"], F.dayofmonth(_working(wanted, last))).when(schedule["from_end"].isNotNull(), wanted)
+    numbers = F.when(schedule["working"] | schedule["from_end"].isNotNull(), F.array(marked)).otherwise(schedule["day"])
+    days = F.transform(F.filter(numbers, lambda n: n.between(1, F.dayofmonth(last))), lambda n: F.date_add(month, n - 1))
+    return F.filter(days, lambda d: _week_fits(schedule, d))
+
+
+def _next_day(schedule: Column, today: Column) -> Column:
+    """The first day after ``today`` that fits: of this month and the next, of the next year, of all years, in the months that fit."""
+    begin = F.trunc(today, "month")
+
+    def within(first: int, last: int) -> Column:
+        months = F.filter(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda i: F.add_months(begin, i)), lambda m: F.array_contains(schedule["month"], F.month(m)))
+        return F.array_min(F.filter(F.flatten(F.transform(months, lambda m: _days_in(schedule, m))), lambda d: d > today))
+
+    return F.coalesce(within(0, 1), within(2, 13), within(14, 12 * FAR_YEARS))
 
 
 def _clock(at: Column) -> tuple[Column, Column, Column]:
@@ -140,14 +200,12 @@ def _near(schedule: Column, at: Column, pick, beyond, here) -> Column:
 def next_occurrence(schedule: Column, after: Column) -> Column:
     """The first occurrence strictly after a time; null if there is none at all.
 
-    Days of the next year are looked at first; only schedules without one there look on.
+    Days of this month and the next are looked at first; only schedules without one there look on.
     """
     today = F.to_date(after)
     above = lambda x, y: x > y
     near = F.when(day_fits(schedule, today), _near(schedule, after, F.array_min, above, above))
-    days = lambda a, b: F.array_min(F.filter(F.sequence(a, b), lambda d: day_fits(schedule, d)))
-    day = F.coalesce(days(F.date_add(today, 1), F.date_add(today, 366)), days(F.date_add(today, 367), F.add_months(today, 12 * FAR_YEARS)))
-    return F.coalesce(_on(today, near), _on(day, _end(schedule, F.array_min)))
+    return F.coalesce(_on(today, near), _on(_next_day(schedule, today), _end(schedule, F.array_min)))
 
 
 def occurrences_on(schedule: Column, day: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import cron, hints
 from ..functions.scalars import backoff_seconds
 from ..operators.ledger_query import page
 from ..sources.event_log import Snapshot, current_executions, shown
-from ..sources.shared import new_folder
+from ..sources.shared import dealt, new_folder
 from ..streaming import feeds
 from .registry import key
 
@@ -83,7 +83,9 @@ def _(v):
     weekday = F.when(F.length("c_mktsegment") > 8, F.col("c_mktsegment")).otherwise("?")
     whole = F.concat_ws(" ", F.lit("0"), text(n % 70), text(F.col("c_nationkey")), text(n % 33), F.lit("*"), weekday)
     expression = F.when(n % 17 == 0, text(n)).otherwise(whole)
-    return v.table("customer").select(n.alias("id"), cron.problem(expression).alias("problem")).where("problem is not null")
+    rows = dealt(v.table("customer").select(n.alias("id"), expression.alias("expression")))
+    behind = F.when(F.spark_partition_id() >= 0, F.col("problem"))  # keeps the filter from being moved before the rows are dealt out
+    return rows.select("id", cron.problem(F.col("expression")).alias("problem")).where(behind.isNotNull())
 
 
 @key("next_due", f"select id, fires_at from ({_NEXT}) t order by fires_at, id limit 1")

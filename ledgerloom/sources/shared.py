@@ -24,6 +24,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Short rows dealt over all cores before long expressions work on them: a file of few row groups would be few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
