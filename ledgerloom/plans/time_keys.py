@@ -71,8 +71,8 @@ def _(v):
     n = F.col("id").cast("long")
     expression = F.element_at(F.array(*map(F.lit, MARKED)), (n % len(MARKED)).cast("int") + 1)
     since = F.expr("timestamp_ntz'2024-01-01 00:30:00'") + F.make_dt_interval(hours=(n % 500 * 37).cast("int"))
-    rows = v.definitions.select(n.alias("id"), cron.parse(expression).alias("cron"), since.alias("since"))
-    return rows.select("id", cron.next_occurrence(F.col("cron"), F.col("since")).alias("fires_at"))
+    rows = dealt(v.definitions.select(n.alias("id"), expression.alias("schedule"), since.alias("since")))
+    return rows.withColumn("cron", cron.parse(F.col("schedule"))).select("id", cron.next_occurrence(F.col("cron"), F.col("since")).alias("fires_at"))
 
 
 @key("cron_errors", """select c_custkey as id, case when c_custkey % 17 = 0 then 'fields' when c_custkey % 70 > 59 then 'minute' when c_nationkey = 24 then 'hour' when c_custkey % 33 = 0 or c_custkey % 33 > 31 then 'day' else 'weekday' end as problem
