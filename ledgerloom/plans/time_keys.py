@@ -32,7 +32,7 @@ def _schedules(v):
     """Definitions that have a schedule, with the schedule as columns and a watermark."""
     last = F.expr("timestamp_ntz'2024-01-15 09:30:00'") + F.make_dt_interval(mins=(F.col("id").cast("long") % 60).cast("int"))
     rows = v.definitions.where("schedule <> ''").withColumn("last_fired", last).withColumn("id", F.col("id").cast("long"))
-    return rows.withColumn("cron", cron.parse(F.col("schedule")))
+    return dealt(rows).withColumn("cron", cron.parse(F.col("schedule")))
 
 
 @key("cron_occurrences", f"select d.def_id as id, f.fires_at from {SCHEDULED} d join {FIRES} f on f.schedule = d.schedule where cast(f.fires_at as date) = date '{DAY}'")

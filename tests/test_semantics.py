@@ -1,5 +1,6 @@
 """Conditions, statuses, schedules, the event log, feeds, items and workflows."""
 
+import time
 from datetime import datetime, timedelta
 from itertools import product
 
@@ -12,8 +13,10 @@ from ledgerloom.functions.scalars import backoff_seconds, time_ordered_id
 from ledgerloom.functions.status import EDGES, STATUSES, TERMINAL, allowed
 from ledgerloom.operators.ledger_query import ExecutionQuery, page, page_problems
 from ledgerloom.operators.partitioned import counts, process_items, workers
+from ledgerloom.plans.catalog import QUERIES
 from ledgerloom.plans.workflow import Batch, Decision, Parallel, Step, problems, step_count
 from ledgerloom.sources.event_log import EventLog, check_move, current_executions, illegal_moves, repeated_events
+from ledgerloom.sources.shared import dealt
 from ledgerloom.streaming import feeds
 
 
@@ -98,6 +101,38 @@ def test_cron_against_a_walk(spark):
         assert tuple(got) == (hits[0], hits[-1], len(hits)), e
 
 
+def test_expressions_with_marks_wraps_and_large_steps(spark):
+    """Fields at the edges of what is allowed, and the first that is not."""
+    want = {
+        "0 0 0 L-30 * ?": None, "0 0 0 L-31 * ?": "day", "0 0 0 31W * ?": None, "0 0 0 32W * ?": "day", "0 0 0 * * 7#5": None, "0 0 0 * * 8L": "weekday", "*/2147483647 * * * * *": None, "*/2147483648 * * * * *": "second",
+        "0 007 0 * * *": None, "0 60 0 * * *": "minute", "0 0 22-2/3 * * FRI-MON": None, "? * * * * *": "second", "0 0 24 * * x": "hour", "0 0 0 * 13 *": "month", "1, * * * * *": "second", "@daily": None, "@never": "fields", None: "fields",
+    }
+    rows = spark.createDataFrame([(e,) for e in want], "e string").select("e", cron.problem(F.col("e")).alias("p"), cron.parse(F.col("e")).isNotNull().alias("ok")).collect()
+    assert {r["e"]: r["p"] for r in rows} == want and all(r["ok"] == (r["p"] is None) for r in rows)
+
+
+def test_cron_work_grows_little_with_rows(spark, tmp_path):
+    """Sparse schedules and expressions that are all different, one file of one part: dealt over cores, and no walk over the days."""
+    n = F.col("id")
+    rows = spark.range(0, 40_000, 1, 1).select(F.concat_ws(" ", F.lit("0"), (n % 60).cast("string"), (n % 24).cast("string"), F.lit("29 2 ?")).alias("e"), (F.lit("2024-03-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(n % 9000).cast("int"))).alias("t"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    table = dealt(spark.read.parquet(str(tmp_path / "rows")))
+    assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    began = time.monotonic()
+    found = table.withColumn("c", cron.parse(F.col("e"))).select(cron.next_occurrence(F.col("c"), F.col("t")).alias("at"), cron.problem(F.col("e")).alias("p")).groupBy("p", F.to_date("at").alias("day")).count().collect()
+    assert [(r["p"], str(r["day"]), r["count"]) for r in found] == [(None, "2028-02-29", 40_000)]
+    assert time.monotonic() - began < 40
+
+
+@pytest.mark.parametrize("name", ["cron_errors", "next_fire_marked", "next_fire", "catchup_decision", "cron_occurrences"])
+def test_cron_queries_are_dealt_over_cores(spark, name):
+    """The tables are one file each; the expressions run behind the exchange."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert plan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" in text.lower() and "rlike" not in text.lower().split("repartition")[-1]
+
+
 def test_ids_sort_by_time():
     ids = [time_ordered_id() for _ in range(50)]
     assert all(len(i) == 32 and i[12] == "7" for i in ids) and len(set(ids)) == 50
