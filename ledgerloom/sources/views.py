@@ -89,6 +89,8 @@ select l_orderkey as parent, l_linenumber as ord, case l_partkey % 50 when 0 the
 from lineitem"""
 SELECTS = {"v_exec": V_EXEC, "v_run": V_RUN, "v_def": V_DEF, "v_gate": V_GATE, "v_param": V_PARAM, "v_head": V_HEAD, "v_step": V_STEP, "v_child": V_CHILD}
 BASE = {"v_exec": "lineitem", "v_run": "orders", "v_def": "customer", "v_gate": "orders", "v_param": "events", "v_head": "customer", "v_step": "orders", "v_child": "lineitem"}
+#: What the windows of a view go along: its table is shuffled by that first, as its own columns are narrower than the view's.
+ALONG = {"v_step": "o_custkey", "v_child": "l_orderkey"}
 
 
 class Views:
@@ -101,7 +103,9 @@ class Views:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _view(self, name: str) -> DataFrame:
-        return self.spark.sql(SELECTS[name].replace(f"from {BASE[name]}", "from {t}"), t=self.table(BASE[name]))
+        rows = self.table(BASE[name])
+        rows = rows.repartition(ALONG[name]) if name in ALONG else rows
+        return self.spark.sql(SELECTS[name].replace(f"from {BASE[name]}", "from {t}"), t=rows)
 
     executions = cached_property(lambda self: self._view("v_exec"))
     runs = cached_property(lambda self: self._view("v_run"))

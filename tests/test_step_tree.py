@@ -2,7 +2,10 @@
 
 import json
 
+import pytest
+
 from ledgerloom.operators import step_tree
+from ledgerloom.sources.views import Views
 
 SCHEMA = f"definition_id int, name string, failure_policy int, catch_up_seconds long, steps array<{step_tree.STEP}>, failure_steps array<{step_tree.STEP}>"
 
@@ -108,3 +111,12 @@ def test_sound_definitions_have_no_errors(spark):
     assert step_tree.errors(trees(spark, sound)).collect() == []
     known = spark.createDataFrame([("J",)], "job_name string")
     assert {(r["path"], r["message"]) for r in step_tree.trigger_errors(trees(spark, sound), known).collect()} == {("step 'a' compensator", "job 'U' is not registered")}
+
+
+@pytest.mark.parametrize("view", ["steps", "children"])
+def test_flat_tables_are_shuffled_once_by_their_own_columns(spark, view):
+    """What the view makes of a row (names, titles, operators) comes behind the exchange; the window adds none."""
+    plan = getattr(Views(spark, "/root/testdata/sf0.001"), view)._jdf.queryExecution()
+    made, shuffled = plan.optimizedPlan().toString().split("RepartitionByExpression")
+    assert "Job." in made and "Job." not in shuffled
+    assert plan.executedPlan().toString().count("Exchange") == 1
