@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, in_small_batches, sent, squeezed, whole_text, width
+from .common import WORD, checkpointed, in_small_batches, released, sent, squeezed, whole_text, width
 
 WORDS, SIMILARITY = 5, 0.8
 #: 25 bands of 5: a pair at similarity 0.8 shares a band with probability 0.99995.
@@ -184,22 +184,36 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``id, class_id`` of each end of an edge (a, b): the smallest id that it is connected with.
 
-    Labels move along edges and then to their own labels until none changes, so even long
-    chains take few rounds; each round is cut off by a checkpoint.
+    Labels move along edges and along the labels themselves, in one join, until none
+    changes, so even long chains take few rounds; each round is cut off by a checkpoint.
     """
     both = checkpointed(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).distinct())
     labels = checkpointed(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("class_id")))
+    ways = both.withColumn("class_id", F.lit(None).cast(labels.schema["class_id"].dataType))
     while True:
-        near = both.join(labels.select(F.col("id").alias("to"), F.col("class_id").alias("near")), "to").groupBy("id").agg(F.min("near").alias("near"))
-        moved = labels.join(near, "id").select("id", "class_id", F.least("class_id", "near").alias("next"))
-        over = moved.select(F.col("id").alias("next"), F.col("next").alias("jump"))
-        labels = checkpointed(moved.join(over, "next", "left").select("id", "class_id", F.least("next", "jump").alias("next")))
+        hops = ways.unionByName(labels.select("id", F.col("class_id").alias("to"), "class_id"))
+        near = labels.select(F.col("id").alias("to"), F.col("class_id").alias("near"))
+        labels = checkpointed(hops.join(near, "to").groupBy("id").agg(F.max("class_id").alias("class_id"), F.min("near").alias("next")))
         changed = labels.where("class_id <> next").limit(1).count()
         labels = labels.select("id", F.col("next").alias("class_id"))
         if not changed:
             return labels
 
 
+def joined(labels: DataFrame, late: DataFrame) -> DataFrame:
+    """The components of edges whose components are ``labels`` and of the edges ``late`` together.
+
+    Only the ends of late edges and the classes that they are in meet; all others keep
+    their label or follow their class.
+    """
+    ends = late.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left")
+    ends = checkpointed(ends.select("id", F.coalesce("class_id", "id").alias("class_id"), F.col("class_id").isNull().alias("new")))
+    over = components(late.unionByName(ends.where("not new").select(F.col("id").alias("a"), F.col("class_id").alias("b"))))
+    over = over.select(F.col("id").alias("class_id"), F.col("class_id").alias("next"))
+    everyone = labels.unionByName(ends.where("new").select("id", "class_id"))
+    return checkpointed(everyone.join(over, "class_id", "left").select("id", F.coalesce("next", "class_id").alias("class_id")))
+
+
 def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts to their shingles and counts."""
     hashes = _Hashes()
@@ -323,12 +337,12 @@ def node_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     crowded = checkpointed(keyed.join(buckets, "key").select("key", "id", "a"))  # nodes that share a bucket with another
     pairs = checkpointed(crowded.where("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
     edges = checkpointed(verified(pairs, nodes, texts))
-    labels = components(edges)
+    labels = released(components(edges))
 
-    late = checkpointed(settled(crowded, labels, nodes, texts))
+    late = released(checkpointed(settled(crowded, labels, nodes, texts)))
     if late.limit(1).count():
         edges = edges.unionByName(late)
-        labels = components(edges)
+        labels = joined(labels, late)
     own = nodes.select("id", F.col("doc_id").alias("rep_id")).join(labels, "id", "left").select("id", "rep_id", F.coalesce("class_id", "id").alias("label"))
     heads = own.groupBy("label").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "id")).alias("x"))
     links = edges.join(labels.select(F.col("id").alias("a"), "class_id"), "a").groupBy(F.col("class_id").alias("label")).agg(F.count(F.lit(1)).alias("class_links"))

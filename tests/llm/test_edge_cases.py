@@ -406,6 +406,44 @@ def test_near_duplicates_of_chains_and_crowds(spark):
     assert bag((r["doc_id"], r["class_id"]) for r in got) == bag(brute_classes(rows))
 
 
+def brute_components(edges):
+    label = {x: x for e in edges for x in e}
+    while (now := {x: min([label[x], *(label[b] for a, b in edges if a == x), *(label[a] for a, b in edges if b == x)]) for x in label}) != label:
+        label = now
+    return label
+
+
+def test_components_take_few_jobs(spark, monkeypatch):
+    """A star, a chain and a pair: right labels, and at most 8 jobs a round (10 before)."""
+    import random
+
+    rng = random.Random(3)
+    names = [rng.randrange(16**8).to_bytes(4, "big") for _ in range(140)]
+    edges = [(names[0], x) for x in names[1:100]] + list(zip(names[100:129], names[101:130])) + [(names[130], names[131])]
+    rounds, checkpointed, context = [], minhash.checkpointed, spark.sparkContext
+    monkeypatch.setattr(minhash, "checkpointed", lambda df: rounds.append(1) or checkpointed(df))
+    frame = spark.createDataFrame(edges, "a binary, b binary")
+    context.setLocalProperty("spark.jobGroup.id", "components")
+    labels = minhash.components(frame)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert {bytes(r["id"]): bytes(r["class_id"]) for r in labels.collect()} == brute_components(edges)
+    assert len(context.statusTracker().getJobIdsForGroup("components")) <= 8 * (len(rounds) - 2) + 4
+
+
+def test_late_links_join_classes(spark):
+    """Late links between classes, to nodes without a class and among these give the classes of all links together."""
+    import random
+
+    rng = random.Random(4)
+    names = [rng.randrange(16**8).to_bytes(4, "big") for _ in range(90)]
+    edges = [(names[i - i % 6], names[i]) for i in range(60) if i % 6]
+    late = [(names[3], names[8]), (names[10], names[20]), (names[22], names[61]), (names[61], names[62]), (names[70], names[71]), (names[0], names[1])]
+    labels = minhash.components(spark.createDataFrame(edges, "a binary, b binary"))
+    got = minhash.joined(labels, spark.createDataFrame(late, "a binary, b binary")).collect()
+    assert len(got) == len({bytes(r["id"]) for r in got})
+    assert {bytes(r["id"]): bytes(r["class_id"]) for r in got} == brute_components(edges + late)
+
+
 @pytest.mark.parametrize("block", [minhash.BLOCK, 16])
 def test_near_duplicates_in_a_crowd_of_unlinked_texts(spark, monkeypatch, block):
     """Texts that share a passage and are 0.75 to 0.79 alike hide pairs at 0.82 and more; the pairs are found all the same."""
